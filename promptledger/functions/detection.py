@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schemas import FINDINGS, JAILBREAK
+from ..schemas import FINDING, FINDINGS, JAILBREAK
 from .catalogue import (
     DEFAULT_DETECTORS,
     ENTITIES,
     GENERIC,
     HIGH,
+    HIGH,
     JAILBREAKS,
     SECRET,
     Detector,
@@ -30,13 +32,14 @@ def _empty(kind: str) -> Column:
     return F.array().cast(kind)
 
 
-def find_spans(text: Column | str, pattern: str) -> Column:
+def find_spans(text: Column | str, pattern: Column | str) -> Column:
     """Every non-overlapping match with its text and code-point offsets.
 
     The matches and the gaps between them come from two native passes; offsets
     are running sums of their lengths.
     """
     text = col(text)
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
 
     def place(hits: Column) -> Column:
         pairs = F.arrays_zip(hits.alias("hit"), F.slice(F.split(text, pattern, -1), 1, F.size(hits)).alias("gap"))
@@ -59,80 +62,102 @@ def find_spans(text: Column | str, pattern: str) -> Column:
         )
         return F.when(F.size(hits) > 0, walked["out"]).otherwise(_empty(SPANS))
 
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    hits = F.regexp_extract_all(text, pattern, F.lit(0))
     return F.coalesce(let(hits, place), _empty(SPANS))
 
 
-def _any_of(hay: Column, needles: Sequence[str]) -> Column:
-    test = hay.contains(needles[0])
-    for n in needles[1:]:
-        test = test | hay.contains(n)
-    return test
-
-
-def _gate(d: Detector, ctx: Column) -> Column:
-    """Cheap necessary condition for a match."""
-    test = F.lit(True)
-    if d.digit_run:
-        test = ctx["digits"]
-    if d.needles:
-        marks = sorted({n[0] for n in d.needles})
-        if not d.ignore_case or all(not any(c.isalpha() for c in n) for n in d.needles):
-            test = test & _any_of(ctx["text"], d.needles)
-        elif any(m.isalpha() for m in marks):
-            test = test & let(fold_case(ctx["text"]), lambda t: _any_of(t, d.needles))
-        else:
-            # Fold only texts that hold a needle's leading punctuation.
-            test = test & _any_of(ctx["text"], marks)
-            test = test & let(fold_case(ctx["text"]), lambda t: _any_of(t, d.needles))
-    return test
+_DETECTOR = (
+    "struct<entity:string,detector:string,regex:string,tier:string,confidence:double,"
+    "needles:array<string>,marks:array<string>,folded:boolean,digit_run:boolean>"
+)
+_TIERED = "array<struct<finding:" + FINDING + ",tier:string>>"
+
+
+def _as_rows(detectors: Sequence[Detector]) -> Column:
+    """The catalogue as one array constant (folded at planning time)."""
+    rows = []
+    for d in detectors:
+        lettered = any(c.isalpha() for n in d.needles for c in n)
+        folded = d.ignore_case and lettered
+        marks = sorted({n[0] for n in d.needles}) if folded else []
+        rows.append({
+            "entity": d.entity, "detector": d.detector, "regex": d.regex, "tier": d.tier,
+            "confidence": d.confidence, "needles": list(d.needles), "folded": folded,
+            # Punctuation that starts the needles: no need to fold texts without it.
+            "marks": [] if any(m.isalpha() for m in marks) else marks,
+            "digit_run": d.digit_run,
+        })
+    return F.from_json(F.lit(json.dumps(rows)), f"array<{_DETECTOR}>")
+
+
+def _holds_any(text: Column, words: Column) -> Column:
+    return (F.size(words) == 0) | F.exists(words, lambda n: F.contains(text, n))
+
+
+def _candidates(ctx: Column, detectors: Column) -> Column:
+    """Detectors whose cheap necessary condition the text meets."""
+    text = ctx["text"]
+    return F.filter(
+        detectors,
+        lambda d: (~d["digit_run"] | ctx["digits"])
+        & _holds_any(text, d["marks"])
+        & F.when(d["folded"], _holds_any(fold_case(text), d["needles"])).otherwise(_holds_any(text, d["needles"])),
+    )
 
 
 def _context(text: Column) -> Column:
     return F.struct(text.alias("text"), text.rlike(DIGIT_RUN).alias("digits"))
 
 
-def _label(d: Detector, spans: Column) -> Column:
-    return F.transform(
-        spans,
-        lambda s: F.struct(
-            F.lit(d.entity).alias("entity"),
-            F.lit(d.detector).alias("detector"),
-            s["text"].alias("text"),
-            s["start"].alias("start"),
-            s["end"].alias("end"),
-            F.lit(d.confidence).alias("confidence"),
-        ),
-    ).cast(FINDINGS)
-
-
-def _found(d: Detector, ctx: Column, wanted: Column | None = None) -> Column:
-    gate = _gate(d, ctx) if wanted is None else wanted & _gate(d, ctx)
-    return F.when(gate, _label(d, find_spans(ctx["text"], d.regex))).otherwise(_empty(FINDINGS))
+def _find(text: Column, detectors: Column) -> Column:
+    """Findings of the candidate detectors, one detector after the other.
 
+    The catalogue is data, so one span expression serves all detectors and the
+    plan does not grow with their number.
+    """
 
-def _secrets(detectors: Sequence[Detector], ctx: Column, wanted: Column | None = None) -> Column:
-    high = [_found(d, ctx, wanted) for d in detectors if d.entity == SECRET and d.tier != GENERIC]
-    generic = [_found(d, ctx, wanted) for d in detectors if d.entity == SECRET and d.tier == GENERIC]
-    if not high and not generic:
-        return _empty(FINDINGS)
-    if not high or not generic:
-        return F.concat(*(high or generic))
-
-    def combine(h: Column) -> Column:
-        free = F.filter(
-            F.concat(*generic),
-            lambda g: ~F.exists(h, lambda x: (g["start"] < x["end"]) & (g["end"] > x["start"])),
+    def each(ctx: Column) -> Column:
+        found = F.transform(
+            _candidates(ctx, detectors),
+            lambda d: F.transform(
+                find_spans(ctx["text"], d["regex"]),
+                lambda s: F.struct(
+                    F.struct(d["entity"], d["detector"], s["text"], s["start"], s["end"], d["confidence"]),
+                    d["tier"],
+                ),
+            ).cast(_TIERED),
         )
-        return F.concat(h, free)
+        return let(F.flatten(found), _without_covered)
+
+    return F.coalesce(let(_context(text), each), _empty(FINDINGS))
+
+
+def _without_covered(found: Column) -> Column:
+    """Drop generic credentials that overlap a credential known by its prefix."""
+    high = F.filter(found, lambda x: x["tier"] == HIGH)
+    generic = F.exists(found, lambda x: x["tier"] == GENERIC)
+    free = let(
+        high,
+        lambda hs: F.filter(
+            found,
+            lambda g: (g["tier"] != GENERIC)
+            | ~F.exists(
+                hs,
+                lambda h: (g["finding"]["start"] < h["finding"]["end"]) & (g["finding"]["end"] > h["finding"]["start"]),
+            ),
+        ),
+    )
+    return F.transform(F.when(generic, free).otherwise(found), lambda x: x["finding"])
+
 
-    return let(F.concat(*high), combine)
+def _secret_order(detectors: Sequence[Detector]) -> list[Detector]:
+    secrets = [d for d in detectors if d.entity == SECRET]
+    return [d for d in secrets if d.tier != GENERIC] + [d for d in secrets if d.tier == GENERIC]
 
 
 def detect_secrets(text: Column | str, detectors: Sequence[Detector] = DEFAULT_DETECTORS) -> Column:
     """Secret findings; a generic one is dropped when it overlaps a known prefix (D3)."""
-    found = let(_context(col(text)), lambda ctx: _secrets(detectors, ctx))
-    return F.coalesce(found, _empty(FINDINGS))
+    return _find(col(text), _as_rows(_secret_order(detectors)))
 
 
 def known_entities(entities: Sequence[str] | None) -> list[str]:
@@ -141,6 +166,18 @@ def known_entities(entities: Sequence[str] | None) -> list[str]:
     return names or list(ENTITIES)
 
 
+def _requested(entities: Sequence[str] | None, detectors: Sequence[Detector]) -> list[Detector]:
+    """Detectors of the requested entities: secrets first, then as requested."""
+    names = known_entities(entities)
+    if entities is None:
+        names += [n for n in dict.fromkeys(d.entity for d in detectors) if n not in ENTITIES]
+    ordered = _secret_order(detectors) if SECRET in names else []
+    for name in names:
+        if name != SECRET:
+            ordered += [d for d in detectors if d.entity == name]
+    return ordered
+
+
 def detect_pii(
     text: Column | str,
     entities: Sequence[str] | Column | None = None,
@@ -151,42 +188,29 @@ def detect_pii(
     ``entities`` is a list of names, or an array column when it differs by row.
     """
     text = col(text)
-    if isinstance(entities, Column):
-        found = let(_context(text), lambda ctx: _detect_by_row(ctx, entities, detectors))
-        return F.coalesce(found, _empty(FINDINGS))
-    custom = [d.entity for d in detectors if d.entity not in ENTITIES]
-    names = known_entities(entities)
-    if entities is None:
-        names += list(dict.fromkeys(custom))
-
-    def build(ctx: Column) -> Column:
-        parts = [_secrets(detectors, ctx)] if SECRET in names else []
-        for name in names:
-            if name != SECRET:
-                parts += [_found(d, ctx) for d in detectors if d.entity == name]
-        return F.concat(*parts) if parts else _empty(FINDINGS)
-
-    return F.coalesce(let(_context(text), build), _empty(FINDINGS))
-
-
-def _detect_by_row(ctx: Column, entities: Column, detectors: Sequence[Detector]) -> Column:
+    if not isinstance(entities, Column):
+        return _find(text, _as_rows(_requested(entities, detectors)))
     known = F.filter(F.coalesce(entities, F.array().cast("array<string>")), lambda e: e.isin(*ENTITIES))
     every = F.array(*[F.lit(e) for e in ENTITIES])
-
-    def build(names: Column) -> Column:
-        secrets = _secrets(detectors, ctx, F.array_contains(names, SECRET))
-        plain = [_found(d, ctx, F.array_contains(names, d.entity)) for d in detectors if d.entity != SECRET]
-        if not plain:
-            return secrets
-        ordered = let(
-            F.concat(*plain),
-            lambda p: F.when(F.size(p) == 0, p).otherwise(
-                F.flatten(F.transform(names, lambda e: F.filter(p, lambda f: f["entity"] == e)))
+    rows = _as_rows(_requested(None, detectors))
+
+    def in_order(ctx: Column) -> Column:
+        found, names = ctx["found"], ctx["names"]
+        secret = F.filter(found, lambda f: f["entity"] == SECRET)
+        others = F.filter(names, lambda e: e != SECRET)
+        ordered = F.flatten(F.transform(others, lambda e: F.filter(found, lambda f: f["entity"] == e)))
+        return F.when(F.size(found) == 0, found).otherwise(F.concat(secret, ordered))
+
+    return let(
+        F.when(F.size(known) == 0, every).otherwise(known),
+        lambda names: let(
+            F.struct(
+                _find(text, F.filter(rows, lambda d: F.array_contains(names, d["entity"]))).alias("found"),
+                names.alias("names"),
             ),
-        )
-        return F.concat(secrets, ordered)
-
-    return let(F.when(F.size(known) == 0, every).otherwise(known), build)
+            in_order,
+        ),
+    )
 
 
 def has_pii(
@@ -195,16 +219,12 @@ def has_pii(
     detectors: Sequence[Detector] = DEFAULT_DETECTORS,
 ) -> Column:
     """True when anything is found (D4): gates and ``rlike`` only, no spans."""
-    names = known_entities(entities)
-
-    def build(ctx: Column) -> Column:
-        test = F.lit(False)
-        for d in detectors:
-            if d.entity in names:
-                test = test | (_gate(d, ctx) & ctx["text"].rlike(d.regex))
-        return test
-
-    return F.coalesce(let(_context(col(text)), build), F.lit(False))
+    rows = _as_rows(_requested(entities, detectors))
+    test = let(
+        _context(col(text)),
+        lambda ctx: F.exists(_candidates(ctx, rows), lambda d: F.rlike(ctx["text"], d["regex"])),
+    )
+    return F.coalesce(test, F.lit(False))
 
 
 def placeholder(entity: Column) -> Column:
@@ -328,27 +348,29 @@ def detect_jailbreak(text: Column | str, patterns: Sequence[JailbreakPattern] =
     Each regex runs only on rows whose folded text holds the pattern's needle.
     """
 
-    def build(ctx: Column) -> Column:
-        case = F
-        for p in patterns:
-            hit = F.struct(
-                F.lit(True).alias("flag"),
-                F.lit(0.85).alias("confidence"),
-                F.lit(p.pattern).alias("pattern"),
-                F.lit(p.category).alias("category"),
-            )
-            test = ctx["folded"].contains(p.needle)
-            if p.pattern != p.needle:
-                test = test & ctx["text"].rlike(p.regex)
-            case = case.when(test, hit.cast(JAILBREAK))
-        return case
-
-    none = F.struct(
-        F.lit(False).alias("flag"),
-        F.lit(0.0).alias("confidence"),
-        F.lit(None).cast("string").alias("pattern"),
-        F.lit(None).cast("string").alias("category"),
-    ).cast(JAILBREAK)
+    rows = F.from_json(
+        F.lit(json.dumps([
+            # A pattern that is its own needle needs no regex.
+            {"regex": "" if p.pattern == p.needle else p.regex, "needle": p.needle, "pattern": p.pattern, "category": p.category}
+            for p in patterns
+        ])),
+        "array<struct<regex:string,needle:string,pattern:string,category:string>>",
+    )
+
+    def first_hit(ctx: Column) -> Column:
+        held = F.filter(rows, lambda p: F.contains(ctx["folded"], p["needle"]))
+        hits = F.filter(held, lambda p: (p["regex"] == "") | F.rlike(ctx["text"], p["regex"]))
+        return let(
+            F.get(hits, F.lit(0)),
+            lambda p: F.struct(
+                p.isNotNull().alias("flag"),
+                F.when(p.isNotNull(), F.lit(0.85)).otherwise(F.lit(0.0)).alias("confidence"),
+                p["pattern"].alias("pattern"),
+                p["category"].alias("category"),
+            ).cast(JAILBREAK),
+        )
+
+    none = F.from_json(F.lit('{"flag": false, "confidence": 0.0}'), JAILBREAK)
     text = col(text)
     ctx = F.struct(text.alias("text"), fold_case(text).alias("folded"))
-    return F.coalesce(let(ctx, build), none)
+    return F.when(text.isNull(), none).otherwise(let(ctx, first_hit))

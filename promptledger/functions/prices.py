@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 from decimal import Decimal
@@ -72,16 +73,19 @@ def _nano(value: Decimal) -> int:
     return int(value * 10**9)
 
 
-def _literal(p: Price) -> Column:
-    return F.struct(
-        F.lit(p.model).alias("price_model"),
-        F.lit(_nano(p.in_per_1k)).cast("long").alias("in_nano"),
-        F.lit(_nano(p.out_per_1k)).cast("long").alias("out_nano"),
-    )
+_PRICE = "struct<price_model:string,in_nano:bigint,out_nano:bigint>"
+
+
+def _price_rows(prices: Sequence[Price]) -> Column:
+    """Price rows as an array constant."""
+    rows = [
+        {"price_model": p.model, "in_nano": _nano(p.in_per_1k), "out_nano": _nano(p.out_per_1k)} for p in prices
+    ]
+    return F.from_json(F.lit(json.dumps(rows)), f"array<{_PRICE}>")
 
 
 def price_of(model: Column | str, prices: Sequence[Price] = DEFAULT_PRICES, rule: str = "longest_prefix") -> Column:
-    """Price struct of a model as one CASE expression: no join, no shuffle.
+    """Price struct of a model, looked up in a constant: no join, no shuffle.
 
     ``longest_prefix`` tries longer names first, so an exact name always wins.
     ``first`` is exact match, then the first prefix by ``ordinal``.
@@ -89,20 +93,18 @@ def price_of(model: Column | str, prices: Sequence[Price] = DEFAULT_PRICES, rule
     model = F.coalesce(col(model), F.lit(""))
     if rule == "longest_prefix":
         ordered = sorted(prices, key=lambda p: (-len(p.model), p.ordinal))
-        tests = [(model.startswith(p.model), p) for p in ordered]
     elif rule == "first":
         ordered = sorted(prices, key=lambda p: p.ordinal)
-        tests = [(model == p.model, p) for p in ordered]
-        tests += [(model.startswith(p.model), p) for p in ordered]
     else:
         raise ValueError(f"unknown price rule {rule!r}")
     fallback = [p for p in prices if p.model == FALLBACK_MODEL]
     if not fallback:
         raise ValueError(f"the price table needs a {FALLBACK_MODEL} row")
-    case = F
-    for test, p in tests:
-        case = case.when(test, _literal(p))
-    return case.otherwise(_literal(fallback[0]))
+    rows = _price_rows(ordered)
+    found = F.get(F.filter(rows, lambda p: F.startswith(model, p["price_model"])), F.lit(0))
+    if rule == "first":
+        found = F.coalesce(F.get(F.filter(rows, lambda p: p["price_model"] == model), F.lit(0)), found)
+    return F.coalesce(found, _price_rows(fallback)[0])
 
 
 def resolve_price(
@@ -147,12 +149,8 @@ def _join_prices(df: DataFrame, prices: DataFrame, model: str, rule: str) -> Dat
     best = (
         prefixes.join(p, "price_model").groupBy("_m").agg(F.max_by(price, rank).alias("price"))
     )
-    fallback = p.where(F.col("price_model") == FALLBACK_MODEL).select(price.alias("f")).take(1)[0]["f"]
-    default = F.struct(
-        F.lit(fallback["price_model"]).alias("price_model"),
-        F.lit(fallback["in_nano"]).cast("long").alias("in_nano"),
-        F.lit(fallback["out_nano"]).cast("long").alias("out_nano"),
-    )
+    fallback = prices.where(F.col("model") == FALLBACK_MODEL).select("model", "ordinal", "in_per_1k", "out_per_1k").take(1)
+    default = _price_rows([Price(*fallback[0])])[0]
     joined = df.withColumn("_m", F.coalesce(F.col(model), F.lit(""))).join(best, "_m", "left")
     return joined.withColumn("price", F.coalesce("price", default)).drop("_m")
 
@@ -187,7 +185,7 @@ def model_cost_matrix(
     if rows is None:
         raise ValueError(f"cost matrix is limited to {MAX_INLINE_PRICES} models")
     i, o = F.col(tokens_in), F.col(tokens_out)
-    sums = [F.sum(cost_micros(i, o, _literal(p))).alias(f"m{n}") for n, p in enumerate(rows)]
+    sums = [F.sum(cost_micros(i, o, _price_rows([p])[0])).alias(f"m{n}") for n, p in enumerate(rows)]
     totals = df.agg(F.count(F.lit(1)).alias("requests"), *sums)
     cells = F.array(
         *[F.struct(F.lit(p.model).alias("model"), F.col(f"m{n}").alias("micros")) for n, p in enumerate(rows)]

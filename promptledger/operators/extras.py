@@ -99,7 +99,8 @@ def rate_limit(
     """
     side = broadcast_if_small(limits.select(F.col("tool").alias("_tool"), "max_calls", "per", "cooldown_seconds"))
     joined = df.select(
-        F.col(session).alias("_session"), F.col(tool).alias("_t"), F.col(ts).alias("_ts"), F.col(row_id).alias("_id")
+        F.col(session).alias("_session"), F.col(tool).alias("_t"), F.col(ts).cast("timestamp").alias("_ts"),
+        F.col(row_id).alias("_id"),
     ).join(side, F.col("_t") == F.col("_tool"))
     bucket = (
         F.when(F.col("per") == "minute", F.date_trunc("minute", "_ts"))

@@ -9,12 +9,12 @@ anything, so the carry table has at most about one row per chunk.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import broadcast_if_small, materialize
+from ..storage import materialize
 
 CHUNK = "_chunk"
 
@@ -32,75 +32,58 @@ def cut_into_chunks(
     return materialize(ranged.withColumn(CHUNK, F.spark_partition_id()), "chunks")
 
 
-def _join_carry(df: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
-    # Null keys form a key of their own, so the comparison is null-safe.
-    renamed = carry
-    condition = F.lit(True)
-    for k in (*keys, CHUNK):
-        renamed = renamed.withColumnRenamed(k, f"_r_{k}")
-        condition = condition & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
-    joined = df.join(broadcast_if_small(renamed), condition, "left")
-    return joined.drop(*[f"_r_{k}" for k in (*keys, CHUNK)])
-
-
-def running_sum(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str, inclusive: bool = False
+def _running(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    value: Column,
+    name: str,
+    per_chunk: Column,
+    across: Callable[[Column], Column],
+    within: Callable[[Column], Column],
+    inclusive: bool,
 ) -> DataFrame:
-    """Sum of ``value`` over the earlier rows of the key (and this row if ``inclusive``)."""
+    """A running value over chunks.
+
+    ``per_chunk`` sums a chunk up, ``across`` runs over the chunks before it.
+    What a chunk inherits is put into it as one more row ahead of its first, so
+    no join is needed and null keys behave like any other.
+    """
     df = df.withColumn("_v", value)
-    across = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     carry = (
         df.groupBy(*keys, CHUNK)
-        .agg(F.sum("_v").alias("_t"))
-        .withColumn("_carry", F.sum("_t").over(across))
-        .where(F.col("_carry").isNotNull())
+        .agg(per_chunk.alias("_t"))
+        .withColumn("_v", across(F.col("_t")).over(earlier))
+        .where(F.col("_v").isNotNull())
         .drop("_t")
+        .withColumn("_own", F.lit(False))
     )
-    within = Window.partitionBy(*keys, CHUNK).orderBy(*order)
-    within = within.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    local = df.withColumn("_local", F.coalesce(F.sum("_v").over(within), F.lit(0)))
-    return (
-        _join_carry(local, carry, keys)
-        .withColumn(name, F.col("_local") + F.coalesce("_carry", F.lit(0)))
-        .drop("_v", "_local", "_carry")
+    both = df.withColumn("_own", F.lit(True)).unionByName(carry, allowMissingColumns=True)
+    rows = (
+        Window.partitionBy(*keys, CHUNK)
+        .orderBy("_own", *order)
+        .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     )
+    return both.withColumn(name, within(F.col("_v")).over(rows)).where("_own").drop("_v", "_own")
+
+
+def running_sum(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str, inclusive: bool = False
+) -> DataFrame:
+    """Sum of ``value`` over the earlier rows of the key (and this row if ``inclusive``)."""
+    value = value.cast("long")
+    out = _running(df, keys, order, value, name, F.sum("_v"), F.sum, F.sum, inclusive)
+    return out.withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
 
 
 def running_max(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str) -> DataFrame:
     """Largest ``value`` up to and including this row; nulls are skipped."""
-    df = df.withColumn("_v", value)
-    across = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    carry = (
-        df.groupBy(*keys, CHUNK)
-        .agg(F.max("_v").alias("_t"))
-        .withColumn("_carry", F.max("_t").over(across))
-        .where(F.col("_carry").isNotNull())
-        .drop("_t")
-    )
-    within = Window.partitionBy(*keys, CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = df.withColumn("_local", F.max("_v").over(within))
-    return (
-        _join_carry(local, carry, keys)
-        .withColumn(name, F.greatest("_local", "_carry"))
-        .drop("_v", "_local", "_carry")
-    )
+    return _running(df, keys, order, value, name, F.max("_v"), F.max, F.max, True)
 
 
 def previous_value(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str) -> DataFrame:
     """``value`` of the row before this one in its key; null on the first row."""
-    df = df.withColumn("_v", F.struct(value.alias("v")))
-    across = Window.partitionBy(*keys).orderBy(CHUNK)
-    carry = (
-        df.groupBy(*keys, CHUNK)
-        .agg(F.max_by("_v", F.struct(*order)).alias("_t"))
-        .withColumn("_carry", F.lag("_t").over(across))
-        .where(F.col("_carry").isNotNull())
-        .drop("_t")
-    )
-    within = Window.partitionBy(*keys, CHUNK).orderBy(*order)
-    local = df.withColumn("_local", F.lag("_v").over(within))
-    return (
-        _join_carry(local, carry, keys)
-        .withColumn(name, F.coalesce("_local", "_carry")["v"])
-        .drop("_v", "_local", "_carry")
-    )
+    newest = F.max_by("_v", F.struct(*order))
+    out = _running(df, keys, order, F.struct(value.alias("v")), name, newest, F.last, F.last, False)
+    return out.withColumn(name, F.col(name)["v"])

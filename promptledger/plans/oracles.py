@@ -471,11 +471,11 @@ ORACLES: dict[str, str] = {
         "SELECT request_id, CAST(CAST(round(CAST(saved AS DECIMAL(18,0)) * 1000000 / original, 0) AS BIGINT) / 1000000.0 AS DOUBLE) AS savings_pct,"
         f" {dollars('saved_micros')} AS cost_saved FROM shrunk"
     ),
-    "request_guidance": shrink("SELECT request_id, CAST(advice AS BIGINT) AS advice FROM shrunk WHERE advice > 0"),
+    "request_guidance": f"SELECT doc_id, {estimate('text')} + 7 AS tokens FROM documents WHERE {estimate('text')} + 7 > 4000",
     "savings_report": shrink(
-        "SELECT agent_id, action, count(*) AS requests, CAST(sum(original) AS BIGINT) AS original_tokens, CAST(sum(tokens) AS BIGINT) AS input_tokens,"
+        "SELECT agent_id, tag AS action, count(*) AS requests, CAST(sum(original) AS BIGINT) AS original_tokens, CAST(sum(tokens) AS BIGINT) AS input_tokens,"
         f" CAST(sum(saved) AS BIGINT) AS saved_tokens, {dollars('sum(saved_micros)')} AS cost_saved"
-        " FROM (SELECT *, unnest(list_filter(string_split('all,' || actions, ','), lambda a: a <> '')) AS action FROM shrunk) GROUP BY agent_id, action"
+        " FROM (SELECT *, unnest(list_filter(string_split('all,' || actions, ','), lambda a: a <> '')) AS tag FROM shrunk) GROUP BY agent_id, tag"
     ),
     # detection
     "text_spans": _with(

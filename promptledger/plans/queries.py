@@ -89,7 +89,7 @@ def request_messages(spark, sf_dir):
 
 @query
 def document_requests(spark, sf_dir):
-    rows = req.single_turn_requests(views.read(spark, sf_dir, "documents"), "text")
+    rows = req.single_turn_requests(views.texts(spark, sf_dir, "documents"), "text")
     return rows.select(
         "doc_id", _n(F.size("messages")).alias("n_messages"), F.col("messages")[0]["role"].alias("role"),
         F.md5(F.col("messages")[0]["content"]).alias("digest"), count_message_tokens("messages").alias("tokens"),
@@ -159,7 +159,7 @@ def history_log_day(spark, sf_dir):
 
 @query
 def page_markdown(spark, sf_dir):
-    return pages.convert_pages(views.read(spark, sf_dir, "pages"))
+    return pages.convert_pages(views.texts(spark, sf_dir, "pages"))
 
 
 # --- tokens and prices --------------------------------------------------------
@@ -167,12 +167,12 @@ def page_markdown(spark, sf_dir):
 
 @query
 def word_estimates(spark, sf_dir):
-    return views.read(spark, sf_dir, "documents").select("doc_id", word_estimate("text").alias("tokens"))
+    return views.texts(spark, sf_dir, "documents").select("doc_id", word_estimate("text").alias("tokens"))
 
 
 @query
 def token_counts(spark, sf_dir):
-    docs = views.read(spark, sf_dir, "documents")
+    docs = views.texts(spark, sf_dir, "documents")
     text = F.when(F.col("doc_id") % 50 == 0, F.lit("")).otherwise(F.col("text"))
     return docs.groupBy("lang", "source").agg(F.sum(count_tokens(text, F.lit("gpt-4o"))).alias("tokens"))
 
@@ -238,7 +238,7 @@ def merged_system_prompts(spark, sf_dir):
 def normalized_whitespace(spark, sf_dir):
     text = F.concat("text", F.lit("\n\n\n"), "text", F.lit("  "))
     messages = shrink.normalize_whitespace(req.single_turn_messages(text))
-    return views.read(spark, sf_dir, "documents").select("doc_id", F.md5(messages[0]["content"]).alias("digest"))
+    return views.texts(spark, sf_dir, "documents").select("doc_id", F.md5(messages[0]["content"]).alias("digest"))
 
 
 @query
@@ -266,8 +266,10 @@ def savings_metrics(spark, sf_dir):
 
 @query
 def request_guidance(spark, sf_dir):
-    rows = _shrunk(spark, sf_dir).select("request_id", _n(F.size("guidance")).alias("advice"))
-    return rows.where("advice > 0")
+    rows = req.single_turn_requests(views.texts(spark, sf_dir, "documents"), "text")
+    rows = resolve_price(guards.agent_policy(rows.withColumns({"agent_id": F.lit("default"), "model": F.lit("gpt-4o")})))
+    advised = shrink.shrink_requests(rows).where(F.size("guidance") > 0)
+    return advised.select("doc_id", F.col("original_tokens").alias("tokens"))
 
 
 @query
@@ -362,7 +364,7 @@ def findings_by_quality(spark, sf_dir):
 
 @query
 def personal_data_by_language(spark, sf_dir):
-    return detect.findings_report(views.read(spark, sf_dir, "documents"), ["lang"])
+    return detect.findings_report(views.texts(spark, sf_dir, "documents"), ["lang"])
 
 
 @query

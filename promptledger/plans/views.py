@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tools import identify_tool
 from ..operators.requests import conversations_to_requests
+from ..storage import spread
 
 # Samples are put together from parts so that no file holds a key-shaped literal.
 _A20 = "abcd1234" * 2 + "wxyz"
@@ -59,6 +60,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table whose texts are about to be scanned."""
+    return spread(read(spark, sf_dir, table))
+
+
 def sql_text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
@@ -73,7 +79,7 @@ def _case(key: Column, values: tuple[str, ...], default: Column) -> Column:
 def planted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     sample = _case(F.col("doc_id") % RESIDUES, SAMPLES, F.lit(""))
     padded = F.when(sample == "", F.lit("")).otherwise(F.concat(F.lit(" "), sample, F.lit(" ")))
-    return read(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir, "documents").select(
         "doc_id", F.concat("text", padded).alias("text"), "lang", "source"
     )
 

@@ -43,3 +43,13 @@ def broadcast_if_small(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFr
     if df.limit(limit + 1).count() <= limit:
         return F.broadcast(df)
     return df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a small table's rows out to all cores before heavy work per row.
+
+    A table that already comes in as many splits as there are cores is left
+    alone, so nothing is shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
