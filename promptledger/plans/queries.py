@@ -573,8 +573,9 @@ def cost_report(spark, sf_dir):
 
 
 def _stream(spark, sf_dir, table: str) -> DataFrame:
-    path = f"{sf_dir}/{table}.parquet"
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    schema = views.read(spark, sf_dir, table).schema
+    # A streaming file source lists folders or patterns, not single files.
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{table}*.parquet")
 
 
 def _history_stream(spark, sf_dir) -> DataFrame:

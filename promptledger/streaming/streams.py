@@ -14,7 +14,7 @@ from ..functions.tokens import messages_to_text
 from ..operators.budget import budget_gate
 from ..operators.govern import score_requests, verdicts
 from ..operators.guards import agent_policy, input_guard, output_guard
-from ..schemas import GUARD_EVENT_SCHEMA, HISTORY_SCHEMA, MONEY
+from ..schemas import GUARD_EVENT_SCHEMA, HISTORY_SCHEMA, MONEY, VIOLATIONS
 from ..sources.logs import CORRUPT
 from ..storage import materialize
 
@@ -75,7 +75,7 @@ def stream_traffic_stats(events: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("long")
     whole = F.array(F.struct(F.lit("event").alias("kind"), F.coalesce("event", F.lit("unknown")).alias("name"), F.lit(True).alias("whole")))
     types = F.transform(
-        F.coalesce("violations", F.array().cast("array<struct<type:string>>")),
+        F.coalesce("violations", F.array().cast(VIOLATIONS)),
         lambda v: F.struct(F.lit("violation").alias("kind"), F.coalesce(v["type"], F.lit("unknown")).alias("name"), F.lit(False).alias("whole")),
     )
     rows = events.select(
