@@ -610,14 +610,14 @@ def guard_event_stream(spark, sf_dir):
 
 @query
 def stream_daily_usage(spark, sf_dir):
-    rows = streams.stream_daily_usage(_history_stream(spark, sf_dir), "timestamp")
+    rows = streams.stream_daily_usage(_history_stream(spark, sf_dir), "timestamp", lateness=None)
     r = _snapshot(spark, rows, ["day"], "update")
     return r.select(F.col("day").cast("string").alias("day"), "checks", _usd("spend").alias("spend"))
 
 
 @query
 def stream_usage_by_tool(spark, sf_dir):
-    rows = streams.stream_usage_by_tool(_history_stream(spark, sf_dir))
+    rows = streams.stream_usage_by_tool(_history_stream(spark, sf_dir), lateness=None)
     r = _snapshot(spark, rows, ["day", "tool"], "update")
     return r.select(F.col("day").cast("string").alias("day"), "tool", "requests", _usd("cost").alias("cost"), "tokens", "blocked")
 

@@ -38,10 +38,21 @@ def _stream_json(spark: SparkSession, path: str, schema: str, max_files: int) ->
     )
 
 
-def stream_daily_usage(df: DataFrame, ts: str = "ts", cost: str = "cost_usd", lateness: str = "1 day") -> DataFrame:
-    """Running checks and spend per UTC day (R1); a day closes once the watermark passes it."""
+def _watermarked(df: DataFrame, ts: str, lateness: str | None) -> DataFrame:
+    return df if lateness is None else df.withWatermark(ts, lateness)
+
+
+def stream_daily_usage(
+    df: DataFrame, ts: str = "ts", cost: str = "cost_usd", lateness: str | None = "1 day"
+) -> DataFrame:
+    """Running checks and spend per UTC day (R1); a day closes once the watermark passes it.
+
+    A live tail needs the watermark to let go of old days.  A backfill reads
+    files in no particular order of time: there pass ``lateness=None``, so that
+    no row can be late; the state is one row per day.
+    """
     return (
-        df.withWatermark(ts, lateness)
+        _watermarked(df, ts, lateness)
         .groupBy(F.window(ts, "1 day").alias("w"))
         .agg(
             F.count(F.lit(1)).alias("checks"),
@@ -51,10 +62,10 @@ def stream_daily_usage(df: DataFrame, ts: str = "ts", cost: str = "cost_usd", la
     )
 
 
-def stream_usage_by_tool(df: DataFrame, ts: str = "timestamp", lateness: str = "1 day") -> DataFrame:
-    """Usage per UTC day and tool, continuously (R2)."""
+def stream_usage_by_tool(df: DataFrame, ts: str = "timestamp", lateness: str | None = "1 day") -> DataFrame:
+    """Usage per UTC day and tool, continuously (R2); ``lateness`` as above."""
     return (
-        df.withWatermark(ts, lateness)
+        _watermarked(df, ts, lateness)
         .groupBy(F.window(ts, "1 day").alias("w"), F.coalesce("tool", F.lit("Unknown")).alias("tool"))
         .agg(
             F.count(F.lit(1)).alias("requests"),
