@@ -10,29 +10,30 @@ from pyspark.sql import functions as F
 from ..functions import detection as fn
 from ..functions.catalogue import DEFAULT_DETECTORS, SECRET, Detector
 from ..functions.text import let
+from ..storage import compute_once
 
 
 def detect_pii(df: DataFrame, entities: Sequence[str] | None = None, text: str = "text",
                detectors: Sequence[Detector] = DEFAULT_DETECTORS) -> DataFrame:
-    return df.withColumn("findings", fn.detect_pii(text, entities, detectors))
+    return compute_once(df, "findings", fn.detect_pii(text, entities, detectors))
 
 
 def detect_secrets(df: DataFrame, text: str = "text", detectors: Sequence[Detector] = DEFAULT_DETECTORS) -> DataFrame:
-    return df.withColumn("findings", fn.detect_secrets(text, detectors))
+    return compute_once(df, "findings", fn.detect_secrets(text, detectors))
 
 
 def has_pii(df: DataFrame, entities: Sequence[str] | None = None, text: str = "text") -> DataFrame:
-    return df.withColumn("has_pii", fn.has_pii(text, entities))
+    return compute_once(df, "has_pii", fn.has_pii(text, entities))
 
 
 def redact(df: DataFrame, entities: Sequence[str] | None = None, text: str = "text", overlap: str = "merge",
            detectors: Sequence[Detector] = DEFAULT_DETECTORS) -> DataFrame:
     """Add ``redacted``; the text itself stays."""
-    return df.withColumn("redacted", fn.redact(text, fn.detect_pii(text, entities, detectors), overlap))
+    return compute_once(df, "redacted", fn.redact(text, fn.detect_pii(text, entities, detectors), overlap))
 
 
 def detect_jailbreak(df: DataFrame, text: str = "text") -> DataFrame:
-    return df.withColumn("jailbreak", fn.detect_jailbreak(text))
+    return compute_once(df, "jailbreak", fn.detect_jailbreak(text))
 
 
 def _scan_summary(first: Column, name: Column, severity: Column) -> Column:
@@ -50,7 +51,7 @@ def scan_pii(df: DataFrame, text: str = "text") -> DataFrame:
         F.get(fn.detect_pii(text, None, plain), F.lit(0)),
         lambda f: _scan_summary(f, F.upper(f["entity"]), F.lit("HIGH")),
     )
-    return df.withColumn("scan", scan)
+    return compute_once(df, "scan", scan)
 
 
 def scan_secrets(df: DataFrame, text: str = "text") -> DataFrame:
@@ -61,7 +62,7 @@ def scan_secrets(df: DataFrame, text: str = "text") -> DataFrame:
             f, F.lit("SECRET_KEY"), F.when(f["confidence"] >= 0.9, F.lit("HIGH")).otherwise(F.lit("MEDIUM"))
         ),
     )
-    return df.withColumn("scan", scan)
+    return compute_once(df, "scan", scan)
 
 
 def findings_table(df: DataFrame, keys: Sequence[str], entities: Sequence[str] | None = None, text: str = "text",
@@ -79,7 +80,7 @@ def findings_report(df: DataFrame, by: Sequence[str], key: str = "doc_id", entit
     entity: counting inside the row replaces a distinct count, and the shuffle
     carries only partial sums.
     """
-    found = df.select(*by, fn.detect_pii(text, entities, detectors).alias("f"))
+    found = compute_once(df, "f", fn.detect_pii(text, entities, detectors)).select(*by, "f")
     names = F.transform("f", lambda f: f["entity"])
     per_row = found.select(*by, names.alias("names")).select(*by, "names", F.explode(F.array_distinct("names")).alias("entity"))
     hits = F.size(F.filter("names", lambda n: n == F.col("entity")))
@@ -95,13 +96,16 @@ def scrub_corpus(df: DataFrame, action: str = "redact", entities: Sequence[str]
     ``redact`` replaces them, ``block`` drops the rows, ``flag`` keeps the rows;
     ``flagged`` tells which rows had findings.
     """
+    def flag(rows: DataFrame) -> DataFrame:
+        return compute_once(rows, "flagged", fn.has_pii(text, entities, detectors))
+
     if action == "block":
-        return df.where(~fn.has_pii(text, entities, detectors)).withColumn("flagged", F.lit(False))
+        return flag(df).where(~F.col("flagged"))
     if action == "flag":
-        return df.withColumn("flagged", fn.has_pii(text, entities, detectors))
+        return flag(df)
     if action != "redact":
         raise ValueError(f"unknown action {action!r}")
-    found = df.withColumn("_f", fn.detect_pii(text, entities, detectors))
+    found = compute_once(df, "_f", fn.detect_pii(text, entities, detectors))
     return (
         found.withColumn("flagged", F.size("_f") > 0)
         .withColumn(text, fn.redact(text, "_f", overlap))

@@ -14,6 +14,18 @@ def _money(c: Column | str) -> Column:
     return F.coalesce(F.sum(c), F.lit(0)).cast(MONEY)
 
 
+def _on_day(df: DataFrame, day: str | dt.date, ts: str) -> DataFrame:
+    """Rows of one UTC day.
+
+    A range on the raw timestamp reaches a columnar scan; a log partitioned by
+    ``day`` is pruned to that partition as well.
+    """
+    start = F.lit(str(day)).cast("timestamp")
+    stamp = F.col(ts).cast("timestamp") if df.schema[ts].dataType.simpleString() == "string" else F.col(ts)
+    rows = df.where((stamp >= start) & (stamp < start + F.expr("INTERVAL 1 DAY")))
+    return rows.where(F.col("day") == F.lit(str(day)).cast("date")) if "day" in df.columns else rows
+
+
 def daily_usage(df: DataFrame, ts: str = "ts", cost: str = "cost_usd") -> DataFrame:
     """Checks and spend per UTC day; blocked requests are checks without spend (A1)."""
     return df.groupBy(F.to_date(ts).alias("day")).agg(
@@ -23,13 +35,8 @@ def daily_usage(df: DataFrame, ts: str = "ts", cost: str = "cost_usd") -> DataFr
 
 
 def daily_spend(df: DataFrame, day: str | dt.date, ts: str = "ts", cost: str = "cost_usd") -> DataFrame:
-    """Spend of one day as a single row, 0 when there is none (A2).
-
-    The filter is a range on the raw timestamp, so it reaches the scan.
-    """
-    start = F.lit(str(day)).cast("timestamp")
-    rows = df.where((F.col(ts) >= start) & (F.col(ts) < start + F.expr("INTERVAL 1 DAY")) & (F.col(cost) > 0))
-    return rows.agg(_money(cost).alias("spend"))
+    """Spend of one day as a single row, 0 when there is none (A2)."""
+    return _on_day(df, day, ts).where(F.col(cost) > 0).agg(_money(cost).alias("spend"))
 
 
 def today_utc() -> dt.date:
@@ -43,8 +50,7 @@ def usage_by_tool(
     if today:
         day = today_utc()
     if day is not None:
-        start = F.lit(str(day)).cast("timestamp")
-        df = df.where((F.col(ts) >= start) & (F.col(ts) < start + F.expr("INTERVAL 1 DAY")))
+        df = _on_day(df, day, ts)
     return df.groupBy(F.coalesce("tool", F.lit("Unknown")).alias("tool")).agg(
         F.count(F.lit(1)).alias("requests"),
         _money("cost_usd").alias("cost"),
@@ -113,10 +119,7 @@ def tail_events(
     events: DataFrame, n: int = 50, day: str | dt.date | None = None, ts: str = "timestamp", tie: str | None = None
 ) -> DataFrame:
     """Last ``n`` events of a UTC day (default today) in order."""
-    day = day or today_utc()
-    start = F.lit(str(day)).cast("timestamp")
-    stamp = F.col(ts).cast("timestamp")
-    rows = events.where((stamp >= start) & (stamp < start + F.expr("INTERVAL 1 DAY")))
+    rows = _on_day(events, day or today_utc(), ts)
     return recent_events(rows, n, ts, tie).orderBy(ts, *([tie] if tie else []))
 
 

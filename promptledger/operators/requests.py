@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import col, is_blank
 from ..schemas import MESSAGES
+from ..storage import broadcast_if_small
 
 # Turns gathered into one array by one group.
 TURN_BLOCK = 256
@@ -22,44 +23,61 @@ def conversations_to_requests(
     """One request per assistant turn: all earlier turns, and that turn as the answer.
 
     Turns are gathered per (conversation, block of ``TURN_BLOCK`` turn numbers),
-    so no group grows with a long conversation.  Requests in the first block,
-    which is every request of an ordinary conversation, come straight out of
-    that one shuffle.  Later blocks are prefixed with the blocks before them,
-    keyed by (conversation, block), so a very long conversation is spread over
-    as many tasks as it has blocks.
+    so no group grows with a long conversation.  When every turn number falls
+    into one block, which the smallest and largest one tell, that is all: one
+    shuffle.  Otherwise later blocks are prefixed with the blocks before them,
+    again keyed by (conversation, block), so a very long conversation is spread
+    over as many tasks as it has blocks.  The prefix of a block is a part of
+    each of its requests, hence never larger than a result row.
     """
     block = F.floor(F.col(turn) / TURN_BLOCK).cast("long")
-    blocks = (
-        df.select(F.col(conv), block.alias("_block"), F.struct(turn, role, text).alias("_m"))
-        .groupBy(conv, "_block")
-        .agg(F.array_sort(F.collect_list("_m")).alias("_turns"))
-    )
-    as_messages = F.transform(
-        "_turns", lambda m: F.struct(m[role].alias("role"), m[text].alias("content"))
-    ).cast(MESSAGES)
-    # The floor of a conversation's turn numbers need not be block 0.
-    span = blocks.groupBy(conv).agg(F.min("_block").alias("_lo"), F.max("_block").alias("_hi")).where("_hi > _lo")
-    long_blocks = blocks.join(span, conv).select(conv, "_block", "_hi", as_messages.alias("_messages"))
-    prefixes = (
-        long_blocks.where(F.col("_block") < F.col("_hi"))
-        .select(conv, F.explode(F.sequence(F.col("_block") + 1, F.col("_hi"))).alias("_to"), "_block", "_messages")
-        .groupBy(conv, "_to")
-        .agg(F.array_sort(F.collect_list(F.struct("_block", "_messages"))).alias("_parts"))
-        .select(
-            conv,
-            F.col("_to").alias("_block"),
-            F.flatten(F.transform("_parts", lambda p: p["_messages"])).alias("_before"),
-        )
+    # A struct key equals itself even when the conversation id is null.
+    rows = df.select(F.struct(conv).alias("_conv"), block.alias("_block"), F.struct(turn, role, text).alias("_m"))
+    blocks = _gather(rows, role, text)
+    ends = df.agg(F.min(block).alias("lo"), F.max(block).alias("hi")).first()
+    if ends["lo"] == ends["hi"]:
+        blocks = blocks.withColumn("_before", F.lit(None).cast(MESSAGES))
+    else:
+        # Both sides are already laid out by (conversation, block).
+        blocks = blocks.join(_prefixes(rows, role, text), ["_conv", "_block"], "left")
+    asked = F.filter(
+        F.transform("_turns", lambda m, i: F.struct(i.alias("pos"), m.alias("m"))), lambda x: x["m"][role] == "assistant"
     )
-    requests = blocks.select(
-        conv, "_block", as_messages.alias("_own"), F.posexplode("_turns").alias("_pos", "_t")
-    ).where(F.col(f"_t.{role}") == "assistant")
-    own = F.slice("_own", F.lit(1), F.col("_pos"))
-    return requests.join(prefixes, [conv, "_block"], "left").select(
-        conv,
-        F.col(f"_t.{turn}").alias(turn),
+    requests = blocks.select("_conv", "_before", "_own", F.explode(asked).alias("_t"))
+    own = F.slice("_own", F.lit(1), F.col("_t.pos"))
+    return requests.select(
+        F.col(f"_conv.{conv}").alias(conv),
+        F.col(f"_t.m.{turn}").alias(turn),
         F.when(F.col("_before").isNull(), own).otherwise(F.concat("_before", own)).cast(MESSAGES).alias("messages"),
-        F.col(f"_t.{text}").alias("answer"),
+        F.col(f"_t.m.{text}").alias("answer"),
+    )
+
+
+def _messages(role: str, text: str) -> Column:
+    return F.transform("_turns", lambda m: F.struct(m[role].alias("role"), m[text].alias("content"))).cast(MESSAGES)
+
+
+def _gather(rows: DataFrame, role: str, text: str) -> DataFrame:
+    """One row per (conversation, block): its turns in order, and as messages."""
+    gathered = rows.groupBy("_conv", "_block").agg(F.array_sort(F.collect_list("_m")).alias("_turns"))
+    return gathered.withColumn("_own", _messages(role, text))
+
+
+def _prefixes(rows: DataFrame, role: str, text: str) -> DataFrame:
+    """``_conv, _block, _before``: all messages before a block, for conversations of several blocks."""
+    span = rows.groupBy("_conv").agg(F.min("_block").alias("_lo"), F.max("_block").alias("_hi")).where("_hi > _lo")
+    # Only the turns of long conversations are gathered again.
+    long_rows = rows.join(broadcast_if_small(span.drop("_lo")), "_conv")
+    last = long_rows.groupBy("_conv", "_block").agg(
+        F.array_sort(F.collect_list("_m")).alias("_turns"), F.first("_hi").alias("_hi")
+    )
+    later = F.explode(F.sequence(F.col("_block") + 1, F.col("_hi"))).alias("_to")
+    copies = last.where(F.col("_block") < F.col("_hi")).select("_conv", "_block", _messages(role, text).alias("_part"), later)
+    parts = copies.groupBy("_conv", "_to").agg(F.array_sort(F.collect_list(F.struct("_block", "_part"))).alias("_parts"))
+    return parts.select(
+        "_conv",
+        F.col("_to").alias("_block"),
+        F.flatten(F.transform("_parts", lambda p: p["_part"])).alias("_before"),
     )
 
 

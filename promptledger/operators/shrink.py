@@ -9,6 +9,7 @@ from ..functions.prices import estimate_cost
 from ..functions.text import col, is_blank
 from ..functions.tokens import count_message_tokens
 from ..schemas import MESSAGES, MONEY
+from ..storage import compute_once
 
 BREVITY_PROMPT = (
     "Answer briefly and precisely. Give the code or facts asked for with short reasons, "
@@ -116,7 +117,7 @@ def shrink_requests(df: DataFrame, brevity_prompt: str = BREVITY_PROMPT) -> Data
     non_empty = F.coalesce(F.size("messages"), F.lit(0)) > 0
     active = o["enabled"] & non_empty
     step = (
-        df.withColumn("original_tokens", count_message_tokens("messages"))
+        compute_once(df, "original_tokens", count_message_tokens("messages"))
         .withColumn("_active", active)
         .withColumn("_m0", F.when(F.col("_active"), with_defaults("messages")).otherwise(F.col("messages")))
     )

@@ -16,7 +16,7 @@ from ..operators import budget, detect, extras, govern, guards, reports, shrink
 from ..operators import requests as req
 from ..schemas import VIOLATIONS
 from ..sources import logs, pages
-from ..storage import scratch_path
+from ..storage import compute_once, scratch_path
 from ..streaming import streams
 from . import views
 from .policies import (
@@ -352,8 +352,8 @@ def findings_report(spark, sf_dir):
 @query
 def findings_by_quality(spark, sf_dir):
     # Keys and entities only: the join never carries a text.
-    found = views.planted_documents(spark, sf_dir).select("doc_id", spans.detect_pii("text").alias("f"))
-    slim = found.where(F.size("f") > 0).select("doc_id", F.transform("f", lambda f: f["entity"]).alias("names"))
+    found = detect.detect_pii(views.planted_documents(spark, sf_dir)).where(F.size("findings") > 0)
+    slim = found.select("doc_id", F.transform("findings", lambda f: f["entity"]).alias("names"))
     rows = slim.join(views.read(spark, sf_dir, "labels"), "doc_id")
     each = rows.select("quality", "toxic", "names", F.explode(F.array_distinct("names")).alias("entity"))
     hits = F.size(F.filter("names", lambda n: n == F.col("entity")))
@@ -405,7 +405,7 @@ def input_guard(spark, sf_dir):
 @query
 def output_guard(spark, sf_dir):
     rows = guards.agent_policy(views.planted_documents(spark, sf_dir))
-    rows = rows.select("doc_id", guards.output_guard("text", F.col("policy")).alias("v")).where(F.size("v") > 0)
+    rows = compute_once(rows, "v", guards.output_guard("text", F.col("policy"))).where(F.size("v") > 0)
     label = F.transform("v", lambda x: F.concat_ws("/", x["type"], x["severity"]))
     return rows.select("doc_id", F.array_join(label, ",").alias("violations"))
 

@@ -25,13 +25,15 @@ def _read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     )
 
 
-def newest_days(df: DataFrame, max_days: int) -> list[dt.date]:
+def newest_days(spark: SparkSession, path: str, max_days: int) -> list[dt.date]:
     """The newest ``max_days`` day partitions.
 
-    Only partition values are read, and a distinct of them needs no file data.
+    Listing files as ``binaryFile`` without their content opens none of them:
+    one row per file, of which only the partition value is kept.
     """
-    rows = df.select("day").distinct().orderBy(F.desc("day")).limit(max_days).collect()
-    return [r["day"] for r in rows]
+    files = spark.read.format("binaryFile").load(path)
+    rows = files.select(F.col("day").cast("date").alias("day")).distinct().orderBy(F.desc("day")).limit(max_days)
+    return [r["day"] for r in rows.collect()]
 
 
 def read_guard_events(spark: SparkSession, path: str, max_days: int | None = None) -> DataFrame:
@@ -42,8 +44,7 @@ def read_guard_events(spark: SparkSession, path: str, max_days: int | None = Non
     """
     df = _read_json(spark, path, GUARD_EVENT_SCHEMA)
     if max_days is not None:
-        days = spark.read.format("json").schema("day date").load(path)
-        df = df.where(F.col("day").isin(newest_days(days, max_days)))
+        df = df.where(F.col("day").isin(newest_days(spark, path, max_days)))
     return df
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A dimension up to this many rows may be broadcast.
@@ -45,6 +45,18 @@ def broadcast_if_small(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFr
     return df
 
 
+def compute_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that later filters cannot duplicate.
+
+    A filter on an ordinary computed column is pushed below its projection,
+    where the whole expression is evaluated a second time (and below an
+    exchange, in fewer tasks).  Filters do not pass the output of a generator,
+    so the value is produced by exploding a one-element array.
+    """
+    kept = [c for c in df.columns if c != name]
+    return df.select(*kept, F.explode(F.array(value)).alias(name))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal a small table's rows out to all cores before heavy work per row.
 

@@ -16,7 +16,7 @@ from ..operators.govern import score_requests, verdicts
 from ..operators.guards import agent_policy, input_guard, output_guard
 from ..schemas import GUARD_EVENT_SCHEMA, HISTORY_SCHEMA, MONEY, VIOLATIONS
 from ..sources.logs import CORRUPT
-from ..storage import materialize
+from ..storage import compute_once, materialize
 
 
 def stream_guard_events(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
@@ -110,11 +110,10 @@ def stream_traffic_stats(events: DataFrame) -> DataFrame:
 def stream_guard(df: DataFrame, policies: DataFrame | None = None,
                  detectors: Sequence[Detector] = DEFAULT_DETECTORS) -> DataFrame:
     """Input and output guard on a stream of requests, no state."""
-    staged = agent_policy(df, policies)
+    staged = agent_policy(df, policies).withColumn("_text", messages_to_text("messages"))
     policy = F.col("policy")
     return (
-        staged.withColumn("_text", messages_to_text("messages"))
-        .withColumn("guard", input_guard("_text", policy, detectors))
+        compute_once(staged, "guard", input_guard("_text", policy, detectors))
         .withColumn("output_violations", F.when(F.col("guard.allowed"), output_guard("answer", policy, detectors)))
         .drop("_text", "policy")
     )

@@ -27,7 +27,7 @@ def test_conversations_become_requests(spark, monkeypatch, block):
     monkeypatch.setattr(requests, "TURN_BLOCK", block)
     rng = random.Random(block)
     rows = []
-    for conv in range(12):
+    for conv in [*range(12), None]:
         turns = sorted(rng.sample(range(3, 60), rng.randint(1, 30)))
         rows += [(conv, t, rng.choice(["user", "assistant", "system"]), f"c{conv}t{t}") for t in turns]
     rng.shuffle(rows)
@@ -37,7 +37,7 @@ def test_conversations_become_requests(spark, monkeypatch, block):
     want = {}
     for c, t, role, text in rows:
         if role == "assistant":
-            want[(c, t)] = ([(x[2], x[3]) for x in sorted(rows) if x[0] == c and x[1] < t], text)
+            want[(c, t)] = ([(x[2], x[3]) for x in sorted(rows, key=lambda x: x[1]) if x[0] == c and x[1] < t], text)
     assert got == want
 
 
