@@ -2,30 +2,31 @@
 
 A row is refused when the spend so far plus its estimate exceeds its budget; an
 admitted row adds its full cost, a refused row adds nothing.  In order within a
-key this is a fold, yet no key is ever folded in one task unless few rows of it
-are left:
+key this is a fold.  Keys of at most ``FOLD_ROWS`` rows are folded: rows are
+shuffled and sorted by key, and each partition streams through, holding one
+number.  A larger key is never handled by one task:
 
-1.  One running sum of all costs is exact up to the key's first refusal, which
-    settles every key that stays within budget.
+1.  One running sum of all its costs, taken over range partitions, is exact up
+    to the key's first refusal, and settles a key that stays within budget.
 2.  Spend never falls, so a later row whose limit (budget - estimate) is below
     the spend at that refusal is refused outright.
 3.  What is left is settled in rounds.  With spend ``a`` and smallest budget
     ``B`` take ``w = ceil((B - a) / 2)``.  While the spend is in ``[a, a + w)``
     rows with a limit of at least ``a + w - 1`` are admitted for certain, and
     any other admitted row costs at least ``w`` and so ends the round.  The end
-    of a round is the first row where either happens: two running sums and a
+    of a round is the first row where either happens: a running sum and a
     ``min``.  Each round halves the headroom, so there are about
     log2(budget in micro-dollars) rounds per distinct budget.
-4.  As soon as no key has more than ``FOLD_ROWS`` rows left, they are folded in
-    order by streaming sorted partitions, without collecting a key in memory.
+4.  As soon as no key has more than ``FOLD_ROWS`` rows left, they are folded.
 
 Money is counted in whole micro-dollars, so every order of summation agrees.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,14 +73,32 @@ def budget_gate(
         (to_micros(budget) - F.coalesce(to_micros(estimate), F.lit(0).cast("long"))).alias("_limit"),
         to_micros(budget).alias("_budget"),
     )
-    rows = cut_into_chunks(slim, ["_key"], _ORDER, chunks)
     if opening is not None:
-        opened = opening.select(F.col(opening.columns[0]).alias("_k"), to_micros(F.col(opening.columns[1])).alias("_open"))
-        rows = rows.join(broadcast_if_small(opened), F.col("_key").eqNullSafe(F.col("_k")), "left").drop("_k")
-        rows = rows.withColumn("_open", F.coalesce("_open", F.lit(0).cast("long")))
+        opened = opening.select(F.col(opening.columns[0]).alias("_k"), to_micros(F.col(opening.columns[1])).alias("_spend"))
+        slim = slim.join(broadcast_if_small(opened), F.col("_key").eqNullSafe(F.col("_k")), "left").drop("_k")
+        slim = slim.withColumn("_spend", F.coalesce("_spend", F.lit(0).cast("long")))
     else:
-        rows = rows.withColumn("_open", F.lit(0).cast("long"))
+        slim = slim.withColumn("_spend", F.lit(0).cast("long"))
 
+    # There are at most (rows / fold_rows) large keys.
+    large = slim.groupBy(F.col("_key").alias("_k")).count().where(F.col("count") > fold_rows).select("_k")
+    large = materialize(large, "large-keys")
+    if large.isEmpty():
+        decided = _fold(slim)
+    else:
+        is_large = F.col("_key").eqNullSafe(F.col("_k"))
+        large = broadcast_if_small(large)
+        decided = _gate_large(slim.join(large, is_large, "left_semi"), fold_rows, chunks).unionByName(
+            _fold(slim.join(large, is_large, "left_anti"))
+        )
+    return decided.select(
+        F.col("_id").alias(row_id), micros_to_money(F.col("_before")).alias("spend_before"), F.col("_over").alias("over_budget")
+    )
+
+
+def _gate_large(slim: DataFrame, fold_rows: int, chunks: int | None) -> DataFrame:
+    """Decide the rows of large keys: ``_id, _before, _over``."""
+    rows = cut_into_chunks(slim.withColumnRenamed("_spend", "_open"), ["_key"], _ORDER, chunks)
     # Without any refusal this sum is already the answer.
     summed = running_sum(rows, ["_key"], _ORDER, F.col("_cost"), "_before")
     summed = materialize(summed.withColumn("_before", F.col("_before") + F.col("_open")), "spend")
@@ -91,11 +110,7 @@ def budget_gate(
     )
     first = materialize(first, "first-refusal")
     if first.isEmpty():
-        return summed.select(
-            F.col("_id").alias(row_id),
-            micros_to_money(F.col("_before")).alias("spend_before"),
-            F.coalesce(refused, F.lit(False)).alias("over_budget"),
-        )
+        return summed.select("_id", "_before", F.coalesce(refused, F.lit(False)).alias("_over"))
 
     at = F.struct("_ts", "_id")
     marked = summed.join(broadcast_if_small(first), F.col("_key").eqNullSafe(F.col("_k")), "left").drop("_k")
@@ -114,9 +129,7 @@ def budget_gate(
     final = running_sum(judged, ["_key"], _ORDER, F.col("_spent"), "_before")
     before = F.col("_before") + F.col("_open")
     return final.select(
-        F.col("_id").alias(row_id),
-        micros_to_money(before).alias("spend_before"),
-        F.coalesce(before > F.col("_limit"), F.lit(False)).alias("over_budget"),
+        "_id", before.alias("_before"), F.coalesce(before > F.col("_limit"), F.lit(False)).alias("_over")
     )
 
 
@@ -129,7 +142,7 @@ def _settle(rows: DataFrame, fold_rows: int) -> DataFrame:
             break
         admitted, rows = _round(rows)
         done = admitted if done is None else done.unionByName(admitted)
-    folded = _fold(rows)
+    folded = _fold(rows).where(~F.col("_over")).select("_id")
     return folded if done is None else done.unionByName(folded)
 
 
@@ -171,35 +184,52 @@ def _round(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _fold(rows: DataFrame) -> DataFrame:
-    """Fold the remaining rows of each key in order; batches stream, state is one number."""
+    """Fold each key in order, starting from ``_spend``: ``_id, _before, _over``."""
     id_type = rows.schema["_id"].dataType.simpleString()
     ordered = (
-        rows.select("_key", *_ORDER, "_cost", "_limit", "_spend")
-        .withColumn("_group", F.xxhash64("_key"))
+        rows.select(F.to_json(F.struct("_key")).alias("_group"), *_ORDER, "_cost", "_limit", "_spend")
         .repartition("_group")
-        .sortWithinPartitions("_group", "_key", *_ORDER)
-        .select(F.to_json(F.struct("_key")).alias("_group"), "_id", "_cost", "_limit", "_spend")
+        .sortWithinPartitions("_group", *_ORDER)
+        # No budget: a limit no spend can reach.
+        .select("_group", "_id", "_cost", F.coalesce("_limit", F.lit(_NO_LIMIT).cast("long")).alias("_limit"), "_spend")
     )
-    return ordered.mapInPandas(_fold_sorted(), f"_id {id_type}")
-
-
-def _fold_sorted() -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, spend = None, 0
-        for batch in batches:
-            limits = batch["_limit"]
-            free = limits.isna().tolist()
-            limits = limits.fillna(0).astype("int64").tolist()
-            keep = []
-            for n, (g, cost, opening) in enumerate(zip(batch["_group"], batch["_cost"].tolist(), batch["_spend"].tolist())):
-                if g != group:
-                    group, spend = g, opening
-                if free[n] or spend <= limits[n]:
-                    keep.append(n)
-                    spend += cost
-            yield batch[["_id"]].iloc[keep]
-
-    return fold
+    return ordered.mapInPandas(_fold_sorted, f"_id {id_type}, _before long, _over boolean")
+
+
+_NO_LIMIT = 2**62
+
+
+def _fold_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows arrive sorted by key and order; the only state is the spend of the current key."""
+    group, spend = None, 0
+    for batch in batches:
+        names = batch["_group"].to_numpy()
+        cost, limit = batch["_cost"].to_numpy(np.int64), batch["_limit"].to_numpy(np.int64)
+        before, over = np.empty(len(batch), np.int64), np.zeros(len(batch), bool)
+        starts = np.flatnonzero(np.append(True, names[1:] != names[:-1])) if len(batch) else np.empty(0, int)
+        for lo, hi in zip(starts, np.append(starts[1:], len(batch))):
+            if names[lo] != group:
+                group, spend = names[lo], int(batch["_spend"].iat[lo])
+            spend = _fold_run(cost[lo:hi], limit[lo:hi], spend, before[lo:hi], over[lo:hi])
+        yield pd.DataFrame({"_id": batch["_id"], "_before": before, "_over": over})
+
+
+def _fold_run(cost: np.ndarray, limit: np.ndarray, spend: int, before: np.ndarray, over: np.ndarray) -> int:
+    """Fill ``before`` and ``over`` for rows of one key; returns the spend after them."""
+    before[:] = spend + np.cumsum(cost) - cost
+    refused = before > limit
+    if not refused.any():
+        return int(before[-1] + cost[-1])
+    # Exact up to the first refusal; from there row by row.
+    first = int(refused.argmax())
+    spend = int(before[first])
+    for n, (c, top) in enumerate(zip(cost[first:].tolist(), limit[first:].tolist()), first):
+        before[n] = spend
+        if spend > top:
+            over[n] = True
+        else:
+            spend += c
+    return spend
 
 
 def budget_what_if(
