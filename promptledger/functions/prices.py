@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import MONEY, PRICE_SCHEMA
+from ..storage import broadcast_if_small
 from .text import col, int_div
 
 # A CASE over this many rows is still cheap; beyond it prices are joined.
@@ -125,8 +126,8 @@ def _join_prices(df: DataFrame, prices: DataFrame, model: str, rule: str) -> Dat
     """Long price tables: expand each distinct model to its prefixes and equi-join.
 
     Only distinct models are expanded, so a model holding most rows costs one
-    row here; the way back is an ordinary equi-join that AQE may broadcast or
-    split when skewed.
+    row here.  The way back is a broadcast when the distinct models are few, and
+    otherwise an equi-join that adaptive execution splits where it is skewed.
     """
     p = prices.select(
         F.col("model").alias("price_model"),
@@ -151,7 +152,7 @@ def _join_prices(df: DataFrame, prices: DataFrame, model: str, rule: str) -> Dat
     )
     fallback = prices.where(F.col("model") == FALLBACK_MODEL).select("model", "ordinal", "in_per_1k", "out_per_1k").take(1)
     default = _price_rows([Price(*fallback[0])])[0]
-    joined = df.withColumn("_m", F.coalesce(F.col(model), F.lit(""))).join(best, "_m", "left")
+    joined = df.withColumn("_m", F.coalesce(F.col(model), F.lit(""))).join(broadcast_if_small(best), "_m", "left")
     return joined.withColumn("price", F.coalesce("price", default)).drop("_m")
 
 

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import WS, col, fold_case
+from ..functions.text import WS_CHARS, col, fold_case
 from ..storage import broadcast_if_small, materialize
 from .budget import budget_gate
 from .ordered import cut_into_chunks, previous_value, running_max, running_sum
@@ -29,7 +29,7 @@ def monthly_budget_gate(df: DataFrame, row_id: str, ts: str, estimate: Column, c
 
 
 def word_set(text: Column) -> Column:
-    words = F.split(F.trim(F.regexp_replace(fold_case(text), f"(?U)[{WS}]+", " ")), " ")
+    words = F.split(F.translate(fold_case(text), WS_CHARS, " " * len(WS_CHARS)), " ")
     return F.array_distinct(F.array_remove(words, ""))
 
 
@@ -175,7 +175,7 @@ def within_retention(df: DataFrame, retention_days: int = 30, today: dt.date | N
 
 def apply_retention(df: DataFrame, target: str, retention_days: int = 30, today: dt.date | None = None) -> None:
     """Rewrite a day-partitioned log without its expired days."""
-    within_retention(df, retention_days, today).write.partitionBy("day").mode("overwrite").json(target)
+    within_retention(df, retention_days, today).hint("rebalance", "day").write.partitionBy("day").mode("overwrite").json(target)
 
 
 def warn_token_pct(tokens: Column | str, policy: Column) -> Column:

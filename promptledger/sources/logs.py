@@ -73,9 +73,10 @@ def read_history(spark: SparkSession, path: str, day: str | dt.date | None = Non
 
 
 def _write_by_day(df: DataFrame, path: str, day: Column) -> None:
-    # Rows stay in their tasks: a busy day is written by many tasks at once
-    # instead of being shuffled into one.
-    df.withColumn("day", day).write.partitionBy("day").mode("append").json(path)
+    # Rebalancing gives each day a few well-filled files; adaptive execution
+    # splits a busy day over many writers instead of sending it to one.
+    spread = df.withColumn("day", day).hint("rebalance", "day")
+    spread.write.partitionBy("day").mode("append").json(path)
 
 
 def write_guard_events(df: DataFrame, path: str) -> None:
