@@ -1,0 +1,9 @@
+"""Governance of large-language-model traffic as Spark tables and streams."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# The few Python functions that run inside tasks travel with the job, so
+# executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
