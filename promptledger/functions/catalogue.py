@@ -139,19 +139,19 @@ DEFAULT_DETECTORS: tuple[Detector, ...] = PERSONAL + CREDENTIALS + GENERIC_CREDE
 _JAILBREAK_LIST = r"""
 dan | do anything now | do anything now
 dan | dan | \bDAN\b
-dan | dan mode | DAN mode
-dan | developer mode enabled | developer mode enabled
-dan | jailbreak mode | jailbreak mode
-dan | you are now in | you are now in .* mode
-dan | enable | enable .* mode
-dan | unrestricted mode | unrestricted mode
-instruction_override | ignore | ignore (?:all )?(?:previous|prior|above) instructions?
+dan | dan | DAN mode
+dan | mode | developer mode enabled
+dan | mode | jailbreak mode
+dan | mode | you are now in .* mode
+dan | mode | enable .* mode
+dan | mode | unrestricted mode
+instruction_override | instruction | ignore (?:all )?(?:previous|prior|above) instructions?
 instruction_override | system prompt | ignore (?:your|the) system prompt
-instruction_override | forget everything | forget everything (?:you were|you've been) told
+instruction_override | forget | forget everything (?:you were|you've been) told
 instruction_override | forget | forget (?:all )?(?:previous|prior) (?:instructions|rules)
-instruction_override | disregard | disregard (?:all )?(?:previous|prior|your) instructions?
+instruction_override | instruction | disregard (?:all )?(?:previous|prior|your) instructions?
 instruction_override | system prompt | override (?:the )?system prompt
-instruction_override | new instructions | new instructions\s*:
+instruction_override | instruction | new instructions\s*:
 instruction_override | do not follow | do not follow (?:your|the) (?:rules|guidelines|instructions)
 instruction_override | bypass | bypass (?:your|all|the) (?:rules|restrictions|filters|safety)
 instruction_override | you must ignore | you must ignore (?:all )?(?:previous|safety)
@@ -163,14 +163,14 @@ role_play | simulate | simulate (?:an? )?(?:AI|assistant) (?:without|with no) (?
 role_play | bound by | you are (?:no longer|not) bound by
 role_play | behave as if you have no | behave as if you have no (?:rules|restrictions|guidelines)
 role_play | from now on you | from now on you (?:will|must|should) (?:ignore|disregard)
-encoding | decode this base64 | decode this base64
+encoding | base64 | decode this base64
 encoding | decode | decode (?:the following )?(?:base64|hex|rot13)
 encoding | base64 | base64\s*(?:encoded|decode)
 encoding | execute | execute (?:the )?(?:following )?encoded
 encoding | \x | \\x[0-9a-f]{2}
-extraction | reveal your system prompt | reveal your system prompt
-extraction | instructions | show (?:me )?your (?:system )?instructions
-extraction | what are your | what are your (?:system )?instructions
+extraction | system prompt | reveal your system prompt
+extraction | instruction | show (?:me )?your (?:system )?instructions
+extraction | instruction | what are your (?:system )?instructions
 extraction | prompt verbatim | repeat (?:your )?(?:system )?prompt verbatim
 extraction | print | print (?:your )?(?:initial|system) (?:prompt|instructions)
 extraction | output | output (?:your )?(?:hidden|system) (?:prompt|instructions)

@@ -129,7 +129,8 @@ def _find(text: Column, detectors: Column) -> Column:
         )
         return let(F.flatten(found), _without_covered)
 
-    return F.coalesce(let(_context(text), each), _empty(FINDINGS))
+    # The text may itself be an expression: evaluate it once.
+    return F.coalesce(let(text, lambda t: let(_context(t), each)), _empty(FINDINGS))
 
 
 def _without_covered(found: Column) -> Column:
@@ -348,20 +349,26 @@ def detect_jailbreak(text: Column | str, patterns: Sequence[JailbreakPattern] =
     Each regex runs only on rows whose folded text holds the pattern's needle.
     """
 
+    # Patterns that share a needle share its test; ``n`` keeps the list order.
+    groups: dict[str, list[dict]] = {}
+    for n, p in enumerate(patterns):
+        # A pattern that is its own needle needs no regex.
+        regex = "" if p.pattern == p.needle else p.regex
+        row = {"n": n, "pattern": p.pattern, "category": p.category, "regex": regex}
+        groups.setdefault(p.needle, []).append(row)
     rows = F.from_json(
-        F.lit(json.dumps([
-            # A pattern that is its own needle needs no regex.
-            {"regex": "" if p.pattern == p.needle else p.regex, "needle": p.needle, "pattern": p.pattern, "category": p.category}
-            for p in patterns
-        ])),
-        "array<struct<regex:string,needle:string,pattern:string,category:string>>",
+        F.lit(json.dumps([{"needle": k, "patterns": v} for k, v in groups.items()])),
+        "array<struct<needle:string,patterns:array<struct<n:int,pattern:string,category:string,regex:string>>>>",
     )
 
     def first_hit(ctx: Column) -> Column:
-        held = F.filter(rows, lambda p: F.contains(ctx["folded"], p["needle"]))
-        hits = F.filter(held, lambda p: (p["regex"] == "") | F.rlike(ctx["text"], p["regex"]))
+        held = F.filter(rows, lambda g: F.contains(ctx["folded"], g["needle"]))
+        hits = F.filter(
+            F.flatten(F.transform(held, lambda g: g["patterns"])),
+            lambda p: (p["regex"] == "") | F.rlike(ctx["text"], p["regex"]),
+        )
         return let(
-            F.get(hits, F.lit(0)),
+            F.array_min(hits),
             lambda p: F.struct(
                 p.isNotNull().alias("flag"),
                 F.when(p.isNotNull(), F.lit(0.85)).otherwise(F.lit(0.0)).alias("confidence"),
@@ -371,6 +378,10 @@ def detect_jailbreak(text: Column | str, patterns: Sequence[JailbreakPattern] =
         )
 
     none = F.from_json(F.lit('{"flag": false, "confidence": 0.0}'), JAILBREAK)
-    text = col(text)
-    ctx = F.struct(text.alias("text"), fold_case(text).alias("folded"))
-    return F.when(text.isNull(), none).otherwise(let(ctx, first_hit))
+    hit = let(
+        col(text),
+        lambda t: F.when(
+            t.isNotNull(), let(F.struct(t.alias("text"), fold_case(t).alias("folded")), first_hit)
+        ),
+    )
+    return F.coalesce(hit, none)

@@ -48,6 +48,13 @@ def is_blank(c: Column) -> Column:
     return ~F.coalesce(c.rlike(f"(?U)[^{WS}]"), F.lit(False))
 
 
+def _any_in(c: Column, chars: str) -> Column:
+    test = c.contains(chars[0])
+    for x in chars[1:]:
+        test = test | c.contains(x)
+    return test
+
+
 def word_count(c: Column) -> Column:
     """Words separated by Unicode white space.
 
@@ -58,13 +65,15 @@ def word_count(c: Column) -> Column:
     return F.size(F.array_remove(F.split(spaced, " "), ""))
 
 
-def fold_case(c: Column) -> Column:
-    """Lower case in the sense of a case-insensitive search.
+# Letters that match an ASCII letter when case is ignored: long s, the Kelvin
+# sign, capital i with a dot, small i without.
+ODD_LETTERS = "\u017f\u212a\u0130\u0131"
 
-    Long s, the Kelvin sign and the dotted/dotless i match their ASCII
-    counterparts when case is ignored, so they are folded first.
-    """
-    return F.lower(F.translate(c, "\u017f\u212a\u0130\u0131", "skii"))
+
+def fold_case(c: Column) -> Column:
+    """Lower case in the sense of a case-insensitive search."""
+    plain = F.when(_any_in(c, ODD_LETTERS), F.translate(c, ODD_LETTERS, "skii")).otherwise(c)
+    return F.lower(plain)
 
 
 def text_blocks(c: Column) -> Column:
