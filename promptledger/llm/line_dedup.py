@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, ascii_lower, clear_of
+from .common import SPACES, ascii_lower, clear_of, written
 
 MIN_CHARS = 20
 MIN_DOCUMENTS = 3
@@ -54,6 +54,8 @@ def drop_repeated_lines(
         .where(F.char_length("key") >= min_chars)
         .select("doc", "version", "pos", F.unhex(F.md5("key")).alias("key"))
     )
+    # Written, since it is read twice and far smaller than the texts.
+    keyed = written(keyed)
     # Counted in two steps, (key, document) and key: a line of a third of all
     # documents reaches a task as one partial count per task before it.
     repeated = (
@@ -62,6 +64,9 @@ def drop_repeated_lines(
         .where(F.col("n") >= min_documents)
         .select("key", "keeper")
     )
+    # Written, so that both sides of the join below are shuffled for it alone
+    # and Spark can split the partition of a very frequent line.
+    repeated = written(repeated)
     drops = (
         keyed.join(repeated, "key")
         .where(F.col("doc") != F.col("keeper"))

@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat_format import OP5_SQL, op5_chat_format
 from .common import table
 from .line_dedup import OP7_SQL, op7_line_dedup
 from .quality_rules import OP10_SQL, op10_quality_rules
+from .sentence_pieces import op1_sentencepiece
 
 
 def _documents(operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -20,11 +22,14 @@ def _documents(operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSes
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": _documents(op1_sentencepiece),
+    "op5_chat_format": op5_chat_format,
     "op7_line_dedup": _documents(op7_line_dedup),
     "op10_quality_rules": _documents(op10_quality_rules),
 }
 
 ORACLES: dict[str, str] = {
+    "op5_chat_format": OP5_SQL,
     "op7_line_dedup": OP7_SQL,
     "op10_quality_rules": OP10_SQL,
 }
