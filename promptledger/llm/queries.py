@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat_format import OP5_SQL, op5_chat_format
 from .common import table
+from .decontaminate import op6_decontamination
 from .line_dedup import OP7_SQL, op7_line_dedup
+from .ngram_join import op9_ngram_join
 from .quality_rules import OP10_SQL, op10_quality_rules
 from .sentence_pieces import op1_sentencepiece
 
@@ -24,7 +26,9 @@ def _documents(operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSes
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": _documents(op1_sentencepiece),
     "op5_chat_format": op5_chat_format,
+    "op6_decontamination": op6_decontamination,
     "op7_line_dedup": _documents(op7_line_dedup),
+    "op9_ngram_join": _documents(op9_ngram_join),
     "op10_quality_rules": _documents(op10_quality_rules),
 }
 
