@@ -178,9 +178,12 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document and benchmark item that match: doc_id, item_id, place, length, similarity, fingerprint distance."""
+    """Every document and benchmark item that match: doc_id, item_id, first word, words and similarity of the best window."""
     found = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.withColumnsRenamed({"doc": "doc_id", "item": "item_id"})
+    return found.select(
+        F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), F.col("start").cast("long").alias("start"),
+        F.col("n_words").cast("long").alias("n_words"), "similarity",
+    )
 
 
 OP6_SQL = r"""
@@ -216,6 +219,7 @@ sized AS (
 found AS (
   SELECT doc_id, item_id, start, c::DOUBLE / (all_m + all_n - c) AS similarity FROM sized WHERE 100 * c >= 75 * (all_m + all_n - c)
 )
-SELECT doc_id, item_id, (max({'x': similarity, 's': -start})).x AS similarity, -(max({'x': similarity, 's': -start})).s AS start
-FROM found GROUP BY ALL
+SELECT doc_id, item_id, (max({'x': similarity, 's': -start})).x AS similarity,
+       -(max({'x': similarity, 's': -start})).s::BIGINT AS start, any_value(size)::BIGINT AS n_words
+FROM found JOIN (SELECT item_id, len(w) AS size FROM item) USING (item_id) GROUP BY doc_id, item_id
 """

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat_format import OP5_SQL, op5_chat_format
 from .common import table
-from .decontaminate import op6_decontamination
+from .decontaminate import OP6_SQL, op6_decontamination
+from .feistel import op8_pii
 from .line_dedup import OP7_SQL, op7_line_dedup
 from .ngram_join import op9_ngram_join
 from .quality_rules import OP10_SQL, op10_quality_rules
@@ -28,12 +29,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_chat_format": op5_chat_format,
     "op6_decontamination": op6_decontamination,
     "op7_line_dedup": _documents(op7_line_dedup),
+    "op8_pii": _documents(op8_pii),
     "op9_ngram_join": _documents(op9_ngram_join),
     "op10_quality_rules": _documents(op10_quality_rules),
 }
 
 ORACLES: dict[str, str] = {
     "op5_chat_format": OP5_SQL,
+    "op6_decontamination": OP6_SQL,
     "op7_line_dedup": OP7_SQL,
     "op10_quality_rules": OP10_SQL,
 }
