@@ -12,8 +12,10 @@ from .decontaminate import OP6_SQL, op6_decontamination
 from .feistel import op8_pii
 from .line_dedup import OP7_SQL, op7_line_dedup
 from .ngram_join import op9_ngram_join
+from .quality_model import op3_quality_classifier
 from .quality_rules import OP10_SQL, op10_quality_rules
 from .sentence_pieces import op1_sentencepiece
+from .toxicity_model import op4_toxicity
 
 
 def _documents(operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -26,6 +28,8 @@ def _documents(operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": _documents(op1_sentencepiece),
+    "op3_quality_classifier": op3_quality_classifier,
+    "op4_toxicity": op4_toxicity,
     "op5_chat_format": op5_chat_format,
     "op6_decontamination": op6_decontamination,
     "op7_line_dedup": _documents(op7_line_dedup),

@@ -43,20 +43,32 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(31))
 
 
-def _hash_words(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and start of every word: polynomials by differences of one running sum."""
+def _hash_words(raw: bytes, heads: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start of every word: polynomials by differences of one running sum.
+
+    With ``heads`` a row of hashes for whole words, then one for their first
+    bytes up to each of these numbers.
+    """
     data = np.frombuffer(raw, np.uint8)
     up, down = _tables(len(data) + 1)
     sums = np.zeros(len(data) + 1, _U)
     np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
     edge = np.diff(np.concatenate(([True], _IS_SPACE[data], [True])).astype(np.int8))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U)), starts
+    rows = [ends, *(np.minimum(starts + k, ends) for k in heads)]
+    hashes = np.stack([mixed((sums[e] - sums[starts]) * down[starts] + (e - starts).astype(_U)) for e in rows])
+    return hashes if heads else hashes[0], starts
+
 
+def word_hashes(texts: Sequence[str | None], blank: bytes = b"", heads: tuple[int, ...] = ()) -> Iterator[np.ndarray]:
+    """The hashes of each text's words, in order.
 
-def word_hashes(texts: Sequence[str | None]) -> Iterator[np.ndarray]:
-    """The hashes of each text's words, in order."""
+    Bytes of ``blank`` count as white space; ``heads`` as in ``_hash_words``.
+    """
     encoded = [(t or "").encode() for t in texts]
+    if blank:
+        spaced = bytes.maketrans(blank, b" " * len(blank))
+        encoded = [e.translate(spaced) for e in encoded]
     at = 0
     while at < len(encoded):
         size, upto = 0, at
@@ -64,24 +76,24 @@ def word_hashes(texts: Sequence[str | None]) -> Iterator[np.ndarray]:
             size += len(encoded[upto]) + 1
             upto += 1
         if upto == at + 1 and size > _CHUNK:
-            yield _long(encoded[at])
+            yield _long(encoded[at], heads)
         else:
-            hashes, starts = _hash_words(b"\n".join(encoded[at:upto]))
+            hashes, starts = _hash_words(b"\n".join(encoded[at:upto]), heads)
             ends = np.cumsum([len(e) + 1 for e in encoded[at:upto]])
-            yield from np.split(hashes, np.searchsorted(starts, ends[:-1]))
+            yield from np.split(hashes, np.searchsorted(starts, ends[:-1]), axis=-1)
         at = upto
 
 
-def _long(raw: bytes) -> np.ndarray:
+def _long(raw: bytes, heads: tuple[int, ...] = ()) -> np.ndarray:
     """A long text in pieces cut at white space."""
     out, at = [], 0
     while at < len(raw):
         upto = min(len(raw), at + _CHUNK)
         while upto < len(raw) and not _IS_SPACE[raw[upto]]:
             upto += 1
-        out.append(_hash_words(raw[at:upto])[0])
+        out.append(_hash_words(raw[at:upto], heads)[0])
         at = upto
-    return np.concatenate(out) if out else np.zeros(0, _U)
+    return np.concatenate(out, axis=-1)
 
 
 def shingle_hashes(words: np.ndarray, size: int = SHINGLE_WORDS) -> np.ndarray:
