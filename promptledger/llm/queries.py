@@ -15,6 +15,7 @@ from .ngram_join import op9_ngram_join
 from .quality_model import op3_quality_classifier
 from .quality_rules import OP10_SQL, op10_quality_rules
 from .sentence_pieces import op1_sentencepiece
+from .suffix_dedup import op2_suffix_dedup
 from .toxicity_model import op4_toxicity
 
 
@@ -28,6 +29,7 @@ def _documents(operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": _documents(op1_sentencepiece),
+    "op2_suffix_dedup": _documents(op2_suffix_dedup),
     "op3_quality_classifier": op3_quality_classifier,
     "op4_toxicity": op4_toxicity,
     "op5_chat_format": op5_chat_format,
