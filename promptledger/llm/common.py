@@ -68,3 +68,11 @@ def clear_of(names: Iterable[str], prefix: str) -> str:
     while any(n.startswith(prefix.lower()) for n in lowered):
         prefix = "_" + prefix
     return prefix
+
+
+def free_name(names: Iterable[str], wanted: str) -> str:
+    """``wanted``, with underscores before it while a column has that name."""
+    lowered = {n.lower() for n in names}
+    while wanted.lower() in lowered:
+        wanted = "_" + wanted
+    return wanted

@@ -33,7 +33,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import clear_of
+from .common import clear_of, free_name
 
 ROUNDS = 8
 DEFAULT_KEY = "change this key"
@@ -268,7 +268,7 @@ def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, text_col: str = "text"
     """``docs`` with valid values in ``text_col`` replaced.
 
     ``found_col`` names an added column, ``array<struct<kind, pseudonym>>`` in
-    order of the text.
+    order of the text; underscores come before the name where it exists.
     """
     p = clear_of(docs.columns, "_pii_")
     text = F.col(text_col)
@@ -289,7 +289,7 @@ def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, text_col: str = "text"
     out = {c: F.col(c) for c in docs.columns}
     out[text_col] = F.when(F.size(p + "made") > 0, new).otherwise(text)
     if found_col:
-        out[found_col] = F.filter(F.col(p + "made"), lambda m: m["kind"].isNotNull())
+        out[free_name(docs.columns, found_col)] = F.filter(F.col(p + "made"), lambda m: m["kind"].isNotNull())
     return held.select(*(v.alias(k) for k, v in out.items()))
 
 

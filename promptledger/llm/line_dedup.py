@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, ascii_lower, clear_of, written
+from .common import SPACES, ascii_lower, clear_of, free_name, written
 
 MIN_CHARS = 20
 MIN_DOCUMENTS = 3
@@ -39,7 +39,7 @@ def drop_repeated_lines(
     """``docs`` with the remaining lines in ``text_col``.
 
     ``n_lines`` and ``n_dropped`` name two added columns: the lines before
-    dropping and the dropped ones.
+    dropping and the dropped ones; underscores come before a name that exists.
     """
     p = clear_of(docs.columns, "_line_")
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
@@ -84,9 +84,9 @@ def drop_repeated_lines(
     out = {c: F.col(c) for c in docs.columns}
     out[text_col] = F.when(F.size(gone) == 0, F.col(text_col)).otherwise(kept)
     if n_lines:
-        out[n_lines] = F.size(p + "lines").cast("long")
+        out[free_name(docs.columns, n_lines)] = F.size(p + "lines").cast("long")
     if n_dropped:
-        out[n_dropped] = F.size(gone).cast("long")
+        out[free_name(docs.columns, n_dropped)] = F.size(gone).cast("long")
     return held.select(*(v.alias(k) for k, v in out.items()))
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import clear_of
+from .common import clear_of, free_name
 
 SAMPLE_ROWS = 400  # documents measured to order the rules; the order has no effect on results
 
@@ -144,10 +144,14 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 def judge_documents(
     docs: DataFrame, text_col: str = "text", rules: Sequence[Rule] = RULES, prefix: str = ""
 ) -> DataFrame:
-    """``docs`` with the five counts, ``base_failed`` and ``kept`` (names after ``prefix``)."""
+    """``docs`` with the five counts, ``base_failed`` and ``kept``.
+
+    Names come after ``prefix`` and, where such a column exists, underscores.
+    """
     cascade = tuple(r.rejects for r in ordered_rules(docs, text_col, rules))
     at = docs.columns.index(text_col)
-    added = [*((prefix + c, "long") for c in COUNTS), (prefix + "base_failed", "boolean"), (prefix + "kept", "boolean")]
+    added = [*((c, "long") for c in COUNTS), ("base_failed", "boolean"), ("kept", "boolean")]
+    added = [(free_name(docs.columns, prefix + c), k) for c, k in added]
     schema = docs.schema
     for name, kind in added:
         schema = T.StructType([*schema.fields, T.StructField(name, T.LongType() if kind == "long" else T.BooleanType())])

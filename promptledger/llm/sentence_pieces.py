@@ -35,6 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import free_name
+
 MARK = "▁"
 CACHED = 250_000  # segments in each of the cache's two generations
 CACHED_CHARS = 48  # longer segments are not cached
@@ -262,13 +264,11 @@ def encode_documents(
 
     ``model_file`` must be readable under that path on every executor, as an
     installed package is.  Results are named ``prefix`` plus a name of
-    ``n_tokens, ids, decoded, ids_sha256, decoded_sha256, n_corrected``.
+    ``n_tokens, ids, decoded, ids_sha256, decoded_sha256, n_corrected``; where a
+    column of that name exists, underscores come before it.
     """
-    taken = {c.lower() for c in docs.columns}
-    if clash := [prefix + a for a in add if (prefix + a).lower() in taken]:
-        raise ValueError(f"columns {clash} exist already; give a prefix")
     kept = [c for c in docs.columns if keep_text or c != text_col]
-    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(prefix + a, _ADDED[a][0]) for a in add])
+    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(free_name(kept, prefix + a), _ADDED[a][0]) for a in add])
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
