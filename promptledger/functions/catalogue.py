@@ -135,52 +135,45 @@ GENERIC_CREDENTIALS: tuple[Detector, ...] = (
 
 DEFAULT_DETECTORS: tuple[Detector, ...] = PERSONAL + CREDENTIALS + GENERIC_CREDENTIALS
 
-# Category, a string every match contains, pattern.  First hit wins.
-_JAILBREAK_LIST = r"""
-dan | do anything now | do anything now
-dan | dan | \bDAN\b
-dan | dan | DAN mode
-dan | mode | developer mode enabled
-dan | mode | jailbreak mode
-dan | mode | you are now in .* mode
-dan | mode | enable .* mode
-dan | mode | unrestricted mode
-instruction_override | instruction | ignore (?:all )?(?:previous|prior|above) instructions?
-instruction_override | system prompt | ignore (?:your|the) system prompt
-instruction_override | forget | forget everything (?:you were|you've been) told
-instruction_override | forget | forget (?:all )?(?:previous|prior) (?:instructions|rules)
-instruction_override | instruction | disregard (?:all )?(?:previous|prior|your) instructions?
-instruction_override | system prompt | override (?:the )?system prompt
-instruction_override | instruction | new instructions\s*:
-instruction_override | do not follow | do not follow (?:your|the) (?:rules|guidelines|instructions)
-instruction_override | bypass | bypass (?:your|all|the) (?:rules|restrictions|filters|safety)
-instruction_override | you must ignore | you must ignore (?:all )?(?:previous|safety)
-role_play | pretend you are | pretend you are an? unrestricted
-role_play | act as | act as (?:an? )?(?:unrestricted|uncensored|unfiltered)
-role_play | free from all guidelines | you are now free from all guidelines
-role_play | roleplay as | roleplay as (?:an? )?(?:evil|malicious|unrestricted)
-role_play | simulate | simulate (?:an? )?(?:AI|assistant) (?:without|with no) (?:rules|restrictions)
-role_play | bound by | you are (?:no longer|not) bound by
-role_play | behave as if you have no | behave as if you have no (?:rules|restrictions|guidelines)
-role_play | from now on you | from now on you (?:will|must|should) (?:ignore|disregard)
-encoding | base64 | decode this base64
-encoding | decode | decode (?:the following )?(?:base64|hex|rot13)
-encoding | base64 | base64\s*(?:encoded|decode)
-encoding | execute | execute (?:the )?(?:following )?encoded
-encoding | \x | \\x[0-9a-f]{2}
-extraction | system prompt | reveal your system prompt
-extraction | instruction | show (?:me )?your (?:system )?instructions
-extraction | instruction | what are your (?:system )?instructions
-extraction | prompt verbatim | repeat (?:your )?(?:system )?prompt verbatim
-extraction | print | print (?:your )?(?:initial|system) (?:prompt|instructions)
-extraction | output | output (?:your )?(?:hidden|system) (?:prompt|instructions)
-"""
-
-JAILBREAKS: tuple[JailbreakPattern, ...] = tuple(
-    JailbreakPattern(category, pattern, needle)
-    for category, needle, pattern in (
-        line.split(" | ", 2) for line in _JAILBREAK_LIST.strip().splitlines()
-    )
+# Category, pattern, a string every match contains.  First hit wins.
+JAILBREAKS: tuple[JailbreakPattern, ...] = (
+    JailbreakPattern("dan", "do anything now", "do anything now"),
+    JailbreakPattern("dan", r"\bDAN\b", "dan"),
+    JailbreakPattern("dan", "DAN mode", "dan"),
+    JailbreakPattern("dan", "developer mode enabled", "mode"),
+    JailbreakPattern("dan", "jailbreak mode", "mode"),
+    JailbreakPattern("dan", "you are now in .* mode", "mode"),
+    JailbreakPattern("dan", "enable .* mode", "mode"),
+    JailbreakPattern("dan", "unrestricted mode", "mode"),
+    JailbreakPattern("instruction_override", "ignore (?:all )?(?:previous|prior|above) instructions?", "instruction"),
+    JailbreakPattern("instruction_override", "ignore (?:your|the) system prompt", "system prompt"),
+    JailbreakPattern("instruction_override", "forget everything (?:you were|you've been) told", "forget"),
+    JailbreakPattern("instruction_override", "forget (?:all )?(?:previous|prior) (?:instructions|rules)", "forget"),
+    JailbreakPattern("instruction_override", "disregard (?:all )?(?:previous|prior|your) instructions?", "instruction"),
+    JailbreakPattern("instruction_override", "override (?:the )?system prompt", "system prompt"),
+    JailbreakPattern("instruction_override", r"new instructions\s*:", "instruction"),
+    JailbreakPattern("instruction_override", "do not follow (?:your|the) (?:rules|guidelines|instructions)", "do not follow"),
+    JailbreakPattern("instruction_override", "bypass (?:your|all|the) (?:rules|restrictions|filters|safety)", "bypass"),
+    JailbreakPattern("instruction_override", "you must ignore (?:all )?(?:previous|safety)", "you must ignore"),
+    JailbreakPattern("role_play", "pretend you are an? unrestricted", "pretend you are"),
+    JailbreakPattern("role_play", "act as (?:an? )?(?:unrestricted|uncensored|unfiltered)", "act as"),
+    JailbreakPattern("role_play", "you are now free from all guidelines", "free from all guidelines"),
+    JailbreakPattern("role_play", "roleplay as (?:an? )?(?:evil|malicious|unrestricted)", "roleplay as"),
+    JailbreakPattern("role_play", "simulate (?:an? )?(?:AI|assistant) (?:without|with no) (?:rules|restrictions)", "simulate"),
+    JailbreakPattern("role_play", "you are (?:no longer|not) bound by", "bound by"),
+    JailbreakPattern("role_play", "behave as if you have no (?:rules|restrictions|guidelines)", "behave as if you have no"),
+    JailbreakPattern("role_play", "from now on you (?:will|must|should) (?:ignore|disregard)", "from now on you"),
+    JailbreakPattern("encoding", "decode this base64", "base64"),
+    JailbreakPattern("encoding", "decode (?:the following )?(?:base64|hex|rot13)", "decode"),
+    JailbreakPattern("encoding", r"base64\s*(?:encoded|decode)", "base64"),
+    JailbreakPattern("encoding", "execute (?:the )?(?:following )?encoded", "execute"),
+    JailbreakPattern("encoding", r"\\x[0-9a-f]{2}", r"\x"),
+    JailbreakPattern("extraction", "reveal your system prompt", "system prompt"),
+    JailbreakPattern("extraction", "show (?:me )?your (?:system )?instructions", "instruction"),
+    JailbreakPattern("extraction", "what are your (?:system )?instructions", "instruction"),
+    JailbreakPattern("extraction", "repeat (?:your )?(?:system )?prompt verbatim", "prompt verbatim"),
+    JailbreakPattern("extraction", "print (?:your )?(?:initial|system) (?:prompt|instructions)", "print"),
+    JailbreakPattern("extraction", "output (?:your )?(?:hidden|system) (?:prompt|instructions)", "output"),
 )
 
 DETECTOR_SCHEMA = (

@@ -14,13 +14,12 @@ from .catalogue import (
     ENTITIES,
     GENERIC,
     HIGH,
-    HIGH,
     JAILBREAKS,
     SECRET,
     Detector,
     JailbreakPattern,
 )
-from .text import col, fold_case, let, slice_text, text_blocks
+from .text import col, fold_case, let, running, slice_text, text_blocks
 
 # Four decimal digits in a row, as in every number-shaped detector.
 DIGIT_RUN = r"\p{Nd}{4}"
@@ -42,25 +41,13 @@ def find_spans(text: Column | str, pattern: Column | str) -> Column:
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
 
     def place(hits: Column) -> Column:
-        pairs = F.arrays_zip(hits.alias("hit"), F.slice(F.split(text, pattern, -1), 1, F.size(hits)).alias("gap"))
-        walked = F.aggregate(
-            pairs,
-            F.struct(F.lit(0).alias("pos"), _empty(SPANS).alias("out")).cast(f"struct<pos:int,out:{SPANS}>"),
-            lambda acc, z: F.struct(
-                (acc["pos"] + F.length(z["gap"]) + F.length(z["hit"])).alias("pos"),
-                F.concat(
-                    acc["out"],
-                    F.array(
-                        F.struct(
-                            z["hit"].alias("text"),
-                            (acc["pos"] + F.length(z["gap"])).alias("start"),
-                            (acc["pos"] + F.length(z["gap"]) + F.length(z["hit"])).alias("end"),
-                        )
-                    ),
-                ).alias("out"),
-            ).cast(f"struct<pos:int,out:{SPANS}>"),
+        gaps = F.slice(F.split(text, pattern, -1), 1, F.size(hits))
+        lengths = F.zip_with(gaps, hits, lambda gap, hit: F.length(gap) + F.length(hit))
+        ends = running(lengths, lambda x, y: x + y, F.lit(0))
+        found = F.zip_with(
+            hits, ends, lambda hit, end: F.struct(hit.alias("text"), (end - F.length(hit)).alias("start"), end.alias("end"))
         )
-        return F.when(F.size(hits) > 0, walked["out"]).otherwise(_empty(SPANS))
+        return F.when(F.size(hits) > 0, found.cast(SPANS)).otherwise(_empty(SPANS))
 
     hits = F.regexp_extract_all(text, pattern, F.lit(0))
     return F.coalesce(let(hits, place), _empty(SPANS))
@@ -161,17 +148,20 @@ def detect_secrets(text: Column | str, detectors: Sequence[Detector] = DEFAULT_D
     return _find(col(text), _as_rows(_secret_order(detectors)))
 
 
-def known_entities(entities: Sequence[str] | None) -> list[str]:
+def all_entities(detectors: Sequence[Detector] = DEFAULT_DETECTORS) -> list[str]:
+    """The built-in entities and those that added detectors bring."""
+    return list(dict.fromkeys([*ENTITIES, *(d.entity for d in detectors)]))
+
+
+def known_entities(entities: Sequence[str] | None, detectors: Sequence[Detector] = DEFAULT_DETECTORS) -> list[str]:
     """Requested names that exist, in the requested order; nothing left means all."""
-    names = [e for e in (entities or ()) if e in ENTITIES]
-    return names or list(ENTITIES)
+    every = all_entities(detectors)
+    return [e for e in (entities or ()) if e in every] or every
 
 
 def _requested(entities: Sequence[str] | None, detectors: Sequence[Detector]) -> list[Detector]:
     """Detectors of the requested entities: secrets first, then as requested."""
-    names = known_entities(entities)
-    if entities is None:
-        names += [n for n in dict.fromkeys(d.entity for d in detectors) if n not in ENTITIES]
+    names = known_entities(entities, detectors)
     ordered = _secret_order(detectors) if SECRET in names else []
     for name in names:
         if name != SECRET:
@@ -191,8 +181,8 @@ def detect_pii(
     text = col(text)
     if not isinstance(entities, Column):
         return _find(text, _as_rows(_requested(entities, detectors)))
-    known = F.filter(F.coalesce(entities, F.array().cast("array<string>")), lambda e: e.isin(*ENTITIES))
-    every = F.array(*[F.lit(e) for e in ENTITIES])
+    known = F.filter(F.coalesce(entities, F.array().cast("array<string>")), lambda e: e.isin(*all_entities(detectors)))
+    every = F.array(*[F.lit(e) for e in all_entities(detectors)])
     rows = _as_rows(_requested(None, detectors))
 
     def in_order(ctx: Column) -> Column:
@@ -214,6 +204,52 @@ def detect_pii(
     )
 
 
+def first_detector(text: Column | str, detectors: Sequence[Detector]) -> Column:
+    """The first of ``detectors`` that matches, as a catalogue row, or null: no spans."""
+    rows = _as_rows(detectors)
+    return let(
+        _context(col(text)),
+        lambda ctx: F.get(F.filter(_candidates(ctx, rows), lambda d: F.rlike(ctx["text"], d["regex"])), F.lit(0)),
+    )
+
+
+def first_secret(text: Column | str, detectors: Sequence[Detector] = DEFAULT_DETECTORS) -> Column:
+    """The detector of the first secret.  Known prefixes come first, so a covered generic one is never it."""
+    return first_detector(text, _secret_order(detectors))
+
+
+def count_findings(
+    text: Column | str, entities: Sequence[str] | None = None, detectors: Sequence[Detector] = DEFAULT_DETECTORS
+) -> Column:
+    """``array<struct<entity, n>>`` of what ``detect_pii`` finds, one entry per detector that matches.
+
+    Matches are counted; spans are found only where a generic credential may be
+    covered by one of a known prefix.
+    """
+    rows = _as_rows(_requested(entities, detectors))
+
+    def counted(ctx: Column) -> Column:
+        return F.filter(
+            F.transform(
+                _candidates(ctx, rows),
+                lambda d: F.struct(d["entity"].alias("entity"), F.regexp_count(ctx["text"], d["regex"]).alias("n"), d["tier"].alias("tier")),
+            ),
+            lambda c: c["n"] > 0,
+        )
+
+    def settled(both: Column) -> Column:
+        counts = both["counts"]
+        meet = F.exists(counts, lambda c: c["tier"] == GENERIC) & F.exists(counts, lambda c: c["tier"] == HIGH)
+        plain = F.transform(counts, lambda c: F.struct(c["entity"].alias("entity"), c["n"].cast("int").alias("n")))
+        spans = F.transform(_find(both["text"], rows), lambda f: F.struct(f["entity"].alias("entity"), F.lit(1).alias("n")))
+        return F.when(meet, spans).otherwise(plain)
+
+    found = let(
+        col(text), lambda t: let(F.struct(t.alias("text"), let(_context(t), counted).alias("counts")), settled)
+    )
+    return F.when(col(text).isNotNull(), found).otherwise(_empty("array<struct<entity:string,n:int>>"))
+
+
 def has_pii(
     text: Column | str,
     entities: Sequence[str] | None = None,
@@ -273,11 +309,14 @@ def _redact_compat(text: Column, findings: Column) -> Column:
 
 
 _CLUSTER = "struct<start:int,end:int,best:int,entity:string>"
-_WALK = f"struct<done:array<{_CLUSTER}>,cur:{_CLUSTER}>"
 
 
 def merge_findings(findings: Column | str) -> Column:
-    """Overlapping findings joined into ``start, end, entity`` clusters, in order."""
+    """Overlapping findings joined into ``start, end, best, entity`` clusters, in order.
+
+    A finding opens a cluster when it starts at or behind the end of all before
+    it; the cluster is named after its longest finding, the earliest on a tie.
+    """
     ordered = F.array_sort(
         F.transform(
             col(findings),
@@ -291,31 +330,39 @@ def merge_findings(findings: Column | str) -> Column:
         )
     )
 
-    def step(acc: Column, f: Column) -> Column:
-        cur = acc["cur"]
-        size = f["end"] - f["start"]
-        single = F.struct(
-            f["start"].alias("start"), f["end"].alias("end"), size.alias("best"), f["entity"].alias("entity")
-        )
-        wider = F.struct(
-            cur["start"].alias("start"),
-            F.greatest(cur["end"], f["end"]).alias("end"),
-            F.greatest(cur["best"], size).alias("best"),
-            F.when(size > cur["best"], f["entity"]).otherwise(cur["entity"]).alias("entity"),
+    def clusters(ctx: Column) -> Column:
+        held, reach = ctx["held"], ctx["reach"]
+        opens = F.filter(
+            F.sequence(F.lit(0), F.size(held) - 1),
+            lambda i: (i == 0) | (F.get(held, i)["start"] >= F.get(reach, i - 1)),
         )
-        overlaps = cur.isNotNull() & (f["start"] < cur["end"])
-        done = F.when(overlaps | cur.isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(cur)))
-        return F.struct(done.alias("done"), F.when(overlaps, wider).otherwise(single).alias("cur")).cast(_WALK)
 
-    start = F.struct(
-        _empty(f"array<{_CLUSTER}>").alias("done"), F.lit(None).cast(_CLUSTER).alias("cur")
-    ).cast(_WALK)
-    return F.aggregate(
-        ordered,
-        start,
-        step,
-        lambda acc: F.when(acc["cur"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["cur"]))),
-    )
+        def joined(firsts: Column) -> Column:
+            def one(first: Column, k: Column) -> Column:
+                last = F.coalesce(F.get(firsts, k + 1), F.size(held)) - 1
+                longest = F.array_min(
+                    F.transform(
+                        F.slice(held, first + 1, last - first + 1),
+                        lambda f: F.struct(f["shortness"].alias("shortness"), f["start"].alias("start"), f["i"].alias("i"), f["entity"].alias("entity")),
+                    )
+                )
+                return let(
+                    longest,
+                    lambda best: F.struct(
+                        F.get(held, first)["start"].alias("start"), F.get(reach, last).alias("end"),
+                        (-best["shortness"]).alias("best"), best["entity"].alias("entity"),
+                    ).cast(_CLUSTER),
+                )
+
+            return F.transform(firsts, one)
+
+        return let(opens, joined)
+
+    def walk(held: Column) -> Column:
+        reach = running(F.transform(held, lambda f: f["end"]), lambda x, y: F.greatest(x, y), F.lit(0))
+        return let(F.struct(held.alias("held"), reach.alias("reach")), clusters)
+
+    return let(ordered, lambda held: F.when(F.size(held) > 0, walk(held)).otherwise(_empty(f"array<{_CLUSTER}>")))
 
 
 def _redact_merge(text: Column, findings: Column) -> Column:

@@ -26,26 +26,21 @@ class Price:
     out_per_1k: Decimal
 
 
-# Model, US dollars per 1000 input tokens, per 1000 output tokens.
-_PRICE_LIST = """
-gpt-4o                 0.005     0.015
-gpt-4o-mini            0.00015   0.0006
-gpt-4-turbo            0.01      0.03
-gpt-4                  0.03      0.06
-gpt-3.5-turbo          0.0005    0.0015
-claude-3-5-haiku       0.0008    0.004
-claude-3-5-sonnet      0.003     0.015
-claude-3-opus          0.015     0.075
-claude-3-haiku         0.00025   0.00125
-gemini-1-5-pro         0.00125   0.005
-gemini-1-5-flash       0.000075  0.0003
-gemini-2.0-flash       0.0001    0.0004
-gemini-2.0-flash-lite  0.0       0.0
-"""
-
-DEFAULT_PRICES: tuple[Price, ...] = tuple(
-    Price(name, n, Decimal(i), Decimal(o))
-    for n, (name, i, o) in enumerate(line.split() for line in _PRICE_LIST.strip().splitlines())
+# Model, place in the list, US dollars per 1000 input tokens, per 1000 output tokens.
+DEFAULT_PRICES: tuple[Price, ...] = (
+    Price("gpt-4o", 0, Decimal("0.005"), Decimal("0.015")),
+    Price("gpt-4o-mini", 1, Decimal("0.00015"), Decimal("0.0006")),
+    Price("gpt-4-turbo", 2, Decimal("0.01"), Decimal("0.03")),
+    Price("gpt-4", 3, Decimal("0.03"), Decimal("0.06")),
+    Price("gpt-3.5-turbo", 4, Decimal("0.0005"), Decimal("0.0015")),
+    Price("claude-3-5-haiku", 5, Decimal("0.0008"), Decimal("0.004")),
+    Price("claude-3-5-sonnet", 6, Decimal("0.003"), Decimal("0.015")),
+    Price("claude-3-opus", 7, Decimal("0.015"), Decimal("0.075")),
+    Price("claude-3-haiku", 8, Decimal("0.00025"), Decimal("0.00125")),
+    Price("gemini-1-5-pro", 9, Decimal("0.00125"), Decimal("0.005")),
+    Price("gemini-1-5-flash", 10, Decimal("0.000075"), Decimal("0.0003")),
+    Price("gemini-2.0-flash", 11, Decimal("0.0001"), Decimal("0.0004")),
+    Price("gemini-2.0-flash-lite", 12, Decimal("0.0"), Decimal("0.0")),
 )
 
 # Fixed value: the row used for a model that matches nothing.

@@ -93,3 +93,38 @@ def slice_text(blocks: Column, start: Column, end: Column) -> Column:
     last = F.floor(F.greatest(end - 1, start) / BLOCK).cast("int")
     joined = F.array_join(F.slice(blocks, first + 1, last - first + 1), "")
     return F.when(end > start, F.substring(joined, start - first * BLOCK + 1, end - start)).otherwise("")
+
+
+def running(values: Column, step: Callable[[Column, Column], Column], zero: Column, kind: str = "int") -> Column:
+    """Running values of an associative ``step`` over an array, in time close to its length.
+
+    A fold that appends to its result copies the result at each element.  So
+    blocks of about the square root of the length are folded, then the blocks'
+    last values, and the latter are added to the former.
+    """
+    many = f"array<{kind}>"
+    state = F.struct(zero.cast(kind).alias("v"), F.array().cast(many).alias("out")).cast(f"struct<v:{kind},out:{many}>")
+
+    def folded(block: Column) -> Column:
+        def add(acc: Column, x: Column) -> Column:
+            return let(step(acc["v"], x).cast(kind), lambda v: F.struct(v.alias("v"), F.concat(acc["out"], F.array(v)).alias("out")))
+
+        return F.aggregate(block, state, add, lambda acc: acc["out"])
+
+    def before(acc: Column, block: Column) -> Column:
+        total = step(acc["v"], F.element_at(block, -1)).cast(kind)
+        return F.struct(total.alias("v"), F.concat(acc["out"], F.array(acc["v"])).alias("out"))
+
+    def cut(held: Column) -> Column:
+        n = F.size(held)
+        width = F.ceil(F.sqrt(n)).cast("int")
+        return F.transform(
+            F.sequence(F.lit(0), F.floor((n - 1) / width).cast("int")), lambda b: F.slice(held, b * width + 1, width)
+        )
+
+    def joined(blocks: Column) -> Column:
+        offsets = F.aggregate(blocks, state, before, lambda acc: acc["out"])
+        return F.flatten(F.zip_with(blocks, offsets, lambda block, off: F.transform(block, lambda x: step(off, x).cast(kind))))
+
+    whole = let(values, lambda held: let(F.transform(cut(held), folded), joined))
+    return F.when(F.size(values) > 0, whole).otherwise(F.array().cast(many))

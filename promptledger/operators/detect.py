@@ -48,7 +48,7 @@ def scan_pii(df: DataFrame, text: str = "text") -> DataFrame:
     """Verdict from the first finding that is no secret."""
     plain = [d for d in DEFAULT_DETECTORS if d.entity != SECRET]
     scan = let(
-        F.get(fn.detect_pii(text, None, plain), F.lit(0)),
+        fn.first_detector(text, fn._requested(None, plain)),
         lambda f: _scan_summary(f, F.upper(f["entity"]), F.lit("HIGH")),
     )
     return compute_once(df, "scan", scan)
@@ -57,7 +57,7 @@ def scan_pii(df: DataFrame, text: str = "text") -> DataFrame:
 def scan_secrets(df: DataFrame, text: str = "text") -> DataFrame:
     """Verdict from the first secret."""
     scan = let(
-        F.get(fn.detect_secrets(text), F.lit(0)),
+        fn.first_secret(text),
         lambda f: _scan_summary(
             f, F.lit("SECRET_KEY"), F.when(f["confidence"] >= 0.9, F.lit("HIGH")).otherwise(F.lit("MEDIUM"))
         ),
@@ -80,10 +80,10 @@ def findings_report(df: DataFrame, by: Sequence[str], key: str = "doc_id", entit
     entity: counting inside the row replaces a distinct count, and the shuffle
     carries only partial sums.
     """
-    found = compute_once(df, "f", fn.detect_pii(text, entities, detectors)).select(*by, "f")
-    names = F.transform("f", lambda f: f["entity"])
-    per_row = found.select(*by, names.alias("names")).select(*by, "names", F.explode(F.array_distinct("names")).alias("entity"))
-    hits = F.size(F.filter("names", lambda n: n == F.col("entity")))
+    found = compute_once(df, "f", fn.count_findings(text, entities, detectors)).select(*by, "f")
+    names = F.array_distinct(F.transform("f", lambda f: f["entity"]))
+    per_row = found.select(*by, "f", F.explode(names).alias("entity"))
+    hits = F.aggregate(F.filter("f", lambda f: f["entity"] == F.col("entity")), F.lit(0), lambda a, f: a + f["n"])
     return per_row.groupBy(*by, "entity").agg(
         F.count(F.lit(1)).alias("documents"), F.sum(hits.cast("long")).alias("findings")
     )

@@ -7,18 +7,21 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A dimension up to this many rows may be broadcast.
+# A dimension up to this many rows and bytes (of its rows as JSON) may be broadcast.
 MAX_BROADCAST_ROWS = 100_000
+MAX_BROADCAST_BYTES = 32_000_000
 
 
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only a session without that setting (a test, a notebook on one machine)
-    gets a folder under its own warehouse directory.
+    Only a local session without that setting (a test, a notebook on one
+    machine) gets a folder under its own warehouse directory.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     return root.rstrip("/")
 
@@ -39,8 +42,10 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
 
 
 def broadcast_if_small(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint after counting; an unhinted frame when it is longer."""
-    if df.limit(limit + 1).count() <= limit:
+    """Broadcast hint after measuring; an unhinted frame when it is longer or wider."""
+    sized = df.limit(limit + 1).select(F.octet_length(F.to_json(F.struct("*"))).alias("n"))
+    rows, size = sized.agg(F.count("*"), F.sum("n")).first()
+    if rows <= limit and (size or 0) <= MAX_BROADCAST_BYTES:
         return F.broadcast(df)
     return df
 
@@ -55,13 +60,3 @@ def compute_once(df: DataFrame, name: str, value: Column) -> DataFrame:
     """
     kept = [c for c in df.columns if c != name]
     return df.select(*kept, F.explode(F.array(value)).alias(name))
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deal a small table's rows out to all cores before heavy work per row.
-
-    A table that already comes in as many splits as there are cores is left
-    alone, so nothing is shuffled at scale.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -185,3 +185,40 @@ def test_detector_rows_can_be_added(spark):
 def test_samples_hit_every_detector():
     hit = {f[1] for s in SAMPLES for f in python_findings(f" {s} ")}
     assert {d.detector for d in cat.DEFAULT_DETECTORS} <= hit
+
+
+def test_many_matches_in_one_text_take_time_in_proportion(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from promptledger.functions.catalogue import DEFAULT_DETECTORS
+
+    phone = next(d for d in DEFAULT_DETECTORS if d.entity == "phone")
+
+    def took(n):
+        df = spark.range(1).select(F.concat(F.lit("x "), F.repeat(F.lit("628-401-7716 é "), n)).alias("t"))
+        start = time.perf_counter()
+        spans = df.select(det.find_spans("t", phone.regex).alias("s")).select(F.size("s").alias("n"), F.element_at("s", -1).alias("last")).first()
+        assert spans.n == n and (spans["last"].start, spans["last"].end) == (2 + 15 * (n - 1), 14 + 15 * (n - 1))
+        merged = df.select(det.redact("t", det.detect_pii("t", ["phone"])).alias("r")).first()
+        assert merged.r.count("[PHONE_REDACTED]") == n
+        return time.perf_counter() - start
+
+    took(100)
+    took(1000)
+    assert took(32_000) < 20
+
+
+def test_an_added_entity_alone_as_list_and_as_column(spark):
+    from pyspark.sql import functions as F
+
+    from promptledger.functions.catalogue import DEFAULT_DETECTORS, Detector
+
+    added = (*DEFAULT_DETECTORS, Detector("ticket", "ticket", r"\bTCK-\d+", "plain", 0.9))
+    df = spark.createDataFrame([("see TCK-17 or p.q@example.com", ["ticket"]), ("see TCK-17 or p.q@example.com", [])], "t string, e array<string>")
+    first, every = df.select(
+        det.detect_pii("t", ["ticket"], added).alias("a"), det.detect_pii("t", F.col("e"), added).alias("b")
+    ).collect()
+    assert [f.entity for f in first.a] == [f.entity for f in first.b] == ["ticket"]
+    assert {f.entity for f in every.b} == {"ticket", "email"}
