@@ -273,17 +273,35 @@ def auto_downgrade(
     cost: Column,
     budget: Column,
     threshold: float = 0.80,
+    model: Column | None = None,
+    target: str | Column | None = None,
+    target_cost: Column | None = None,
 ) -> DataFrame:
     """Rows at which the spend so far has reached ``threshold`` x budget (X3): ``row_id, downgraded``.
 
-    Costs before that point are undiscounted, so the running sum of original
-    costs decides it exactly; afterwards the switch stays on.
+    With ``target``, the cheaper model, and ``target_cost``, what the row costs
+    there, also ``model`` and ``cost`` after the switch.  Costs before that
+    point are undiscounted, so the running sum of original costs decides it
+    exactly; afterwards the switch stays on.
     """
     key = F.col(key) if isinstance(key, str) else key
     mark = F.ceil(to_micros(budget) * F.lit(str(threshold)).cast("decimal(6,4)")).cast("long")
     slim = df.select(
-        key.alias("_key"), F.col(ts).alias("_ts"), F.col(row_id).alias("_id"), to_micros(cost).alias("_cost"), mark.alias("_mark")
+        key.alias("_key"), F.col(ts).alias("_ts"), F.col(row_id).alias("_id"), to_micros(cost).alias("_cost"), mark.alias("_mark"),
+        *([] if target is None else [
+            (F.lit(None).cast("string") if model is None else model).alias("_model"),
+            (F.lit(target) if isinstance(target, str) else target).alias("_target"), to_micros(target_cost).alias("_target_cost"),
+        ]),
     )
     rows = cut_into_chunks(slim, ["_key"], _ORDER)
     summed = running_sum(rows, ["_key"], _ORDER, F.col("_cost"), "_before")
-    return summed.select(F.col("_id").alias(row_id), (F.col("_before") >= F.col("_mark")).alias("downgraded"))
+    down = F.coalesce(F.col("_before") >= F.col("_mark"), F.lit(False))
+    out = [F.col("_id").alias(row_id), down.alias("downgraded")]
+    if target is not None:
+        # A target that costs more is never taken.
+        cheaper = down & (F.col("_target_cost") <= F.col("_cost"))
+        out += [
+            F.when(cheaper, F.col("_target")).otherwise(F.col("_model")).alias("model"),
+            micros_to_money(F.when(cheaper, F.col("_target_cost")).otherwise(F.col("_cost"))).alias("cost"),
+        ]
+    return summed.select(*out)

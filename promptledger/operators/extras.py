@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import WS_CHARS, col, fold_case
@@ -16,9 +16,13 @@ from .ordered import cut_into_chunks, previous_value, running_max, running_sum
 
 def session_limit_gate(df: DataFrame, row_id: str, ts: str, estimate: Column, cost: Column, limit: Column,
                        session: str = "session_id", **options) -> DataFrame:
-    """The budget gate with one ledger per session (X1); rows without a session are not limited."""
-    rows = df.where(F.col(session).isNotNull() & (F.col(session) != ""))
-    return budget_gate(rows, session, row_id, ts, estimate, cost, limit, **options)
+    """The budget gate with one ledger per session (X1); rows without a session are not limited and admitted."""
+    named = F.coalesce(F.col(session).cast("string") != "", F.lit(False))
+    gated = budget_gate(df.where(named), session, row_id, ts, estimate, cost, limit, **options)
+    free = df.where(~named).select(
+        row_id, F.lit(0).cast("decimal(18,6)").alias("spend_before"), F.lit(False).alias("over_budget")
+    )
+    return gated.unionByName(free)
 
 
 def monthly_budget_gate(df: DataFrame, row_id: str, ts: str, estimate: Column, cost: Column, budget: Column,
@@ -90,31 +94,40 @@ def rate_limit(
     tool: str = "tool",
     ts: str = "ts",
     row_id: str = "event_id",
+    agent: str | None = None,
     chunks: int | None = None,
 ) -> DataFrame:
     """Number each call within its session, minute or hour, and check the wait since the last.
 
-    ``limits`` rows: ``tool, max_calls, per, cooldown_seconds``.  Returns
-    ``row_id, call_number, over_limit, cooling_down`` for limited tools.
+    ``limits`` rows: ``tool, max_calls, per, cooldown_seconds`` and, when
+    ``agent`` names the calls' agent column, ``agent_id``.  A tool may have
+    several limits.  Returns ``row_id, per, max_calls, call_number, over_limit,
+    cooling_down``, one row per call and limit.
     """
-    side = broadcast_if_small(limits.select(F.col("tool").alias("_tool"), "max_calls", "per", "cooldown_seconds"))
-    joined = df.select(
-        F.col(session).alias("_session"), F.col(tool).alias("_t"), F.col(ts).cast("timestamp").alias("_ts"),
-        F.col(row_id).alias("_id"),
-    ).join(side, F.col("_t") == F.col("_tool"))
+    who = ["_agent", "_tool"] if agent else ["_tool"]
+    rule = ["max_calls", "per", "cooldown_seconds"]
+    source = {"_agent": "agent_id", "_tool": "tool"}
+    side = limits.select(*(F.col(source[w]).alias(w) for w in who), *rule).distinct()
+    calls = df.select(
+        *([F.col(agent).alias("_agent")] if agent else []), F.col(tool).alias("_tool"), F.col(session).alias("_session"),
+        F.col(ts).cast("timestamp").alias("_ts"), F.col(row_id).alias("_id"),
+    )
+    calls = calls.join(broadcast_if_small(side.select(*who).distinct()), who, "left_semi")
+    # The wait does not depend on a limit, so it is taken before calls meet limits.
+    own = [*who, "_session"]
+    waited = previous_value(cut_into_chunks(calls, own, ["_ts", "_id"], chunks), own, ["_ts", "_id"], F.col("_ts"), "_last")
     bucket = (
         F.when(F.col("per") == "minute", F.date_trunc("minute", "_ts"))
         .when(F.col("per") == "hour", F.date_trunc("hour", "_ts"))
         .otherwise(F.lit(0).cast("timestamp"))
     )
-    slim = joined.select("_session", "_tool", bucket.alias("_bucket"), "_ts", "_id", "max_calls", "cooldown_seconds")
-    # (session, tool, bucket) refines (session, tool): one layout serves both.
-    rows = cut_into_chunks(slim, ["_session", "_tool"], ["_ts", "_id"], chunks)
-    counted = running_sum(rows, ["_session", "_tool", "_bucket"], ["_ts", "_id"], F.lit(1), "call_number", inclusive=True)
-    waited = previous_value(counted, ["_session", "_tool"], ["_ts", "_id"], F.col("_ts"), "_last")
+    limited = waited.join(broadcast_if_small(side), who).withColumn("_bucket", bucket)
+    counted = running_sum(limited, [*own, *rule, "_bucket"], ["_ts", "_id"], F.lit(1), "call_number", inclusive=True)
     gap = F.unix_micros("_ts") - F.unix_micros("_last")
-    return waited.select(
+    return counted.select(
         F.col("_id").alias(row_id),
+        "per",
+        "max_calls",
         F.col("call_number").cast("long").alias("call_number"),
         (F.col("call_number") > F.col("max_calls")).alias("over_limit"),
         F.coalesce(gap < F.col("cooldown_seconds").cast("long") * 1000000, F.lit(False)).alias("cooling_down"),
@@ -122,20 +135,21 @@ def rate_limit(
 
 
 def validate_args(
-    df: DataFrame, rules: DataFrame, tool: str = "tool", args: str = "args_json", row_id: str = "event_id"
+    df: DataFrame, rules: DataFrame, tool: str = "tool", args: str = "args_json", row_id: str = "event_id", agent: str | None = None
 ) -> DataFrame:
     """Arguments that break a rule (X7): ``row_id, arg, problem``.
 
-    ``rules`` rows: ``tool, arg, type (string|int|enum), pattern, values``.  An
-    argument that is absent is not checked.
+    ``rules`` rows: ``tool, arg, type (string|int|enum), pattern, values`` and,
+    when ``agent`` names the calls' agent column, ``agent_id``.  An argument
+    that is absent is not checked.
     """
-    side = broadcast_if_small(
-        rules.select(F.col("tool").alias("_tool"), F.col("arg").alias("_arg"), "type", "pattern", "values")
-    )
+    own = [F.col("agent_id").alias("_agent")] if agent else []
+    side = broadcast_if_small(rules.select(*own, F.col("tool").alias("_tool"), F.col("arg").alias("_arg"), "type", "pattern", "values"))
     given = df.select(
-        F.col(row_id).alias("_id"), F.col(tool).alias("_t"), F.explode(F.from_json(args, "map<string,string>")).alias("_arg_name", "_value")
+        F.col(row_id).alias("_id"), *([F.col(agent).alias("_agent")] if agent else []), F.col(tool).alias("_tool"),
+        F.explode(F.from_json(args, "map<string,string>")).alias("_arg", "_value"),
     )
-    joined = given.join(side, (F.col("_t") == F.col("_tool")) & (F.col("_arg_name") == F.col("_arg")))
+    joined = given.join(side, ["_agent", "_tool", "_arg"] if agent else ["_tool", "_arg"])
     value = F.col("_value")
     problem = (
         F.when((F.col("type") == "int") & ~value.rlike(r"^[+-]?[0-9]+$"), F.lit("not an integer"))
@@ -173,9 +187,24 @@ def within_retention(df: DataFrame, retention_days: int = 30, today: dt.date | N
     return df.where(F.col(day) > F.lit(str(oldest)).cast("date"))
 
 
-def apply_retention(df: DataFrame, target: str, retention_days: int = 30, today: dt.date | None = None) -> None:
-    """Rewrite a day-partitioned log without its expired days."""
-    within_retention(df, retention_days, today).hint("rebalance", "day").write.partitionBy("day").mode("overwrite").json(target)
+def apply_retention(spark: SparkSession, path: str, retention_days: int = 30, today: dt.date | None = None) -> list[str]:
+    """Delete the expired ``day=`` folders of a log and nothing else (X10); returns their days."""
+    today = today or dt.datetime.now(dt.timezone.utc).date()
+    oldest = today - dt.timedelta(days=retention_days)
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    gone = []
+    for status in files.listStatus(root):
+        name = status.getPath().getName()
+        if status.isDirectory() and name.startswith("day="):
+            try:
+                day = dt.date.fromisoformat(name.removeprefix("day="))
+            except ValueError:
+                continue  # not a day of ours, e.g. the folder of rows without one
+            if day <= oldest:
+                files.delete(status.getPath(), True)
+                gone.append(str(day))
+    return sorted(gone)
 
 
 def warn_token_pct(tokens: Column | str, policy: Column) -> Column:

@@ -326,6 +326,21 @@ def findings(final: str, *more: str, detectors=DEFAULT_DETECTORS) -> str:
     return _with(PLANTED_SQL, *spans("f", "planted", "doc_id", "text", detectors), *more, final=final)
 
 
+AGENT_CALLS_SQL = (
+    "calls AS (SELECT event_id, ts, user_id, event_type AS tool, props ->> '$.k' AS v,"
+    " CASE user_id % 3 WHEN 0 THEN 'support' WHEN 1 THEN 'research' ELSE 'default' END AS agent_id,"
+    " lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS last FROM events)"
+)
+
+# What a page shows: skipped elements and comments gone, tags to blanks, entities read.
+PAGE_TEXT = "html"
+for _tag in ("script", "style", "nav", "noscript", "template", "svg"):
+    PAGE_TEXT = f"regexp_replace({PAGE_TEXT}, '<{_tag}[ >].*?</{_tag}>', ' ', 'gs')"
+PAGE_TEXT = f"regexp_replace(regexp_replace({PAGE_TEXT}, '<!--.*?-->', ' ', 'gs'), '<[^>]*>', ' ', 'g')"
+PAGE_TEXT = f"regexp_replace({PAGE_TEXT}, '&(copy|middot|nbsp|mdash|ndash);', ' ', 'g')"
+PAGE_TEXT = f"replace(replace(replace(replace({PAGE_TEXT}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
+
+
 def _first_type(kind: str) -> str:
     if kind == "pii":
         return findings(
@@ -664,13 +679,22 @@ ORACLES: dict[str, str] = {
     "stream_budget_gate": governed(
         f"SELECT request_id, blocked, vs AS violations, {dollars('cost2')} AS cost_usd, {dollars('before')} AS spend_before FROM final"
     ),
+    "page_words": f"SELECT page_id, CAST(len(w) AS BIGINT) AS n_words, md5(array_to_string(w, ' ')) AS words_md5"
+    f" FROM (SELECT page_id, regexp_extract_all({PAGE_TEXT}, '[A-Za-z\u00c0-\u024f]+') AS w FROM pages)",
+    "added_entity": "SELECT doc_id, CAST(n AS BIGINT) AS n, CAST(n AS BIGINT) AS n_host"
+    " FROM (SELECT doc_id, len(regexp_extract_all(text, 'mail[0-9]+\\.example')) AS n FROM documents)",
     # declared controls
-    "session_limit_gate": event_ledger("user_id", "0.500000", EVENT_DECISIONS),
+    "session_limit_gate": event_ledger(
+        "user_id", "0.500000",
+        EVENT_DECISIONS + " UNION ALL SELECT event_id, 0.0, FALSE FROM gate WHERE user_id % 10 = 0", "user_id % 10 <> 0",
+    ),
     "monthly_budget_gate": event_ledger("date_trunc('month', ts)", "50.000000", EVENT_DECISIONS),
     "auto_downgrade": _with(
         EV,
-        final="SELECT event_id, coalesce(sum(cost) OVER (PARTITION BY day ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
-        " >= 4000000 AS downgraded FROM gate",
+        "spent AS (SELECT event_id, cost, coalesce(sum(cost) OVER (PARTITION BY day ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
+        " >= 4000000 AS down FROM gate)",
+        final="SELECT event_id, down AS downgraded, CASE WHEN down THEN 'gpt-4o-mini' ELSE 'gpt-4o' END AS model,"
+        " CAST((CASE WHEN down THEN cost // 4 ELSE cost END) / 1000000.0 AS DOUBLE) AS cost FROM spent",
     ),
     "prompt_loops": _with(
         LOOP_TURNS_SQL, _LOOPS, final="SELECT conv_id, turn, CAST(n - b AS BIGINT) AS repeats, n - b > 3 AS looping FROM brk"
@@ -683,20 +707,23 @@ ORACLES: dict[str, str] = {
         " OR EXISTS (SELECT 1 FROM tp WHERE tp.agent_id = c.agent_id AND tp.tool = c.tool AND allowed)) AS permitted FROM calls c",
     ),
     "rate_limit": _with(
-        _values("lim", "tool, max_calls, per, cooldown", RATE_LIMITS),
-        "calls AS (SELECT e.*, lim.*, CASE per WHEN 'minute' THEN date_trunc('minute', ts) WHEN 'hour' THEN date_trunc('hour', ts) ELSE TIMESTAMP '1970-01-01' END AS bucket"
-        " FROM events e JOIN lim ON lim.tool = e.event_type)",
-        final="SELECT event_id, row_number() OVER (PARTITION BY user_id, tool, bucket ORDER BY ts, event_id) AS call_number,"
-        " row_number() OVER (PARTITION BY user_id, tool, bucket ORDER BY ts, event_id) > max_calls AS over_limit,"
-        " coalesce(ts - lag(ts) OVER (PARTITION BY user_id, tool ORDER BY ts, event_id) < to_seconds(cooldown), FALSE) AS cooling_down FROM calls",
+        _values("lim", "agent_id, tool, max_calls, per, cooldown", RATE_LIMITS),
+        "numbered AS (SELECT *, row_number() OVER (ORDER BY agent_id, tool, per) AS no FROM lim)",
+        AGENT_CALLS_SQL,
+        "hits AS (SELECT c.*, n.no, n.max_calls, n.per, n.cooldown, CASE n.per WHEN 'minute' THEN strftime(ts, '%Y%m%d%H%M') WHEN 'hour' THEN strftime(ts, '%Y%m%d%H') ELSE '' END AS bucket"
+        " FROM calls c JOIN numbered n USING (agent_id, tool))",
+        final="SELECT event_id, per, CAST(max_calls AS BIGINT) AS max_calls, count(*) OVER w AS call_number, count(*) OVER w > max_calls AS over_limit,"
+        " coalesce(epoch_us(ts) - epoch_us(last) < cooldown * 1000000::BIGINT, FALSE) AS cooling_down FROM hits"
+        " WINDOW w AS (PARTITION BY user_id, no, bucket ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)",
     ),
     "invalid_args": _with(
-        _values("rules", "tool, arg, type, pattern, vals", ARG_RULES),
+        _values("rules", "agent_id, tool, arg, type, pattern, vals", ARG_RULES),
+        AGENT_CALLS_SQL,
         final="SELECT event_id, arg, problem FROM (SELECT event_id, arg, CASE"
         " WHEN type = 'int' AND NOT regexp_matches(v, '^[+-]?[0-9]+$') THEN 'not an integer'"
         " WHEN type = 'enum' AND NOT list_contains(vals, v) THEN 'not an allowed value'"
         " WHEN pattern IS NOT NULL AND NOT regexp_matches(v, '^(?:' || pattern || ')') THEN 'pattern mismatch' END AS problem"
-        " FROM (SELECT event_id, event_type, props ->> '$.k' AS v FROM events) e JOIN rules ON rules.tool = e.event_type) WHERE problem IS NOT NULL",
+        " FROM calls JOIN rules USING (agent_id, tool)) WHERE problem IS NOT NULL",
     ),
     "competitor_mentions": "SELECT conv_id, turn, " + " + ".join(
         f"(CASE WHEN contains(lower(text), lower({sql_text(t)})) THEN 1 ELSE 0 END)" for t in COMPETITORS

@@ -34,17 +34,22 @@ TOOL_POLICIES = (
     ("research", "purchase", False, True),
 )
 
+# Agent, tool, calls, per, seconds to wait.
 RATE_LIMITS = (
-    ("view", 5, "session", 0),
-    ("click", 1, "hour", 3600),
-    ("purchase", 1, "minute", 86400),
+    ("support", "view", 5, "session", 0),
+    ("support", "view", 1, "hour", 600),
+    ("research", "view", 3, "hour", 0),
+    ("research", "click", 1, "hour", 3600),
+    ("research", "click", 2, "session", 60),
+    ("default", "purchase", 1, "minute", 86400),
 )
 
 ARG_RULES = (
-    ("view", "k", "int", None, None),
-    ("click", "k", "string", "^[1-4][0-9]$", None),
-    ("purchase", "k", "enum", None, ["1", "2", "3", "5", "8", "13", "21", "34", "55", "89"]),
-    ("signup", "k", "string", "7", None),
+    ("support", "view", "k", "int", None, None),
+    ("support", "click", "k", "string", "^[1-4][0-9]$", None),
+    ("research", "click", "k", "string", "^[5-9]", None),
+    ("research", "purchase", "k", "enum", None, ["1", "2", "3", "5", "8", "13", "21", "34", "55", "89"]),
+    ("default", "signup", "k", "string", "7", None),
 )
 
 COMPETITORS = ("Ungen", "ÉTION", "the")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import detection as spans
-from ..functions.catalogue import PERSONAL
+from ..functions.catalogue import DEFAULT_DETECTORS, PERSONAL, Detector
 from ..functions.prices import estimate_cost, model_cost_matrix, price_of, resolve_price
 from ..functions.tokens import count_message_tokens, count_tokens, messages_to_text, word_estimate
 from ..operators import budget, detect, extras, govern, guards, reports, shrink
@@ -162,6 +162,24 @@ def page_markdown(spark, sf_dir):
     return pages.convert_pages(views.texts(spark, sf_dir, "pages"))
 
 
+@query
+def page_words(spark, sf_dir):
+    """The letters-only words of each page's Markdown, link and image targets left out."""
+    text = F.regexp_replace("markdown", r"\]\([^)]*\)", "] ")
+    found = F.regexp_extract_all(text, F.lit("[A-Za-z\u00c0-\u024f]+"), F.lit(0))
+    rows = pages.convert_pages(views.texts(spark, sf_dir, "pages"))
+    return rows.select("page_id", _n(F.size(found)).alias("n_words"), F.md5(F.array_join(found, " ")).alias("words_md5"))
+
+
+@query
+def added_entity(spark, sf_dir):
+    """A detector row that is added and asked for alone."""
+    added = (*DEFAULT_DETECTORS, Detector("mail_host", "mail_host", r"mail[0-9]+\.example", "plain", 0.9))
+    rows = detect.detect_pii(views.texts(spark, sf_dir, "documents"), ["mail_host"], detectors=added)
+    found = F.filter("findings", lambda f: f["entity"] == "mail_host")
+    return rows.select("doc_id", _n(F.size("findings")).alias("n"), _n(F.size(found)).alias("n_host"))
+
+
 # --- tokens and prices --------------------------------------------------------
 
 
@@ -651,10 +669,15 @@ def stream_event_sink(spark, sf_dir):
 @query
 def stream_budget_gate(spark, sf_dir):
     source = scratch_path(spark, "requests")
-    # One file per UTC day, read one at a time: every day is its own micro-batch.
+    # Three runs of days, written one after the other and read one file at a
+    # time: each is a micro-batch that starts from the ledger of those before it.
     rows = views.requests(spark, sf_dir)
-    rows.repartitionByRange(3, "ts").write.parquet(source)
-    requests = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 100).parquet(source)
+    day = F.to_date("ts")
+    first, last = rows.select(F.min(day), F.max(day)).first()
+    third = F.floor(F.date_diff(day, F.lit(first)) * 3 / ((last - first).days + 1))
+    for k in range(3):
+        rows.where(third == k).coalesce(1).write.mode("append").parquet(source)
+    requests = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
     gate, running = streams.stream_budget_gate(
         requests, scratch_path(spark, "gate"), scratch_path(spark, "checkpoint"), _policies(spark)
     )
@@ -670,7 +693,9 @@ def stream_budget_gate(spark, sf_dir):
 
 @query
 def session_limit_gate(spark, sf_dir):
-    rows = _gate_rows(spark, sf_dir).withColumn("session_id", F.col("user_id").cast("string"))
+    """Every tenth user has no session."""
+    user = F.when(F.col("user_id") % 10 != 0, F.col("user_id").cast("string"))
+    rows = _gate_rows(spark, sf_dir).withColumn("session_id", user)
     return _decisions(extras.session_limit_gate(rows, "event_id", "ts", F.col("estimate"), F.col("cost"), _dollars("0.500000")))
 
 
@@ -683,8 +708,14 @@ def monthly_budget_gate(spark, sf_dir):
 
 @query
 def auto_downgrade(spark, sf_dir):
+    """Past the threshold a row moves to a model at a quarter of the cost."""
     rows = _gate_rows(spark, sf_dir)
-    return budget.auto_downgrade(rows, F.to_date("ts"), "event_id", "ts", F.col("cost"), _dollars(EVENT_BUDGET))
+    quarter = (F.floor(F.col("cost") * 250000).cast("decimal(18,0)") * F.lit("0.000001").cast("decimal(7,6)")).cast("decimal(18,6)")
+    out = budget.auto_downgrade(
+        rows, F.to_date("ts"), "event_id", "ts", F.col("cost"), _dollars(EVENT_BUDGET),
+        model=F.lit("gpt-4o"), target="gpt-4o-mini", target_cost=quarter,
+    )
+    return out.withColumn("cost", _usd("cost"))
 
 
 @query
@@ -709,18 +740,29 @@ def tool_access(spark, sf_dir):
     return extras.tool_access(calls, rows).select("event_id", "permitted")
 
 
+def _agent_of_user() -> Column:
+    return F.when(F.col("user_id") % 3 == 0, "support").when(F.col("user_id") % 3 == 1, "research").otherwise("default")
+
+
 @query
 def rate_limit(spark, sf_dir):
-    limits = spark.createDataFrame(list(RATE_LIMITS), "tool string, max_calls int, per string, cooldown_seconds int")
-    calls = views.read(spark, sf_dir, "events").select("event_id", "ts", F.col("user_id").alias("session_id"), F.col("event_type").alias("tool"))
-    return extras.rate_limit(calls, limits)
+    """Limits differ by agent, and some tools have two."""
+    limits = spark.createDataFrame(list(RATE_LIMITS), "agent_id string, tool string, max_calls int, per string, cooldown_seconds int")
+    calls = views.read(spark, sf_dir, "events").select(
+        "event_id", "ts", F.col("user_id").alias("session_id"), F.col("event_type").alias("tool"), _agent_of_user().alias("agent_id")
+    )
+    return extras.rate_limit(calls, limits, agent="agent_id").withColumn("max_calls", _n(F.col("max_calls")))
 
 
 @query
 def invalid_args(spark, sf_dir):
-    rules = spark.createDataFrame(list(ARG_RULES), "tool string, arg string, type string, pattern string, values array<string>")
-    calls = views.read(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("tool"), F.col("props").alias("args_json"))
-    return extras.validate_args(calls, rules)
+    rules = spark.createDataFrame(
+        list(ARG_RULES), "agent_id string, tool string, arg string, type string, pattern string, values array<string>"
+    )
+    calls = views.read(spark, sf_dir, "events").select(
+        "event_id", F.col("event_type").alias("tool"), F.col("props").alias("args_json"), _agent_of_user().alias("agent_id")
+    )
+    return extras.validate_args(calls, rules, agent="agent_id")
 
 
 @query
@@ -738,11 +780,10 @@ def high_severity_events(spark, sf_dir):
 
 @query
 def retained_events(spark, sf_dir):
-    path, kept = scratch_path(spark, "events-log"), scratch_path(spark, "retained")
+    path = scratch_path(spark, "events-log")
     logs.write_guard_events(_history_events(spark, sf_dir), path)
-    log = logs.good_lines(logs.read_guard_events(spark, path))
-    extras.apply_retention(log, kept, retention_days=9, today=dt.date(2024, 1, 30))
-    rows = logs.good_lines(logs.read_guard_events(spark, kept))
+    extras.apply_retention(spark, path, retention_days=9, today=dt.date(2024, 1, 30))
+    rows = logs.good_lines(logs.read_guard_events(spark, path))
     return rows.groupBy(F.col("day").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -15,6 +15,7 @@ from ..functions.tokens import count_tokens
 SKIPPED = {"script", "style", "nav", "noscript", "template", "svg"}
 BLOCKS = {"p", "div", "section", "article", "main", "header", "footer", "aside", "ul", "ol", "table",
           "blockquote", "pre", "figure", "form"}
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 HEADINGS = {f"h{n}": "#" * n for n in range(1, 7)}
 BOLD = {"b", "strong"}
 ITALIC = {"i", "em"}
@@ -24,18 +25,24 @@ FORMATS = ("html", "htm", "txt", "md")
 
 
 class _Markdown(HTMLParser):
-    """Streams one page's tags into Markdown pieces."""
+    """Streams one page's tags into Markdown pieces.
+
+    Open cells and rows end where the next one starts; a table inside a cell
+    becomes text of that cell; a skipped element ends with its own end tag or
+    with that of the block around it.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.out: list[str] = []
-        self.skip = 0
         self.links: list[str | None] = []
         self.row: list[str] | None = None
         self.cell: list[str] | None = None
         self.first_row = False
+        self.tables: list[tuple] = []
         self.lists: list[int | None] = []
-        self.title = False
+        self.blocks: list[str] = []  # open blocks around what is read
+        self.skipped: list[str] = []  # the skipped element and what is open inside it
 
     def _put(self, text: str) -> None:
         (self.out if self.cell is None else self.cell).append(text)
@@ -47,10 +54,15 @@ class _Markdown(HTMLParser):
             self.cell.append(" ")
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if self.skipped:
+            if tag not in VOID:
+                self.skipped.append(tag)
+            return
         if tag in SKIPPED:
-            self.skip += 1
-        if self.skip:
+            self.skipped.append(tag)
             return
+        if tag in BLOCKS or tag in ("body", "td", "th", "tr", "li"):
+            self.blocks.append(tag)
         if tag in HEADINGS:
             self._break()
             self._put(HEADINGS[tag] + " ")
@@ -80,22 +92,68 @@ class _Markdown(HTMLParser):
             if alt:
                 self._put(f"![{alt}]({dict(attrs).get('src') or ''})")
         elif tag == "tr":
+            self._end_row()
             self.row = []
         elif tag in ("td", "th"):
+            self._end_cell()
+            self.row = [] if self.row is None else self.row
             self.cell = []
         elif tag == "table":
-            self._break()
-            self.first_row = True
+            self.tables.append((self.out, self.row, self.cell, self.first_row))
+            if self.cell is None:
+                self._break()
+            else:
+                self.out = []
+            self.row, self.cell, self.first_row = None, None, True
         elif tag == "hr":
             self._put("\n\n---\n\n")
         elif tag in BLOCKS:
             self._break()
 
+    def _end_cell(self) -> None:
+        if self.cell is not None:
+            text = " ".join("".join(self.cell).split()).replace("|", "\\|")
+            self.cell = None
+            self.row = [text] if self.row is None else [*self.row, text]
+
+    def _end_row(self) -> None:
+        self._end_cell()
+        if self.row:
+            self.out.append("\n| " + " | ".join(self.row) + " |")
+            if self.first_row:
+                self.out.append("\n|" + " --- |" * len(self.row))
+                self.first_row = False
+        self.row = None
+
+    def _end_table(self) -> None:
+        self._end_row()
+        inner = self.out
+        self.out, self.row, self.cell, self.first_row = self.tables.pop()
+        if self.cell is None:
+            self._break()
+        else:
+            rows = (line.strip("| ").replace(" | ", " ") for line in "".join(inner).split("\n"))
+            self.cell.append(" " + " ".join(r for r in rows if r.strip("-| ")) + " ")
+
+    def close(self) -> None:
+        super().close()
+        while self.tables:
+            self._end_table()
+
     def handle_endtag(self, tag: str) -> None:
-        if tag in SKIPPED:
-            self.skip = max(self.skip - 1, 0)
-            return
-        if self.skip:
+        if self.skipped:
+            if tag in self.skipped:
+                while self.skipped.pop() != tag:
+                    pass
+                return
+            if tag not in self.blocks:
+                return
+            self.skipped.clear()
+        if tag in self.blocks:
+            while self.blocks.pop() != tag:
+                pass
+        if tag == "table" and self.tables:
+            self._end_table()
             return
         if tag == "a":
             href = self.links.pop() if self.links else None
@@ -104,17 +162,10 @@ class _Markdown(HTMLParser):
             self._put("**")
         elif tag in ITALIC:
             self._put("*")
-        elif tag in ("td", "th") and self.cell is not None:
-            text = " ".join("".join(self.cell).split()).replace("|", "\\|")
-            self.cell = None
-            if self.row is not None:
-                self.row.append(text)
-        elif tag == "tr" and self.row is not None:
-            self.out.append("\n| " + " | ".join(self.row) + " |")
-            if self.first_row:
-                self.out.append("\n|" + " --- |" * len(self.row))
-                self.first_row = False
-            self.row = None
+        elif tag in ("td", "th"):
+            self._end_cell()
+        elif tag == "tr":
+            self._end_row()
         elif tag in ("ul", "ol"):
             if self.lists:
                 self.lists.pop()
@@ -123,7 +174,7 @@ class _Markdown(HTMLParser):
             self._break()
 
     def handle_data(self, data: str) -> None:
-        if not self.skip:
+        if not self.skipped:
             text = " ".join(data.split())
             if text:
                 lead = " " if data[0].isspace() else ""
@@ -137,8 +188,8 @@ def html_to_markdown(html: str) -> str:
     parser = _Markdown()
     parser.feed(html)
     parser.close()
-    if parser.cell:
-        parser.out.append("".join(parser.cell))
+    if parser.cell or parser.row:  # cells without a table
+        parser._end_row()
     lines = [" ".join(line.split()) if line.lstrip()[:1] not in ("-", "|") else line.rstrip()
              for line in "".join(parser.out).split("\n")]
     kept: list[str] = []

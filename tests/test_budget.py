@@ -110,8 +110,8 @@ def test_session_and_month(spark):
     rows = make(11, n=150)
     df = spark.createDataFrame(rows, SCHEMA)
     got = extras.session_limit_gate(df, "id", "ts", F.col("est"), F.col("cost"), F.col("budget"), session="grp")
-    want = fold([r for r in rows if r[2]])
-    assert {r.id: r.over_budget for r in got.collect()} == {k: v[1] for k, v in want.items()}
+    want = {r[0]: False for r in rows} | {k: v[1] for k, v in fold([r for r in rows if r[2]]).items()}
+    assert {r.id: r.over_budget for r in got.collect()} == want
     month = extras.monthly_budget_gate(df, "id", "ts", F.col("est"), F.col("cost"), F.col("budget"))
     want = fold([r[:2] + ("m",) + r[3:] for r in rows])
     assert {r.id: r.over_budget for r in month.collect()} == {k: v[1] for k, v in want.items()}
@@ -122,3 +122,7 @@ def test_downgrade_switches_on_and_stays(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     got = budget.auto_downgrade(df, "grp", "id", "ts", F.col("cost"), F.col("budget"))
     assert {r.id for r in got.where("downgraded").collect()} == {"r8", "r9", "r10", "r11"}
+    moved = budget.auto_downgrade(
+        df, "grp", "id", "ts", F.col("cost"), F.col("budget"), model=F.lit("big"), target="small", target_cost=F.col("cost") / 2
+    )
+    assert {(r.id in ("r8", "r9", "r10", "r11"), r.model, float(r.cost * 1000000)) for r in moved.collect()} == {(True, "small", 5.0), (False, "big", 10.0)}

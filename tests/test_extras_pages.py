@@ -39,6 +39,19 @@ def test_rate_limit(spark):
     assert got == {0: (1, False, False), 1: (2, True, True), 2: (1, False, False), 3: (1, False, False), 4: (1, False, False), 5: (1, False, False)}
 
 
+def test_two_limits_of_one_tool_and_agents(spark):
+    start = datetime(2024, 1, 1, 10, 0, 0)
+    calls = [(n, start + timedelta(minutes=m), a, "s") for n, (m, a) in enumerate([(0, "x"), (1, "x"), (70, "x"), (0, "y")])]
+    df = spark.createDataFrame(calls, "event_id int, ts timestamp, who string, session_id string").withColumn("tool", F.lit("t"))
+    limits = spark.createDataFrame(
+        [("x", "t", 1, "minute", 120), ("x", "t", 2, "hour", 30), ("x", "t", 2, "hour", 30), ("y", "t", 9, "session", 0)],
+        "agent_id string, tool string, max_calls int, per string, cooldown_seconds int")
+    got = {(r.event_id, r.per): (r.call_number, r.over_limit, r.cooling_down) for r in extras.rate_limit(df, limits, agent="who").collect()}
+    assert got == {
+        (0, "minute"): (1, False, False), (0, "hour"): (1, False, False), (1, "minute"): (1, False, True), (1, "hour"): (2, False, False),
+        (2, "minute"): (1, False, False), (2, "hour"): (1, False, False), (3, "session"): (1, False, False)}
+
+
 def test_args(spark):
     rules = spark.createDataFrame(
         [("t", "n", "int", None, None), ("t", "w", "enum", None, ["a", "b"]), ("t", "p", "string", "ab+", None)],
@@ -54,8 +67,11 @@ def test_mentions_retention_and_warning(spark, tmp_path):
     assert got == ["acme", "éCLAIR"]
     days = spark.createDataFrame([(date(2024, 1, d), d) for d in range(1, 11)], "day date, n int")
     assert extras.within_retention(days, 3, date(2024, 1, 10)).count() == 3
-    extras.apply_retention(days, str(tmp_path / "kept"), 3, date(2024, 1, 10))
-    assert spark.read.json(str(tmp_path / "kept")).count() == 3
+    log = str(tmp_path / "kept")
+    days.write.partitionBy("day").json(log)
+    (tmp_path / "kept" / "day=odd").mkdir()
+    assert extras.apply_retention(spark, log, 3, date(2024, 1, 10)) == [f"2024-01-0{d}" for d in range(1, 8)]
+    assert spark.read.json(log).count() == 3 and (tmp_path / "kept" / "day=odd").exists()
     policies = guards.policies_frame(spark, [{"agent_id": "a", "cost": {"max_input_tokens": 10}}])
     df = guards.agent_policy(spark.createDataFrame([("a", 8), ("a", 7), ("b", 99)], "agent_id string, n long"), policies)
     assert [r[0] for r in df.orderBy("n").select(extras.warn_token_pct("n", F.col("policy"))).collect()] == [False, True, False]
@@ -66,6 +82,9 @@ def test_mentions_retention_and_warning(spark, tmp_path):
     ("<ul><li>one</li><li>two <b>bold</b></li></ul>", "- one\n- two **bold**"), ("<ol><li>a</li><li>b</li></ol>", "1. a\n2. b"),
     ('<p><a href="/u">link</a></p>', "[link](/u)"), ("<script>var t='</p>';</script><nav>menu</nav><!-- c --><p>kept</p>", "kept"),
     ("<table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td>2</td></tr></table>", "| a | b |\n| --- | --- |\n| 1 | 2 |"),
+    ("<table><tr><td>one<td>two<tr><td>three<td>four</table>", "| one | two |\n| --- | --- |\n| three | four |"),
+    ("<table><tr><td>before<table><tr><td>in1</td><td>in2</td></tr></table>after</td><td>x</td></tr></table>", "| before in1 in2 after | x |\n| --- | --- |"),
+    ("<div><nav>menu<ul><li>a</div><p>kept</p>", "kept"), ("<table><tr><td>open", "| open |\n| --- |"),
     ("plain", "plain"), ("", ""), ("<p>unclosed <b>bold", "unclosed **bold"),
 ])
 def test_markdown(html, want):
