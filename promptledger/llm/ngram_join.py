@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import clear_of, dropped, written
+from .common import clear_of, slices, written
 from .components import components
 from .shingles import mixed, shingle_sets
 
@@ -76,7 +76,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``doc, n, class, prefix`` of every row: size, digest and filter prefix of its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = list(shingle_sets(batch.column(1).to_pylist()))
             prefix = [_long(s[: prefix_size(len(s)) + len(s) // 20]) if len(s) else np.zeros(0, np.int64) for s in sets]
             ends = np.cumsum([0, *map(len, prefix)])
@@ -106,7 +106,7 @@ def _tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``doc, n, tokens, parity`` with the sorted tokens as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = list(shingle_sets(batch.column(1).to_pylist()))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -124,7 +124,7 @@ def _unpacked(tokens: DataFrame) -> DataFrame:
     """One row per token of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 t = np.frombuffer(raw, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(np.full(len(t), doc, np.int64))], names=["token", "doc"])
@@ -139,7 +139,7 @@ def _signatures(tokens: DataFrame, frequent: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sigs, docs, hubs = [], [], []
             for doc, raw, common in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 t = np.frombuffer(raw, np.uint64)
@@ -168,7 +168,7 @@ def _verified(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
     """The pairs ``a, b`` that link."""
 
     def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             keep = []
             for n, m, p, q in zip(*(batch.column(k).to_pylist() for k in range(2, 6))):
                 p, q = (np.frombuffer(x, np.uint8) for x in (p, q))
@@ -181,10 +181,10 @@ def _verified(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 same = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * same >= 75 * (len(x) + len(y) - same))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
@@ -201,18 +201,18 @@ def _verified(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc, n, component`` of every row of ``docs`` with an id."""
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    id_col, text_col = "id", "text"
     sets = written(_sets(docs.where(F.col(id_col).isNotNull()), id_col, text_col))
 
     # One document of each class of equal sets; an id that repeats is one node all the same.
     classes = written(sets.where("n > 0").groupBy("class", "n").agg(F.min("doc").alias("first"), F.count("*").alias("rows")))
-    copies = _small(
-        sets.where("n > 0").select("doc", "class").join(classes.where("rows > 1"), "class").where("doc <> first").select("doc").distinct()
-    )
+    copies = sets.where("n > 0").select("doc", "class").join(classes.where("rows > 1"), "class").where("doc <> first").select("doc").distinct()
     single = sets.where("n > 0").join(copies, "doc", "left_anti")
 
     # 1. Documents that can have a partner.
     shared = written(single.select(F.explode("prefix").alias("token")).groupBy("token").count().where("count > 1").select("token"))
-    held = single.select("doc", "n", F.explode("prefix").alias("token")).join(_small(shared), "token", "left_semi")
+    held = single.select("doc", "n", F.explode("prefix").alias("token")).join(shared, "token", "left_semi")
     able = (
         held.groupBy("doc", "n").count()
         .where(F.col("count") >= 1 + F.floor(F.ceil(F.col("n") * 3 / 4) / 20))
@@ -233,7 +233,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         signatures.groupBy("sig").agg(F.max(F.struct("hub", -F.col("doc"))).alias("hub"), F.min("doc").alias("lo"), F.max("doc").alias("hi"))
         .where("lo <> hi").select("sig", (-F.col("hub.col2")).alias("hub"))
     )
-    held = written(signatures.select("sig", "doc").join(_small(hubs), "sig"))
+    held = written(signatures.select("sig", "doc").join(hubs, "sig"))
 
     # 4. and 5. First with the hubs, then between components.
     def ordered(x: str, y: str) -> list:
@@ -251,12 +251,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     across = still.join(other, "sig").where("at < at2").select(*ordered("doc", "doc2")).distinct()
     more = _verified(written(across.join(pairs, ["a", "b"], "left_anti")), tokens)
 
-    # Members of a class hang on its first document.
-    members = sets.where("n > 0").select("doc", "class").join(classes.where("rows > 1"), "class").where("doc <> first")
-    every = links.unionByName(more).unionByName(members.select(F.col("first").alias("a"), F.col("doc").alias("b")))
-    of = components(every)
-    out = sets.select("doc", "n").join(of, F.col("doc") == F.col("node"), "left")
-    return out.select("doc", "n", F.coalesce("component", "doc").alias("component"))
+    # A class has the component of its first document, which is its smallest.
+    of = components(links.unionByName(more))
+    placed = sets.select("doc", "n", "class").join(classes.select("class", "first"), "class", "left")
+    placed = placed.join(of, F.col("first") == F.col("node"), "left")
+    return placed.select("doc", "n", F.coalesce("component", "first", "doc").alias("component"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
