@@ -18,24 +18,24 @@ def held_out(id_col: str = "doc_id") -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, max_chars: int) -> tuple[list[str], np.ndarray]:
     """At most ``rows`` labelled training texts of each class, in the order of a hash of their ids.
 
-    The order does not depend on partitions, so a run repeated gets the same
-    rows.  Texts longer than ``max_chars`` are left out, not cut, which bounds
+    The choice does not depend on partitions, so a run repeated gets the same
+    rows; a row that repeats a chosen id is taken with it.  Texts longer than ``max_chars`` are left out, not cut, which bounds
     the driver's memory at ``2 * rows * max_chars`` characters.
     """
     slim = labels.select(F.col("doc_id").alias("_id"), F.col(label).alias("_y")).where("_id is not null and _y is not null").distinct()
-    known = (
-        docs.where(~held_out() & (F.char_length("text") <= max_chars))
-        .join(slim, F.col("doc_id") == F.col("_id"))
-        .select("_y", "text", F.xxhash64("doc_id").alias("_order"), "doc_id")
-    )
-    texts: list[str] = []
-    y: list[int] = []
+    source = docs.select("doc_id", "text").where(~held_out() & (F.char_length("text") <= max_chars))
+    # Only ids and lengths meet the labels; the texts of the chosen rows, at
+    # most 2 * rows of them, are fetched by their ids afterwards.
+    known = source.select("doc_id").join(slim, F.col("doc_id") == F.col("_id"))
+    chosen = []
     for value in (0, 1):
-        # A bounded heap in each task; ties cannot differ in what matters.
-        for row in known.where(F.col("_y") == value).orderBy("_order", "doc_id").limit(rows).collect():
-            texts.append(row["text"])
-            y.append(value)
-    return texts, np.array(y, np.float32)
+        chosen += known.where(F.col("_y") == value).select("doc_id", "_y").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()
+    if not chosen:
+        return [], np.zeros(0, np.float32)
+    wanted = docs.sparkSession.createDataFrame([(r["doc_id"], r["_y"]) for r in chosen], "_id long, _y int")
+    held = source.join(F.broadcast(wanted), F.col("doc_id") == F.col("_id")).select("doc_id", "_y", "text").collect()
+    held.sort(key=lambda r: (r["_y"], r["doc_id"], r["text"]))
+    return [r["text"] for r in held], np.array([r["_y"] for r in held], np.float32)
 
 
 def softened(logit: np.ndarray) -> np.ndarray:
