@@ -34,6 +34,7 @@ def _induce_buckets(t: np.ndarray, small: np.ndarray, lms: np.ndarray, sizes: np
     n, ends = len(t), np.cumsum(sizes)
     starts = ends - sizes
     sa = np.full(n, -1, np.int64)
+    t = t.astype(np.uint16)  # numpy sorts short integers by radix
 
     def placed(p: np.ndarray, at: np.ndarray, forward: bool) -> None:
         """Append each place to its bucket, in order."""
@@ -81,26 +82,30 @@ def _induce_buckets(t: np.ndarray, small: np.ndarray, lms: np.ndarray, sizes: np
 
 def _induce_elements(t: np.ndarray, small: np.ndarray, lms: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     n, ends = len(t), np.cumsum(sizes)
-    text, is_small, sa = t.tolist(), small.tolist(), [-1] * n
+    sa = [-1] * n
     tails = ends.tolist()
-    for p in lms[::-1].tolist():
-        c = text[p]
+    for p, c in zip(lms[::-1].tolist(), t[lms[::-1]].tolist()):
         tails[c] -= 1
         sa[tails[c]] = p
+    # The value left of each place if that place is induced in the scan, else
+    # -1; the entry behind the last is for empty slots.  Scans see the slots
+    # that they fill ahead of them.
+    left = np.concatenate(([-1], t[:-1]))
+    left_small = np.concatenate(([False], small[:-1]))
+    larger = np.append(np.where(left_small, -1, left), -1).tolist()
     heads = (ends - sizes).tolist()
-    for i in range(n):
-        p = sa[i] - 1
-        if p >= 0 and not is_small[p]:
-            c = text[p]
-            sa[heads[c]] = p
+    for p in sa:
+        c = larger[p]
+        if c >= 0:
+            sa[heads[c]] = p - 1
             heads[c] += 1
+    smaller = np.append(np.where(left_small, left, -1), -1).tolist()
     tails = ends.tolist()
-    for i in range(n - 1, -1, -1):
-        p = sa[i] - 1
-        if p >= 0 and is_small[p]:
-            c = text[p]
+    for p in reversed(sa):
+        c = smaller[p]
+        if c >= 0:
             tails[c] -= 1
-            sa[tails[c]] = p
+            sa[tails[c]] = p - 1
     return np.array(sa, np.int64)
 
 

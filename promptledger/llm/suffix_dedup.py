@@ -43,8 +43,8 @@ from .shingles import mixed
 from .suffix_arrays import permuted_prefixes, suffix_array
 
 LENGTH, GRAM = 100, 32
-MAX_SEGMENTS = 2048
 SHARD_BYTES = 3_000_000
+MAX_SEGMENTS = SHARD_BYTES // (2 * LENGTH - GRAM + 1)  # what fits a shard at a segment's greatest length
 PIECE = 1 << 20
 
 _U = np.uint64
