@@ -57,7 +57,10 @@ def agent_policy(df: DataFrame, policies: DataFrame | None = None, agent: str =
     ready = normalize_policies(policies)
     row = ready.where(F.col("agent_id") == DEFAULT_AGENT).select(F.to_json("policy", {"ignoreNullFields": "false"})).take(1)
     fallback = F.from_json(F.lit(row[0][0]), POLICY) if row else builtin_policy()
-    side = broadcast_if_small(ready.select(F.col("agent_id").alias("_agent"), "policy"))
+    # One row per agent, always the same one, so that a request is never doubled.
+    whole = F.to_json("policy", {"ignoreNullFields": "false"})
+    side = ready.select(F.col("agent_id").alias("_agent"), whole.alias("_json")).groupBy("_agent").agg(F.min("_json").alias("_json"))
+    side = broadcast_if_small(side.select("_agent", F.from_json("_json", POLICY).alias("policy")))
     joined = df.join(side, F.col(agent) == F.col("_agent"), "left").drop("_agent")
     return joined.withColumn("policy", F.coalesce("policy", fallback))
 
