@@ -208,12 +208,13 @@ class Pieces:
         """Fresh segments to which the library gives other ids; they are corrected."""
         segments, self.fresh = self.fresh, {}
         names = list(segments)
-        blank = [s for s in names if s[0] == " "]
-        rest = [s for s in names if s[0] != " "]
+        # A lone blank has no text of its own behind the leading blank: it is compared in context, too.
+        blank = [s for s in names if s[0] == " " and s != " "]
+        rest = [s for s in names if s[0] != " " or s == " "]
         wanted = dict(zip(blank, self.library.encode([s[1:] for s in blank], num_threads=1)))
         if rest:
             # The leading blank and a cut character come first, then the segment as it stands.
-            lead = self.cuts[0]
+            lead = self.cuts[:1] or "a"
             skip = len(self.library.encode(lead))
             wanted |= {s: ids[skip:] for s, ids in zip(rest, self.library.encode([lead + s for s in rest], num_threads=1))}
         wrong = [s for s in names if wanted[s] != segments[s]]

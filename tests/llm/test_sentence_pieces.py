@@ -39,6 +39,16 @@ def test_differences_from_the_library_are_corrected(vocabulary, monkeypatch):
     assert corrected[0] == 2
 
 
+def test_lone_blanks_stay_right_in_later_batches():
+    v = sp.Pieces(sp.default_model())
+    texts = ["\nx", "\tx", "a ", "a \nb", "a \tb", " ", "\n", "x \n y "]
+    want = [[*v.library.encode(t), v.end] for t in texts]
+    for _ in range(2):
+        rows, corrected = v.encode_texts(texts)
+        assert rows == [(len(ids), " ".join(map(str, ids)), v.library.decode(ids)) for ids in want]
+        assert corrected == [0] * len(texts)
+
+
 def test_table(spark, docs, vocabulary):
     rows = [(k, t) for k, t in enumerate(ODD)] + [(0, "again"), (0, "again"), (None, "no id")]
     got = {(r.doc_id, r.ids_sha256, r.n_tokens, r.decoded_sha256, r.n_corrected) for r in sp.op1_sentencepiece(docs(rows, True)).collect()}
