@@ -6,15 +6,21 @@ similarity of an item and a window of a document is the weighted Jaccard
 similarity of their shingles, a shingle weighing as often as it occurs.
 
 1.  A window that shares no shingle with an item has similarity 0 to it, so
-    windows are laid where a shingle of some item occurs, shifted by the place
-    of the shingle in the item and as many words long as the item.
+    windows are laid where a shingle of some item occurs, as many words long as
+    the item: shifted by the place of the shingle in the item, beginning with
+    the shingle, and ending with it.  Moving any window right to its first
+    shared shingle loses none, so one of the best windows of all starts begins
+    with one.  Windows that begin or end with a shared shingle are left out
+    where fewer shared places lie in them than a match needs.
 2.  Each window and each item gets a 64-bit SimHash of its words.
 3.  Fingerprints are cut into six blocks.  Two fingerprints at most 17 bits
     apart differ by at most two bits in some block, so items are indexed under
     every value at most two bits from theirs in each block, and windows look up
     their six values among items of their length: no fingerprint within the
     radius is missed.
-4.  The candidates' shingle counts are compared exactly.
+4.  The candidates' shingle counts are compared exactly.  The best window is the
+    most similar one; among equals one laid by the place in the item, then the
+    first.
 
 Defined cases: null or empty texts and items match nothing; rows without an id
 are never reported and always kept; repeated rows are reported once; a window
@@ -104,6 +110,23 @@ def _index(items: DataFrame) -> DataFrame:
     )
 
 
+def _dense(seen: DataFrame, percent: int) -> DataFrame:
+    """``doc, start, size`` of the windows that begin or end with a shared place and hold enough of them to match.
+
+    ``seen`` has ``doc, size, at``: where shingles of items of that many words occur.  A match has at least
+    ``percent`` of its item's shingles in common, each at a place of its own.
+    """
+    places = seen.groupBy("doc", "size").agg(F.sort_array(F.collect_set("at")).alias("places"))
+    wide = F.greatest(F.col("size") - SHINGLE_WORDS, F.lit(0))
+    k = F.ceil((wide + 1) * percent / 100).cast("int")
+    first, last = F.slice("places", F.lit(1), F.size("places") - k + 1), F.slice("places", k, F.size("places") - k + 1)
+    spans = F.when(F.size("places") >= k, F.arrays_zip(first.alias("lo"), last.alias("hi")))
+    # ``k`` places in a row within one window: it begins with the first of them, or ends with the last.
+    near = places.select("doc", "size", wide.alias("wide"), F.explode(spans).alias("p")).where(F.col("p.hi") - F.col("p.lo") <= F.col("wide"))
+    ends = F.array(F.col("p.lo"), F.greatest(F.col("p.hi") - F.col("wide"), F.lit(0)))
+    return near.select("doc", F.explode(ends).alias("start"), "size")
+
+
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     item_col: str = "item_id", item_text_col: str = "text", percent: int = SIMILARITY_PERCENT,
@@ -124,18 +147,20 @@ def find_leaks(
     for width in short:
         seen = seen.unionByName(read.select("doc", F.posexplode(_shingles(F.col("held"), width)).alias("at", "shingle")))
     start = F.greatest(F.col("at") - F.col("offset"), F.lit(0))
-    windows = written(
-        seen.join(_small(laid), "shingle").select("doc", start.alias("start"), "size").distinct()
+    met = written(seen.join(_small(laid), "shingle").select("doc", start.alias("start"), "size", "at").distinct())
+    windows = met.select("doc", "start", "size", F.lit(1).alias("placed")).unionByName(
+        _dense(met.select("doc", "size", "at").distinct(), percent).withColumn("placed", F.lit(0))
     )
+    windows = written(windows.groupBy("doc", "start", "size").agg(F.max("placed").alias("placed")))
     cut = written(
         read.join(_small(windows.withColumnRenamed("doc", "d")), F.col("doc") == F.col("d"))
-        .select("doc", "start", "size", F.slice("held", F.col("start") + 1, F.col("size")).alias("held"))
+        .select("doc", "start", "size", "placed", F.slice("held", F.col("start") + 1, F.col("size")).alias("held"))
         .where(F.size("held") > 0)
         .withColumn("version", F.xxhash64("held")).distinct()
     )
 
     # 2. Fingerprints.
-    keys = ["doc", "start", "size", "version"]
+    keys = ["doc", "start", "size", "placed", "version"]
     prints = _fingerprints(cut, keys, "held")
     item_key = items.withColumn("version", F.xxhash64("held"))
     indexed = _index(_fingerprints(item_key, ["item", "size", "version"], "held"))
@@ -163,7 +188,7 @@ def find_leaks(
     )
     union = F.col("all_n") + F.col("all_m") - F.col("common")
     matched = common.where(100 * F.col("common") >= percent * union).withColumn("similarity", F.col("common") / union)
-    best = F.max(F.struct("similarity", (-F.col("start")).alias("s"), "size", (-F.col("distance")).alias("d")))
+    best = F.max(F.struct("similarity", "placed", (-F.col("start")).alias("s"), "size", (-F.col("distance")).alias("d")))
     return matched.groupBy("doc", "item").agg(best.alias("b")).select(
         "doc", "item", (-F.col("b.s")).alias("start"), F.col("b.size").alias("n_words"), F.col("b.similarity").alias("similarity"),
         (-F.col("b.d")).alias("distance"),

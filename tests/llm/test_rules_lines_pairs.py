@@ -182,6 +182,31 @@ def test_leaks(spark, docs):
     assert dc.find_leaks(table, bench.limit(0)).count() == 0 and dc.find_leaks(docs([]), bench).count() == 0
 
 
+def test_leaks_between_the_starts_that_shingles_point_to(spark, docs):
+    """Copies changed at both ends with words put in the middle, against every start by brute force."""
+    rnd = random.Random(12)
+    say = lambda n: [f"v{rnd.randrange(5000)}" for _ in range(n)]
+    items, rows = [], []
+    for k, (size, put) in enumerate([(59, 3), (50, 2), (59, 2), (40, 1), (200, 5)]):
+        w = say(size)
+        items.append(w)
+        rows.append((k, say(30) + ["first"] + w[1 : size // 2] + say(put) + w[size // 2 : -1] + ["last"] + say(30)))
+        rows.append((k + 20, w[1 : size // 2] + say(put) + w[size // 2 : -2]))
+    counted = lambda w: collections.Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+    want = {}
+    for d, held in rows:
+        for k, w in enumerate(items):
+            m = counted(w)
+            every = (counted(held[s : s + len(w)]) for s in range(len(held)))
+            best = max((n & m).total() / (n | m).total() for n in every)
+            if best >= 0.75:
+                want[d, k] = best
+    assert {(0, 0), (1, 1)} <= set(want)
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc, r.item): r.similarity for r in dc.find_leaks(docs([(d, " ".join(w)) for d, w in rows]), bench).collect()}
+    assert got == want
+
+
 def test_index_meets_every_fingerprint_within_the_radius(spark):
     rnd = random.Random(1)
     base = rnd.getrandbits(64)
