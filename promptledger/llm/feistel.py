@@ -2,7 +2,11 @@
 
 Values are found by one pattern and validated by kind: card numbers by their
 check digit, account numbers (IBAN) by their remainder, social security
-numbers, addresses and dates by their ranges.  A valid value is replaced by its
+numbers, addresses and dates by their ranges.  Card and account numbers may have
+other groups of digits or capitals next to them: every run of whole groups is
+tried from every group on, and only the valid ones enter the pattern of their
+text, the longest of a place first; a card number in usual groups goes before
+one in unusual groups that would reach into it.  A valid value is replaced by its
 image under a keyed permutation of all values of its format, built as a
 Feistel network: two halves in turn are shifted by a keyed digest of the other
 half, each character within its own class.  The permutation depends on key,
@@ -51,7 +55,16 @@ PATTERNS: dict[str, str] = {
     "card": r"(?<![\w\-])\d(?:[ \-]?\d){12,18}(?![\w\-])",
     "ip": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+# Where a card or account number may start and the longest run from there.
+RUNS: dict[str, str] = {
+    "iban": r"\b(?=([A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?))",
+    "card": r"(?:(?<![\w\-])|(?<=\d-))(?=(\d(?:[ \-]?\d){12,18}))",
+}
+# What stands before and after one.
+EDGES: dict[str, tuple[str, str]] = {"iban": (r"\b", r"\b"), "card": (r"(?:(?<![\w\-])|(?<=\d-))", r"(?:(?![\w\-])|(?=-\d))")}
+USUAL_CARD = r"^(?:\d{13,19}|\d{4}([ \-])\d{4}\1\d{4}\1\d{4}(?:\1\d{1,3})?|\d{4}([ \-])\d{6}\2\d{4,5})$"
+SHORTEST = 12  # characters of any of them
+NEVER = r"(?!)"
 
 FIRST_DAY, DAYS_LEFT, DAYS_RIGHT = "1900-01-01", 229, 319  # 229 * 319 days end with 2099-12-31
 
@@ -264,6 +277,39 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
     return out.otherwise(value)
 
 
+def _valid_runs(kind: str, text: Column) -> Column:
+    """The different valid values of ``kind`` in ``text``, from every place on, the longest first."""
+    longest = F.array_distinct(F.regexp_extract_all(text, F.lit(RUNS[kind]), F.lit(1)))
+
+    def heads(run: Column) -> Column:
+        ends = F.filter(
+            F.sequence(F.lit(SHORTEST), F.length(run)), lambda n: ~F.substr(run, n, F.lit(2)).rlike("^(?:[A-Z0-9]{2}|[ \\-])")
+        )
+        return F.transform(ends, lambda n: F.substr(run, F.lit(1), n))
+
+    whole = F.filter(F.array_distinct(F.flatten(F.transform(longest, heads))), lambda v: v.rlike(f"^(?:{PATTERNS[kind]})$"))
+    sized = F.transform(F.filter(whole, lambda v: is_valid(kind, v)), lambda v: F.struct((-F.length(v)).alias("n"), v.alias("v")))
+    return F.transform(F.array_sort(sized), lambda x: x["v"])
+
+
+def _pattern(ibans: Column, cards: Column) -> Column:
+    """The pattern of all candidates, with these account and card numbers in it; they need no escapes."""
+
+    def one_of(kind: str, values: Column) -> Column:
+        before, after = EDGES[kind]
+        return F.when(F.size(values) > 0, F.concat(F.lit(before + "(?:"), F.array_join(values, "|"), F.lit(")" + after))).otherwise(NEVER)
+
+    usual = F.filter(cards, lambda v: v.rlike(USUAL_CARD))
+
+    def clear_of_usual(v: Column) -> Column:
+        ahead = F.concat(F.lit("(?!.{1,"), (F.length(v) - 1).cast("string"), F.lit("}"), one_of("card", usual), F.lit(")"), v)
+        return F.when(v.rlike(USUAL_CARD) | (F.size(usual) == 0), v).otherwise(ahead)
+
+    held = {"iban": one_of("iban", ibans), "card": one_of("card", F.transform(cards, clear_of_usual))}
+    parts = [F.concat(F.lit("(?:"), held.get(k, F.lit(p)), F.lit(")")) for k, p in PATTERNS.items()]
+    return F.concat_ws("|", *parts)
+
+
 def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, text_col: str = "text", found_col: str | None = None) -> DataFrame:
     """``docs`` with valid values in ``text_col`` replaced.
 
@@ -273,17 +319,21 @@ def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, text_col: str = "text"
     p = clear_of(docs.columns, "_pii_")
     text = F.col(text_col)
     none = F.array().cast("array<string>")
+    # Generators, so that the values, the patterns and the hits are computed once.
+    runs = F.struct(*(F.coalesce(_valid_runs(kind, text), none).alias(kind) for kind in RUNS))
+    held = docs.select("*", F.explode(F.array(runs)).alias(p + "runs"))
+    pattern = _pattern(F.col(p + "runs")["iban"], F.col(p + "runs")["card"])
+    held = held.select("*", F.explode(F.array(pattern)).alias(p + "pattern"))
     # Every candidate holds a digit, an @, an equals sign or a colon.
-    hits = F.when(text.rlike("[0-9@=:]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(none)
-    # A generator, so that the hits are computed once.
-    held = docs.select("*", F.explode(F.array(F.coalesce(hits, none))).alias(p + "hits"))
+    hits = F.when(text.rlike("[0-9@=:]"), F.regexp_extract_all(text, F.col(p + "pattern"), F.lit(0))).otherwise(none)
+    held = held.select("*", F.explode(F.array(F.coalesce(hits, none))).alias(p + "hits"))
     judged = F.transform(F.col(p + "hits"), lambda h: F.struct(h.alias("value"), kind_of(h).alias("kind")))
     held = held.select("*", F.explode(F.array(judged)).alias(p + "judged"))
     made = F.transform(
         F.col(p + "judged"), lambda j: F.struct(j["kind"].alias("kind"), pseudonym(j["value"], j["kind"], key).alias("pseudonym"))
     )
     held = held.select("*", F.explode(F.array(made)).alias(p + "made"))
-    gaps = F.split(text, ANY, -1)
+    gaps = F.split(text, F.col(p + "pattern"), -1)
     pieces = F.zip_with(F.slice(gaps, 1, F.size(p + "made")), F.col(p + "made"), lambda g, m: F.concat(g, m["pseudonym"]))
     new = F.concat(F.array_join(pieces, ""), F.element_at(gaps, -1))
     out = {c: F.col(c) for c in docs.columns}

@@ -248,6 +248,23 @@ def test_pseudonyms_keep_the_format(docs):
     assert pseudonyms(docs, VALID, "other") != out
 
 
+def test_values_next_to_other_digits_and_capitals(docs):
+    card, iban = "4111 1111 1111 1111", "BE68 5390 0754 7034"
+    texts = [f"card {card} 12/25", "4111111111111111 737", f"item 3 {card}", f"{iban} CALL", f"{iban} PLEASE", f"XY12 {iban}", f"AB12 {card}",
+             f"1234 5678 9012 {card}", f"12-{card.replace(' ', '-')}-99", f"{card} 415-555-0132", f"{iban} 2024-01-05", f"12 {card}", f"{card}, {iban} A1"]
+    secrets = [card, card.replace(" ", ""), card.replace(" ", "-"), iban, "415-555-0132", "2024-01-05"]
+    out = {r.doc_id: r for r in fp.pseudonymise(docs(list(enumerate(texts)) + [(90, "1" * 20_000), (91, "4 " * 20_000)]), found_col="found").collect()}
+    for k, t in enumerate(texts):
+        held = [v for v in secrets if v in t]
+        assert held and not any(v in out[k].text for v in held), (t, out[k].text)
+        assert len(out[k].found) == len(held), (t, out[k].found)
+        left = re.escape(t)
+        for v in held:
+            left = left.replace(re.escape(v), r"[A-Z0-9 \-]+")
+        assert re.fullmatch(left, out[k].text), (t, out[k].text)
+    assert out[90].text == "1" * 20_000
+
+
 def test_equal_values_stay_linked_and_different_ones_apart(docs):
     rnd = random.Random(4)
     dates = [f"{y}-{m:02}-{d:02}" for y in (1999, 2000) for m in range(1, 13) for d in range(1, 29)]
