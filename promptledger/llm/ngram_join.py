@@ -20,7 +20,9 @@ sets are one class; only one of a class takes part.
     neighbours in both sorted lists of frequent tokens.  So the prefix is
     extended to all frequent tokens, and pairs of neighbours are the
     signatures: those within the first 4/7 of all pairs, plus one, by hash.
-4.  *Candidates* are not all pairs of a signature's documents.  Each document
+4.  *Candidates* of ``links`` are all pairs of a signature's documents of fitting
+    sizes; groups of frequent signatures are dealt over pairs of blocks.
+    ``near_duplicates`` wants components only and does not take all pairs.  Each document
     is paired with the signature's hub (the document with most shared tokens).
     Verified links give components, and only documents of one signature that
     are then still in different components are paired.
@@ -28,18 +30,22 @@ sets are one class; only one of a class takes part.
     difference from below; pairs that it leaves are intersected exactly.
 
 Components need no more than that: a link between documents that are in one
-component already cannot change it.
+component already cannot change it.  ``links`` verifies every pair of classes,
+so its cost grows with the number of links, which is the square of a group of
+different near copies.
 
 Defined cases: a null or empty text has no shingle, its own component, and
 links with nothing; documents without an id are in no component (null); rows
 that repeat an id must repeat its text, else the id has the links of all its
-texts; an empty table gives an empty result; other columns pass through.
+texts (in ``n_links`` and ``links`` those of the classes it stands for); an
+empty table gives an empty result; other columns pass through.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -199,16 +205,24 @@ def _verified(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
     return full.select("a", "b", "tokens_a", "tokens_b").mapInArrow(linked, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc, n, component`` of every row of ``docs`` with an id."""
+class _Candidates(NamedTuple):
+    sets: DataFrame  # doc, n, class, prefix of every row with an id
+    classes: DataFrame  # class, n, first, rows
+    tokens: DataFrame  # of one document of each class that can have a partner
+    hubs: DataFrame  # sig, hub, rows of signatures that documents share
+    held: DataFrame  # sig, doc, hub
+
+
+def _candidates(docs: DataFrame, id_col: str, text_col: str) -> _Candidates:
+    """Steps 1 to 3."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     id_col, text_col = "id", "text"
     sets = written(_sets(docs.where(F.col(id_col).isNotNull()), id_col, text_col))
 
     # One document of each class of equal sets; an id that repeats is one node all the same.
     classes = written(sets.where("n > 0").groupBy("class", "n").agg(F.min("doc").alias("first"), F.count("*").alias("rows")))
-    copies = sets.where("n > 0").select("doc", "class").join(classes.where("rows > 1"), "class").where("doc <> first").select("doc").distinct()
-    single = sets.where("n > 0").join(copies, "doc", "left_anti")
+    copies = sets.where("n > 0").select("doc", "class").join(classes.where("rows > 1"), "class").where("doc <> first").select("doc", "class").distinct()
+    single = sets.where("n > 0").join(copies, ["doc", "class"], "left_anti")
 
     # 1. Documents that can have a partner.
     shared = written(single.select(F.explode("prefix").alias("token")).groupBy("token").count().where("count > 1").select("token"))
@@ -230,18 +244,72 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signatures = _signatures(tokens, frequent)
     # A signature of one document finds nothing.
     hubs = written(
-        signatures.groupBy("sig").agg(F.max(F.struct("hub", -F.col("doc"))).alias("hub"), F.min("doc").alias("lo"), F.max("doc").alias("hi"))
-        .where("lo <> hi").select("sig", (-F.col("hub.col2")).alias("hub"))
+        signatures.groupBy("sig").agg(F.max(F.struct("hub", -F.col("doc"))).alias("hub"), F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("rows"))
+        .where("lo <> hi").select("sig", (-F.col("hub.col2")).alias("hub"), "rows")
+    )
+    return _Candidates(sets, classes, tokens, hubs, written(signatures.select("sig", "doc").join(hubs.select("sig", "hub"), "sig")))
+
+
+def _links(found: _Candidates) -> DataFrame:
+    """The pairs ``a, b`` of class heads that link, each once."""
+    # A document of a signature of k blocks meets each block once: on the left as (own, other), on the right as (other, own).
+    blocks = F.ceil(F.col("rows") / FREQUENT).cast("int")
+    sized = found.held.select("sig", "doc").join(found.hubs.select("sig", blocks.alias("blocks")), "sig").join(
+        found.tokens.select("doc", "n").distinct(), "doc"
     )
-    held = written(signatures.select("sig", "doc").join(hubs, "sig"))
+    own, every = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = sized.select("sig", F.col("doc").alias("a"), F.col("n").alias("n_a"), own.alias("i"), every.alias("j"))
+    right = sized.select("sig", F.col("doc").alias("b"), F.col("n").alias("n_b"), every.alias("i"), own.alias("j"))
+    fits = (4 * F.col("n_a") >= 3 * F.col("n_b")) & (4 * F.col("n_b") >= 3 * F.col("n_a"))
+    pairs = left.join(right, ["sig", "i", "j"]).where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
+    return _verified(written(pairs), found.tokens).distinct()
+
+
+def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The pairs ``a, b`` of class heads that link, and ``doc, head`` of every document that has a shingle.
+
+    Documents link when their heads are the same or a pair.
+    """
+    found = _candidates(docs, id_col, text_col)
+    return _links(found), _heads(found).distinct()
+
+
+def _heads(found: _Candidates) -> DataFrame:
+    return found.sets.where("n > 0").select("doc", "class").join(found.classes.select("class", F.col("first").alias("head")), "class").select("doc", "head")
+
+
+def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc, n, component, n_links`` of every row of ``docs`` with an id: the other documents that it links with, counted."""
+    found = _candidates(docs, id_col, text_col)
+    pairs = written(_links(found))
+    sizes = written(_heads(found).distinct().groupBy("head").agg(F.count("*").alias("size")))
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.join(sizes.withColumnRenamed("head", "b"), "b").groupBy("a").agg(F.sum("size").alias("near")).withColumnRenamed("a", "head")
+    counts = sizes.join(near, "head", "left").select("head", (F.col("size") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
+    placed = _placed(found, pairs).join(counts, F.col("first") == F.col("head"), "left")
+    return placed.select("doc", "n", "component", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def _placed(found: _Candidates, pairs: DataFrame) -> DataFrame:
+    """``doc, n, first, component`` of every row; a class has the component of its first document, its smallest."""
+    of = components(pairs)
+    placed = found.sets.select("doc", "n", "class").join(found.classes.select("class", "first"), "class", "left")
+    placed = placed.join(of, F.col("first") == F.col("node"), "left")
+    return placed.select("doc", "n", "first", F.coalesce("component", "first", "doc").alias("component"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc, n, component`` of every row of ``docs`` with an id."""
+    candidates = _candidates(docs, id_col, text_col)
+    held, tokens = candidates.held, candidates.tokens
 
     # 4. and 5. First with the hubs, then between components.
     def ordered(x: str, y: str) -> list:
         return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
     pairs = written(held.where("doc <> hub").select(*ordered("doc", "hub")).distinct())
-    links = written(_verified(pairs, tokens))
-    found = written(components(links))
+    starred = written(_verified(pairs, tokens))
+    found = written(components(starred))
     label = held.select("sig", "doc").join(found.withColumnRenamed("node", "doc"), "doc", "left").select(
         "sig", "doc", F.coalesce("component", "doc").alias("at")
     )
@@ -251,11 +319,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     across = still.join(other, "sig").where("at < at2").select(*ordered("doc", "doc2")).distinct()
     more = _verified(written(across.join(pairs, ["a", "b"], "left_anti")), tokens)
 
-    # A class has the component of its first document, which is its smallest.
-    of = components(links.unionByName(more))
-    placed = sets.select("doc", "n", "class").join(classes.select("class", "first"), "class", "left")
-    placed = placed.join(of, F.col("first") == F.col("node"), "left")
-    return placed.select("doc", "n", F.coalesce("component", "first", "doc").alias("component"))
+    return _placed(candidates, starred.unionByName(more)).select("doc", "n", "component")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -266,6 +330,6 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def op9_ngram_join(docs: DataFrame) -> DataFrame:
-    """doc_id, number of distinct shingles and component of every document."""
-    out = near_duplicates(docs)
-    return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    """doc_id, number of distinct shingles, component and number of links of every document."""
+    out = linked_documents(docs)
+    return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "n_links")

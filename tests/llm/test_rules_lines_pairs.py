@@ -144,6 +144,21 @@ def test_join(docs, monkeypatch, frequent):
     assert got == plain_components(rows)
 
 
+def test_every_link_is_counted_and_returned(docs, monkeypatch):
+    monkeypatch.setattr(nj, "FREQUENT", 8)
+    rows = near_rows(21, 25)
+    rows += [(1000 + d, t) for d, t in rows[:30]]
+    w = {d: words(lower(t or "")) for d, t in rows}
+    sets = {d: {tuple(x[i : i + 5]) for i in range(max(1, len(x) - 4))} for d, x in w.items() if x}
+    want = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    count = collections.Counter(d for pair in want for d in pair)
+    table = docs(rows)
+    assert {r.doc_id: r.n_links for r in nj.op9_ngram_join(table).collect()} == {d: count[d] for d, _ in rows}
+    pairs, heads = nj.links(table)
+    pairs, head = {(r.a, r.b) for r in pairs.collect()}, {r.doc: r.head for r in heads.collect()}
+    assert {(a, b) for a in head for b in head if a < b and (head[a] == head[b] or tuple(sorted((head[a], head[b]))) in pairs)} == want
+
+
 def test_join_odd_tables(docs):
     text = " ".join(f"t{k}" for k in range(30))
     rows = [(None, text), (4, text), (4, text), (2, text + " z"), (9, None)]
