@@ -16,6 +16,7 @@ from .quality_model import op3_quality_classifier
 from .quality_rules import OP10_SQL, op10_quality_rules
 from .sentence_pieces import op1_sentencepiece
 from .suffix_dedup import op2_suffix_dedup
+from .token_alignment import op13_token_alignment
 from .toxicity_model import op4_toxicity
 
 
@@ -38,6 +39,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": _documents(op8_pii),
     "op9_ngram_join": _documents(op9_ngram_join),
     "op10_quality_rules": _documents(op10_quality_rules),
+    "op13_token_alignment": _documents(op13_token_alignment),
 }
 
 ORACLES: dict[str, str] = {
