@@ -14,6 +14,7 @@ from .line_dedup import OP7_SQL, op7_line_dedup
 from .ngram_join import op9_ngram_join
 from .quality_model import op3_quality_classifier
 from .quality_rules import OP10_SQL, op10_quality_rules
+from .ranked_search import OP11_SQL, op11_ranked_search
 from .sentence_pieces import op1_sentencepiece
 from .suffix_dedup import op2_suffix_dedup
 from .token_alignment import op13_token_alignment
@@ -39,6 +40,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": _documents(op8_pii),
     "op9_ngram_join": _documents(op9_ngram_join),
     "op10_quality_rules": _documents(op10_quality_rules),
+    "op11_ranked_search": op11_ranked_search,
     "op13_token_alignment": _documents(op13_token_alignment),
 }
 
@@ -47,4 +49,5 @@ ORACLES: dict[str, str] = {
     "op6_decontamination": OP6_SQL,
     "op7_line_dedup": OP7_SQL,
     "op10_quality_rules": OP10_SQL,
+    "op11_ranked_search": OP11_SQL,
 }
