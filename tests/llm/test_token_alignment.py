@@ -18,7 +18,7 @@ from promptledger.llm.queries import QUERIES
 SF = "/root/testdata/sf0.001"
 TEXTS = [
     None, "", " ", "\n", "a", "The cat sat.\nThe cat sat again, twice.", "a  b   c    d ", "<|endoftext|> and </s> <s> <unk>", "x ▁ y",
-    "é\U0001f600ａ 你好", "\x00\x01 tab\tnew\r\n", "a" * 5000, "é" * 3000, "-=" * 900 + " " * 700 + "z", "The cat sat.\nThe cat sat again, twice.",
+    "é\U0001f600ａ 你好", "\x00\x01 tab\tnew\r\n", "a" * 5000, "é" * 3000, "-=" * 900 + " " * 700 + "z", "\n " * 40_000 + "y", "The cat sat.\nThe cat sat again, twice.",
 ]
 
 
@@ -85,6 +85,16 @@ def test_whole_table(spark):
     assert got(QUERIES["op13_token_alignment"](spark, SF)) == sorted(plain(rows), key=str)
 
 
+def test_ids_of_a_are_the_librarys():
+    vocabularies = alignment.Vocabularies(*alignment.default_files())
+    rng = random.Random(11)
+    parts = [" ", "  ", "\n", "\t", " the", " THE's", "don't", " é", "ñandú", "ß", "İ", "ⁿ", "º", "1", " 22", ".", ", ", "!?", "\r\n", "\u00a0", "\x85", "\u3000", "\x1c", "_", "'s", " 's", "中", "<|endoftext|>", "a" * 50]
+    for _ in range(60):
+        texts = ["".join(rng.choices(parts, k=rng.randint(0, 30))) for _ in range(40)]
+        want = [e.ids for e in vocabularies.a.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+        assert list(vocabularies._ids_of_a(texts)) == want
+
+
 @pytest.mark.parametrize("lane", [1, 3, 512])
 def test_merge_random(lane, monkeypatch):
     monkeypatch.setattr(alignment, "LANE", lane)
