@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat_format import OP5_SQL, op5_chat_format
 from .common import table
 from .decontaminate import OP6_SQL, op6_decontamination
+from .fast_sketch import op12_fast_sketch
 from .feistel import op8_pii
 from .line_dedup import OP7_SQL, op7_line_dedup
 from .ngram_join import op9_ngram_join
@@ -41,6 +42,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ngram_join": _documents(op9_ngram_join),
     "op10_quality_rules": _documents(op10_quality_rules),
     "op11_ranked_search": op11_ranked_search,
+    "op12_fast_sketch": _documents(op12_fast_sketch),
     "op13_token_alignment": _documents(op13_token_alignment),
 }
 
