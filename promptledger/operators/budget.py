@@ -6,18 +6,20 @@ key this is a fold.  Keys of at most ``FOLD_ROWS`` rows are folded: rows are
 shuffled and sorted by key, and each partition streams through, holding one
 number.  A larger key is never handled by one task:
 
-1.  One running sum of all its costs, taken over range partitions, is exact up
-    to the key's first refusal, and settles a key that stays within budget.
+1.  One running sum of all its costs, taken over range partitions (chunks), is
+    exact up to the key's first refusal, and settles a key that stays within
+    budget.
 2.  Spend never falls, so a later row whose limit (budget - estimate) is below
     the spend at that refusal is refused outright.
-3.  What is left is settled in rounds.  With spend ``a`` and smallest budget
-    ``B`` take ``w = ceil((B - a) / 2)``.  While the spend is in ``[a, a + w)``
-    rows with a limit of at least ``a + w - 1`` are admitted for certain, and
-    any other admitted row costs at least ``w`` and so ends the round.  The end
-    of a round is the first row where either happens: a running sum and a
-    ``min``.  Each round halves the headroom, so there are about
-    log2(budget in micro-dollars) rounds per distinct budget.
-4.  As soon as no key has more than ``FOLD_ROWS`` rows left, they are folded.
+3.  What is left of each chunk becomes a step function from the spend before
+    it to the spend behind it (``spend``).  All chunks are done at once.
+4.  The functions are applied in order, one after the other.  They may have as
+    many pieces as rows, so this is done twice: first with outlines of bounded
+    size, which give every chunk a narrow range that its spend lies in, then
+    with the pieces in that range, which give the spend.
+5.  Knowing its spend, every chunk is folded by itself.
+
+The number of jobs does not depend on rows, costs or budgets.
 
 Money is counted in whole micro-dollars, so every order of summation agrees.
 """
@@ -28,15 +30,16 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.prices import micros_to_money
 from ..storage import broadcast_if_small, materialize
 from .ordered import CHUNK, cut_into_chunks, running_sum
+from .spend import NO_LIMIT, Outline, Steps, of_rows, outline
 
 FOLD_ROWS = 200_000
-MAX_ROUNDS = 400
 
 _ORDER = ["_ts", "_id"]
 
@@ -81,14 +84,17 @@ def budget_gate(
         slim = slim.withColumn("_spend", F.lit(0).cast("long"))
 
     # There are at most (rows / fold_rows) large keys.
-    large = slim.groupBy(F.col("_key").alias("_k")).count().where(F.col("count") > fold_rows).select("_k")
+    large = slim.groupBy(F.col("_key").alias("_k")).count().where(F.col("count") > fold_rows)
     large = materialize(large, "large-keys")
-    if large.isEmpty():
+    rows = large.agg(F.sum("count")).first()[0]
+    if rows is None:
         decided = _fold(slim)
     else:
         is_large = F.col("_key").eqNullSafe(F.col("_k"))
-        large = broadcast_if_small(large)
-        decided = _gate_large(slim.join(large, is_large, "left_semi"), fold_rows, chunks).unionByName(
+        large = broadcast_if_small(large.select("_k"))
+        # Chunks of bounded size, however many rows there are.
+        chunks = chunks or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // FOLD_ROWS))
+        decided = _gate_large(slim.join(large, is_large, "left_semi"), chunks).unionByName(
             _fold(slim.join(large, is_large, "left_anti"))
         )
     return decided.select(
@@ -96,7 +102,7 @@ def budget_gate(
     )
 
 
-def _gate_large(slim: DataFrame, fold_rows: int, chunks: int | None) -> DataFrame:
+def _gate_large(slim: DataFrame, chunks: int) -> DataFrame:
     """Decide the rows of large keys: ``_id, _before, _over``."""
     rows = cut_into_chunks(slim.withColumnRenamed("_spend", "_open"), ["_key"], _ORDER, chunks)
     # Without any refusal this sum is already the answer.
@@ -118,8 +124,8 @@ def _gate_large(slim: DataFrame, fold_rows: int, chunks: int | None) -> DataFram
     unlimited = F.col("_limit").isNull()
     open_rows = marked.where(
         ~is_early & (F.col("_cost") > 0) & (unlimited | (F.col("_limit") >= F.col("_f._before")))
-    ).select("_key", *_ORDER, CHUNK, "_cost", "_limit", "_budget", F.col("_f._before").alias("_spend"))
-    late = _settle(materialize(open_rows, "open"), fold_rows)
+    ).select("_key", *_ORDER, CHUNK, "_cost", "_limit", F.col("_f._before").alias("_spend"))
+    late = _settle(materialize(open_rows, "open"))
 
     # Spend before each row, now that the admitted costs are known.
     late_ids = late.select(F.col("_id").alias("_late"), F.lit(True).alias("_admitted"))
@@ -133,72 +139,113 @@ def _gate_large(slim: DataFrame, fold_rows: int, chunks: int | None) -> DataFram
     )
 
 
-def _settle(rows: DataFrame, fold_rows: int) -> DataFrame:
+def _settle(rows: DataFrame) -> DataFrame:
     """Ids of the rows admitted after the first refusal of their key."""
-    done: DataFrame | None = None
-    for _ in range(MAX_ROUNDS):
-        largest = rows.groupBy("_key").count().agg(F.max("count")).first()[0] or 0
-        if largest <= fold_rows:
-            break
-        admitted, rows = _round(rows)
-        done = admitted if done is None else done.unionByName(admitted)
-    folded = _fold(rows).where(~F.col("_over")).select("_id")
-    return folded if done is None else done.unionByName(folded)
-
-
-def _round(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Settle the rows of each key up to the end of its round."""
-    span = rows.groupBy(F.col("_key").alias("_k")).agg(
-        F.first("_spend").alias("_a"), F.min("_budget").alias("_least")
-    )
-    width = F.greatest(F.ceil((F.col("_least") - F.col("_a")) / 2).cast("long"), F.lit(1).cast("long"))
-    # A key without any limited row left admits everything: a round without end.
-    end = F.when(F.col("_least").isNull(), F.lit(2**62).cast("long")).otherwise(F.col("_a") + width)
-    span = span.select("_k", end.alias("_end"))
-    staged = rows.join(broadcast_if_small(span), F.col("_key").eqNullSafe(F.col("_k"))).drop("_k")
-    staged = staged.withColumn("_sure", F.col("_limit").isNull() | (F.col("_limit") >= F.col("_end") - 1))
-    sure_cost = F.when(F.col("_sure"), F.col("_cost")).otherwise(F.lit(0).cast("long"))
-    staged = running_sum(staged, ["_key"], _ORDER, sure_cost, "_sum")
-    staged = materialize(staged.withColumn("_now", F.col("_spend") + F.col("_sum")).drop("_sum"), "round")
-
-    left = F.col("_now") >= F.col("_end")
-    jumped = ~F.col("_sure") & (F.col("_now") <= F.col("_limit"))
-    event = F.struct("_ts", "_id", (jumped & ~left).alias("jumps"), "_now", "_cost")
-    ends = (
-        staged.where(left | jumped)
-        .groupBy(F.col("_key").alias("_k"))
-        .agg(F.min(event).alias("_e"))
-    )
-    staged = staged.join(broadcast_if_small(ends), F.col("_key").eqNullSafe(F.col("_k")), "left").drop("_k")
-    at, end = F.struct("_ts", "_id"), F.struct(F.col("_e._ts"), F.col("_e._id"))
-    inside = F.col("_e").isNull() | (at < end)
-    admitted = staged.where((inside & F.col("_sure")) | ((at == end) & F.col("_e.jumps"))).select("_id")
-    spend = F.col("_e._now") + F.when(F.col("_e.jumps"), F.col("_e._cost")).otherwise(F.lit(0).cast("long"))
-    rest = (
-        staged.where(~inside & ~((at == end) & F.col("_e.jumps")))
-        .withColumn("_spend", spend)
-        .where(F.col("_limit").isNull() | (F.col("_limit") >= F.col("_spend")))
-        .select("_key", *_ORDER, CHUNK, "_cost", "_limit", "_budget", "_spend")
-    )
-    return admitted, materialize(rest, "open")
+    group = F.to_json(F.struct("_key")).alias("_group")
+    ordered = _in_order(rows.select(group, CHUNK, *_ORDER, "_cost", "_limit", "_spend"), ["_group", CHUNK])
+    functions = materialize(ordered.mapInArrow(_chunk_functions, _FUNCTIONS), "spend-functions")
+    in_order = lambda df: df.repartition("_group").sortWithinPartitions("_group", CHUNK)
+    ranges = in_order(functions.drop("start", "add")).mapInArrow(_chunk_ranges, f"_group string, {CHUNK} int, low long, high long")
+    narrow = functions.select("_group", CHUNK, "_spend", "start", "add").join(materialize(ranges, "spend-ranges"), ["_group", CHUNK])
+    narrow = materialize(narrow.mapInArrow(_narrowed, _NARROW), "spend-pieces")
+    known = materialize(in_order(narrow).mapInArrow(_chunk_spends, f"_group string, {CHUNK} int, _at long"), "spend-before")
+    placed = rows.withColumn("_group", group).join(known, ["_group", CHUNK]).withColumn("_spend", F.col("_at"))
+    return _fold(placed, ["_group", CHUNK]).where(~F.col("_over")).select("_id")
+
+
+_FUNCTIONS = f"_group string, {CHUNK} int, _spend long, start binary, add binary, bounds binary"
+_NARROW = f"_group string, {CHUNK} int, _spend long, start binary, add binary"
+
 
+def _longs(raw: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(raw.as_buffer(), np.int64)
+
+
+def _chunk_functions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per (group, chunk) of rows that arrive in order: its step function and the outline of it."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    current: tuple[str, int, int] | None = None
+
+    def made() -> pa.RecordBatch:
+        cost, limit = (np.concatenate(x) for x in zip(*held))
+        steps = of_rows(cost, limit, current[2])
+        parts = [steps.start.tobytes(), steps.add.tobytes(), np.concatenate(outline(steps)).tobytes()]
+        columns = [pa.array([current[0]]), pa.array([current[1]], pa.int32()), pa.array([current[2]]), *(pa.array([p], pa.binary()) for p in parts)]
+        return pa.RecordBatch.from_arrays(columns, names=["_group", CHUNK, "_spend", "start", "add", "bounds"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        chunk = batch.column(CHUNK).to_numpy()
+        name = batch.column("_group").to_numpy(zero_copy_only=False)
+        spend = batch.column("_spend").to_numpy()
+        cost, limit = (batch.column(c).to_numpy().astype(np.int64) for c in ("_cost", "_limit"))
+        edges = np.flatnonzero(np.append(True, (chunk[1:] != chunk[:-1]) | (name[1:] != name[:-1])))
+        for lo, hi in zip(edges, np.append(edges[1:], len(chunk))):
+            key = (name[lo], int(chunk[lo]), int(spend[lo]))
+            if key != current:
+                if held:
+                    yield made()
+                held, current = [], key
+            held.append((cost[lo:hi], limit[lo:hi]))
+    if held:
+        yield made()
+
+
+def _chunk_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The range that the spend before each chunk lies in."""
+    group, low, high = None, 0, 0
+    for batch in batches:
+        lows, highs = [], []
+        for name, spend, bounds in zip(*(batch.column(c) for c in ("_group", "_spend", "bounds"))):
+            if name.as_py() != group:
+                group, low, high = name.as_py(), spend.as_py(), spend.as_py()
+            lows.append(low)
+            highs.append(high)
+            low, high = Outline(*_longs(bounds).reshape(5, -1))(low, high)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("_group"), batch.column(CHUNK), pa.array(lows, pa.int64()), pa.array(highs, pa.int64())], names=["_group", CHUNK, "low", "high"]
+        )
 
-def _fold(rows: DataFrame) -> DataFrame:
+
+def _narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pieces of each function that the range of its chunk meets."""
+    for batch in batches:
+        parts = [
+            Steps(_longs(s), _longs(a)).within(low.as_py(), high.as_py())
+            for s, a, low, high in zip(*(batch.column(c) for c in ("start", "add", "low", "high")))
+        ]
+        columns = [pa.array([p[k].tobytes() for p in parts], pa.binary()) for k in (0, 1)]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_group", CHUNK, "_spend")), *columns], names=["_group", CHUNK, "_spend", "start", "add"])
+
+
+def _chunk_spends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The spend before each chunk."""
+    group, spend = None, 0
+    for batch in batches:
+        spends = []
+        for name, first, start, add in zip(*(batch.column(c) for c in ("_group", "_spend", "start", "add"))):
+            if name.as_py() != group:
+                group, spend = name.as_py(), first.as_py()
+            spends.append(spend)
+            spend = Steps(_longs(start), _longs(add))(spend)
+        yield pa.RecordBatch.from_arrays([batch.column("_group"), batch.column(CHUNK), pa.array(spends, pa.int64())], names=["_group", CHUNK, "_at"])
+
+
+def _in_order(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Each key in one partition, in order; no budget is a limit that no spend can reach."""
+    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, *_ORDER)
+    return ordered.withColumn("_limit", F.coalesce("_limit", F.lit(NO_LIMIT).cast("long")))
+
+
+def _fold(rows: DataFrame, keys: Sequence[str] = ("_key",)) -> DataFrame:
     """Fold each key in order, starting from ``_spend``: ``_id, _before, _over``."""
     id_type = rows.schema["_id"].dataType.simpleString()
-    ordered = (
-        rows.select(F.to_json(F.struct("_key")).alias("_group"), *_ORDER, "_cost", "_limit", "_spend")
-        .repartition("_group")
-        .sortWithinPartitions("_group", *_ORDER)
-        # No budget: a limit no spend can reach.
-        .select("_group", "_id", "_cost", F.coalesce("_limit", F.lit(_NO_LIMIT).cast("long")).alias("_limit"), "_spend")
-    )
+    slim = rows.select(F.to_json(F.struct(*keys)).alias("_group"), *_ORDER, "_cost", "_limit", "_spend")
+    ordered = _in_order(slim, ["_group"]).select("_group", "_id", "_cost", "_limit", "_spend")
     return ordered.mapInPandas(_fold_sorted, f"_id {id_type}, _before long, _over boolean")
 
 
-_NO_LIMIT = 2**62
-
-
 def _fold_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows arrive sorted by key and order; the only state is the spend of the current key."""
     group, spend = None, 0

@@ -4,10 +4,11 @@ import random
 from datetime import datetime, timedelta
 from decimal import Decimal
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from promptledger.operators import budget, extras
+from promptledger.operators import budget, extras, spend
 
 SCHEMA = "id string, ts timestamp, grp string, est decimal(18,6), cost decimal(18,6), budget decimal(18,6)"
 START = datetime(2024, 1, 1)
@@ -82,17 +83,75 @@ def test_small_request_passes_after_a_refused_large_one(spark):
     assert [run(spark, rows)[k][1] for k in "abcd"] == [False, True, False, True]
 
 
-def test_rounds_are_logarithmic(spark, monkeypatch):
-    # Every row overflows a tiny headroom differently; one key holds all rows.
-    rng = random.Random(9)
-    rows = []
-    for i in range(800):
-        est = 2 ** rng.randint(0, 15)
-        rows.append((f"r{i:04d}", START + timedelta(seconds=i), "d", micro(est), micro(est), micro(100000)))
-    seen, real = [], budget._round
-    monkeypatch.setattr(budget, "_round", lambda r: seen.append(1) or real(r))
-    assert run(spark, rows, fold_rows=0) == fold(rows)
-    assert len(seen) <= 18
+def hard(kind, n):
+    """Rows of one key that a budget stops at ever other places."""
+    rng = random.Random(n)
+    out = []
+    for i in range(n):
+        est, cost, limit = {
+            "powers": lambda: (e := 2 ** rng.randint(0, 15), e, 100000),
+            "cheap": lambda: (600, 1, 600 + n // 3),
+            "budgets": lambda: (rng.randint(1, 900), rng.randint(1, 900), 300 * rng.randint(1, 1000)),
+            "mixed": lambda: (rng.randint(0, 900), rng.randint(0, 50), rng.choice([700, 1200, 1201, None])),
+        }[kind]()
+        out.append((f"r{i:04d}", START + timedelta(seconds=i), "d", micro(est), micro(cost), None if limit is None else micro(limit)))
+    return out
+
+
+def jobs(spark, label, run_it):
+    spark.sparkContext.setJobGroup(label, label)
+    out = run_it()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(label))
+
+
+@pytest.mark.parametrize("kind", ["powers", "cheap", "budgets", "mixed"])
+def test_jobs_do_not_grow(spark, kind):
+    counts = []
+    for n in (150, 1200):
+        rows = hard(kind, n)
+        got, count = jobs(spark, f"gate-{kind}-{n}", lambda: run(spark, rows, fold_rows=0, chunks=7))
+        assert got == fold(rows)
+        counts.append(count)
+    assert counts[1] <= counts[0] + 4 and max(counts) < 60
+
+
+def plain_spend(cost, limit, s):
+    for c, top in zip(cost.tolist(), limit.tolist()):
+        s += c if s <= top else 0
+    return s
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_step_functions(seed, monkeypatch):
+    rng = np.random.default_rng(seed)
+    monkeypatch.setattr(spend, "_BLOCK", [1, 3, 1 << 16][seed % 3])
+    n = int(rng.integers(0, 90))
+    cost = rng.integers(0, [2, 40, 900][seed % 3], n)
+    limit = np.where(rng.random(n) < 0.1, spend.NO_LIMIT, rng.integers(-20, 600, n))
+    low = int(rng.integers(0, 50))
+    steps = spend.of_rows(cost, limit, low)
+    rough = spend.outline(steps, 4)
+    for s in range(low, 1500, 7):
+        end = plain_spend(cost, limit, s)
+        assert steps(s) == end
+        assert steps.within(s, s + 5)(s + 3) == plain_spend(cost, limit, s + 3)
+        assert rough(s, s)[0] <= end <= rough(s, s)[1]
+        lo, hi = rough(s, s + 30)
+        assert all(lo <= plain_spend(cost, limit, x) <= hi for x in range(s, s + 31, 3))
+
+
+def test_step_functions_of_long_runs_stay_small():
+    rng = np.random.default_rng(3)
+    n = 60_000
+    cost = rng.integers(1, 600, n)
+    limit = 10**6 - cost - rng.integers(0, 600, n)
+    assert len(spend.of_rows(cost, limit, 10**6 - 1200).start) < 2000
+    budgets = rng.integers(1, 1001, n) * 10**6
+    cost = rng.integers(100, 60_000, n)
+    steps = spend.of_rows(cost, budgets - 2 * cost, 0)
+    assert len(steps.start) < 3 * n
+    assert all(steps(s) == plain_spend(cost, budgets - 2 * cost, s) for s in (0, 123_456, 5 * 10**8))
 
 
 def test_what_if(spark):
