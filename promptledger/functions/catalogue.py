@@ -33,6 +33,7 @@ class Detector:
     ignore_case: bool = False
     needles: tuple[str, ...] = ()
     digit_run: bool = False
+    border: tuple[str, ...] | None = None
 
     @property
     def regex(self) -> str:
@@ -45,6 +46,7 @@ class JailbreakPattern:
     category: str
     pattern: str
     needle: str
+    border: tuple[str, ...] = ()
 
     @property
     def regex(self) -> str:
@@ -59,27 +61,35 @@ SECRET = "secret"
 S = f"[{WS}]"
 DASH_OR_SPACE = f"[-{WS}]?"
 
+# Groups of digits with one separator between them; digits in groups of a fixed size.
+_BETWEEN_DIGITS = (r"(?U)[\p{Nd})]\z", r"(?U)\A[\p{Nd}(]")
+
 # Patterns for personal data, confidence 0.9.
 PERSONAL: tuple[Detector, ...] = (
-    Detector("ssn", "ssn", r"\b\d{3}-\d{2}-\d{4}\b", digit_run=True, needles=("-",)),
-    Detector("credit_card", "credit_card", rf"\b(?:\d{{4}}{DASH_OR_SPACE}){{3}}\d{{4}}\b", digit_run=True),
-    Detector("email", "email", r"\b[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z]{2,}\b", needles=("@",)),
+    Detector("ssn", "ssn", r"\b\d{3}-\d{2}-\d{4}\b", digit_run=True, needles=("-",), border=()),
+    Detector("credit_card", "credit_card", rf"\b(?:\d{{4}}{DASH_OR_SPACE}){{3}}\d{{4}}\b", digit_run=True, border=_BETWEEN_DIGITS),
+    Detector("email", "email", r"\b[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z]{2,}\b", needles=("@",), border=()),
     Detector(
         "phone",
         "phone",
         rf"(?:\+91{DASH_OR_SPACE})?\d{{5}}{DASH_OR_SPACE}\d{{5}}"
         rf"|(?:\+1{DASH_OR_SPACE})?(?:\(\d{{3}}\)|\d{{3}}){DASH_OR_SPACE}\d{{3}}{DASH_OR_SPACE}\d{{4}}",
         digit_run=True,
+        border=_BETWEEN_DIGITS,
     ),
-    Detector("aadhaar", "aadhaar", rf"\b[0-9]{{4}}{S}?[0-9]{{4}}{S}?[0-9]{{4}}\b", digit_run=True),
-    Detector("pan", "pan", r"\b[A-Z]{5}\d{4}[A-Z]\b", digit_run=True),
-    Detector("upi_id", "upi_id", r"\b[\w.\-]+@[a-zA-Z0-9]{2,64}\b(?!\.\w)", ignore_case=True, needles=("@",)),
-    Detector("passport", "passport", r"\b[A-Z]\d{7}\b", digit_run=True),
+    Detector("aadhaar", "aadhaar", rf"\b[0-9]{{4}}{S}?[0-9]{{4}}{S}?[0-9]{{4}}\b", digit_run=True, border=_BETWEEN_DIGITS),
+    Detector("pan", "pan", r"\b[A-Z]{5}\d{4}[A-Z]\b", digit_run=True, border=()),
+    Detector("upi_id", "upi_id", r"\b[\w.\-]+@[a-zA-Z0-9]{2,64}\b(?!\.\w)", ignore_case=True, needles=("@",), border=()),
+    Detector("passport", "passport", r"\b[A-Z]\d{7}\b", digit_run=True, border=()),
 )
 
 # Credentials known by their prefix, confidence 0.95.
 CREDENTIALS: tuple[Detector, ...] = tuple(
-    Detector(SECRET, name, pattern, HIGH, 0.95, needles=tuple(needles.split()))
+    Detector(
+        SECRET, name, pattern, HIGH, 0.95, needles=tuple(needles.split()),
+        # A name, blanks and the sign of an assignment; the others hold no blank at all.
+        border=(rf"(?:{'|'.join(needles.split())}){S}*[=:]?{S}*\z", "") if S in pattern else (),
+    )
     for name, needles, pattern in (
         ("openai_api_key", "sk-", r"\bsk-(?:proj-)?[A-Za-z0-9_-]{20,}\b"),
         ("anthropic_api_key", "sk-ant-", r"\bsk-ant-[A-Za-z0-9_-]{20,}\b"),
@@ -119,9 +129,10 @@ GENERIC_CREDENTIALS: tuple[Detector, ...] = (
         0.70,
         ignore_case=True,
         needles=("_key", "_secret", "_token", "_url", "_password"),
+        border=(rf"(?iU)(?:{'|'.join(ASSIGNED_NAMES)}){S}*[=:]?{S}*\z", ""),
     ),
     Detector(
-        SECRET, "bearer_token", rf"[Bb]earer{S}+[A-Za-z0-9_.-]{{20,}}", GENERIC, 0.70, needles=("earer",)
+        SECRET, "bearer_token", rf"[Bb]earer{S}+[A-Za-z0-9_.-]{{20,}}", GENERIC, 0.70, needles=("earer",), border=(rf"[Bb]earer{S}*\z", ""),
     ),
     Detector(
         SECRET,
@@ -130,6 +141,7 @@ GENERIC_CREDENTIALS: tuple[Detector, ...] = (
         GENERIC,
         0.95,
         needles=("-----BEGIN",),
+        border=(rf"-----BEGIN(?:{S}+RSA)?(?:{S}+EC)?(?:{S}+PRIVATE)?{S}*\z", ""),
     ),
 )
 
@@ -151,7 +163,7 @@ JAILBREAKS: tuple[JailbreakPattern, ...] = (
     JailbreakPattern("instruction_override", "forget (?:all )?(?:previous|prior) (?:instructions|rules)", "forget"),
     JailbreakPattern("instruction_override", "disregard (?:all )?(?:previous|prior|your) instructions?", "instruction"),
     JailbreakPattern("instruction_override", "override (?:the )?system prompt", "system prompt"),
-    JailbreakPattern("instruction_override", r"new instructions\s*:", "instruction"),
+    JailbreakPattern("instruction_override", r"new instructions\s*:", "instruction", (rf"(?iU)new instructions{S}*\z", rf"\A{S}*:")),
     JailbreakPattern("instruction_override", "do not follow (?:your|the) (?:rules|guidelines|instructions)", "do not follow"),
     JailbreakPattern("instruction_override", "bypass (?:your|all|the) (?:rules|restrictions|filters|safety)", "bypass"),
     JailbreakPattern("instruction_override", "you must ignore (?:all )?(?:previous|safety)", "you must ignore"),
@@ -165,7 +177,7 @@ JAILBREAKS: tuple[JailbreakPattern, ...] = (
     JailbreakPattern("role_play", "from now on you (?:will|must|should) (?:ignore|disregard)", "from now on you"),
     JailbreakPattern("encoding", "decode this base64", "base64"),
     JailbreakPattern("encoding", "decode (?:the following )?(?:base64|hex|rot13)", "decode"),
-    JailbreakPattern("encoding", r"base64\s*(?:encoded|decode)", "base64"),
+    JailbreakPattern("encoding", r"base64\s*(?:encoded|decode)", "base64", (rf"(?iU)base64{S}*\z", rf"(?iU)\A{S}*(?:encoded|decode)")),
     JailbreakPattern("encoding", "execute (?:the )?(?:following )?encoded", "execute"),
     JailbreakPattern("encoding", r"\\x[0-9a-f]{2}", r"\x"),
     JailbreakPattern("extraction", "reveal your system prompt", "system prompt"),
@@ -197,7 +209,7 @@ def detectors_from_frame(df: DataFrame) -> list[Detector]:
         d = known.get(r["detector"])
         if d and (d.entity, d.pattern) == (r["entity"], r["pattern"]):
             out.append(Detector(d.entity, d.detector, d.pattern, r["tier"], r["confidence"],
-                                d.ignore_case, d.needles, d.digit_run))
+                                d.ignore_case, d.needles, d.digit_run, d.border))
         else:
             out.append(Detector(r["entity"], r["detector"], r["pattern"], r["tier"], r["confidence"]))
     return out

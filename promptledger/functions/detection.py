@@ -159,7 +159,7 @@ def known_entities(entities: Sequence[str] | None, detectors: Sequence[Detector]
     return [e for e in (entities or ()) if e in every] or every
 
 
-def _requested(entities: Sequence[str] | None, detectors: Sequence[Detector]) -> list[Detector]:
+def requested_detectors(entities: Sequence[str] | None, detectors: Sequence[Detector]) -> list[Detector]:
     """Detectors of the requested entities: secrets first, then as requested."""
     names = known_entities(entities, detectors)
     ordered = _secret_order(detectors) if SECRET in names else []
@@ -180,28 +180,38 @@ def detect_pii(
     """
     text = col(text)
     if not isinstance(entities, Column):
-        return _find(text, _as_rows(_requested(entities, detectors)))
-    known = F.filter(F.coalesce(entities, F.array().cast("array<string>")), lambda e: e.isin(*all_entities(detectors)))
-    every = F.array(*[F.lit(e) for e in all_entities(detectors)])
-    rows = _as_rows(_requested(None, detectors))
-
-    def in_order(ctx: Column) -> Column:
-        found, names = ctx["found"], ctx["names"]
-        secret = F.filter(found, lambda f: f["entity"] == SECRET)
-        others = F.filter(names, lambda e: e != SECRET)
-        ordered = F.flatten(F.transform(others, lambda e: F.filter(found, lambda f: f["entity"] == e)))
-        return F.when(F.size(found) == 0, found).otherwise(F.concat(secret, ordered))
+        return _find(text, _as_rows(requested_detectors(entities, detectors)))
+    rows = _as_rows(requested_detectors(None, detectors))
 
-    return let(
-        F.when(F.size(known) == 0, every).otherwise(known),
-        lambda names: let(
-            F.struct(
-                _find(text, F.filter(rows, lambda d: F.array_contains(names, d["entity"]))).alias("found"),
-                names.alias("names"),
-            ),
-            in_order,
-        ),
-    )
+    def found(names: Column) -> Column:
+        of_names = F.filter(rows, lambda d: F.array_contains(names, d["entity"]))
+        return let(_find(text, of_names), lambda f: _as_requested(f, names))
+
+    return let(_names(entities, detectors), found)
+
+
+def _names(entities: Column, detectors: Sequence[Detector]) -> Column:
+    """The requested names that exist; all if none does."""
+    every = all_entities(detectors)
+    known = F.filter(F.coalesce(entities, F.array().cast("array<string>")), lambda e: e.isin(*every))
+    return F.when(F.size(known) == 0, F.array(*[F.lit(e) for e in every])).otherwise(known)
+
+
+def _as_requested(found: Column, names: Column) -> Column:
+    """Findings that are in the catalogue's order: secrets first, then as requested."""
+    secret = F.filter(found, lambda f: f["entity"] == SECRET)
+    others = F.filter(names, lambda e: e != SECRET)
+    ordered = F.flatten(F.transform(others, lambda e: F.filter(found, lambda f: f["entity"] == e)))
+    return F.when(F.size(found) == 0, found).otherwise(F.concat(secret, ordered))
+
+
+def requested_findings(found: Column, entities: Column, detectors: Sequence[Detector] = DEFAULT_DETECTORS) -> Column:
+    """What ``detect_pii`` gives for ``entities``, from all findings in the catalogue's order."""
+
+    def chosen(names: Column) -> Column:
+        return let(F.filter(found, lambda f: F.array_contains(names, f["entity"])), lambda f: _as_requested(f, names))
+
+    return let(_names(entities, detectors), chosen)
 
 
 def first_detector(text: Column | str, detectors: Sequence[Detector]) -> Column:
@@ -226,7 +236,7 @@ def count_findings(
     Matches are counted; spans are found only where a generic credential may be
     covered by one of a known prefix.
     """
-    rows = _as_rows(_requested(entities, detectors))
+    rows = _as_rows(requested_detectors(entities, detectors))
 
     def counted(ctx: Column) -> Column:
         return F.filter(
@@ -256,7 +266,7 @@ def has_pii(
     detectors: Sequence[Detector] = DEFAULT_DETECTORS,
 ) -> Column:
     """True when anything is found (D4): gates and ``rlike`` only, no spans."""
-    rows = _as_rows(_requested(entities, detectors))
+    rows = _as_rows(requested_detectors(entities, detectors))
     test = let(
         _context(col(text)),
         lambda ctx: F.exists(_candidates(ctx, rows), lambda d: F.rlike(ctx["text"], d["regex"])),

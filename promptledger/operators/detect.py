@@ -48,7 +48,7 @@ def scan_pii(df: DataFrame, text: str = "text") -> DataFrame:
     """Verdict from the first finding that is no secret."""
     plain = [d for d in DEFAULT_DETECTORS if d.entity != SECRET]
     scan = let(
-        fn.first_detector(text, fn._requested(None, plain)),
+        fn.first_detector(text, fn.requested_detectors(None, plain)),
         lambda f: _scan_summary(f, F.upper(f["entity"]), F.lit("HIGH")),
     )
     return compute_once(df, "scan", scan)

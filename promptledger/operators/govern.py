@@ -25,6 +25,7 @@ from .guards import (
     token_limit_violations,
 )
 from .shrink import shrink_requests
+from .turn_guard import can_compose, guard_requests
 
 BLOCK_MESSAGE = "This request was blocked by policy."
 
@@ -37,6 +38,7 @@ def score_requests(
     rule: str = "longest_prefix",
     redaction: str = "message",
     carry: Sequence[str] = (),
+    by_turn: bool = False,
 ) -> DataFrame:
     """Everything about a request that does not depend on other requests.
 
@@ -44,17 +46,20 @@ def score_requests(
     shrinking, token limit, input guard, output guard, cost.  A row over its
     token limit is not scanned.  The result is slim: message texts are dropped
     unless named in ``carry`` (``messages`` are those that would be sent,
-    ``answer`` the recorded answer).
+    ``answer`` the recorded answer).  With ``by_turn`` the shrunk requests are
+    stored and every different message is scanned once (``turn_guard``); that
+    needs unique request ids, and does not redact messages.
     """
     staged = resolve_model(agent_policy(df, policies))
     staged = shrink_requests(resolve_price(staged, prices, rule=rule))
     policy = F.col("policy")
     staged = staged.withColumn("limit_violations", token_limit_violations(F.col("input_tokens"), policy))
     over_limit = F.size("limit_violations") > 0
-    guard = input_guard("_text", policy, detectors)
-    staged = staged.withColumn("_text", messages_to_text("messages")).withColumn(
-        "guard", F.when(~over_limit, guard)
-    )
+    if by_turn:
+        staged = guard_requests(materialize(staged, "shrunk"), "request_id", detectors, ~over_limit)
+    else:
+        guard = input_guard("_text", policy, detectors)
+        staged = staged.withColumn("_text", messages_to_text("messages")).withColumn("guard", F.when(~over_limit, guard))
     passed = ~over_limit & F.col("guard.allowed")
     out_tokens = F.coalesce("answer_tokens", count_tokens("answer", "model"))
     none = F.array().cast(VIOLATIONS)
@@ -101,7 +106,8 @@ def govern_requests(
     The scored table is written once; the daily ledger, one per UTC day across
     all agents, then works on five narrow columns of it.
     """
-    scored = materialize(score_requests(df, policies, prices, detectors, rule, redaction, carry), "scored")
+    by_turn = "messages" not in carry and can_compose(detectors)
+    scored = materialize(score_requests(df, policies, prices, detectors, rule, redaction, carry, by_turn), "scored")
     decided = budget_gate(
         scored, F.to_date("ts"), "request_id", "ts",
         F.col("estimate"), F.col("full_cost"), F.col("daily_budget"), opening, fold_rows,

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -99,6 +99,17 @@ def input_guard(text: Column | str, policy: Column, detectors: Sequence[Detector
     (the redacted text when the policy redacts and nothing blocks).
     """
     text = col(text)
+    found = detect_pii(text, policy["input_guard"]["detect_entities"], detectors)
+    return judged(detect_jailbreak(text), found, policy, lambda findings: redact(text, findings))
+
+
+def judged(
+    jailbreak: Column, findings: Column, policy: Column, redacted: Callable[[Column], Column] | None = None
+) -> Column:
+    """The verdict on what was found in an input: the struct of ``input_guard``.
+
+    Without ``redacted``, which makes the processed text of the findings, that text is null.
+    """
     config = policy["input_guard"]
     action = F
     for name, called in ACTION_NAMES.items():
@@ -134,14 +145,11 @@ def input_guard(text: Column | str, policy: Column, detectors: Sequence[Detector
             {"pii_type": f["entity"], "confidence": f["confidence"]},
         )
 
-    jailbreak = F.when(config["jailbreak_detection"], let(detect_jailbreak(text), from_jailbreak)).otherwise(
-        no_violations()
-    )
-    findings = F.when(config["scanner_enabled"], detect_pii(text, config["detect_entities"], detectors)).otherwise(
-        F.array().cast(FINDINGS)
-    )
+    hit = F.when(config["jailbreak_detection"], let(jailbreak, from_jailbreak)).otherwise(no_violations())
+    found = F.when(config["scanner_enabled"], findings).otherwise(F.array().cast(FINDINGS))
 
     def judge(ctx: Column) -> Column:
+        processed = F.lit(None).cast("string") if redacted is None else redacted(ctx["findings"])
         return let(
             F.concat(ctx["jb"], F.transform(ctx["findings"], from_finding).cast(VIOLATIONS)),
             lambda v: let(
@@ -150,15 +158,12 @@ def input_guard(text: Column | str, policy: Column, detectors: Sequence[Detector
                     (~blocked).alias("allowed"),
                     v.alias("violations"),
                     ctx["findings"].alias("findings"),
-                    F.when(
-                        (config["scanner_action"] == "redact") & (F.size(v) > 0) & ~blocked,
-                        redact(text, ctx["findings"]),
-                    ).alias("processed_text"),
+                    F.when((config["scanner_action"] == "redact") & (F.size(v) > 0) & ~blocked, processed).alias("processed_text"),
                 ),
             ),
         )
 
-    return let(F.struct(jailbreak.alias("jb"), findings.alias("findings")), judge)
+    return let(F.struct(hit.alias("jb"), found.alias("findings")), judge)
 
 
 def output_guard(answer: Column | str, policy: Column, detectors: Sequence[Detector] = DEFAULT_DETECTORS) -> Column:

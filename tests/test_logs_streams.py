@@ -1,12 +1,15 @@
 from __future__ import annotations
 
 import json
+import os
+import random
 from datetime import datetime
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
+from promptledger import storage
 from promptledger.operators import govern, guards, reports
 from promptledger.plans import queries, views
 from promptledger.schemas import REQUEST_SCHEMA
@@ -59,7 +62,7 @@ def test_governed_log_round_trip(spark, tmp_path):
 
 def tail(spark, df, tmp_path, name, keys, mode):
     out = str(tmp_path / name)
-    streams.run_to_snapshots(df, out, str(tmp_path / f"{name}-check"), mode).awaitTermination()
+    streams.run_to_snapshots(df, out, str(tmp_path / f"{name}-check"), mode, keys=keys).awaitTermination()
     return streams.latest_snapshot(spark, out, keys)
 
 
@@ -126,14 +129,82 @@ def test_budget_stream_equals_batch(spark, tmp_path, batches):
     batch = govern.govern_requests(spark.createDataFrame(rows, REQUEST_SCHEMA), policies)
     want = {(r.request_id, r.blocked, r.spend_before) for r in batch.collect()}
     assert got == want and any(b for _, b, _ in got)
-    # A request of a day long closed goes aside.
-    late = [("late",) + request(0, "hi")[1:]]
-    spark.createDataFrame(late, REQUEST_SCHEMA).withColumn("ts", F.lit(datetime(2024, 1, 1))).coalesce(1).write.mode("append").parquet(source)
-    live = spark.readStream.schema(REQUEST_SCHEMA).parquet(source)
-    gate, running = streams.stream_budget_gate(live, root, check, policies)
-    running.awaitTermination()
-    assert spark.read.parquet(f"{root}/late").count() == 1
-    assert gate.decisions().count() == len(rows)
+    assert not gate.verdicts().where("correction or late").count()
+
+
+def backlog(spark, tmp_path, rows, order, files, **options):
+    """Rows in a given order, one file and one micro-batch after the other, each with its own query."""
+    policies = guards.policies_frame(spark, [{"agent_id": "default", "cost": {"daily_budget": "0.010000"}}])
+    source, root, check = str(tmp_path / "in"), str(tmp_path / "gate"), str(tmp_path / "check")
+    size = -(-len(order) // files)
+    for b in range(files):
+        part = [rows[k] for k in order[b * size:(b + 1) * size]]
+        spark.createDataFrame(part, REQUEST_SCHEMA).coalesce(1).write.mode("append").parquet(source)
+        live = spark.readStream.schema(REQUEST_SCHEMA).parquet(source)
+        gate, running = streams.stream_budget_gate(live, root, check, policies, **options)
+        running.awaitTermination()
+    batch = govern.govern_requests(spark.createDataFrame(rows, REQUEST_SCHEMA), policies)
+    return gate, {r.request_id: (r.blocked, r.spend_before) for r in batch.collect()}
+
+
+def test_late_rows_are_decided_as_in_batch(spark, tmp_path):
+    rows = [request(n, "hello " * (n % 7 + 1), minutes=130 * n, tokens=30 + n % 5) for n in range(1, 31)]
+    order = random.Random(3).sample(range(30), 30)
+    scratch = storage.scratch_root(spark) + "/promptledger"
+    before = set(os.listdir(scratch)) if os.path.isdir(scratch) else set()
+    gate, want = backlog(spark, tmp_path, rows, order, 4)
+    assert {r.request_id: (r.blocked, r.spend_before) for r in gate.decisions().collect()} == want
+    told = gate.verdicts().collect()
+    assert any(r.correction and r.blocked for r in told) and not any(r.late for r in told)
+    # A retried batch changes nothing, and no intermediate table of a batch stays.
+    policies_again = spark.createDataFrame([rows[k] for k in order[24:]], REQUEST_SCHEMA)
+    gate.process(policies_again, 3)
+    assert {r.request_id: (r.blocked, r.spend_before) for r in gate.decisions().collect()} == want
+    left = set(os.listdir(scratch)) - before
+    assert not [x for x in left if x.startswith("stream-")]
+
+
+def test_rows_of_final_days_are_decided_behind_them(spark, tmp_path):
+    rows = [request(n, "hello", minutes=600 * n, tokens=30) for n in range(1, 13)]
+    gate, want = backlog(spark, tmp_path, rows, [*range(1, 12), 0], 12, keep_days=1)
+    got = {r.request_id: r for r in gate.decisions().collect()}
+    assert set(got) == set(want)
+    assert got[rows[0][0]].late and not any(r.late for k, r in got.items() if k != rows[0][0])
+    assert not any(r.correction for r in got.values())
+
+
+def test_update_snapshots_keep_two_folders(spark, tmp_path):
+    source, out, check = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check")
+    for n in range(5):
+        rows = [(datetime(2024, 1, 1 + d), Decimal("1.0")) for d in range(n + 1)]
+        spark.createDataFrame(rows, "ts timestamp, cost_usd decimal(18,6)").coalesce(1).write.mode("append").parquet(source)
+        live = spark.readStream.schema("ts timestamp, cost_usd decimal(18,6)").parquet(source)
+        usage = streams.stream_daily_usage(live, lateness="30 days")
+        streams.run_to_snapshots(usage, out, check, "update", keys=["day"]).awaitTermination()
+    got = {r.day.day: r.checks for r in streams.latest_snapshot(spark, out, ["day"]).collect()}
+    assert got == {1: 5, 2: 4, 3: 3, 4: 2, 5: 1}
+    assert len([x for x in os.listdir(out) if x.startswith("batch=")]) <= 2
+
+
+def test_a_stream_runs_on_with_a_trigger(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def put(n):
+        spark.createDataFrame([(datetime(2024, 1, n), Decimal("1.0"))], "ts timestamp, cost_usd decimal(18,6)").coalesce(1).write.mode("append").parquet(source)
+
+    put(1)
+    live = spark.readStream.schema("ts timestamp, cost_usd decimal(18,6)").parquet(source)
+    running = streams.run_to_snapshots(
+        streams.stream_daily_usage(live, lateness="30 days"), out, str(tmp_path / "check"), "update", {"processingTime": "1 second"}, ["day"]
+    )
+    try:
+        running.processAllAvailable()
+        put(2)
+        running.processAllAvailable()
+        assert running.isActive
+    finally:
+        running.stop()
+    assert {r.day.day for r in streams.latest_snapshot(spark, out, ["day"]).collect()} == {1, 2}
 
 
 def test_traffic_stream_and_sink(spark, tmp_path):
