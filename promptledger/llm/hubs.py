@@ -5,12 +5,16 @@ A bucket holds sets that may link: two sets link when
 links between sets of one bucket, so pairs are compared only where they can
 still join two components.
 
-1.  *Spokes.*  Every set of a bucket is compared with the bucket's hub, the set
-    that is in most buckets.  Near copies of one text have one hub in all the
-    buckets they share, so there are few different pairs.
-2.  Buckets whose sets are now in one component are done.  In those left with
-    at most ``SMALL`` sets all pairs of different components are compared.
-3.  *Differences.*  In a larger one take what each set differs from the hub in:
+1.  *Spokes.*  Every set of a bucket is compared with the bucket's hub: a set
+    that is in very many buckets, this one or one beside it.  Near copies of
+    one text have the same hub in nearly all the buckets they share, so there
+    are few different pairs.
+2.  Buckets whose sets are now in one component are done.  In those of the
+    first level with few sets outside their largest component (``SMALL``) all
+    pairs of different components are compared: a bounded number for each set.
+    Those of a later level with up to ``CROWD`` sets are counted out in one task,
+    by an inverted list of their elements.
+3.  *Differences.*  In all others take what each set differs from the hub in:
     ``A = x ^ h``, ``B = y ^ h``.  When x and y link and are not both linked with
     the hub, A and B have many elements in common, at least
 
@@ -41,7 +45,10 @@ from .common import slices, written
 from .components import components
 from .shingles import mixed
 
-SMALL = 12
+# Sets outside of a bucket's largest component up to which all of a first-level bucket's pairs are compared.
+SMALL = 6
+# Sets of a bucket of a later level that one task compares, and elements that they have together.
+CROWD, CROWD_ELEMENTS = 512, 2_000_000
 
 
 def _set(raw: pa.Scalar) -> np.ndarray:
@@ -102,40 +109,79 @@ def links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
     tested: DataFrame | None = None
     found: DataFrame | None = None
+    at: DataFrame | None = None
+
+    def add(more: DataFrame) -> None:
+        nonlocal found, at
+        if found is None or not more.isEmpty():
+            found = more if found is None else found.unionByName(more)
+            at = None
 
     def compare(pairs: DataFrame) -> None:
         """Add the links among the pairs that were not compared before."""
-        nonlocal tested, found
+        nonlocal tested
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs)
-        more = written(verified(pairs, sets, percent))
         tested = pairs if tested is None else tested.unionByName(pairs)
-        found = more if found is None else found.unionByName(more)
+        add(written(verified(pairs, sets, percent)))
 
+    first = True
     while True:
         degree = buckets.groupBy("node").agg(F.count("*").alias("degree"))
-        fit = F.struct("degree", -F.col("node"))
-        hubs = buckets.join(degree, "node").groupBy("sig").agg(F.max_by("node", fit).alias("hub"), F.count("*").alias("rows"))
-        spokes = written(buckets.join(hubs, "sig").where("node <> hub"))
-        compare(spokes.select(*_ordered("node", "hub")).distinct())
-
-        at = written(components(found))
-        labelled = spokes.join(at.withColumnRenamed("component", "at"), "node", "left").join(
-            at.select(F.col("node").alias("hub"), F.col("component").alias("hub_at")), "hub", "left"
-        ).select("sig", "node", "hub", "rows", F.coalesce("at", "node").alias("at"), F.coalesce("hub_at", "hub").alias("hub_at"))
-        labelled = written(labelled)
-        apart = labelled.where("at <> hub_at").select("sig").distinct()
-        left = written(labelled.join(apart, "sig", "left_semi"))
-
-        few = left.where(F.col("rows") <= SMALL).select("sig", "node", "at")
-        other = few.select("sig", F.col("node").alias("node2"), F.col("at").alias("at2"))
-        near = few.join(other, "sig").where("at < at2").select(*_ordered("node", "node2")).distinct()
-        compare(near)
-
-        many = left.where(F.col("rows") > SMALL).select("hub", "node", "at").distinct()
+        fit = F.struct("degree", (-F.col("node")).alias("back"))
+        tops = written(buckets.join(degree, "node").groupBy("sig").agg(F.max(fit).alias("top")))
+        # The hub of a bucket is the greatest of the buckets that its own greatest set is in.
+        lead = buckets.join(tops, "sig").groupBy("node").agg(F.max("top").alias("lead"))
+        hubs = tops.select("sig", (-F.col("top.back")).alias("node")).join(lead, "node").select("sig", (-F.col("lead.back")).alias("hub"))
+        members = written(buckets.join(hubs, "sig"))
+        compare(members.where("node <> hub").select(*_ordered("node", "hub")).distinct())
+
+        if at is None:
+            at = written(components(found))
+        sizes = sets.groupBy("node").agg(F.max("n").alias("size"))
+        labelled = members.join(sizes, "node").join(at, "node", "left")
+        labelled = written(labelled.select("sig", "node", "hub", "size", F.coalesce("component", "node").alias("at")))
+        parts = labelled.groupBy("sig", "at").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+        parts = parts.groupBy("sig").agg(F.sum("n").alias("rows"), F.max("n").alias("most"), F.sum("size").alias("elements"))
+        left = written(labelled.join(parts.where("rows > most"), "sig"))
+
+        here = F.col("rows") - F.col("most") <= SMALL if first else (F.col("rows") <= CROWD) & (F.col("elements") <= CROWD_ELEMENTS)
+        few = left.where(here).select("sig", "node", "at")
+        if first:
+            other = few.select("sig", F.col("node").alias("node2"), F.col("at").alias("at2"))
+            compare(few.join(other, "sig").where("at < at2").select(*_ordered("node", "node2")).distinct())
+        else:
+            add(written(_counted(few, sets, percent)))
+
+        many = left.where(~here & (F.col("node") != F.col("hub"))).select("hub", "node", "at").distinct()
         if many.isEmpty():
             return found
         split = written(_differences(many.select("node", "hub"), sets, percent).join(many.select("node", "at").distinct(), "node"))
         several = split.groupBy("sig").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).where("lo <> hi").select("sig")
-        buckets = written(split.select("sig", "node").distinct().join(several, "sig"))
+        buckets, first = written(split.select("sig", "node").distinct().join(several, "sig")), False
+
+
+def _counted(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links ``a, b`` between different components of a bucket, for ``sig, node, at`` of buckets of bounded size."""
+
+    def run(bucket: pa.Table) -> pa.Table:
+        node, at = bucket.column("node").to_numpy(), bucket.column("at").to_numpy()
+        held = [np.frombuffer(x.as_buffer(), np.uint64) for x in bucket.column("tokens")]
+        n = np.array([len(x) for x in held], np.int64)
+        _, element = np.unique(np.concatenate(held), return_inverse=True)
+        owner = np.repeat(np.arange(len(held)), n)[np.argsort(element, kind="stable")]
+        begin = np.concatenate([[0], np.cumsum(np.bincount(element))])
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i, own in enumerate(np.split(element, np.cumsum(n)[:-1])):
+            many = begin[own + 1] - begin[own]
+            place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(begin[own], many)
+            same = np.bincount(owner[place], minlength=len(held))
+            linked = np.flatnonzero((100 * same >= percent * (n + n[i] - same)) & (at > at[i]))
+            left.append(np.full(len(linked), node[i]))
+            right.append(node[linked])
+        a, b = np.concatenate(left), np.concatenate(right)
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    joined = rows.join(sets.select("node", "tokens"), "node").select("sig", "node", "at", "tokens")
+    return joined.groupBy("sig").applyInArrow(run, "a long, b long").distinct()

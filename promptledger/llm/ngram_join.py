@@ -20,24 +20,19 @@ sets are one class; only one of a class takes part.
     neighbours in both sorted lists of frequent tokens.  So the prefix is
     extended to all frequent tokens, and pairs of neighbours are the
     signatures: those within the first 4/7 of all pairs, plus one, by hash.
-4.  *Candidates* of ``links`` are all pairs of a signature's documents of fitting
-    sizes; groups of frequent signatures are dealt over pairs of blocks.
-    ``near_duplicates`` wants components only and does not take all pairs.  Each document
-    is paired with the signature's hub (the document with most shared tokens).
-    Verified links give components, and only documents of one signature that
-    are then still in different components are paired.
-5.  *Verification.*  A parity bitmap of each set bounds the symmetric
-    difference from below; pairs that it leaves are intersected exactly.
-
-Components need no more than that: a link between documents that are in one
-component already cannot change it.  ``links`` verifies every pair of classes,
-so its cost grows with the number of links, which is the square of a group of
-different near copies.
+4.  *Components* come from links within signatures, found and confirmed on the
+    full sets by ``hubs``: it compares what can still join two components, not
+    all pairs of a signature, so its cost grows with the documents and not
+    with the links, which are the square of a group of near copies.
+5.  ``links`` is for those who want every link: all pairs of a signature's
+    documents of fitting sizes, groups of large signatures dealt over pairs of
+    blocks, a parity bitmap of each set bounding the symmetric difference from
+    below, and exact intersections.  Its cost grows with the number of links.
 
 Defined cases: a null or empty text has no shingle, its own component, and
 links with nothing; documents without an id are in no component (null); rows
 that repeat an id must repeat its text, else the id has the links of all its
-texts (in ``n_links`` and ``links`` those of the classes it stands for); an
+texts (in ``links`` those of the classes it stands for); an
 empty table gives an empty result; other columns pass through.
 """
 
@@ -52,8 +47,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import clear_of, slices, written
+from .common import SIMILARITY_PERCENT, clear_of, slices, written
 from .components import components
+from .hubs import links as connecting_links
 from .shingles import mixed, shingle_sets
 
 FREQUENT = 64
@@ -139,14 +135,14 @@ def _unpacked(tokens: DataFrame) -> DataFrame:
 
 
 def _signatures(tokens: DataFrame, frequent: DataFrame) -> DataFrame:
-    """``sig, doc, hub``: the signatures of each document and how fit it is to be their hub.
+    """``sig, doc``: the signatures of each document.
 
     ``frequent`` has ``doc, frequent``: the frequent tokens of each document that has any.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sigs, docs, hubs = [], [], []
+            sigs, docs = [], []
             for doc, raw, common in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 t = np.frombuffer(raw, np.uint64)
                 often = np.sort(np.array(common or [], np.int64).view(np.uint64))
@@ -160,14 +156,11 @@ def _signatures(tokens: DataFrame, frequent: DataFrame) -> DataFrame:
                     sig = np.concatenate([sig, often])
                 sigs.append(_long(sig))
                 docs.append(np.full(len(sig), doc, np.int64))
-                hubs.append(np.full(len(sig), len(often) / max(1, len(t))))
             if sigs:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(x)) for x in (sigs, docs, hubs)], names=["sig", "doc", "hub"]
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (sigs, docs)], names=["sig", "doc"])
 
     joined = tokens.select("doc", "tokens").join(frequent, "doc", "left").select("doc", "tokens", "frequent")
-    return joined.mapInArrow(run, "sig long, doc long, hub double")
+    return joined.mapInArrow(run, "sig long, doc long")
 
 
 def _verified(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -209,8 +202,8 @@ class _Candidates(NamedTuple):
     sets: DataFrame  # doc, n, class, prefix of every row with an id
     classes: DataFrame  # class, n, first, rows
     tokens: DataFrame  # of one document of each class that can have a partner
-    hubs: DataFrame  # sig, hub, rows of signatures that documents share
-    held: DataFrame  # sig, doc, hub
+    sizes: DataFrame  # sig, rows of signatures that documents share
+    held: DataFrame  # sig, doc
 
 
 def _candidates(docs: DataFrame, id_col: str, text_col: str) -> _Candidates:
@@ -243,18 +236,18 @@ def _candidates(docs: DataFrame, id_col: str, text_col: str) -> _Candidates:
     frequent = one_by_one.join(_small(often), "token", "left_semi").groupBy("doc").agg(F.collect_set("token").alias("frequent"))
     signatures = _signatures(tokens, frequent)
     # A signature of one document finds nothing.
-    hubs = written(
-        signatures.groupBy("sig").agg(F.max(F.struct("hub", -F.col("doc"))).alias("hub"), F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("rows"))
-        .where("lo <> hi").select("sig", (-F.col("hub.col2")).alias("hub"), "rows")
+    sizes = written(
+        signatures.groupBy("sig").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("rows"))
+        .where("lo <> hi").select("sig", "rows")
     )
-    return _Candidates(sets, classes, tokens, hubs, written(signatures.select("sig", "doc").join(hubs.select("sig", "hub"), "sig")))
+    return _Candidates(sets, classes, tokens, sizes, written(signatures.join(sizes.select("sig"), "sig").select("sig", "doc")))
 
 
 def _links(found: _Candidates) -> DataFrame:
     """The pairs ``a, b`` of class heads that link, each once."""
     # A document of a signature of k blocks meets each block once: on the left as (own, other), on the right as (other, own).
     blocks = F.ceil(F.col("rows") / FREQUENT).cast("int")
-    sized = found.held.select("sig", "doc").join(found.hubs.select("sig", blocks.alias("blocks")), "sig").join(
+    sized = found.held.select("sig", "doc").join(found.sizes.select("sig", blocks.alias("blocks")), "sig").join(
         found.tokens.select("doc", "n").distinct(), "doc"
     )
     own, every = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -299,27 +292,12 @@ def _placed(found: _Candidates, pairs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc, n, component`` of every row of ``docs`` with an id."""
-    candidates = _candidates(docs, id_col, text_col)
-    held, tokens = candidates.held, candidates.tokens
-
-    # 4. and 5. First with the hubs, then between components.
-    def ordered(x: str, y: str) -> list:
-        return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-
-    pairs = written(held.where("doc <> hub").select(*ordered("doc", "hub")).distinct())
-    starred = written(_verified(pairs, tokens))
-    found = written(components(starred))
-    label = held.select("sig", "doc").join(found.withColumnRenamed("node", "doc"), "doc", "left").select(
-        "sig", "doc", F.coalesce("component", "doc").alias("at")
-    )
-    open_sigs = label.groupBy("sig").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).where("lo <> hi").select("sig")
-    still = written(label.join(open_sigs, "sig"))
-    other = still.select("sig", F.col("doc").alias("doc2"), F.col("at").alias("at2"))
-    across = still.join(other, "sig").where("at < at2").select(*ordered("doc", "doc2")).distinct()
-    more = _verified(written(across.join(pairs, ["a", "b"], "left_anti")), tokens)
-
-    return _placed(candidates, starred.unionByName(more)).select("doc", "n", "component")
+    """``doc, n, first, component`` of every row of ``docs`` with an id; ``first`` is the smallest id with an equal set."""
+    found = _candidates(docs, id_col, text_col)
+    buckets = found.held.select("sig", F.col("doc").alias("node")).distinct()
+    sets = found.tokens.select(F.col("doc").alias("node"), "n", "tokens").distinct()
+    pairs = connecting_links(written(buckets), written(sets), SIMILARITY_PERCENT)
+    return _placed(found, pairs).select("doc", "n", "first", "component")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -330,6 +308,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def op9_ngram_join(docs: DataFrame) -> DataFrame:
-    """doc_id, number of distinct shingles, component and number of links of every document."""
-    out = linked_documents(docs)
-    return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "n_links")
+    """doc_id, number of distinct shingles, component and class of equal sets of every document."""
+    out = near_duplicates(docs)
+    return out.select(
+        F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"),
+        F.coalesce("first", "doc").alias("class_id"),
+    )

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import clear_of, free_name
+from .common import clear_of, free_name, slices
 
 SAMPLE_ROWS = 400  # documents measured to order the rules; the order has no effect on results
 
@@ -157,7 +157,7 @@ def judge_documents(
         schema = T.StructType([*schema.fields, T.StructField(name, T.LongType() if kind == "long" else T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             columns: list[list] = [[] for _ in added]
             for value in batch.column(at):
                 raw = (value.as_py() or "").encode()

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name
+from .common import free_name, slices
 
 MARK = "▁"
 CACHED = 250_000  # segments in each of the cache's two generations
@@ -274,7 +274,7 @@ def encode_documents(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = pieces(model_file)
-        for batch in batches:
+        for batch in slices(batches):
             rows, corrected = vocabulary.encode_texts(batch.column(at).to_pylist())
             made = {
                 "n_tokens": lambda: [r[0] for r in rows],

@@ -107,6 +107,7 @@ def test_bands_find_what_links():
 def test_hubs_connect_what_all_pairs_connect(spark, monkeypatch, percent, small, seed):
     """Sets around several centres, all of them in one bucket."""
     monkeypatch.setattr(hubs, "SMALL", small)
+    monkeypatch.setattr(hubs, "CROWD", 2 * small)
     rnd = random.Random(seed)
     sets = []
     for _ in range(2):

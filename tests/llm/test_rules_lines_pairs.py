@@ -153,7 +153,7 @@ def test_every_link_is_counted_and_returned(docs, monkeypatch):
     want = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
     count = collections.Counter(d for pair in want for d in pair)
     table = docs(rows)
-    assert {r.doc_id: r.n_links for r in nj.op9_ngram_join(table).collect()} == {d: count[d] for d, _ in rows}
+    assert {r.doc: r.n_links for r in nj.linked_documents(table).collect()} == {d: count[d] for d, _ in rows}
     pairs, heads = nj.links(table)
     pairs, head = {(r.a, r.b) for r in pairs.collect()}, {r.doc: r.head for r in heads.collect()}
     assert {(a, b) for a in head for b in head if a < b and (head[a] == head[b] or tuple(sorted((head[a], head[b]))) in pairs)} == want
