@@ -121,21 +121,38 @@ def _find(text: Column, detectors: Column) -> Column:
 
 
 def _without_covered(found: Column) -> Column:
-    """Drop generic credentials that overlap a credential known by its prefix."""
-    high = F.filter(found, lambda x: x["tier"] == HIGH)
+    """Drop generic credentials that overlap a credential known by its prefix.
+
+    One sweep: known ones by their start and generic ones by their end are put
+    in one order, along which the farthest end of the known ones runs.  A
+    generic one is covered when that end, where it stands, is behind its start.
+    """
+    high = F.exists(found, lambda x: x["tier"] == HIGH)
     generic = F.exists(found, lambda x: x["tier"] == GENERIC)
-    free = let(
-        high,
-        lambda hs: F.filter(
+    # At the same place a generic end comes before a known start: they only touch.
+    events = F.array_sort(
+        F.transform(
             found,
-            lambda g: (g["tier"] != GENERIC)
-            | ~F.exists(
-                hs,
-                lambda h: (g["finding"]["start"] < h["finding"]["end"]) & (g["finding"]["end"] > h["finding"]["start"]),
+            lambda x, i: F.struct(
+                F.when(x["tier"] == GENERIC, x["finding"]["end"]).otherwise(x["finding"]["start"]).alias("at"),
+                (x["tier"] != GENERIC).cast("int").alias("kind"),
+                i.alias("i"),
+                F.when(x["tier"] == HIGH, x["finding"]["end"]).otherwise(0).alias("reach"),
+                F.when(x["tier"] == GENERIC, x["finding"]["start"]).alias("start"),
             ),
-        ),
+        )
     )
-    return F.transform(F.when(generic, free).otherwise(found), lambda x: x["finding"])
+
+    def swept(ordered: Column) -> Column:
+        reach = running(F.transform(ordered, lambda e: e["reach"]), lambda x, y: F.greatest(x, y), F.lit(0))
+        marks = F.zip_with(
+            ordered, reach, lambda e, r: F.struct(e["i"].alias("i"), F.coalesce(r > e["start"], F.lit(False)).alias("covered"))
+        )
+        both = F.zip_with(found, F.array_sort(marks), lambda x, m: F.struct(x.alias("x"), m["covered"].alias("covered")))
+        return F.transform(F.filter(both, lambda b: ~b["covered"]), lambda b: b["x"])
+
+    kept = F.when(generic & high, let(events, swept)).otherwise(found)
+    return F.transform(kept, lambda x: x["finding"])
 
 
 def _secret_order(detectors: Sequence[Detector]) -> list[Detector]:
@@ -297,25 +314,77 @@ def redact(text: Column | str, findings: Column | str, overlap: str = "merge") -
     return let(F.struct(col(text).alias("text"), col(findings).alias("findings")), apply)
 
 
+_CUT = "struct<add:int,least:int>"
+
+
 def _redact_compat(text: Column, findings: Column) -> Column:
+    """Findings replaced one after the other from the right, each at its original place in the text so far.
+
+    A replacement keeps the text before its start, and what stands behind its
+    end.  Where the finding reaches over the start of the one replaced before,
+    the end lies in what has been put there, and so many characters of it are
+    lost, first of its placeholder, then of what follows.  With ``X`` lost
+    characters in front of a placeholder of length ``P`` and the ``g`` original
+    characters behind it, ``c + max(0, X - P - g)`` are lost in front of the next
+    one to the right, c being what the finding itself reaches over.
+    These steps compose, so X is a running value over the findings.
+    """
     # Rightmost start first; the position in the list keeps equal starts in order.
     ordered = F.array_sort(
         F.transform(
             findings,
             lambda f, i: F.struct(
-                (-f["start"]).alias("back"), i.alias("i"), f["end"].alias("end"), f["entity"].alias("entity")
+                (-f["start"]).alias("back"), i.alias("i"), f["end"].alias("end"), placeholder(f["entity"]).alias("put")
             ),
         )
     )
-    return F.aggregate(
-        ordered,
-        text,
-        lambda acc, f: F.concat(
-            F.substring(acc, F.lit(1), -f["back"]),
-            placeholder(f["entity"]),
-            F.substring(acc, f["end"] + 1, F.greatest(F.length(acc) - f["end"], F.lit(0))),
-        ),
-    )
+
+    def pieces(ctx: Column) -> Column:
+        held, n = ctx["held"], ctx["n"]
+
+        def part(f: Column, k: Column) -> Column:
+            # Where the finding to the right starts, and what lies between.
+            right = F.when(k == 0, n).otherwise(-F.get(held, k - 1)["back"])
+            return F.struct(
+                f["put"].alias("put"), f["end"].alias("from"), right.alias("upto"),
+                (F.length(f["put"]) + F.greatest(right - f["end"], F.lit(0))).alias("size"),
+                F.greatest(f["end"] - right, F.lit(0)).alias("over"),
+            )
+
+        return F.reverse(F.transform(held, part))  # from left to right
+
+    def joined(ctx: Column) -> Column:
+        parts, blocks = ctx["parts"], ctx["blocks"]
+        # What is lost in front of the next: x -> max(0, x - size) + over, as a step that composes.
+        steps = F.transform(
+            parts, lambda p: F.struct((p["over"] - p["size"]).alias("add"), p["over"].alias("least")).cast(_CUT)
+        )
+        compose = lambda x, y: F.struct(
+            (x["add"] + y["add"]).alias("add"), F.greatest(y["least"], x["least"] + y["add"]).alias("least")
+        ).cast(_CUT)
+        zero = F.struct(F.lit(0).alias("add"), F.lit(-(2**30)).alias("least")).cast(_CUT)
+
+        def shown(lost: Column) -> Column:
+            def one(p: Column, k: Column) -> Column:
+                x = F.when(k == 0, F.lit(0)).otherwise(let(F.get(lost, k - 1), lambda s: F.greatest(s["least"], s["add"])))
+                return let(
+                    x,
+                    lambda x: F.concat(
+                        F.substring(p["put"], x + 1, F.greatest(F.length(p["put"]) - x, F.lit(0))),
+                        slice_text(blocks, p["from"] + F.greatest(x - F.length(p["put"]), F.lit(0)), p["upto"]),
+                    ),
+                )
+
+            return F.array_join(F.transform(parts, one), "")
+
+        return let(running(steps, compose, zero, _CUT), shown)
+
+    def rebuild(ctx: Column) -> Column:
+        first = -F.element_at(ctx["held"], -1)["back"]
+        body = let(F.struct(pieces(ctx).alias("parts"), ctx["blocks"].alias("blocks")), joined)
+        return F.concat(slice_text(ctx["blocks"], F.lit(0), first), body)
+
+    return let(F.struct(ordered.alias("held"), text_blocks(text).alias("blocks"), F.length(text).alias("n")), rebuild)
 
 
 _CLUSTER = "struct<start:int,end:int,best:int,entity:string>"

@@ -1,7 +1,9 @@
 from __future__ import annotations
 
+import hashlib
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -133,6 +135,65 @@ def test_overlap_is_garbled_only_in_compat(spark):
     assert "]EDACTED]" in ops.redact(df, overlap="compat").first().redacted
 
 
+FOUND = "array<struct<entity:string,detector:string,value:string,start:int,end:int,confidence:double>>"
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_compat_edits_are_those_of_the_loop(spark, seed):
+    """Findings that overlap in every way, placeholders of many lengths."""
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(60):
+        text = "".join(rng.choice("abcdé\U0001f600") for _ in range(rng.randint(1, 120)))
+        found = []
+        for _ in range(rng.randint(0, 14)):
+            start = rng.randrange(len(text))
+            found.append(("e" * rng.randint(1, 20), "d", "", start, rng.randint(start, min(len(text), start + rng.choice([3, 20, 90]))), 0.9))
+        rows.append((text, found))
+    df = spark.createDataFrame(rows, f"text string, found {FOUND}").select("text", "found", det.redact("text", "found", "compat").alias("r"))
+    assert [r.r for r in df.collect()] == [python_compat(r.text, [tuple(f) for f in r.found]) for r in df.collect()]
+
+
+def tiered(spark, rows):
+    kind = "array<struct<finding:struct<entity:string,detector:string,value:string,start:int,end:int,confidence:double>,tier:string>>"
+    return spark.createDataFrame([([((t, t, "", s, e, 0.9), t) for t, s, e in row],) for row in rows], f"found {kind}")
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_covered_generic_findings_go(spark, seed):
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(80):
+        row = []
+        for tier in (cat.HIGH, cat.GENERIC, cat.PLAIN):
+            for _ in range(rng.randint(0, 6)):
+                start = rng.randrange(60)
+                row.append((tier, start, start + rng.randint(1, 15)))
+        rows.append(row)
+    got = tiered(spark, rows).select(det._without_covered(F.col("found")).alias("k")).collect()
+    for row, r in zip(rows, got):
+        known = [(s, e) for t, s, e in row if t == cat.HIGH]
+        want = [(t, s, e) for t, s, e in row if t != cat.GENERIC or not any(s < b and e > a for a, b in known)]
+        assert [(f.entity, f.start, f.end) for f in r.k] == want
+
+
+def test_many_spans_take_time_in_proportion(spark):
+    n = 20_000
+    row = [(cat.HIGH, 20 * k, 20 * k + 9) for k in range(n)] + [(cat.GENERIC, 20 * k + 5 * (k % 2) + 5, 20 * k + 15) for k in range(n)]
+    df = tiered(spark, [row]).cache()
+    df.count()
+    covered = df.select(F.size(det._without_covered(F.col("found"))).alias("n"))
+    text = spark.createDataFrame([("x" * 20 * n + "end", [("abc", "d", "", 20 * k, 20 * k + 8 + 14 * (k % 2), 0.9) for k in range(n)])], f"text string, found {FOUND}").cache()
+    text.count()
+    edited = text.select(F.md5(det.redact("text", "found", "compat")).alias("d"))
+    r = text.first()
+    for frame, want in ((covered, n + n // 2), (edited, hashlib.md5(python_compat(r.text, [tuple(f) for f in r.found]).encode()).hexdigest())):
+        frame.first()  # compiled
+        start = time.perf_counter()
+        assert frame.first()[0] == want
+        assert time.perf_counter() - start < 10
+
+
 def test_long_text_is_scanned_to_its_end(spark):
     text = "filler é " * 20000 + "a@b.com " + "filler " * 20000 + "AKIA" + "A" * 16
     df = spark.createDataFrame([(text,)], "text string")
