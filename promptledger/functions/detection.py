@@ -126,6 +126,7 @@ def _without_covered(found: Column) -> Column:
     One sweep: known ones by their start and generic ones by their end are put
     in one order, along which the farthest end of the known ones runs.  A
     generic one is covered when that end, where it stands, is behind its start.
+    (Few steps in one another: the expression is a part of deep ones.)
     """
     high = F.exists(found, lambda x: x["tier"] == HIGH)
     generic = F.exists(found, lambda x: x["tier"] == GENERIC)
@@ -143,16 +144,18 @@ def _without_covered(found: Column) -> Column:
         )
     )
 
-    def swept(ordered: Column) -> Column:
-        reach = running(F.transform(ordered, lambda e: e["reach"]), lambda x, y: F.greatest(x, y), F.lit(0))
-        marks = F.zip_with(
-            ordered, reach, lambda e, r: F.struct(e["i"].alias("i"), F.coalesce(r > e["start"], F.lit(False)).alias("covered"))
-        )
-        both = F.zip_with(found, F.array_sort(marks), lambda x, m: F.struct(x.alias("x"), m["covered"].alias("covered")))
-        return F.transform(F.filter(both, lambda b: ~b["covered"]), lambda b: b["x"])
+    state = "struct<reach:int,covered:array<int>>"
+
+    def step(acc: Column, e: Column) -> Column:
+        covered = F.when(acc["reach"] > e["start"], F.concat(acc["covered"], F.array(e["i"]))).otherwise(acc["covered"])
+        return F.struct(F.greatest(acc["reach"], e["reach"]).alias("reach"), covered.alias("covered")).cast(state)
 
-    kept = F.when(generic & high, let(events, swept)).otherwise(found)
-    return F.transform(kept, lambda x: x["finding"])
+    zero = F.struct(F.lit(0).alias("reach"), F.array().cast("array<int>").alias("covered")).cast(state)
+    covered = F.aggregate(events, zero, step, lambda acc: acc["covered"])
+    left = F.array_except(F.sequence(F.lit(0), F.size(found) - 1), covered)
+    return F.when(generic & high, F.transform(left, lambda i: F.get(found, i)["finding"])).otherwise(
+        F.transform(found, lambda x: x["finding"])
+    )
 
 
 def _secret_order(detectors: Sequence[Detector]) -> list[Detector]:

@@ -30,7 +30,7 @@ from ..functions.text import is_blank, let
 from ..functions.tokens import messages_to_text
 from ..schemas import FINDINGS, JAILBREAK, VIOLATIONS
 from ..storage import broadcast_if_small, materialize
-from .guards import input_guard, judged
+from .guards import judged
 
 GUARD = f"struct<allowed:boolean,violations:{VIOLATIONS}>"
 _REPORT = f"struct<pos:int,findings:{FINDINGS},jailbreak:int,ends:int,starts:int>"
@@ -131,18 +131,18 @@ def guard_requests(
     reports_of = F.coalesce("_reports", F.array().cast(f"array<{_REPORT}>"))
     policy = F.col("policy")
 
-    def composed(held: Column) -> Column:
-        found = requested_findings(_findings(held, detectors), policy["input_guard"]["detect_entities"], detectors)
-        return judged(_first_jailbreak(held), found, policy)
-
-    joined = joined.withColumn("_reports", reports_of).withColumn("_crossed", _crossed(F.col("_reports"), borders))
-    whole = input_guard(messages_to_text("messages"), policy, detectors)
-    guard = F.when(
-        scanned,
-        F.when(F.col("_crossed"), _slim(whole)).otherwise(_slim(let(F.col("_reports"), composed))),
+    # One column after the other: expressions of this depth are resolved one by one.
+    entities = policy["input_guard"]["detect_entities"]
+    text = messages_to_text("messages")
+    staged = (
+        joined.withColumn("_reports", reports_of)
+        .withColumn("_crossed", scanned & _crossed(F.col("_reports"), borders))
+        .withColumn("_text", F.when(F.col("_crossed"), text))
+        .withColumn("_found", _findings(F.col("_reports"), detectors))
+        .withColumn("_found", requested_findings(F.col("_found"), entities, detectors))
+        .withColumn("_found", F.when(F.col("_crossed"), detect_pii("_text", entities, detectors)).otherwise(F.col("_found")))
+        .withColumn("_hit", F.when(F.col("_crossed"), detect_jailbreak("_text")).otherwise(_first_jailbreak(F.col("_reports"))))
+        .withColumn("_judged", judged(F.col("_hit"), F.col("_found"), policy))
     )
-    return joined.withColumn("guard", guard).drop("_reports", "_crossed")
-
-
-def _slim(guard: Column) -> Column:
-    return let(guard, lambda g: F.struct(g["allowed"].alias("allowed"), g["violations"].alias("violations")).cast(GUARD))
+    guard = F.struct(F.col("_judged.allowed").alias("allowed"), F.col("_judged.violations").alias("violations")).cast(GUARD)
+    return staged.withColumn("guard", F.when(scanned, guard)).drop("_reports", "_crossed", "_text", "_found", "_hit", "_judged")

@@ -512,6 +512,14 @@ ORACLES: dict[str, str] = {
         f"g AS (SELECT *, {RANK} AS rank FROM f)",
         *redacted("red", "g", "planted", "doc_id", "text"),
     ),
+    "redacted_documents_compat": findings(
+        "SELECT doc_id, md5(arg_max(text, k)) AS digest, CAST(length(arg_max(text, k)) AS BIGINT) AS n_chars FROM walk GROUP BY doc_id",
+        f"g AS (SELECT *, {RANK} AS rank FROM f)",
+        "o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, rank, ord) AS k FROM g)",
+        "walk AS (SELECT doc_id, text, CAST(0 AS BIGINT) AS k FROM planted UNION ALL SELECT w.doc_id,"
+        " substr(w.text, 1, s) || '[' || upper(entity) || '_REDACTED]' || substr(w.text, e + 1), w.k + 1"
+        " FROM walk w JOIN o ON o.doc_id = w.doc_id AND o.k = w.k + 1)",
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
     "pii_scan": _first_type("pii"),
     "secret_scan": _first_type("secret"),
     "jailbreak_scan": _with(
@@ -561,6 +569,7 @@ ORACLES: dict[str, str] = {
         "SELECT request_id, tokens AS input_tokens, coalesce(tokens > max_tokens, FALSE) AS blocked FROM shrunk"
     ),
     "daily_budget_gate": event_ledger("day", EVENT_BUDGET, EVENT_DECISIONS),
+    "large_key_budget_gate": event_ledger("day", EVENT_BUDGET, EVENT_DECISIONS),
     "redacted_requests": _with(
         *SHRINK, SHRUNK,
         "m AS (SELECT request_id || '#' || pos AS mid, * FROM s5 WHERE request_id IN (SELECT request_id FROM routed WHERE action = 'redact'))",

@@ -461,6 +461,15 @@ def daily_budget_gate(spark, sf_dir):
     )
 
 
+@query
+def large_key_budget_gate(spark, sf_dir):
+    """Every day is treated as one that no task can hold: step functions of chunks."""
+    rows = _gate_rows(spark, sf_dir)
+    return _decisions(
+        budget.budget_gate(rows, F.to_date("ts"), "event_id", "ts", F.col("estimate"), F.col("cost"), _dollars(EVENT_BUDGET), fold_rows=0)
+    )
+
+
 @query
 def redacted_requests(spark, sf_dir):
     rows = _shrunk(spark, sf_dir).where(F.col("policy.input_guard.scanner_action") == "redact")

@@ -15,7 +15,7 @@ from promptledger.plans.oracles import ORACLES
 from promptledger.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
-WITHOUT_ORACLE = {"page_markdown", "redacted_documents_compat"}
+WITHOUT_ORACLE = {"page_markdown"}
 
 
 @pytest.fixture(scope="module")
