@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from decimal import Decimal
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import MONEY, PRICE_SCHEMA
-from ..storage import broadcast_if_small
+from ..storage import broadcast_if_small, materialize, scratch_path
 from .text import col, int_div
 
 # A CASE over this many rows is still cheap; beyond it prices are joined.
@@ -171,20 +172,44 @@ def model_cost_matrix(
     prices: DataFrame | Sequence[Price] | None = None,
     tokens_in: str = "input_tokens",
     tokens_out: str = "output_tokens",
+    block: int = MAX_INLINE_PRICES,
 ) -> DataFrame:
     """What all requests would cost under every priced model.
 
-    One aggregate with a sum per model, then one unpivot of its single row:
-    the input is never multiplied by the number of models.
+    Up to ``block`` prices are one aggregate with a sum per model.  More of them
+    meet a histogram of the different (input, output) token counts, block by
+    block: costs are rounded for each request, so a pair's cost counts as often as
+    it occurs.  The requests are read once and never multiplied by the models;
+    the driver holds one block of prices at a time.
     """
-    rows = load_prices(prices)
-    if rows is None:
-        raise ValueError(f"cost matrix is limited to {MAX_INLINE_PRICES} models")
-    i, o = F.col(tokens_in), F.col(tokens_out)
-    sums = [F.sum(cost_micros(i, o, _price_rows([p])[0])).alias(f"m{n}") for n, p in enumerate(rows)]
-    totals = df.agg(F.count(F.lit(1)).alias("requests"), *sums)
+    i, o = F.col(tokens_in).cast("long"), F.col(tokens_out).cast("long")
+    if prices is not None and not isinstance(prices, DataFrame):
+        prices = list(prices)
+    short = load_prices(prices)
+    if short is not None and len(short) <= block:
+        return _cost_rows(df.select(i.alias("i"), o.alias("o"), F.lit(1).alias("n")), short)
+    pairs = materialize(df.groupBy(i.alias("i"), o.alias("o")).agg(F.count(F.lit(1)).alias("n")), "token-pairs")
+    path = scratch_path(df.sparkSession, "costs")
+    for rows in _price_blocks(short if short is not None else prices, block):
+        _cost_rows(pairs, rows).write.mode("append").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def _price_blocks(prices: DataFrame | Sequence[Price], size: int) -> Iterator[list[Price]]:
+    if isinstance(prices, DataFrame):
+        prices = (Price(*r) for r in prices.select("model", "ordinal", "in_per_1k", "out_per_1k").toLocalIterator())
+    rows = iter(prices)
+    while part := list(islice(rows, size)):
+        yield part
+
+
+def _cost_rows(pairs: DataFrame, prices: Sequence[Price]) -> DataFrame:
+    """One row per price: sums over ``i, o, n``, where ``n`` requests have ``i`` and ``o`` tokens."""
+    i, o, n = F.col("i"), F.col("o"), F.col("n")
+    sums = [F.sum(cost_micros(i, o, _price_rows([p])[0]) * n).alias(f"m{k}") for k, p in enumerate(prices)]
+    totals = pairs.agg(F.coalesce(F.sum(n), F.lit(0)).cast("long").alias("requests"), *sums)
     cells = F.array(
-        *[F.struct(F.lit(p.model).alias("model"), F.col(f"m{n}").alias("micros")) for n, p in enumerate(rows)]
+        *[F.struct(F.lit(p.model).alias("model"), F.col(f"m{k}").alias("micros")) for k, p in enumerate(prices)]
     )
     return totals.select("requests", F.explode(cells).alias("c")).select(
         F.col("c.model").alias("model"),

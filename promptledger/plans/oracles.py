@@ -453,6 +453,11 @@ ORACLES: dict[str, str] = {
         final=f"SELECT pm AS model, count(*) AS requests, {dollars('sum(' + micros('original', estimate('answer')) + ')')} AS total_cost"
         " FROM requests JOIN tokens0 USING (request_id), prices GROUP BY pm",
     ),
+    "supplier_model_costs": _with(
+        REQUESTS_SQL, TOKENS0, "offered AS (SELECT 'model-' || s_suppkey AS pm, s_suppkey * 10000 AS rin, s_suppkey * 30000 AS rout FROM supplier)",
+        final=f"SELECT pm AS model, count(*) AS requests, {dollars('sum(' + micros('original', estimate('answer')) + ')')} AS total_cost"
+        " FROM requests JOIN tokens0 USING (request_id), offered GROUP BY pm",
+    ),
     # shrinking
     "non_empty_messages": _with(
         REQUESTS_SQL, STEP1, final=f"SELECT request_id, count(*) AS n_messages, md5({LINE}) AS digest FROM s1 GROUP BY request_id"

@@ -234,6 +234,21 @@ def model_costs(spark, sf_dir):
     return model_cost_matrix(rows).select("model", "requests", _usd("total_cost").alias("total_cost"))
 
 
+@query
+def supplier_model_costs(spark, sf_dir):
+    """A price for every supplier, in blocks of 64 against the histogram of token pairs."""
+    rows = views.requests(spark, sf_dir).select(
+        count_message_tokens("messages").alias("input_tokens"), count_tokens("answer").alias("output_tokens")
+    )
+    key = F.col("s_suppkey")
+    per_1k = lambda n: (n.cast("decimal(18,0)") * F.lit("0.000010").cast("decimal(7,6)")).cast("decimal(18,9)")
+    offered = views.read(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("model-"), key.cast("string")).alias("model"), key.cast("int").alias("ordinal"),
+        per_1k(key).alias("in_per_1k"), per_1k(key * 3).alias("out_per_1k"),
+    )
+    return model_cost_matrix(rows, offered, block=64).select("model", "requests", _usd("total_cost").alias("total_cost"))
+
+
 # --- shrinking ----------------------------------------------------------------
 
 

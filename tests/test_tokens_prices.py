@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 from decimal import ROUND_HALF_UP, Decimal
 
 import pandas as pd
@@ -117,3 +118,17 @@ def test_cost_matrix(spark):
     assert len(got) == len(prices.DEFAULT_PRICES)
     assert got["gpt-4"] == (2, Decimal("0.062400"))
     assert got["gemini-2.0-flash-lite"] == (2, Decimal(0))
+
+
+def test_cost_matrix_of_any_number_of_prices(spark):
+    rng = random.Random(4)
+    rows = [(rng.randint(0, 9), rng.randint(0, 4)) for _ in range(300)]
+    df = spark.createDataFrame(rows, "input_tokens long, output_tokens long")
+    many = [prices.Price(f"m{k}", k, Decimal(k) / 1000, Decimal(3 * k) / 1000) for k in range(2000)]
+    got = {r.model: (r.requests, r.total_cost) for r in prices.model_cost_matrix(df, prices.prices_frame(spark, many)).collect()}
+    assert len(got) == 2000
+    for p in many[::97]:
+        each = [((Decimal(i) * p.in_per_1k + Decimal(o) * p.out_per_1k) / 1000).quantize(Decimal("0.000001"), ROUND_HALF_UP) for i, o in rows]
+        assert got[p.model] == (300, sum(each))
+    few = prices.model_cost_matrix(df, many[:30], block=7)
+    assert {r.model: (r.requests, r.total_cost) for r in few.collect()} == {p.model: got[p.model] for p in many[:30]}
