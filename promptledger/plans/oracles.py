@@ -750,3 +750,7 @@ ORACLES: dict[str, str] = {
     ),
     "token_warnings": shrink("SELECT request_id, coalesce(tokens >= max_tokens * 0.8, FALSE) AS warned FROM shrunk"),
 }
+
+# The same results by other ways.
+ORACLES["stream_daily_usage_live"] = ORACLES["stream_daily_usage"]
+ORACLES["rewritten_event_log"] = ORACLES["guard_event_stream"]

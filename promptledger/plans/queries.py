@@ -657,6 +657,34 @@ def stream_daily_usage(spark, sf_dir):
     return r.select(F.col("day").cast("string").alias("day"), "checks", _usd("spend").alias("spend"))
 
 
+@query
+def stream_daily_usage_live(spark, sf_dir):
+    """Four runs of days, one micro-batch each, under a watermark of one day; nothing is late."""
+    source = scratch_path(spark, "live")
+    rows = _history_lines(spark, sf_dir).select(F.col("timestamp").cast("timestamp").alias("ts"), F.col("cost_usd").cast("decimal(18,6)").alias("cost_usd"))
+    day = F.to_date("ts")
+    first, last = rows.select(F.min(day), F.max(day)).first()
+    part = F.floor(F.date_diff(day, F.lit(first)) * 4 / ((last - first).days + 1))
+    for k in range(4):
+        rows.where(part == k).coalesce(1).write.mode("append").parquet(source)
+    live = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    r = _snapshot(spark, streams.stream_daily_usage(live, lateness="1 day"), ["day"], "update")
+    return r.select(F.col("day").cast("string").alias("day"), "checks", _usd("spend").alias("spend"))
+
+
+@query
+def rewritten_event_log(spark, sf_dir):
+    """A log in two batches, the first written twice, beside a batch that was never finished."""
+    path = scratch_path(spark, "batched-log")
+    events = _history_events(spark, sf_dir)
+    early = F.pmod(F.xxhash64("timestamp"), F.lit(2)) == 0
+    for part, batch in ((events.where(early), "a"), (events.where(~early), "b"), (events.where(early), "a")):
+        logs.write_guard_events(part, path, batch)
+    events.withColumn("day", F.to_date(F.col("timestamp").cast("timestamp"))).write.partitionBy("day").json(f"{path}/batch=unfinished")
+    flat = logs.good_lines(logs.read_guard_events(spark, path)).select("event", F.col("metadata.input_tokens").alias("tokens"))
+    return flat.groupBy("event").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("tokens"))
+
+
 @query
 def stream_usage_by_tool(spark, sf_dir):
     rows = streams.stream_usage_by_tool(_history_stream(spark, sf_dir), lateness=None)

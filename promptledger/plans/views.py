@@ -60,9 +60,22 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+# A table up to this size is one split of a scan, whatever the number of cores.
+ONE_SPLIT_BYTES = 128 << 20
+
+
 def texts(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A table whose texts are about to be scanned."""
-    return read(spark, sf_dir, table)
+    """A table whose texts are about to be scanned, which is work for every core.
+
+    A small table of a few files is read by as few tasks: its rows are dealt out.
+    Larger ones have splits enough, and are left as they lie.
+    """
+    df = read(spark, sf_dir, table)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{table}.parquet")
+    held = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(at)
+    cores = spark.sparkContext.defaultParallelism
+    few = held.getFileCount() < cores and held.getLength() <= ONE_SPLIT_BYTES
+    return df.repartition(cores) if few else df
 
 
 def sql_text(value: str) -> str:

@@ -43,6 +43,11 @@ def _stream_json(spark: SparkSession, path: str, schema: str, max_files: int) ->
     )
 
 
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that a stream with a watermark has dropped as too late, over its recorded batches."""
+    return sum(int(op["numRowsDroppedByWatermark"]) for p in query.recentProgress for op in p["stateOperators"])
+
+
 def _watermarked(df: DataFrame, ts: str, lateness: str | None) -> DataFrame:
     return df if lateness is None else df.withWatermark(ts, lateness)
 

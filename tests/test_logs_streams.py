@@ -207,6 +207,21 @@ def test_a_stream_runs_on_with_a_trigger(spark, tmp_path):
     assert {r.day.day for r in streams.latest_snapshot(spark, out, ["day"]).collect()} == {1, 2}
 
 
+def test_a_batch_written_again_adds_nothing(spark, tmp_path):
+    path = str(tmp_path / "log")
+    events = queries._history_events(spark, SF)
+    n = events.count()
+    for batch in ("one", "one", "two"):
+        logs.write_guard_events(events, path, batch)
+    # A batch that broke off before its commit is not there for readers.
+    events.withColumn("day", F.to_date(F.col("timestamp").cast("timestamp"))).write.partitionBy("day").json(f"{path}/batch=three")
+    assert logs.good_lines(logs.read_guard_events(spark, path)).count() == 2 * n
+    days = [r[0] for r in events.select(F.to_date(F.col("timestamp").cast("timestamp")).alias("d")).distinct().orderBy(F.desc("d")).limit(2).collect()]
+    assert logs.newest_days(spark, path, 2) == days
+    with pytest.raises(ValueError):
+        logs.write_guard_events(events, path, "../x")
+
+
 def test_traffic_stream_and_sink(spark, tmp_path):
     events = queries._history_events(spark, SF)
     path = str(tmp_path / "log")
