@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.catalogue import DEFAULT_DETECTORS, Detector
 from ..functions.prices import Price, estimate_cost, resolve_price
-from ..functions.tokens import count_tokens, messages_to_text
+from ..functions.tokens import Tokenizer, count_tokens, messages_to_text
 from ..functions.tools import identify_tool
 from ..schemas import EVENT_METADATA, MONEY, VIOLATIONS
 from ..storage import materialize
@@ -39,6 +39,7 @@ def score_requests(
     redaction: str = "message",
     carry: Sequence[str] = (),
     by_turn: bool = False,
+    tokenizer: Tokenizer | None = None,
 ) -> DataFrame:
     """Everything about a request that does not depend on other requests.
 
@@ -48,10 +49,11 @@ def score_requests(
     unless named in ``carry`` (``messages`` are those that would be sent,
     ``answer`` the recorded answer).  With ``by_turn`` the shrunk requests are
     stored and every different message is scanned once (``turn_guard``); that
-    needs unique request ids, and does not redact messages.
+    needs unique request ids, and does not redact messages.  ``tokenizer`` counts
+    the tokens of messages and answers instead of the word estimate.
     """
     staged = resolve_model(agent_policy(df, policies))
-    staged = shrink_requests(resolve_price(staged, prices, rule=rule))
+    staged = shrink_requests(resolve_price(staged, prices, rule=rule), tokenizer=tokenizer)
     policy = F.col("policy")
     staged = staged.withColumn("limit_violations", token_limit_violations(F.col("input_tokens"), policy))
     over_limit = F.size("limit_violations") > 0
@@ -61,7 +63,7 @@ def score_requests(
         guard = input_guard("_text", policy, detectors)
         staged = staged.withColumn("_text", messages_to_text("messages")).withColumn("guard", F.when(~over_limit, guard))
     passed = ~over_limit & F.col("guard.allowed")
-    out_tokens = F.coalesce("answer_tokens", count_tokens("answer", "model"))
+    out_tokens = F.coalesce("answer_tokens", count_tokens("answer", "model", tokenizer))
     none = F.array().cast(VIOLATIONS)
     staged = (
         staged.withColumn("passed", passed)
@@ -100,6 +102,7 @@ def govern_requests(
     carry: Sequence[str] = (),
     opening: DataFrame | None = None,
     fold_rows: int = FOLD_ROWS,
+    tokenizer: Tokenizer | None = None,
 ) -> DataFrame:
     """Verdict, tokens and cost of every request.
 
@@ -107,7 +110,7 @@ def govern_requests(
     all agents, then works on five narrow columns of it.
     """
     by_turn = "messages" not in carry and can_compose(detectors)
-    scored = materialize(score_requests(df, policies, prices, detectors, rule, redaction, carry, by_turn), "scored")
+    scored = materialize(score_requests(df, policies, prices, detectors, rule, redaction, carry, by_turn, tokenizer), "scored")
     decided = budget_gate(
         scored, F.to_date("ts"), "request_id", "ts",
         F.col("estimate"), F.col("full_cost"), F.col("daily_budget"), opening, fold_rows,

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.prices import estimate_cost
 from ..functions.text import col, is_blank
-from ..functions.tokens import count_message_tokens
+from ..functions.tokens import Tokenizer, count_message_tokens
 from ..schemas import MESSAGES, MONEY
-from ..storage import compute_once
+from ..storage import compute_once, materialize
+from .token_counts import with_message_tokens
 
 BREVITY_PROMPT = (
     "Answer briefly and precisely. Give the code or facts asked for with short reasons, "
@@ -105,7 +106,9 @@ def request_guidance(original_tokens: Column, message_count: Column, history_lim
     return F.filter(F.array(large, long), lambda a: a.isNotNull())
 
 
-def shrink_requests(df: DataFrame, brevity_prompt: str = BREVITY_PROMPT) -> DataFrame:
+def shrink_requests(
+    df: DataFrame, brevity_prompt: str = BREVITY_PROMPT, tokenizer: Tokenizer | None = None, key: str = "request_id"
+) -> DataFrame:
     """Shrink ``messages`` under each row's ``policy``.
 
     Needs the ``policy`` and ``price`` columns; adds ``original_tokens``,
@@ -116,9 +119,12 @@ def shrink_requests(df: DataFrame, brevity_prompt: str = BREVITY_PROMPT) -> Data
     o = F.col("policy.optimizer")
     non_empty = F.coalesce(F.size("messages"), F.lit(0)) > 0
     active = o["enabled"] & non_empty
+    if tokenizer is None:
+        counted = compute_once(df, "original_tokens", count_message_tokens("messages"))
+    else:
+        counted = with_message_tokens(materialize(df, "requests"), "original_tokens", tokenizer, key)
     step = (
-        compute_once(df, "original_tokens", count_message_tokens("messages"))
-        .withColumn("_active", active)
+        counted.withColumn("_active", active)
         .withColumn("_m0", F.when(F.col("_active"), with_defaults("messages")).otherwise(F.col("messages")))
     )
 
@@ -144,10 +150,13 @@ def shrink_requests(df: DataFrame, brevity_prompt: str = BREVITY_PROMPT) -> Data
     )
     named = F.array(*[F.when(F.col("_active") & f, F.lit(a)) for a, f in zip(ACTIONS, fired)])
     unchanged = F.col("_m5").eqNullSafe(F.col("messages"))
-    step = step.withColumn(
-        "input_tokens",
-        F.when(unchanged, F.col("original_tokens")).otherwise(count_message_tokens("_m5")),
-    )
+    if tokenizer is None:
+        step = step.withColumn(
+            "input_tokens",
+            F.when(unchanged, F.col("original_tokens")).otherwise(count_message_tokens("_m5")),
+        )
+    else:
+        step = with_message_tokens(materialize(step, "shrunk"), "input_tokens", tokenizer, key, "_m5")
     saved = F.col("original_tokens") - F.col("input_tokens")
     ratio = saved.cast("decimal(18,0)") / F.col("original_tokens").cast("decimal(18,0)")
     step = (

@@ -430,6 +430,13 @@ ORACLES: dict[str, str] = {
     "token_counts": "SELECT lang, source, CAST(sum(CASE WHEN doc_id % 50 = 0 THEN 0 ELSE "
     f"{estimate('text')} END) AS BIGINT) AS tokens FROM documents GROUP BY lang, source",
     "request_tokens": _with(REQUESTS_SQL, TOKENS0, final="SELECT request_id, original AS tokens FROM tokens0"),
+    "tokenized_requests": _with(
+        REQUESTS_SQL, POLICY, ROUTED,
+        "counted AS (SELECT m.request_id, "
+        f"{estimate('role')} + 4 + CASE WHEN content IS NULL THEN 0 WHEN regexp_matches(lower(model2), 'gemini|claude|anthropic|llama|mistral')"
+        f" THEN {estimate('content')} WHEN content = '' THEN 1 ELSE (length(content) + 3) // 4 END AS n FROM msgs m JOIN routed USING (request_id))",
+        final="SELECT request_id, CAST(sum(n) + 2 AS BIGINT) AS tokens FROM counted GROUP BY request_id",
+    ),
     "request_text": _with(
         REQUESTS_SQL,
         final=f"SELECT request_id, md5(string_agg(content, chr(10) ORDER BY pos)) AS digest FROM msgs WHERE {not_blank('content')} GROUP BY request_id",

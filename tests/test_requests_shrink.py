@@ -3,11 +3,12 @@ from __future__ import annotations
 import json
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from promptledger.functions.prices import resolve_price
-from promptledger.operators import guards, requests, shrink
+from promptledger.operators import govern, guards, requests, shrink, token_counts
 from promptledger.schemas import MESSAGES
 
 
@@ -139,3 +140,28 @@ def test_savings_report(spark):
     rows = shrink.savings_report(shrink.shrink_requests(resolve_price(guards.agent_policy(df)))).collect()
     got = {r.action: (r.requests, r.saved_tokens) for r in rows}
     assert got["all"] == (2, 6) and got["remove_empty_messages"] == (1, 6)
+
+
+def test_a_tokenizer_counts_through_the_whole_request(spark):
+    @F.pandas_udf("long")
+    def quarters(texts: pd.Series) -> pd.Series:
+        # The tokenizer fails on texts that begin with "fail".
+        return ((texts.str.len() + 3) // 4).where(~texts.str.startswith("fail"))
+
+    rows = [
+        ("a", "gpt-4o", [("user", "hello world"), ("assistant", "")], "twelve chars"),
+        ("b", "claude-3-5-haiku-latest", [("user", "hello world")], "twelve chars"),
+        ("c", "gpt-4o", [("user", "fail on two words"), (None, None)], "x"),
+        ("d", "gpt-4o", [], "x"),
+    ]
+    df = spark.createDataFrame(rows, "request_id string, model string, messages array<struct<role:string,content:string>>, answer string")
+    got = {r.request_id: r.n for r in token_counts.with_message_tokens(df, "n", quarters).collect()}
+    # role 1, overhead 4, 2 for the request; an empty text counts 1 as by the estimate.
+    assert got == {"a": (1 + 3 + 4) + (1 + 1 + 4) + 2, "b": 1 + 2 + 4 + 2, "c": (1 + 5 + 4) + 4 + 2, "d": 0}
+    full = df.selectExpr(
+        "*", "timestamp'2024-01-01' AS ts", "'x' AS agent_id", "'s' AS session_id", "'u' AS user_agent", "'openai' AS provider",
+        "CAST(NULL AS BIGINT) AS answer_tokens", "CAST(NULL AS BIGINT) AS answer_input_tokens",
+    )
+    done = {r.request_id: r for r in govern.govern_requests(full, tokenizer=quarters).collect()}
+    assert (done["a"].original_tokens, done["a"].output_tokens) == (16, 3) and done["b"].original_tokens == 9
+    assert done["a"].input_tokens == 10 and done["a"].saved_tokens == 6  # the empty message goes
