@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import dropped, slices, written
 from .components import components
 from .shingles import mixed
 
@@ -135,6 +135,7 @@ def links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         lead = buckets.join(tops, "sig").groupBy("node").agg(F.max("top").alias("lead"))
         hubs = tops.select("sig", (-F.col("top.back")).alias("node")).join(lead, "node").select("sig", (-F.col("lead.back")).alias("hub"))
         members = written(buckets.join(hubs, "sig"))
+        dropped(tops)
         compare(members.where("node <> hub").select(*_ordered("node", "hub")).distinct())
 
         if at is None:
@@ -142,9 +143,11 @@ def links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         sizes = sets.groupBy("node").agg(F.max("n").alias("size"))
         labelled = members.join(sizes, "node").join(at, "node", "left")
         labelled = written(labelled.select("sig", "node", "hub", "size", F.coalesce("component", "node").alias("at")))
+        dropped(members)
         parts = labelled.groupBy("sig", "at").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
         parts = parts.groupBy("sig").agg(F.sum("n").alias("rows"), F.max("n").alias("most"), F.sum("size").alias("elements"))
         left = written(labelled.join(parts.where("rows > most"), "sig"))
+        dropped(labelled)
 
         here = F.col("rows") - F.col("most") <= SMALL if first else (F.col("rows") <= CROWD) & (F.col("elements") <= CROWD_ELEMENTS)
         few = left.where(here).select("sig", "node", "at")
@@ -158,8 +161,10 @@ def links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         if many.isEmpty():
             return found
         split = written(_differences(many.select("node", "hub"), sets, percent).join(many.select("node", "at").distinct(), "node"))
+        dropped(left)
         several = split.groupBy("sig").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).where("lo <> hi").select("sig")
         buckets, first = written(split.select("sig", "node").distinct().join(several, "sig")), False
+        dropped(split)
 
 
 def _counted(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -235,11 +235,14 @@ def _candidates(docs: DataFrame, id_col: str, text_col: str) -> _Candidates:
     often = written(one_by_one.groupBy("token").count().where(F.col("count") > FREQUENT).select("token"))
     frequent = one_by_one.join(_small(often), "token", "left_semi").groupBy("doc").agg(F.collect_set("token").alias("frequent"))
     signatures = _signatures(tokens, frequent)
-    # A signature of one document finds nothing.
-    sizes = written(
-        signatures.groupBy("sig").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("rows"))
-        .where("lo <> hi").select("sig", "rows")
+    # A signature of one document finds nothing, and of those that the same documents share one is enough:
+    # near copies share hundreds.  Equal sets have equal numbers, ends and sums of hashes.
+    h = F.xxhash64("doc")
+    shared_by = signatures.groupBy("sig").agg(
+        F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("rows"), F.bit_xor(h).alias("xor"),
+        F.sum(F.shiftright(F.xxhash64("doc", F.lit(1)), 24).cast("decimal(20,0)")).alias("sum"),
     )
+    sizes = written(shared_by.where("lo <> hi").groupBy("lo", "hi", "rows", "xor", "sum").agg(F.min("sig").alias("sig")).select("sig", "rows"))
     return _Candidates(sets, classes, tokens, sizes, written(signatures.join(sizes.select("sig"), "sig").select("sig", "doc")))
 
 
