@@ -162,11 +162,25 @@ def links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             return found
         split = written(_differences(many.select("node", "hub"), sets, percent).join(many.select("node", "at").distinct(), "node"))
         dropped(left)
-        several = split.groupBy("sig").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).where("lo <> hi").select("sig")
-        buckets, first = written(split.select("sig", "node").distinct().join(several, "sig")), False
+        rows = split.distinct()
+        buckets, first = written(rows.join(_different_buckets(rows), "sig").select("sig", "node")), False
         dropped(split)
 
 
+def _different_buckets(rows: DataFrame) -> DataFrame:
+    """``sig`` of the buckets with several components, one of those that hold the same nodes.
+
+    Near copies share hundreds of elements.  Equal sets of nodes have equal
+    numbers, ends and sums of hashes.
+    """
+    h = F.xxhash64("node")
+    held = rows.groupBy("sig").agg(
+        F.min("at").alias("at_lo"), F.max("at").alias("at_hi"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n"),
+        F.bit_xor(h).alias("xor"), F.sum(F.shiftright(F.xxhash64("node", F.lit(1)), 24).cast("decimal(20,0)")).alias("sum"),
+    )
+    return held.where("at_lo <> at_hi").groupBy("lo", "hi", "n", "xor", "sum").agg(F.min("sig").alias("sig")).select("sig")
+
+
 def _counted(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The links ``a, b`` between different components of a bucket, for ``sig, node, at`` of buckets of bounded size."""
 
