@@ -42,6 +42,7 @@ CACHED = 250_000  # segments in each of the cache's two generations
 CACHED_CHARS = 48  # longer segments are not cached
 _PLACE = 32  # bits of an agenda entry that hold the place
 _PLACES = (1 << _PLACE) - 1
+SHORT, _NONE = 40, 1 << _PLACE  # characters of a segment whose agenda is a plain list; the rank of what is no piece
 
 
 class Pieces:
@@ -96,6 +97,8 @@ class Pieces:
     def _split(self, text: str) -> list[str]:
         """The pieces of ``text`` (blanks already marks): the agenda."""
         n = len(text)
+        if n <= SHORT and not self.unused:
+            return self._split_short(text)
         symbols = [*text, ""]  # merged-away symbols and the place behind the last are empty
         before, after = list(range(-1, n)), [*range(1, n + 1), n]
         rank, made = self.rank, {}
@@ -132,6 +135,24 @@ class Pieces:
                     out.append(piece)
         return out
 
+    def _split_short(self, text: str) -> list[str]:
+        """As ``_split``, for a vocabulary without unused pieces: the agenda is a list beside the symbols.
+
+        Its least entry, the leftmost of equals, is found by looking through it.
+        """
+        rank, symbols = self.rank.get, list(text)
+        agenda = [rank(a + b, _NONE) for a, b in pairwise(symbols)]
+        while agenda and (best := min(agenda)) != _NONE:
+            at = agenda.index(best)
+            joined = symbols[at] + symbols.pop(at + 1)
+            symbols[at] = joined
+            del agenda[at]
+            if at < len(agenda):
+                agenda[at] = rank(joined + symbols[at + 1], _NONE)
+            if at:
+                agenda[at - 1] = rank(symbols[at - 1] + joined, _NONE)
+        return symbols
+
     def segment_ids(self, segment: str) -> list[int]:
         ids: list[int] = []
         for piece in self._split(segment.replace(" ", MARK)):
@@ -193,16 +214,12 @@ class Pieces:
         return known
 
     def _encode_text(self, text: str) -> tuple[int, str, str]:
-        get, learn = self.young.get, self._learn
-        found = []
-        for s in self._cut(text):
-            v = get(s)
-            if v is None:
-                v = learn(s)
-                get = self.young.get
-            found.append(v)
-        ids = " ".join([v[0] for v in found] + [str(self.end)])
-        return ids.count(" ") + 1, ids, self._text(b"".join([v[1] for v in found]))
+        segments = self._cut(text)
+        found = list(map(self.young.get, segments))
+        if not all(found):
+            found = [v or self.young.get(s) or self._learn(s) for s, v in zip(segments, found)]
+        ids, raw, sizes = zip(*found) if found else ((), (), ())
+        return sum(sizes) + 1, " ".join([*ids, self.number[self.end]]), self._text(b"".join(raw))
 
     def _disagreeing(self) -> list[str]:
         """Fresh segments to which the library gives other ids; they are corrected."""
