@@ -18,12 +18,15 @@ similarity of their shingles, a shingle weighing as often as it occurs.
     every value at most two bits from theirs in each block, and windows look up
     their six values among items of their length: no fingerprint within the
     radius is missed.
-4.  The candidates' shingle counts are compared exactly.  The best window is the
-    most similar one; among equals one laid by the place in the item, then the
+    Windows of one text are one entry, and so are items of one text.
+4.  The candidates' shingle counts are compared exactly, as intersections of
+    numbered shingles (the square of a text's length only where it repeats
+    some).  The best window is the most similar one; among equals one laid by the place in the item, then the
     first.
 
 Defined cases: null or empty texts and items match nothing; rows without an id
-are never reported and always kept; repeated rows are reported once; a window
+are never reported and always kept; repeated rows are reported once; an item id
+with several texts is reported when one of them is found; a window
 that would reach over an end of its document is cut there; an empty benchmark
 or an empty document table gives no match; other columns pass through.
 """
@@ -65,30 +68,46 @@ def _item_shingles(held: Column) -> Column:
     )
 
 
-# Spreads the four low bits of a number over four 16-bit lanes.
-_SPREAD, _LANES = 0x0000200040008001, 0x0001000100010001
+# Puts the two low bits of a number into two 32-bit lanes.
+_SPREAD, _LANES = (1 << 31) | 1, (1 << 32) | 1
 
 
 def _fingerprints(rows: DataFrame, keys: list[str], held: str) -> DataFrame:
     """``keys, simhash``: bit b is set when most words (all with their count) have bit b in their hash.
 
-    Votes are counted in 16-bit lanes of sixteen sums; beyond 65,535 words lanes
-    carry over, alike for an item and its copies.
+    Votes are counted in the 32-bit lanes of 32 sums, which no text's words overflow.
     """
     hashed = rows.select(*keys, F.explode(held).alias("word")).select(*keys, F.xxhash64("word").alias("h"))
-    nibbles = [
-        F.sum((F.shiftrightunsigned("h", 4 * k).bitwiseAND(F.lit(15)) * F.lit(_SPREAD)).bitwiseAND(F.lit(_LANES))).alias(f"v{k}")
-        for k in range(16)
+    pairs = [
+        F.sum((F.shiftrightunsigned("h", 2 * k).bitwiseAND(F.lit(3)) * F.lit(_SPREAD)).bitwiseAND(F.lit(_LANES))).alias(f"v{k}")
+        for k in range(32)
     ]
-    votes = hashed.groupBy(*keys).agg(F.count("*").alias("n"), *nibbles)
+    votes = hashed.groupBy(*keys).agg(F.count("*").alias("n"), *pairs)
 
     def bit(b: int) -> Column:
-        lane = F.shiftrightunsigned(f"v{b // 4}", 16 * (b % 4)).bitwiseAND(F.lit(0xFFFF))
+        lane = F.shiftrightunsigned(f"v{b // 2}", 32 * (b % 2)).bitwiseAND(F.lit(0xFFFFFFFF))
         return F.when(2 * lane > F.col("n"), F.shiftleft(F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long"))
 
     return votes.select(*keys, reduce(lambda x, y: x.bitwiseOR(y), map(bit, range(64))).alias("simhash"))
 
 
+def _version(held: Column) -> Column:
+    """A digest of a sequence of words."""
+    return F.unhex(F.md5(F.concat_ws(" ", held)))
+
+
+def _counted(shingles: Column) -> Column:
+    """A multiset as a set, from its sorted elements: the second, third ... of equal ones get hashes of their own.
+
+    Then the sum of the smaller counts is the size of an intersection.
+    """
+    def place(x: Column, i: Column) -> Column:
+        again = i + 1 - F.array_position(shingles, x)
+        return F.when(again == 0, x).otherwise(F.xxhash64(x, again))
+
+    return F.when(F.size(F.array_distinct(shingles)) == F.size(shingles), shingles).otherwise(F.transform(shingles, place))
+
+
 def _block(b: int) -> Column:
     first, width = BLOCKS[b]
     return F.shiftrightunsigned("simhash", first).bitwiseAND(F.lit((1 << width) - 1))
@@ -132,10 +151,16 @@ def find_leaks(
     item_col: str = "item_id", item_text_col: str = "text", percent: int = SIMILARITY_PERCENT,
 ) -> DataFrame:
     """``doc, item, start, n_words, similarity, distance``: the best window of every document and item that match."""
-    items = written(
+    named = (
         benchmark.where(F.col(item_col).isNotNull())
-        .select(F.col(item_col).alias("item"), words(ascii_lower(F.col(item_text_col))).alias("held")).distinct()
-        .select("item", "held", F.size("held").alias("size")).where("size > 0")
+        .select(F.col(item_col).alias("item"), words(ascii_lower(F.col(item_text_col))).alias("held")).where(F.size("held") > 0)
+        .withColumn("wanted", _version(F.col("held")))
+    )
+    names = written(named.select("item", "wanted").distinct())
+    # Each different text of items is one item, whatever its ids.
+    items = written(
+        named.groupBy("wanted").agg(F.first("held").alias("held"))
+        .select("wanted", "held", F.size("held").alias("size"), F.array_sort(_item_shingles(F.col("held"))).alias("shingles"))
     )
     laid = items.select("size", F.posexplode(_item_shingles(F.col("held"))).alias("offset", "shingle")).distinct()
     # Items of fewer words than a shingle: their lengths are 1 to 4 at most.
@@ -152,44 +177,44 @@ def find_leaks(
         _dense(met.select("doc", "size", "at").distinct(), percent).withColumn("placed", F.lit(0))
     )
     windows = written(windows.groupBy("doc", "start", "size").agg(F.max("placed").alias("placed")))
-    cut = written(
+    cut = (
         read.join(_small(windows.withColumnRenamed("doc", "d")), F.col("doc") == F.col("d"))
         .select("doc", "start", "size", "placed", F.slice("held", F.col("start") + 1, F.col("size")).alias("held"))
         .where(F.size("held") > 0)
-        .withColumn("version", F.xxhash64("held")).distinct()
     )
+    cut = written(cut.withColumn("version", _version(F.col("held"))))
+    # A text that many windows hold is compared once.
+    texts = cut.groupBy("version", "size").agg(F.first("held").alias("held"))
+    texts = written(texts.withColumn("shingles", F.array_sort(_item_shingles(F.col("held")))))
 
     # 2. Fingerprints.
-    keys = ["doc", "start", "size", "placed", "version"]
-    prints = _fingerprints(cut, keys, "held")
-    item_key = items.withColumn("version", F.xxhash64("held"))
-    indexed = _index(_fingerprints(item_key, ["item", "size", "version"], "held"))
+    prints = _fingerprints(texts, ["version", "size"], "held")
+    indexed = _index(_fingerprints(items.withColumnRenamed("wanted", "item"), ["item", "size"], "held"))
 
     # 3. Look up.
     blocks = F.array(*(F.struct(F.lit(b).alias("block"), _block(b).alias("value")) for b in range(len(BLOCKS))))
-    asked = prints.select(*keys, "simhash", F.explode(blocks).alias("e")).select(*keys, "simhash", "e.block", "e.value")
+    asked = prints.select("version", "size", "simhash", F.explode(blocks).alias("e")).select("version", "size", "simhash", "e.block", "e.value")
     distance = F.bit_count(F.col("simhash").bitwiseXOR(F.col("item_simhash")))
     candidates = written(
         asked.join(indexed, ["block", "value", "size"]).where(distance <= RADIUS)
-        .select(*keys, "item", distance.alias("distance")).distinct()
+        .select("version", "size", F.col("item").alias("wanted"), distance.alias("distance")).distinct()
     )
 
-    # 4. Verify: sums of the smaller and of the larger count of each shingle.
-    def counted(rows: DataFrame, by: list[str], name: str) -> DataFrame:
-        return rows.select(*by, F.explode(_item_shingles(F.col("held"))).alias("shingle")).groupBy(*by, "shingle").agg(F.count("*").alias(name))
-
-    of_window = counted(cut.join(candidates.select(*keys).distinct(), keys), keys, "n")
-    of_item = counted(items, ["item"], "m")
-    total = lambda rows, by, name, as_: rows.groupBy(*by).agg(F.sum(name).alias(as_))
-    common = (
-        candidates.join(of_window, keys).join(of_item, ["item", "shingle"])
-        .groupBy(*keys, "item", "distance").agg(F.sum(F.least("n", "m")).alias("common"))
-        .join(total(of_window, keys, "n", "all_n"), keys).join(total(of_item, ["item"], "m", "all_m"), "item")
+    # 4. Verify.
+    of_window = texts.select("version", "size", _counted(F.col("shingles")).alias("own"))
+    of_item = items.select("wanted", _counted(F.col("shingles")).alias("its"))
+    common = F.size(F.array_intersect("own", "its"))
+    pairs = candidates.join(of_window, ["version", "size"]).join(_small(of_item), "wanted").select(
+        "version", "size", "wanted", "distance", common.alias("common"), (F.size("own") + F.size("its")).alias("both")
+    )
+    union = F.col("both") - F.col("common")
+    matched = written(
+        pairs.where(100 * F.col("common") >= percent * union)
+        .select("version", "size", "wanted", "distance", (F.col("common") / union).alias("similarity"))
     )
-    union = F.col("all_n") + F.col("all_m") - F.col("common")
-    matched = common.where(100 * F.col("common") >= percent * union).withColumn("similarity", F.col("common") / union)
+    placed = cut.select("doc", "start", "size", "placed", "version").join(_small(matched), ["version", "size"])
     best = F.max(F.struct("similarity", "placed", (-F.col("start")).alias("s"), "size", (-F.col("distance")).alias("d")))
-    return matched.groupBy("doc", "item").agg(best.alias("b")).select(
+    return placed.join(names, "wanted").groupBy("doc", "item").agg(best.alias("b")).select(
         "doc", "item", (-F.col("b.s")).alias("start"), F.col("b.size").alias("n_words"), F.col("b.similarity").alias("similarity"),
         (-F.col("b.d")).alias("distance"),
     )
