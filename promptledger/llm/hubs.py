@@ -12,8 +12,10 @@ still join two components.
 2.  Buckets whose sets are now in one component are done.  In those of the
     first level with few sets outside their largest component (``SMALL``) all
     pairs of different components are compared: a bounded number for each set.
-    Those of a later level with up to ``CROWD`` sets are counted out in one task,
-    by an inverted list of their elements.
+    Around a hub up to ``CROWD`` sets, all of its other buckets together, are
+    counted out in one task by an inverted list of what they differ from the hub
+    in: ``x ^ y = A ^ B`` for ``A = x ^ h``, ``B = y ^ h``.  So are, at later levels,
+    buckets of up to ``CROWD`` sets of a hub with more.
 3.  *Differences.*  In all others take what each set differs from the hub in:
     ``A = x ^ h``, ``B = y ^ h``.  When x and y link and are not both linked with
     the hub, A and B have many elements in common, at least
@@ -47,7 +49,7 @@ from .shingles import mixed
 
 # Sets outside of a bucket's largest component up to which all of a first-level bucket's pairs are compared.
 SMALL = 6
-# Sets of a bucket of a later level that one task compares, and elements that they have together.
+# Sets that one task compares, and the elements that they and their hub can differ in.
 CROWD, CROWD_ELEMENTS = 512, 2_000_000
 
 
@@ -144,29 +146,45 @@ def links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         labelled = members.join(sizes, "node").join(at, "node", "left")
         labelled = written(labelled.select("sig", "node", "hub", "size", F.coalesce("component", "node").alias("at")))
         dropped(members)
-        parts = labelled.groupBy("sig", "at").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
-        parts = parts.groupBy("sig").agg(F.sum("n").alias("rows"), F.max("n").alias("most"), F.sum("size").alias("elements"))
+        parts = labelled.groupBy("sig", "at").agg(F.count("*").alias("n"))
+        parts = parts.groupBy("sig").agg(F.sum("n").alias("rows"), F.max("n").alias("most"))
         left = written(labelled.join(parts.where("rows > most"), "sig"))
         dropped(labelled)
 
-        here = F.col("rows") - F.col("most") <= SMALL if first else (F.col("rows") <= CROWD) & (F.col("elements") <= CROWD_ELEMENTS)
-        few = left.where(here).select("sig", "node", "at")
+        done = F.col("rows") - F.col("most") <= SMALL if first else F.lit(False)
+        few = left.where(done).select("sig", "node", "at")
         if first:
             other = few.select("sig", F.col("node").alias("node2"), F.col("at").alias("at2"))
             compare(few.join(other, "sig").where("at < at2").select(*_ordered("node", "node2")).distinct())
-        else:
-            add(written(_counted(few, sets, percent)))
 
-        many = left.where(~here & (F.col("node") != F.col("hub"))).select("hub", "node", "at").distinct()
+        # What is left of all the buckets of a hub, if it fits a task; else bucket by bucket.
+        far = left.where(~done & (F.col("node") != F.col("hub"))).select("sig", "hub", "node", "at", "size")
+        far = far.join(sizes.select(F.col("node").alias("hub"), F.col("size").alias("hub_size")), "hub")
+        around = written(_fitting(far.drop("sig").distinct(), "hub"))
+        add(written(_counted(around.where("fits"), sets, percent, "hub")))
+        many = far.join(around.where("not fits").select("hub").distinct(), "hub", "left_semi")
+        if not first:
+            many = written(_fitting(many, "sig"))
+            add(written(_counted(many.where("fits"), sets, percent, "sig")))
+            many = many.where("not fits")
+        many = written(many.select("hub", "node", "at").distinct())
+        dropped(left)
+        dropped(around)
         if many.isEmpty():
             return found
         split = written(_differences(many.select("node", "hub"), sets, percent).join(many.select("node", "at").distinct(), "node"))
-        dropped(left)
         rows = split.distinct()
         buckets, first = written(rows.join(_different_buckets(rows), "sig").select("sig", "node")), False
         dropped(split)
 
 
+def _fitting(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` with ``fits``: whether one task may hold what all rows of a ``key`` differ from their hub in."""
+    elements = F.sum(F.col("size") + F.col("hub_size"))
+    fits = rows.groupBy(key).agg(((F.count("*") <= CROWD) & (elements <= CROWD_ELEMENTS)).alias("fits"))
+    return rows.join(fits, key)
+
+
 def _different_buckets(rows: DataFrame) -> DataFrame:
     """``sig`` of the buckets with several components, one of those that hold the same nodes.
 
@@ -181,26 +199,43 @@ def _different_buckets(rows: DataFrame) -> DataFrame:
     return held.where("at_lo <> at_hi").groupBy("lo", "hi", "n", "xor", "sum").agg(F.min("sig").alias("sig")).select("sig")
 
 
-def _counted(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The links ``a, b`` between different components of a bucket, for ``sig, node, at`` of buckets of bounded size."""
+def _gaps(rows: DataFrame, sets: DataFrame, key: str) -> DataFrame:
+    """``key, node, at, n, gap`` for ``key, node, hub, at``: what each node differs from its hub in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 256):
+            gaps = [np.setxor1d(_set(x), _set(h), assume_unique=True).tobytes() for x, h in zip(batch.column(4), batch.column(5))]
+            columns = [*(batch.column(k) for k in range(4)), pa.array(gaps, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "node", "at", "n", "gap"])
+
+    hubs = sets.select(F.col("node").alias("hub"), F.col("tokens").alias("hub_tokens"))
+    joined = rows.select(F.col(key).alias("key"), "node", "hub", "at").join(sets.select("node", "n", "tokens"), "node").join(hubs, "hub")
+    return joined.select("key", "node", "at", "n", "tokens", "hub_tokens").mapInArrow(run, "key long, node long, at long, n long, gap binary")
+
+
+def _counted(rows: DataFrame, sets: DataFrame, percent: int, key: str) -> DataFrame:
+    """The links ``a, b`` between different components of a ``key``, for ``key, node, hub, at`` of bounded size.
+
+    All rows of a key have one hub, so two sets differ in what one of them alone differs from the hub in.
+    """
 
-    def run(bucket: pa.Table) -> pa.Table:
-        node, at = bucket.column("node").to_numpy(), bucket.column("at").to_numpy()
-        held = [np.frombuffer(x.as_buffer(), np.uint64) for x in bucket.column("tokens")]
-        n = np.array([len(x) for x in held], np.int64)
+    def run(group: pa.Table) -> pa.Table:
+        node, at, n = (group.column(c).to_numpy() for c in ("node", "at", "n"))
+        held = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("gap")]
+        gap = np.array([len(x) for x in held], np.int64)
         _, element = np.unique(np.concatenate(held), return_inverse=True)
-        owner = np.repeat(np.arange(len(held)), n)[np.argsort(element, kind="stable")]
-        begin = np.concatenate([[0], np.cumsum(np.bincount(element))])
+        owner = np.repeat(np.arange(len(held)), gap)[np.argsort(element, kind="stable")]
+        begin = np.concatenate([[0], np.cumsum(np.bincount(element))]).astype(np.int64)
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for i, own in enumerate(np.split(element, np.cumsum(n)[:-1])):
+        for i, own in enumerate(np.split(element, np.cumsum(gap)[:-1])):
             many = begin[own + 1] - begin[own]
             place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(begin[own], many)
-            same = np.bincount(owner[place], minlength=len(held))
+            both = np.bincount(owner[place], minlength=len(held))
+            same = (n + n[i] - (gap + gap[i] - 2 * both)) // 2
             linked = np.flatnonzero((100 * same >= percent * (n + n[i] - same)) & (at > at[i]))
             left.append(np.full(len(linked), node[i]))
             right.append(node[linked])
         a, b = np.concatenate(left), np.concatenate(right)
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    joined = rows.join(sets.select("node", "tokens"), "node").select("sig", "node", "at", "tokens")
-    return joined.groupBy("sig").applyInArrow(run, "a long, b long").distinct()
+    return _gaps(rows, sets, key).groupBy("key").applyInArrow(run, "a long, b long").distinct()

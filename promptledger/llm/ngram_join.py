@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SIMILARITY_PERCENT, clear_of, slices, written
+from .common import SIMILARITY_PERCENT, clear_of, dropped, slices, written
 from .components import components
 from .hubs import links as connecting_links
 from .shingles import mixed, shingle_sets
@@ -297,9 +297,11 @@ def _placed(found: _Candidates, pairs: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc, n, first, component`` of every row of ``docs`` with an id; ``first`` is the smallest id with an equal set."""
     found = _candidates(docs, id_col, text_col)
-    buckets = found.held.select("sig", F.col("doc").alias("node")).distinct()
-    sets = found.tokens.select(F.col("doc").alias("node"), "n", "tokens").distinct()
-    pairs = connecting_links(written(buckets), written(sets), SIMILARITY_PERCENT)
+    buckets = written(found.held.select("sig", F.col("doc").alias("node")).distinct())
+    sets = written(found.tokens.select(F.col("doc").alias("node"), "n", "tokens").distinct())
+    for spent in (found.held, found.tokens):
+        dropped(spent)
+    pairs = connecting_links(buckets, sets, SIMILARITY_PERCENT)
     return _placed(found, pairs).select("doc", "n", "first", "component")
 
 
