@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -42,6 +43,15 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def freed(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of jobs that nothing refers to any more.
+
+    It does so when the driver's collector meets them, which a driver with little to do may put off for half an hour.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def dropped(df: DataFrame) -> None:
     """Delete the files of a frame from ``written`` that nothing reads any more."""
     spark = df.sparkSession

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, slices, written
+from .common import dropped, freed, slices, written
 from .components import components
 from .shingles import mixed
 
@@ -127,6 +127,7 @@ def links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         pairs = written(pairs)
         tested = pairs if tested is None else tested.unionByName(pairs)
         add(written(verified(pairs, sets, percent)))
+        freed(sets.sparkSession)
 
     first = True
     while True:
@@ -162,6 +163,7 @@ def links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         far = far.join(sizes.select(F.col("node").alias("hub"), F.col("size").alias("hub_size")), "hub")
         around = written(_fitting(far.drop("sig").distinct(), "hub"))
         add(written(_counted(around.where("fits"), sets, percent, "hub")))
+        freed(sets.sparkSession)
         many = far.join(around.where("not fits").select("hub").distinct(), "hub", "left_semi")
         if not first:
             many = written(_fitting(many, "sig"))
@@ -176,6 +178,7 @@ def links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         rows = split.distinct()
         buckets, first = written(rows.join(_different_buckets(rows), "sig").select("sig", "node")), False
         dropped(split)
+        freed(sets.sparkSession)
 
 
 def _fitting(rows: DataFrame, key: str) -> DataFrame:

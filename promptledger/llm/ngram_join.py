@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SIMILARITY_PERCENT, clear_of, dropped, slices, written
+from .common import SIMILARITY_PERCENT, clear_of, dropped, freed, slices, written
 from .components import components
 from .hubs import links as connecting_links
 from .shingles import mixed, shingle_sets
@@ -301,6 +301,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = written(found.tokens.select(F.col("doc").alias("node"), "n", "tokens").distinct())
     for spent in (found.held, found.tokens):
         dropped(spent)
+    freed(docs.sparkSession)
     pairs = connecting_links(buckets, sets, SIMILARITY_PERCENT)
     return _placed(found, pairs).select("doc", "n", "first", "component")
 
