@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 from decimal import Decimal
-from itertools import islice
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import MONEY, PRICE_SCHEMA
-from ..storage import broadcast_if_small, materialize, scratch_path
+from ..storage import broadcast_if_small, materialize
 from .text import col, int_div
 
 # A CASE over this many rows is still cheap; beyond it prices are joined.
@@ -177,10 +176,10 @@ def model_cost_matrix(
     """What all requests would cost under every priced model.
 
     Up to ``block`` prices are one aggregate with a sum per model.  More of them
-    meet a histogram of the different (input, output) token counts, block by
-    block: costs are rounded for each request, so a pair's cost counts as often as
-    it occurs.  The requests are read once and never multiplied by the models;
-    the driver holds one block of prices at a time.
+    are joined with a histogram of the different (input, output) token counts:
+    costs are rounded for each request, so a pair's cost counts as often as it
+    occurs.  The requests are read once and never multiplied by the models, and
+    the number of jobs depends on neither; a price frame stays a table.
     """
     i, o = F.col(tokens_in).cast("long"), F.col(tokens_out).cast("long")
     if prices is not None and not isinstance(prices, DataFrame):
@@ -188,19 +187,35 @@ def model_cost_matrix(
     short = load_prices(prices)
     if short is not None and len(short) <= block:
         return _cost_rows(df.select(i.alias("i"), o.alias("o"), F.lit(1).alias("n")), short)
-    pairs = materialize(df.groupBy(i.alias("i"), o.alias("o")).agg(F.count(F.lit(1)).alias("n")), "token-pairs")
-    path = scratch_path(df.sparkSession, "costs")
-    for rows in _price_blocks(short if short is not None else prices, block):
-        _cost_rows(pairs, rows).write.mode("append").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    pairs = df.groupBy(i.alias("i"), o.alias("o")).agg(F.count(F.lit(1)).alias("n"))
+    # No request at all is a row, too: every model has a total.
+    none = df.sparkSession.range(1).select(*(F.lit(0).cast("long").alias(c) for c in ("i", "o", "n")))
+    offered = prices if isinstance(prices, DataFrame) else short if prices is None else prices
+    return _joined_costs(materialize(pairs.unionByName(none), "token-pairs"), _nano_prices(df.sparkSession, offered))
 
 
-def _price_blocks(prices: DataFrame | Sequence[Price], size: int) -> Iterator[list[Price]]:
+def _nano_prices(spark: SparkSession, prices: DataFrame | Sequence[Price]) -> DataFrame:
+    """``model, price`` of each row, numbered by ``row``: models may repeat."""
     if isinstance(prices, DataFrame):
-        prices = (Price(*r) for r in prices.select("model", "ordinal", "in_per_1k", "out_per_1k").toLocalIterator())
-    rows = iter(prices)
-    while part := list(islice(rows, size)):
-        yield part
+        nano = lambda c: F.when(F.col(c).isNull(), F.raise_error(F.lit("a price is null"))).otherwise((F.col(c) * 1000000000).cast("long"))
+        rows = prices.select("model", nano("in_per_1k").alias("in_nano"), nano("out_per_1k").alias("out_nano"))
+    else:
+        held = [(p.model, _nano(p.in_per_1k), _nano(p.out_per_1k)) for p in prices]
+        rows = spark.createDataFrame(held, "model string, in_nano long, out_nano long")
+    rows = rows.select("model", F.struct("in_nano", "out_nano").alias("price"))
+    # Few rows of a small file would be one task of the product with the pairs.
+    dealt = rows.repartition(spark.sparkContext.defaultParallelism).withColumn("row", F.monotonically_increasing_id())
+    return materialize(dealt, "prices")
+
+
+def _joined_costs(pairs: DataFrame, prices: DataFrame) -> DataFrame:
+    """One row per price, as ``_cost_rows``, where the prices are a table."""
+    n = F.col("n")
+    each = prices.select("row", "price").crossJoin(broadcast_if_small(pairs))
+    sums = each.groupBy("row").agg(
+        F.sum(n).alias("requests"), F.sum(cost_micros(F.col("i"), F.col("o"), F.col("price")) * n).alias("micros")
+    )
+    return prices.select("row", "model").join(sums, "row").select("model", "requests", micros_to_money(F.col("micros")).alias("total_cost"))
 
 
 def _cost_rows(pairs: DataFrame, prices: Sequence[Price]) -> DataFrame:

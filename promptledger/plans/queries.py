@@ -251,7 +251,7 @@ def model_costs(spark, sf_dir):
 
 @query
 def supplier_model_costs(spark, sf_dir):
-    """A price for every supplier, in blocks of 64 against the histogram of token pairs."""
+    """A price for every supplier, joined with the histogram of token pairs."""
     rows = views.requests(spark, sf_dir).select(
         count_message_tokens("messages").alias("input_tokens"), count_tokens("answer").alias("output_tokens")
     )

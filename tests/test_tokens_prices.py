@@ -132,3 +132,19 @@ def test_cost_matrix_of_any_number_of_prices(spark):
         assert got[p.model] == (300, sum(each))
     few = prices.model_cost_matrix(df, many[:30], block=7)
     assert {r.model: (r.requests, r.total_cost) for r in few.collect()} == {p.model: got[p.model] for p in many[:30]}
+
+
+def test_jobs_of_a_cost_matrix_do_not_grow_with_the_prices(spark):
+    df = spark.createDataFrame([(1000, 500), (20, 30), (20, 30), (7, None)], "input_tokens long, output_tokens long")
+    many = [prices.Price(f"m{k // 2}", k, Decimal(k // 2) / 1000, Decimal(k // 2) / 500) for k in range(120)]
+    spark.sparkContext.setJobGroup("cost-matrix", "cost matrix")
+    try:
+        got = prices.model_cost_matrix(df, prices.prices_frame(spark, many), block=2).collect()
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("cost-matrix"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs < 40  # blocks of two prices, one after the other, were 60
+    want = prices.model_cost_matrix(df, many, block=200).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 120
+    none = prices.model_cost_matrix(df.limit(0), prices.prices_frame(spark, many), block=2).collect()
+    assert {(r.requests, r.total_cost) for r in none} == {(0, Decimal(0))} and len(none) == 120
