@@ -2,10 +2,12 @@ from __future__ import annotations
 
 from datetime import date, datetime, timedelta
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from promptledger.operators import extras, guards
+from promptledger.sources import pages
 from promptledger.sources.pages import convert_pages, html_to_markdown
 
 
@@ -99,3 +101,15 @@ def test_convert_pages(spark):
     assert got[2].markdown == "# as is" and got[2].format_detected == "md"
     assert got[3].markdown is None and got[3].warnings == ["unsupported format exe"] and got[3].markdown_tokens == 0
     assert got[4].warnings == ["no document"]
+
+
+def test_pages_are_converted_a_few_at_a_time(spark):
+    html = "<p>" + "word " * 200 + "</p>"
+    batch = pa.RecordBatch.from_pydict(
+        {"_id": list(range(1000)), "_text": [html] * 999 + [None], "_format": ["html"] * 1000, "_size": [len(html)] * 1000}
+    )
+    parts = list(pages._convert(iter([batch])))
+    assert max(p.num_rows for p in parts) <= 64 and sum(p.num_rows for p in parts) == 1000
+    got = pa.Table.from_batches(parts).to_pylist()
+    assert [r["_id"] for r in got] == list(range(1000)) and got[0]["markdown"] == html_to_markdown(html)
+    assert got[-1]["markdown"] is None and got[-1]["error"] == "no document"
