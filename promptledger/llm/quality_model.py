@@ -13,9 +13,9 @@ large the corpus.
 their index vectors, and four measures of length.
 
 *Network.*  One hidden layer of ``HIDDEN`` units and one output, trained in numpy
-on a bounded sample of labelled rows (``TRAIN_ROWS`` of each label, texts up to
-``TRAIN_CHARS`` characters).  A part of the sample that it does not learn from
-sets the temperature of the probabilities.
+on all labelled rows: in ``ROUNDS``, in which each shard of them takes
+``EPOCHS`` passes and the results are averaged (``features.improved``).  One of
+``REST`` training ids is not learned from: all these rows set the temperature of the probabilities.
 
 Defined cases: null and empty texts are scored from zero features; rows
 without an id are scored and never learned from; a row's score depends on its
@@ -33,12 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
-from .features import SCORED, held_out, labelled_sample, scored_batch, softened, temperature
+from .common import dropped, table
+from .features import SCORED, held_out, improved, labelled, logit_counts, scored_batch, sharded, softened, step_logits, temperature, totals
 from .shingles import mixed
 
-TRAIN_ROWS, TRAIN_CHARS = 3000, 30_000
-FORMS, DIMENSIONS, NONZEROS, HIDDEN, EPOCHS = 2048, 32, 4, 24, 60
+FORMS, DIMENSIONS, NONZEROS, HIDDEN = 2048, 32, 4, 24
+ROUNDS, EPOCHS, REST = 6, 10, 5
 THRESHOLD = 0.3
 
 _SHAPES = 64
@@ -165,36 +165,73 @@ class Network:
     def probability(self, x: np.ndarray) -> np.ndarray:
         return softened(self.logit(x) * self.temperature)
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> None:
-        rng = np.random.default_rng(3)
-        order = rng.permutation(len(y))
-        own, rest = order[len(y) // 5 :], order[: len(y) // 5]
-        self.mean, self.scale = x[own].mean(0), x[own].std(0) + 1e-3
+    def state(self) -> np.ndarray:
+        """Rows of ``HIDDEN`` numbers: all that is learned, and beside it Adam's two moments, not begun."""
+        last = np.append(self.p[3], np.zeros(HIDDEN - 1))
+        rows = np.concatenate([self.p[0], self.p[1][None], self.p[2][None], last[None]])
+        return np.concatenate([rows, np.zeros((len(rows), 2 * HIDDEN))], axis=1)
+
+    @staticmethod
+    def _parts(state: np.ndarray, side: int) -> list[np.ndarray]:
+        rows = state[:, side * HIDDEN : (side + 1) * HIDDEN]
+        return [rows[:-3], rows[-3], rows[-2], rows[-1, :1]]
+
+    def take(self, state: np.ndarray) -> None:
+        self.p = [p.astype(np.float32) for p in self._parts(state, 0)]
+
+    def learn(self, state: np.ndarray, x: np.ndarray, y: np.ndarray, turn: int) -> np.ndarray:
+        """``state`` after ``EPOCHS`` passes over features and labels, in the round ``turn``."""
+        rng = np.random.default_rng(3 + turn)
         z = (x - self.mean) / self.scale
-        m, v, step = [np.zeros_like(p) for p in self.p], [np.zeros_like(p) for p in self.p], 0
+        p, m, v = (self._parts(state, side) for side in range(3))
+        batches = max(1, len(y) // 64)
+        step = turn * EPOCHS * batches
         for _ in range(EPOCHS):
-            for part in np.array_split(rng.permutation(own), max(1, len(own) // 64)):
-                h = self._hidden(z[part])
-                error = (softened(h @ self.p[2] + self.p[3][0]) - y[part]) / len(part)
-                back = np.outer(error, self.p[2]) * (h > 0)
-                grads = [z[part].T @ back + 1e-4 * self.p[0], back.sum(0), h.T @ error, error.sum(keepdims=True)]
+            for part in np.array_split(rng.permutation(len(y)), batches):
+                h = np.maximum(0, z[part] @ p[0] + p[1])
+                error = (softened(h @ p[2] + p[3][0]) - y[part]) / len(part)
+                back = np.outer(error, p[2]) * (h > 0)
+                grads = [z[part].T @ back + 1e-4 * p[0], back.sum(0), h.T @ error, error.sum(keepdims=True)]
                 step += 1
                 for k, g in enumerate(grads):
-                    m[k] = 0.9 * m[k] + 0.1 * g
-                    v[k] = 0.999 * v[k] + 0.001 * g * g
-                    self.p[k] = self.p[k] - 0.01 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
-        self.temperature = temperature(self.logit(x[rest]), y[rest])
+                    m[k][...] = 0.9 * m[k] + 0.1 * g
+                    v[k][...] = 0.999 * v[k] + 0.001 * g * g
+                    p[k] -= 0.01 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
+        return state
+
+    def fit(self, rows: DataFrame) -> None:
+        """Learn from all rows of ``features.sharded``, encoded as 32-bit features."""
+        own = rows.where("not rest")
+
+        def sums(xs: list[bytes], ys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            x = _decoded(xs).astype(np.float64)
+            return np.arange(2), np.column_stack([np.full(2, len(x)), np.stack([x.sum(0), (x * x).sum(0)])])
+
+        keys, total = totals(own, len(self.mean) + 1, sums)
+        first, second = (total[keys == k][0, 1:] / total[0, 0] for k in range(2))
+        self.mean, self.scale = first.astype(np.float32), (np.sqrt(np.maximum(0, second - first * first)) + 1e-3).astype(np.float32)
+        state = self.state()
+        for turn in range(ROUNDS):
+            state = improved(own, state, lambda begun, xs, ys, turn=turn: self.learn(begun, _decoded(xs), ys, turn))
+        self.take(state)
+        counts = logit_counts(rows.where("rest"), 1, lambda xs: (np.zeros(len(xs), np.int64), self.logit(_decoded(xs))))[0]
+        y, at = np.nonzero(counts)
+        self.temperature = temperature(step_logits()[at], y, counts[y, at])
+
+
+def _decoded(xs: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(xs), np.float32).reshape(len(xs), -1)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> tuple[np.ndarray, Network | None]:
     """Word vectors of all documents, and the network; none where a class has no labelled row."""
     vectors = np.concatenate([_context_sums(docs), index_vectors()], axis=1)
-    texts, y = labelled_sample(docs, labels, label, TRAIN_ROWS, TRAIN_CHARS)
-    if len(set(y.tolist())) < 2:
+    rows = sharded(labelled(docs, labels, label, REST), lambda texts: [x.tobytes() for x in features(texts, vectors)])
+    if rows is None:
         return vectors, None
-    x = features(texts, vectors)
-    network = Network(x.shape[1])
-    network.fit(x, y)
+    network = Network(vectors.shape[1] + 4)
+    network.fit(rows)
+    dropped(rows)
     return vectors, network
 
 

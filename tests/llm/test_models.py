@@ -1,11 +1,13 @@
 from __future__ import annotations
 
+import pickle
 import random
 import zlib
 
 import numpy as np
 import pytest
 
+from promptledger.llm import features
 from promptledger.llm import quality_model as qm
 from promptledger.llm import toxicity_model as tm
 from promptledger.llm.features import held_out, temperature
@@ -74,3 +76,43 @@ def test_rule_and_parts(spark, docs):
     net = tm.Convolution()
     net.tables[0][:] = np.random.default_rng(0).standard_normal(net.tables[0].shape)
     assert np.allclose(net.logits(long, words=1000), net.logits(long, words=10**6), atol=1e-4)
+
+
+def test_every_labelled_row_is_learned_from(tables, monkeypatch):
+    docs_, labels, plain = tables
+    monkeypatch.setattr(features, "SHARD_ROWS", 150)
+    rows = features.sharded(features.labelled(docs_, labels, "toxic", 4), tm._encoded)
+    held = [x for x in plain if zlib.crc32(str(x[0]).encode()) % 5 == 0]
+    kept = rows.select("shard", "at", "rest").collect()
+    assert len(kept) == len({r["at"] for r in kept}) == len(plain) - len(held)
+    own = sum(not r["rest"] for r in kept)
+    assert len({r["shard"] for r in kept}) == -(-own // 150) > 1
+    assert judged(qm.score_quality(docs_, *qm.train(docs_, labels)), plain, 1)[0] > 0.97
+    assert judged(tm.score_toxicity(docs_, tm.train(docs_, labels)), plain, 2)[0] > 0.95
+
+
+def test_labelled_texts_of_any_length(spark, docs):
+    rows, labels = corpus(60)
+    long = docs([(k, " ".join([text] * 400)) for k, text in rows])
+    assert min(len(r.text) for r in long.collect()) > 30_000
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    assert qm.train(long, known)[1] is not None and tm.train(long, known) is not None
+
+
+def test_pieces_of_a_long_text_learn_alike(monkeypatch):
+    rng = np.random.default_rng(1)
+    texts = [tm._decoded(x)[1] for x in tm._encoded([" ".join(rng.choice(WORDS, n)) for n in (3, 500, 0, 90)])]
+    net, rare = tm.Convolution(), [np.zeros(tm.ROWS + 1, bool)] * 3
+    for t in net.tables:
+        t[:-1] = rng.standard_normal((tm.ROWS, tm.SIDE))
+    whole = net._best(texts, rare)
+    monkeypatch.setattr(tm, "WORDS", 50)
+    cut = net._best(texts, rare)
+    assert np.allclose(whole[0], cut[0], atol=1e-4) and whole[1].shape == cut[1].shape
+
+
+def test_a_network_travels_whole():
+    net = tm.Convolution()
+    net.tables[1][[3, 70]] = 1.5
+    size = len(pickle.dumps(net))
+    assert size < 20_000 and all(np.array_equal(a, b) for a, b in zip(net.tables, pickle.loads(pickle.dumps(net)).tables))
