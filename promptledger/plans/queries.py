@@ -733,16 +733,28 @@ def stream_event_sink(spark, sf_dir):
     return rows.groupBy(F.col("day").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n"))
 
 
+# Requests of one file: what a task writes and later scores.
+REQUESTS_PER_FILE = 1000
+
+
+def _write_parts(rows: DataFrame, path: str, parts: int = 3) -> int:
+    """Deal requests by their ids into parts that are appended one after the other; the number of files of each."""
+    files = max(1, -(-rows.count() // (parts * REQUESTS_PER_FILE)))
+    part = F.pmod(F.xxhash64("request_id"), F.lit(parts))
+    for k in range(parts):
+        mine = rows.where(part == k)
+        (mine.coalesce(1) if files == 1 else mine.repartition(files)).write.mode("append").parquet(path)
+    return files
+
+
 @query
 def stream_budget_gate(spark, sf_dir):
     source = scratch_path(spark, "requests")
-    # Three shuffled parts, read one file at a time: each is a micro-batch with
-    # rows of every day, of which many stand before rows that are decided already.
-    rows = views.requests(spark, sf_dir)
-    third = F.pmod(F.xxhash64("request_id"), F.lit(3))
-    for k in range(3):
-        rows.where(third == k).coalesce(1).write.mode("append").parquet(source)
-    requests = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    # Three shuffled parts: each is a micro-batch with rows of every day, of
+    # which many stand before rows that are decided already.
+    rows = materialize(views.requests(spark, sf_dir), "stream-requests")
+    files = _write_parts(rows, source)
+    requests = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(source)
     gate, running = streams.stream_budget_gate(
         requests, scratch_path(spark, "gate"), scratch_path(spark, "checkpoint"), _policies(spark)
     )

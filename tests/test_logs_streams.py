@@ -238,3 +238,15 @@ def test_traffic_stream_and_sink(spark, tmp_path):
     live = logs.good_lines(streams.stream_guard_events(spark, path)).drop("day")
     streams.stream_event_sink(live, str(tmp_path / "sink"), str(tmp_path / "sink-check")).awaitTermination()
     assert logs.good_lines(logs.read_guard_events(spark, str(tmp_path / "sink"))).count() == events.count()
+
+
+def test_parts_of_a_large_table_are_several_files(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([request(n, "hello", minutes=n, tokens=30) for n in range(1, 121)], REQUEST_SCHEMA)
+    assert queries._write_parts(rows, str(tmp_path / "one")) == 1
+    monkeypatch.setattr(queries, "REQUESTS_PER_FILE", 20)
+    files = queries._write_parts(rows, str(tmp_path / "in"))
+    assert files == 2
+    got = spark.read.parquet(str(tmp_path / "in")).selectExpr("request_id", "pmod(xxhash64(request_id), 3) part", "_metadata.file_name file").collect()
+    assert sorted(r.request_id for r in got) == sorted(r.request_id for r in rows.select("request_id").collect())
+    held = {(r.file, r.part) for r in got}
+    assert len(held) == len({f for f, _ in held}) == 3 * files
