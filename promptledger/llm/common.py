@@ -17,6 +17,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 SHINGLE_WORDS = 5
 SIMILARITY_PERCENT = 75
+MAX_BROADCAST_ROWS = 1_000_000  # of one or two longs each: some tens of MB
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +53,11 @@ def freed(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def small(df: DataFrame) -> DataFrame:
+    """Broadcast after counting; a plain frame, joined by shuffling, beyond the bound."""
+    return F.broadcast(df) if df.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS else df
+
+
 def dropped(df: DataFrame) -> None:
     """Delete the files of a frame from ``written`` that nothing reads any more."""
     spark = df.sparkSession

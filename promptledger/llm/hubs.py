@@ -31,6 +31,11 @@ still join two components.
     level, where step 1 starts again.  A hub is in none of its own, so levels
     end; edits of near copies are mostly their own, so buckets fall apart fast.
 
+Before whole sets are moved, pairs are looked at by parity bitmaps of a few
+bits for each element: where the bitmaps differ in more cells than linked sets
+can differ in elements, the sets do not link.  Only sets that are left with a
+partner are joined, for the exact comparison.
+
 Every level is written to the shared folder.  Nodes are 64-bit keys of sets.
 """
 
@@ -43,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, freed, slices, written
+from .common import dropped, freed, slices, small, written
 from .components import components
 from .shingles import mixed
 
@@ -57,9 +62,50 @@ def _set(raw: pa.Scalar) -> np.ndarray:
     return np.frombuffer(raw.as_buffer(), np.uint64)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def parity(tokens: np.ndarray) -> bytes:
+    """A bit per cell: whether the number of the set's tokens in it is odd.  Cells: a power of two."""
+    cells = 64
+    while cells < 2 * len(tokens):
+        cells *= 2
+    odd = np.bincount((tokens >> np.uint64(20)).astype(np.int64) & (cells - 1), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """Bitmaps (the last axis) in as few as ``size`` bytes: cells that fall together are added."""
+    return np.bitwise_xor.reduce(bits.reshape(*bits.shape[:-1], -1, size), axis=-2)
+
+
+def _bitmaps(sets: DataFrame) -> DataFrame:
+    """``node, n, parity`` of every set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            bits = pa.array([parity(_set(x)) for x in batch.column(2)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), bits], names=["node", "n", "parity"])
+
+    return sets.select("node", F.col("n").cast("long").alias("n"), "tokens").mapInArrow(run, "node long, n long, parity binary")
+
+
+def _of(sets: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
+    """The sets of the nodes in these columns of ``rows``."""
+    nodes = rows.select(F.explode(F.array(*columns)).alias("node")).distinct()
+    return sets.join(small(nodes), "node", "left_semi")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, b`` whose sets link; ``sets`` has ``node, n, tokens`` with sorted 64-bit elements."""
 
+    def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            keep = []
+            for n, m, x, y in zip(*(batch.column(k).to_pylist() for k in range(2, 6))):
+                x, y = (np.frombuffer(z, np.uint8) for z in (x, y))
+                size = min(len(x), len(y))
+                apart = int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum())
+                keep.append((100 + percent) * apart <= (100 - percent) * (n + m))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             keep = []
@@ -69,10 +115,13 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * same >= percent * (len(x) + len(y) - same))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    a, b = (sets.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("tokens").alias(f"tokens_{s}")) for s in "ab")
-    sized = pairs.join(a.drop("tokens_a"), "a").join(b.drop("tokens_b"), "b")
+    a, b = (bitmaps.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("parity").alias(f"parity_{s}")) for s in "ab")
     fits = (100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a"))
-    full = sized.where(fits).select("a", "b").join(a.drop("n_a"), "a").join(b.drop("n_b"), "b")
+    sized = pairs.join(a, "a").join(b, "b").where(fits).select("a", "b", "n_a", "n_b", "parity_a", "parity_b")
+    near = written(sized.mapInArrow(filtered, "a long, b long").distinct())
+    whole = _of(sets, near, "a", "b")
+    a, b = (whole.select(F.col("node").alias(s), F.col("tokens").alias(f"tokens_{s}")) for s in "ab")
+    full = near.join(a, "a").join(b, "b")
     return full.select("a", "b", "tokens_a", "tokens_b").mapInArrow(run, "a long, b long")
 
 
@@ -99,7 +148,8 @@ def _differences(spokes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 nodes.append(np.full(len(prefix), node, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(nodes))], names=["sig", "node"])
 
-    own, hubs = sets.select("node", "tokens"), sets.select(F.col("node").alias("hub"), F.col("tokens").alias("hub_tokens"))
+    whole = _of(sets, spokes, "node", "hub")
+    own, hubs = whole.select("node", "tokens"), whole.select(F.col("node").alias("hub"), F.col("tokens").alias("hub_tokens"))
     joined = spokes.join(own, "node").join(hubs, "hub").select("node", "hub", "tokens", "hub_tokens")
     return joined.mapInArrow(run, "sig long, node long")
 
@@ -112,6 +162,7 @@ def links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     tested: DataFrame | None = None
     found: DataFrame | None = None
     at: DataFrame | None = None
+    bitmaps = written(_bitmaps(sets))
 
     def add(more: DataFrame) -> None:
         nonlocal found, at
@@ -126,7 +177,7 @@ def links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs)
         tested = pairs if tested is None else tested.unionByName(pairs)
-        add(written(verified(pairs, sets, percent)))
+        add(written(verified(pairs, sets, bitmaps, percent)))
         freed(sets.sparkSession)
 
     first = True
@@ -162,12 +213,12 @@ def links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         far = left.where(~done & (F.col("node") != F.col("hub"))).select("sig", "hub", "node", "at", "size")
         far = far.join(sizes.select(F.col("node").alias("hub"), F.col("size").alias("hub_size")), "hub")
         around = written(_fitting(far.drop("sig").distinct(), "hub"))
-        add(written(_counted(around.where("fits"), sets, percent, "hub")))
+        add(written(_counted(around.where("fits"), sets, bitmaps, percent, "hub")))
         freed(sets.sparkSession)
         many = far.join(around.where("not fits").select("hub").distinct(), "hub", "left_semi")
         if not first:
             many = written(_fitting(many, "sig"))
-            add(written(_counted(many.where("fits"), sets, percent, "sig")))
+            add(written(_counted(many.where("fits"), sets, bitmaps, percent, "sig")))
             many = many.where("not fits")
         many = written(many.select("hub", "node", "at").distinct())
         dropped(left)
@@ -179,6 +230,8 @@ def links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         buckets, first = written(rows.join(_different_buckets(rows), "sig").select("sig", "node")), False
         dropped(split)
         freed(sets.sparkSession)
+        if buckets.isEmpty():
+            return found
 
 
 def _fitting(rows: DataFrame, key: str) -> DataFrame:
@@ -202,7 +255,31 @@ def _different_buckets(rows: DataFrame) -> DataFrame:
     return held.where("at_lo <> at_hi").groupBy("lo", "hi", "n", "xor", "sum").agg(F.min("sig").alias("sig")).select("sig")
 
 
-def _gaps(rows: DataFrame, sets: DataFrame, key: str) -> DataFrame:
+def _possible(rows: DataFrame, bitmaps: DataFrame, percent: int, key: str) -> DataFrame:
+    """The ``key, node, hub, at`` of ``rows`` that may link with one of another component of their key, by the bitmaps."""
+
+    def run(group: pa.Table) -> pa.Table:
+        at, n = (group.column(c).to_numpy() for c in ("at", "n"))
+        raw = [np.frombuffer(x.as_buffer(), np.uint8) for x in group.column("parity")]
+        size = np.array([len(x) for x in raw])
+        keep = np.zeros(len(raw), bool)
+        for least in np.unique(size):
+            # Those of this size against themselves and all that are larger.
+            place = np.flatnonzero(size >= least)
+            bits = np.stack([folded(raw[k], least) for k in place]).view(np.uint64)
+            for i, k in zip(np.flatnonzero(size[place] == least), place[size[place] == least]):
+                other = np.flatnonzero((at[place] != at[k]) & (100 * n[place] >= percent * n[k]) & (100 * n[k] >= percent * n[place]))
+                apart = np.bitwise_count(bits[other] ^ bits[i]).sum(axis=1, dtype=np.int64)
+                near = place[other[(100 + percent) * apart <= (100 - percent) * (n[place[other]] + n[k])]]
+                if len(near):
+                    keep[near] = keep[k] = True
+        return group.select(["key", "node", "hub", "at"]).filter(pa.array(keep))
+
+    joined = rows.select(F.col(key).alias("key"), "node", "hub", "at").join(bitmaps, "node")
+    return joined.groupBy("key").applyInArrow(run, "key long, node long, hub long, at long").distinct()
+
+
+def _gaps(rows: DataFrame, sets: DataFrame) -> DataFrame:
     """``key, node, at, n, gap`` for ``key, node, hub, at``: what each node differs from its hub in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,12 +288,13 @@ def _gaps(rows: DataFrame, sets: DataFrame, key: str) -> DataFrame:
             columns = [*(batch.column(k) for k in range(4)), pa.array(gaps, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["key", "node", "at", "n", "gap"])
 
-    hubs = sets.select(F.col("node").alias("hub"), F.col("tokens").alias("hub_tokens"))
-    joined = rows.select(F.col(key).alias("key"), "node", "hub", "at").join(sets.select("node", "n", "tokens"), "node").join(hubs, "hub")
+    whole = _of(sets, rows, "node", "hub")
+    hubs = whole.select(F.col("node").alias("hub"), F.col("tokens").alias("hub_tokens"))
+    joined = rows.select("key", "node", "hub", "at").join(whole.select("node", "n", "tokens"), "node").join(hubs, "hub")
     return joined.select("key", "node", "at", "n", "tokens", "hub_tokens").mapInArrow(run, "key long, node long, at long, n long, gap binary")
 
 
-def _counted(rows: DataFrame, sets: DataFrame, percent: int, key: str) -> DataFrame:
+def _counted(rows: DataFrame, sets: DataFrame, bitmaps: DataFrame, percent: int, key: str) -> DataFrame:
     """The links ``a, b`` between different components of a ``key``, for ``key, node, hub, at`` of bounded size.
 
     All rows of a key have one hub, so two sets differ in what one of them alone differs from the hub in.
@@ -241,4 +319,5 @@ def _counted(rows: DataFrame, sets: DataFrame, percent: int, key: str) -> DataFr
         a, b = np.concatenate(left), np.concatenate(right)
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    return _gaps(rows, sets, key).groupBy("key").applyInArrow(run, "a long, b long").distinct()
+    left = written(_possible(rows, bitmaps, percent, key))
+    return _gaps(left, sets).groupBy("key").applyInArrow(run, "a long, b long").distinct()

@@ -47,13 +47,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SIMILARITY_PERCENT, clear_of, dropped, freed, slices, written
+from .common import SIMILARITY_PERCENT, clear_of, dropped, freed, slices, small, written
 from .components import components
-from .hubs import links as connecting_links
+from .hubs import links as connecting_links, parity
 from .shingles import mixed, shingle_sets
 
 FREQUENT = 64
-MAX_BROADCAST_ROWS = 1_000_000  # of one or two longs each: some tens of MB
 
 
 def needed(n: int) -> int:
@@ -65,11 +64,6 @@ def prefix_size(n: int) -> int:
     return n - needed(n) + 1
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Broadcast after counting; a plain frame, joined by shuffling, beyond the bound."""
-    return F.broadcast(df) if df.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS else df
-
-
 def _long(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
@@ -95,15 +89,6 @@ def _sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return source.mapInArrow(run, "doc long, n long, class binary, prefix array<long>")
 
 
-def _parity(tokens: np.ndarray) -> bytes:
-    """A bit per cell: whether the number of the set's tokens in it is odd.  Cells: a power of two."""
-    cells = 64
-    while cells < 2 * len(tokens):
-        cells *= 2
-    odd = np.bincount((tokens >> np.uint64(20)).astype(np.int64) & (cells - 1), minlength=cells) & 1
-    return np.packbits(odd.astype(np.uint8)).tobytes()
-
-
 def _tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``doc, n, tokens, parity`` with the sorted tokens as bytes."""
 
@@ -113,7 +98,7 @@ def _tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([_parity(s) for s in sets], pa.binary()),
+                    pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([parity(s) for s in sets], pa.binary()),
                 ],
                 names=["doc", "n", "tokens", "parity"],
             )
@@ -227,13 +212,15 @@ def _candidates(docs: DataFrame, id_col: str, text_col: str) -> _Candidates:
     )
     able = written(able)
     tokens = written(
-        _tokens(docs.join(_small(able), F.col(id_col) == F.col("doc"), "left_semi"), id_col, text_col)
+        _tokens(docs.join(small(able), F.col(id_col) == F.col("doc"), "left_semi"), id_col, text_col)
     )
+    dropped(shared)
+    freed(docs.sparkSession)
 
     # 2. and 3. Classes of tokens, then signatures.
     one_by_one = _unpacked(tokens)
     often = written(one_by_one.groupBy("token").count().where(F.col("count") > FREQUENT).select("token"))
-    frequent = one_by_one.join(_small(often), "token", "left_semi").groupBy("doc").agg(F.collect_set("token").alias("frequent"))
+    frequent = one_by_one.join(small(often), "token", "left_semi").groupBy("doc").agg(F.collect_set("token").alias("frequent"))
     signatures = _signatures(tokens, frequent)
     # A signature of one document finds nothing, and of those that the same documents share one is enough:
     # near copies share hundreds.  Equal sets have equal numbers, ends and sums of hashes.

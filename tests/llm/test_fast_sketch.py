@@ -127,3 +127,34 @@ def test_hubs_connect_what_all_pairs_connect(spark, monkeypatch, percent, small,
     linked = {(a, b) for b in range(len(sets)) for a in range(b) if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
     assert set(found) <= linked
     assert groups(range(len(sets)), found) == groups(range(len(sets)), linked)
+
+
+@pytest.mark.parametrize("percent", [75, 85])
+def test_only_sets_that_may_link_are_moved_whole(spark, monkeypatch, percent):
+    """Of many unlike sets of one bucket those with a partner are compared on all elements, and are found."""
+    monkeypatch.setattr(hubs, "SMALL", 2)
+    moved, gaps = [], hubs._gaps
+
+    def counted(rows, *rest):
+        moved.append(rows.count())
+        return gaps(rows, *rest)
+
+    monkeypatch.setattr(hubs, "_gaps", counted)
+    rng = np.random.default_rng(percent)
+    sets = [rng.integers(0, 2**63, int(rng.integers(50, 80)), dtype=np.uint64) for _ in range(40)]
+    sets += [np.append(s[:-1], rng.integers(0, 2**63, 3, dtype=np.uint64)) for s in sets[:3]]
+    frame = spark.createDataFrame([(k, len(s), bytearray(np.sort(s).tobytes())) for k, s in enumerate(sets)], "node long, n long, tokens binary")
+    buckets = spark.createDataFrame([(1, k) for k in range(len(sets))], "sig long, node long")
+    found = {tuple(r) for r in hubs.links(buckets, frame, percent).select("a", "b").collect()}
+    assert found == {(k, 40 + k) for k in range(3)}
+    assert sum(moved) <= 6
+
+
+def test_bitmaps_differ_in_no_more_than_the_sets():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        every = rng.integers(0, 2**63, int(rng.integers(1, 400)), dtype=np.uint64)
+        x, y = (np.unique(rng.choice(every, int(rng.integers(1, len(every) + 1)))) for _ in "xy")
+        p, q = (np.frombuffer(hubs.parity(s), np.uint8) for s in (x, y))
+        size = min(len(p), len(q))
+        assert np.bitwise_count(hubs.folded(p, size) ^ hubs.folded(q, size)).sum() <= len(np.setxor1d(x, y))
