@@ -54,6 +54,8 @@ from .shingles import mixed
 
 # Sets outside of a bucket's largest component up to which all of a first-level bucket's pairs are compared.
 SMALL = 6
+# Bytes of hubs' sets that are broadcast to the sets around them, after counting.
+MAX_HUB_BYTES = 32_000_000
 # Sets that one task compares, and the elements that they and their hub can differ in.
 CROWD, CROWD_ELEMENTS = 512, 2_000_000
 
@@ -87,12 +89,23 @@ def _bitmaps(sets: DataFrame) -> DataFrame:
     return sets.select("node", F.col("n").cast("long").alias("n"), "tokens").mapInArrow(run, "node long, n long, parity binary")
 
 
-def _of(sets: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
-    """The sets of the nodes in these columns of ``rows``."""
-    nodes = rows.select(F.explode(F.array(*columns)).alias("node")).distinct()
+def _of(sets: DataFrame, rows: DataFrame, column: str) -> DataFrame:
+    """The sets of the nodes in this column of ``rows``."""
+    nodes = rows.select(F.col(column).alias("node")).distinct()
     return sets.join(small(nodes), "node", "left_semi")
 
 
+def _beside_hubs(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """``rows``, which have ``node, hub``, with the ``n, tokens`` of the node and the ``hub_tokens``.
+
+    Few rows and small hubs go to where the sets lie; else both are shuffled.
+    """
+    own = _of(sets, rows, "node").select("node", "n", "tokens").join(small(rows), "node")
+    hubs = _of(sets, rows, "hub").select(F.col("node").alias("hub"), F.col("tokens").alias("hub_tokens"))
+    size = hubs.agg(F.sum(F.octet_length("hub_tokens").cast("long"))).first()[0] or 0
+    return own.join(F.broadcast(hubs) if size <= MAX_HUB_BYTES else hubs, "hub")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, b`` whose sets link; ``sets`` has ``node, n, tokens`` with sorted 64-bit elements."""
 
@@ -119,9 +132,8 @@ def verified(pairs: DataFrame, sets: DataFrame, bitmaps: DataFrame, percent: int
     fits = (100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a"))
     sized = pairs.join(a, "a").join(b, "b").where(fits).select("a", "b", "n_a", "n_b", "parity_a", "parity_b")
     near = written(sized.mapInArrow(filtered, "a long, b long").distinct())
-    whole = _of(sets, near, "a", "b")
-    a, b = (whole.select(F.col("node").alias(s), F.col("tokens").alias(f"tokens_{s}")) for s in "ab")
-    full = near.join(a, "a").join(b, "b")
+    a, b = (_of(sets, near, s).select(F.col("node").alias(s), F.col("tokens").alias(f"tokens_{s}")) for s in "ab")
+    full = a.join(small(near), "a").join(b, "b")
     return full.select("a", "b", "tokens_a", "tokens_b").mapInArrow(run, "a long, b long")
 
 
@@ -148,9 +160,7 @@ def _differences(spokes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 nodes.append(np.full(len(prefix), node, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(nodes))], names=["sig", "node"])
 
-    whole = _of(sets, spokes, "node", "hub")
-    own, hubs = whole.select("node", "tokens"), whole.select(F.col("node").alias("hub"), F.col("tokens").alias("hub_tokens"))
-    joined = spokes.join(own, "node").join(hubs, "hub").select("node", "hub", "tokens", "hub_tokens")
+    joined = _beside_hubs(spokes, sets).select("node", "hub", "tokens", "hub_tokens")
     return joined.mapInArrow(run, "sig long, node long")
 
 
@@ -226,10 +236,17 @@ def links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         if many.isEmpty():
             return found
         split = written(_differences(many.select("node", "hub"), sets, percent).join(many.select("node", "at").distinct(), "node"))
-        rows = split.distinct()
-        buckets, first = written(rows.join(_different_buckets(rows), "sig").select("sig", "node")), False
+        # Most elements are in one component only: those go before the others are compared.
+        apart = split.groupBy("sig").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).where("lo <> hi").select("sig")
+        apart = written(apart)
+        freed(sets.sparkSession)
+        rows = written(split.join(apart, "sig").distinct())
         dropped(split)
         freed(sets.sparkSession)
+        buckets, first = written(rows.join(_different_buckets(rows), "sig").select("sig", "node")), False
+        dropped(rows)
+        dropped(apart)
+        freed(sets.sparkSession)
         if buckets.isEmpty():
             return found
 
@@ -242,17 +259,17 @@ def _fitting(rows: DataFrame, key: str) -> DataFrame:
 
 
 def _different_buckets(rows: DataFrame) -> DataFrame:
-    """``sig`` of the buckets with several components, one of those that hold the same nodes.
+    """``sig`` of one of the buckets that hold the same nodes.
 
     Near copies share hundreds of elements.  Equal sets of nodes have equal
     numbers, ends and sums of hashes.
     """
     h = F.xxhash64("node")
     held = rows.groupBy("sig").agg(
-        F.min("at").alias("at_lo"), F.max("at").alias("at_hi"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n"),
+        F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n"),
         F.bit_xor(h).alias("xor"), F.sum(F.shiftright(F.xxhash64("node", F.lit(1)), 24).cast("decimal(20,0)")).alias("sum"),
     )
-    return held.where("at_lo <> at_hi").groupBy("lo", "hi", "n", "xor", "sum").agg(F.min("sig").alias("sig")).select("sig")
+    return held.groupBy("lo", "hi", "n", "xor", "sum").agg(F.min("sig").alias("sig")).select("sig")
 
 
 def _possible(rows: DataFrame, bitmaps: DataFrame, percent: int, key: str) -> DataFrame:
@@ -288,9 +305,7 @@ def _gaps(rows: DataFrame, sets: DataFrame) -> DataFrame:
             columns = [*(batch.column(k) for k in range(4)), pa.array(gaps, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["key", "node", "at", "n", "gap"])
 
-    whole = _of(sets, rows, "node", "hub")
-    hubs = whole.select(F.col("node").alias("hub"), F.col("tokens").alias("hub_tokens"))
-    joined = rows.select("key", "node", "hub", "at").join(whole.select("node", "n", "tokens"), "node").join(hubs, "hub")
+    joined = _beside_hubs(rows.select("key", "node", "hub", "at"), sets)
     return joined.select("key", "node", "at", "n", "tokens", "hub_tokens").mapInArrow(run, "key long, node long, at long, n long, gap binary")
 
 
