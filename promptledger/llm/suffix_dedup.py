@@ -45,7 +45,7 @@ from .suffix_arrays import permuted_prefixes, suffix_array
 LENGTH, GRAM = 100, 32
 SHARD_BYTES = 3_000_000
 MAX_SEGMENTS = SHARD_BYTES // (2 * LENGTH - GRAM + 1)  # what fits a shard at a segment's greatest length
-PIECE = 1 << 20
+PIECE = 1 << 18  # bytes hashed at once, so that the arrays over them stay in a cache
 
 _U = np.uint64
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95)
@@ -74,16 +74,17 @@ def _string_hash(data: np.ndarray, which: int):
     return lambda s, e: mixed((sums[e] - sums[s]) * down[s] + np.asarray(e - s).astype(_U))
 
 
-def _segments(data: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, ...]:
+def _segments(data: np.ndarray, valid: np.ndarray, contents: bool = True) -> tuple[np.ndarray, ...]:
     """Anchor hash, content hash, first window and number of windows of the segments of ``data``.
 
     ``valid`` tells which places start a window that lies inside one document.
+    Without ``contents`` only the anchor hashes.
     """
     n = len(data) - LENGTH + 1
     if n <= 0 or not valid[:n].any():
         none = np.zeros(0, np.int64)
-        return none, none, none, none
-    gram_hash, whole_hash = _string_hash(data, 0), _string_hash(data, 1)
+        return (none, none, none, none) if contents else (none,)
+    gram_hash = _string_hash(data, 0)
     places = np.arange(len(data) - GRAM + 1)
     grams = gram_hash(places, places + GRAM)
     # The place below the hash: minima are unique and the leftmost of equals.
@@ -97,6 +98,9 @@ def _segments(data: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, ...]:
     good = np.flatnonzero(valid[:n])
     new = np.concatenate(([True], (anchor[good[1:]] != anchor[good[:-1]]) | (np.diff(good) != 1)))
     first = good[new]
+    if not contents:
+        return (grams[anchor[first]].view(np.int64),)
+    whole_hash = _string_hash(data, 1)
     count = np.diff(np.append(np.flatnonzero(new), len(good)))
     return grams[anchor[first]].view(np.int64), whole_hash(first, first + count + LENGTH - 1).view(np.int64), first, count
 
@@ -121,6 +125,27 @@ def _groups(texts: list[bytes]) -> Iterator[tuple[int, int, int, bytes]]:
 _SEGMENT = "anchor long, content long, doc long, start long, windows int"
 
 
+def _inside(texts: list[bytes], raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The ends of the texts in ``raw``, and which of its places start a window inside one of them."""
+    ends = np.cumsum([len(t) for t in texts]) if len(texts) > 1 else np.array([len(raw)])
+    valid = np.ones(len(raw), bool)
+    for e in ends:
+        valid[max(0, e - LENGTH + 1) : e] = False
+    return ends, valid
+
+
+def _anchors(docs: DataFrame) -> DataFrame:
+    """``anchor`` of every segment."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [(x or "").encode() for x in batch.column(1).to_pylist()]
+            for lo, hi, _, raw in _groups(texts):
+                (anchor,) = _segments(np.frombuffer(raw, np.uint8), _inside(texts[lo:hi], raw)[1], contents=False)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor)], names=["anchor"])
+
+    return docs.mapInArrow(run, "anchor long")
+
+
 def _all_segments(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,10 +153,7 @@ def _all_segments(docs: DataFrame) -> DataFrame:
             texts = [(x or "").encode() for x in batch.column(1).to_pylist()]
             for lo, hi, offset, raw in _groups(texts):
                 data = np.frombuffer(raw, np.uint8)
-                ends = np.cumsum([len(t) for t in texts[lo:hi]]) if hi - lo > 1 else np.array([len(raw)])
-                valid = np.ones(len(raw), bool)
-                for e in ends:
-                    valid[max(0, e - LENGTH + 1) : e] = False
+                ends, valid = _inside(texts[lo:hi], raw)
                 anchor, content, first, count = _segments(data, valid)
                 which = np.searchsorted(ends, first, side="right")
                 begin = np.concatenate(([0], ends[:-1]))
@@ -208,7 +230,7 @@ def removed_ranges(docs: DataFrame) -> DataFrame:
     """``doc, lo, hi``: byte ranges, overlapping and in any order, that ``docs`` (``doc, text``) loses."""
     every = _all_segments(docs)
     # 1. Anchors met more than once.
-    shared = written(every.groupBy("anchor").count().where("count > 1").select("anchor"))
+    shared = written(_anchors(docs).groupBy("anchor").count().where("count > 1").select("anchor"))
     segments = written(every.join(shared, "anchor", "left_semi"))
     # 2. Copies of one segment.
     groups = written(_grouped(segments))

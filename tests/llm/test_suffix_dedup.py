@@ -67,3 +67,12 @@ def test_rows_without_id_repeated_rows_and_no_rows(docs):
     out = sd.op2_suffix_dedup(docs([(None, base), (1, base), (1, base), (2, base)])).collect()
     assert sorted((str(r.doc_id), r.n_removed) for r in out) == [("1", 0), ("1", 0), ("2", len(base.encode())), ("None", 0)]
     assert sd.op2_suffix_dedup(docs([])).count() == 0
+
+
+def test_anchors_are_counted_without_contents(spark, monkeypatch):
+    """The first pass hashes no contents, and has the anchors of all segments."""
+    rnd = np.random.default_rng(3)
+    texts = ["".join(map(chr, rnd.integers(97, 123, int(n)))) for n in (0, 99, 100, 101, 500, 4000)] + [None, "é" * 300]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc long, text string").coalesce(1)
+    every = sorted(r.anchor for r in sd._all_segments(docs).select("anchor").collect())
+    assert every and sorted(r.anchor for r in sd._anchors(docs).collect()) == every
