@@ -43,6 +43,21 @@ def test_suffix_arrays(small, monkeypatch):
             assert common[b] == next((k for k, (u, v) in enumerate(zip(x, y)) if u != v), min(len(x), len(y)))
 
 
+def test_names_that_repeat_are_sorted_without_scans_by_element(monkeypatch):
+    """Many near copies of one text: over 1024 names, most of them several times."""
+    def by_element(*_):
+        raise AssertionError("a scan element by element")
+
+    monkeypatch.setattr(sa, "_induce_elements", by_element)
+    rng = np.random.default_rng(7)
+    piece = rng.integers(2, 250, 6000)
+    t = np.concatenate([*(np.append(np.where(rng.random(6000) < 0.001, 2, piece), 1) for _ in range(4)), [0]])
+    raw = bytes(t.astype(np.uint8))
+    assert sa.suffix_array(t).tolist() == sorted(range(len(t)), key=lambda i: raw[i:])
+    period = np.concatenate([np.tile([3, 2], 4000), [0]])
+    assert sa.suffix_array(period).tolist() == [8000, *range(7999, 0, -2), *range(7998, -1, -2)]
+
+
 def texts():
     rnd = random.Random(3)
     word = lambda n: "".join(rnd.choice("abcdeé ") for _ in range(n))
