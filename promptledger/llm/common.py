@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import gc
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +18,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 SHINGLE_WORDS = 5
 SIMILARITY_PERCENT = 75
-MAX_BROADCAST_ROWS = 1_000_000  # of one or two longs each: some tens of MB
+BATCH_BYTES = 4_000_000
+MAX_BROADCAST_ROWS = 1_000_000  # of one to three longs each: some tens of MB
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +46,14 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_few(df: DataFrame) -> DataFrame:
+    """For ``written``: the rows of a stage of many tasks that leaves little, in as few files as Spark's adaptive sizes ask for.
+
+    On a local file system each new file costs its executor a child process or two (``chmod``).
+    """
+    return df.hint("rebalance")
+
+
 def freed(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of jobs that nothing refers to any more.
 
@@ -67,6 +77,25 @@ def dropped(df: DataFrame) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def in_small_batches(steps: Callable) -> Callable:
+    """For steps on a DataFrame, their first argument, that run their jobs themselves: what goes to Python goes in batches of ``BATCH_BYTES``.
+
+    Outside of its heap Spark holds a batch as Arrow vectors and again as the bytes that it sends, both grown by doubling.
+    """
+
+    @functools.wraps(steps)
+    def run(df: DataFrame, *args, **kwargs):
+        conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+        before = conf.get(name)
+        conf.set(name, BATCH_BYTES)
+        try:
+            return steps(df, *args, **kwargs)
+        finally:
+            conf.set(name, before)
+
+    return run
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, every other character as it is."""
     plain = F.octet_length(text) == F.char_length(text)

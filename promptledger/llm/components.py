@@ -36,16 +36,16 @@ def components(links: DataFrame) -> DataFrame:
     """``node, component``: the smallest node of the component, for every node of a link ``a, b``."""
     now = written(links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while True:
-        larger = written(_star(now, True))
-        nxt = written(_star(larger, False))
-        dropped(larger)
-        dropped(now)
-        now = nxt
         # Done when every node hangs on one node that hangs on nothing.
         several = now.groupBy("a").count().where("count > 1").select("a")
         hanging = now.join(now.select(F.col("b").alias("a")).distinct(), "a", "left_semi").select("a")
         if several.unionByName(hanging).isEmpty():
             break
+        larger = written(_star(now, True))
+        nxt = written(_star(larger, False))
+        dropped(larger)
+        dropped(now)
+        now = nxt
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )

@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, freed, slices, small, written
+from .common import dropped, freed, in_few, in_small_batches, slices, small, written
 from .components import components
 from .shingles import mixed
 
@@ -168,16 +168,30 @@ def links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links ``a, b`` with the components of all links within buckets.
 
     ``buckets`` has distinct ``sig, node``; a bucket has two nodes at least.
+    ``sets`` may have the ``parity`` of its tokens.
     """
+    return _searched(buckets, sets, percent)[0]
+
+
+def ties(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` with the components of ``links``, most of them a node and the smallest of its component: soon done."""
+    return _searched(buckets, sets, percent)[1]
+
+
+@in_small_batches
+def _searched(buckets: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     tested: DataFrame | None = None
     found: DataFrame | None = None
+    # What ties nodes together: the components so far as stars, and the links found since.
+    tied: DataFrame | None = None
     at: DataFrame | None = None
-    bitmaps = written(_bitmaps(sets))
+    bitmaps = sets.select("node", "n", "parity") if "parity" in sets.columns else written(_bitmaps(sets))
 
     def add(more: DataFrame) -> None:
-        nonlocal found, at
+        nonlocal found, tied, at
         if found is None or not more.isEmpty():
             found = more if found is None else found.unionByName(more)
+            tied = more if tied is None else tied.unionByName(more)
             at = None
 
     def compare(pairs: DataFrame) -> None:
@@ -203,7 +217,8 @@ def links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         compare(members.where("node <> hub").select(*_ordered("node", "hub")).distinct())
 
         if at is None:
-            at = written(components(found))
+            at = written(components(tied))
+            tied = at.select(F.col("node").alias("a"), F.col("component").alias("b"))
         sizes = sets.groupBy("node").agg(F.max("n").alias("size"))
         labelled = members.join(sizes, "node").join(at, "node", "left")
         labelled = written(labelled.select("sig", "node", "hub", "size", F.coalesce("component", "node").alias("at")))
@@ -234,13 +249,13 @@ def links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         dropped(left)
         dropped(around)
         if many.isEmpty():
-            return found
+            return found, tied
         split = written(_differences(many.select("node", "hub"), sets, percent).join(many.select("node", "at").distinct(), "node"))
         # Most elements are in one component only: those go before the others are compared.
         apart = split.groupBy("sig").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).where("lo <> hi").select("sig")
-        apart = written(apart)
+        apart = written(in_few(apart))
         freed(sets.sparkSession)
-        rows = written(split.join(apart, "sig").distinct())
+        rows = written(in_few(split.join(apart, "sig").distinct()))
         dropped(split)
         freed(sets.sparkSession)
         buckets, first = written(rows.join(_different_buckets(rows), "sig").select("sig", "node")), False
@@ -248,7 +263,7 @@ def links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         dropped(apart)
         freed(sets.sparkSession)
         if buckets.isEmpty():
-            return found
+            return found, tied
 
 
 def _fitting(rows: DataFrame, key: str) -> DataFrame:

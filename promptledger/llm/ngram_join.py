@@ -47,9 +47,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SIMILARITY_PERCENT, clear_of, dropped, freed, slices, small, written
+from . import hubs
+from .common import SIMILARITY_PERCENT, clear_of, dropped, freed, in_few, in_small_batches, slices, small, written
 from .components import components
-from .hubs import links as connecting_links, parity
+from .hubs import parity
 from .shingles import mixed, shingle_sets
 
 FREQUENT = 64
@@ -191,6 +192,7 @@ class _Candidates(NamedTuple):
     held: DataFrame  # sig, doc
 
 
+@in_small_batches
 def _candidates(docs: DataFrame, id_col: str, text_col: str) -> _Candidates:
     """Steps 1 to 3."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -200,10 +202,11 @@ def _candidates(docs: DataFrame, id_col: str, text_col: str) -> _Candidates:
     # One document of each class of equal sets; an id that repeats is one node all the same.
     classes = written(sets.where("n > 0").groupBy("class", "n").agg(F.min("doc").alias("first"), F.count("*").alias("rows")))
     copies = sets.where("n > 0").select("doc", "class").join(classes.where("rows > 1"), "class").where("doc <> first").select("doc", "class").distinct()
-    single = sets.where("n > 0").join(copies, ["doc", "class"], "left_anti")
+    copies = written(in_few(copies))
+    single = sets.where("n > 0").join(small(copies), ["doc", "class"], "left_anti")
 
     # 1. Documents that can have a partner.
-    shared = written(single.select(F.explode("prefix").alias("token")).groupBy("token").count().where("count > 1").select("token"))
+    shared = written(in_few(single.select(F.explode("prefix").alias("token")).groupBy("token").count().where("count > 1").select("token")))
     held = single.select("doc", "n", F.explode("prefix").alias("token")).join(shared, "token", "left_semi")
     able = (
         held.groupBy("doc", "n").count()
@@ -215,11 +218,12 @@ def _candidates(docs: DataFrame, id_col: str, text_col: str) -> _Candidates:
         _tokens(docs.join(small(able), F.col(id_col) == F.col("doc"), "left_semi"), id_col, text_col)
     )
     dropped(shared)
+    dropped(copies)
     freed(docs.sparkSession)
 
     # 2. and 3. Classes of tokens, then signatures.
     one_by_one = _unpacked(tokens)
-    often = written(one_by_one.groupBy("token").count().where(F.col("count") > FREQUENT).select("token"))
+    often = written(in_few(one_by_one.groupBy("token").count().where(F.col("count") > FREQUENT).select("token")))
     frequent = one_by_one.join(small(often), "token", "left_semi").groupBy("doc").agg(F.collect_set("token").alias("frequent"))
     signatures = _signatures(tokens, frequent)
     # A signature of one document finds nothing, and of those that the same documents share one is enough:
@@ -230,7 +234,7 @@ def _candidates(docs: DataFrame, id_col: str, text_col: str) -> _Candidates:
         F.sum(F.shiftright(F.xxhash64("doc", F.lit(1)), 24).cast("decimal(20,0)")).alias("sum"),
     )
     sizes = written(shared_by.where("lo <> hi").groupBy("lo", "hi", "rows", "xor", "sum").agg(F.min("sig").alias("sig")).select("sig", "rows"))
-    return _Candidates(sets, classes, tokens, sizes, written(signatures.join(sizes.select("sig"), "sig").select("sig", "doc")))
+    return _Candidates(sets, classes, tokens, sizes, written(signatures.join(sizes.select("sig"), "sig").select("sig", "doc").distinct()))
 
 
 def _links(found: _Candidates) -> DataFrame:
@@ -284,12 +288,11 @@ def _placed(found: _Candidates, pairs: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc, n, first, component`` of every row of ``docs`` with an id; ``first`` is the smallest id with an equal set."""
     found = _candidates(docs, id_col, text_col)
-    buckets = written(found.held.select("sig", F.col("doc").alias("node")).distinct())
-    sets = written(found.tokens.select(F.col("doc").alias("node"), "n", "tokens").distinct())
-    for spent in (found.held, found.tokens):
-        dropped(spent)
-    freed(docs.sparkSession)
-    pairs = connecting_links(buckets, sets, SIMILARITY_PERCENT)
+    sets = found.tokens.withColumnRenamed("doc", "node")
+    if not found.tokens.groupBy("doc").count().where("count > 1").isEmpty():  # rows that repeat an id
+        sets = written(sets.distinct())
+        dropped(found.tokens)
+    pairs = hubs.ties(found.held.select("sig", F.col("doc").alias("node")), sets, SIMILARITY_PERCENT)
     return _placed(found, pairs).select("doc", "n", "first", "component")
 
 

@@ -169,6 +169,41 @@ def test_join_odd_tables(docs):
     assert nj.op9_ngram_join(docs([])).count() == 0
 
 
+def test_whole_sets_are_written_once(docs, monkeypatch):
+    """Sets of ids that do not repeat go to the hubs as they are, with their bitmaps."""
+    rows = near_rows(3)
+    made, write = [], nj.written
+
+    def counted(df):
+        made.append(df.columns)
+        return write(df)
+
+    for module in (nj, nj.hubs):
+        monkeypatch.setattr(module, "written", counted)
+    nj.op9_ngram_join(docs(rows)).collect()
+    assert sum("tokens" in c for c in made) == 1
+    assert sum("parity" in c for c in made) == 1
+
+
+def test_what_python_gets_at_once_is_bounded(docs, spark, monkeypatch):
+    """Whole sets go to Python in batches of a few MB; the session's setting holds again afterwards."""
+    name, write, seen = "spark.sql.execution.arrow.maxBytesPerBatch", nj.written, []
+    before = spark.conf.get(name)
+    for module in (nj, nj.hubs):
+        monkeypatch.setattr(module, "written", lambda df: seen.append(spark.conf.get(name)) or write(df))
+    out = nj.op9_ngram_join(docs(near_rows(3)))
+    assert {s.rstrip("b") for s in seen} == {"4000000"} and spark.conf.get(name) == before
+    assert out.count() == len(near_rows(3))
+
+
+def test_finished_components_take_no_round(spark, monkeypatch):
+    made, write = [], cc.written
+    monkeypatch.setattr(cc, "written", lambda df: made.append(1) or write(df))
+    found = cc.components(spark.createDataFrame([(1, 5), (1, 6), (6, 1), (2, 7)], "a long, b long")).collect()
+    assert {(r.node, r.component) for r in found} == {(1, 1), (5, 1), (6, 1), (2, 2), (7, 2)}
+    assert len(made) == 1
+
+
 def test_components(spark):
     chain = [(k, k + 1) for k in range(40)] + [(100, 50), (100, 60), (60, 70), (5, 5)]
     got = {r.node: r.component for r in cc.components(spark.createDataFrame(chain, "a long, b long")).collect()}
