@@ -74,6 +74,24 @@ def _string_hash(data: np.ndarray, which: int):
     return lambda s, e: mixed((sums[e] - sums[s]) * down[s] + np.asarray(e - s).astype(_U))
 
 
+def _gram_hashes(data: np.ndarray) -> np.ndarray:
+    """The first hash of every ``GRAM``-byte string, by slices and in place: ``_string_hash`` of all its places."""
+    up, down = _tables(max(PIECE + (1 << 18), len(data) + 1))[0]
+    sums = np.zeros(len(data) + 1, _U)
+    np.cumsum(_LETTERS[0][data] * up[: len(data)], out=sums[1:])
+    h = sums[GRAM:] - sums[:-GRAM]
+    h *= down[: len(h)]
+    h += _U(GRAM)
+    # What ``mixed`` does.
+    t = h >> _U(30)
+    h ^= t
+    h *= _U(0xBF58476D1CE4E5B9)
+    h ^= np.right_shift(h, _U(27), out=t)
+    h *= _U(0x94D049BB133111EB)
+    h ^= np.right_shift(h, _U(31), out=t)
+    return h
+
+
 def _segments(data: np.ndarray, valid: np.ndarray, contents: bool = True) -> tuple[np.ndarray, ...]:
     """Anchor hash, content hash, first window and number of windows of the segments of ``data``.
 
@@ -84,11 +102,10 @@ def _segments(data: np.ndarray, valid: np.ndarray, contents: bool = True) -> tup
     if n <= 0 or not valid[:n].any():
         none = np.zeros(0, np.int64)
         return (none, none, none, none) if contents else (none,)
-    gram_hash = _string_hash(data, 0)
-    places = np.arange(len(data) - GRAM + 1)
-    grams = gram_hash(places, places + GRAM)
+    grams = _gram_hashes(data)
     # The place below the hash: minima are unique and the leftmost of equals.
-    low = (grams & ~_U((1 << _PLACE_BITS) - 1)) | places.astype(_U)
+    low = grams & ~_U((1 << _PLACE_BITS) - 1)
+    low |= np.arange(len(grams), dtype=_U)
     width, have = LENGTH - GRAM + 1, 1
     while 2 * have <= width:
         low = np.minimum(low[:-have], low[have:])

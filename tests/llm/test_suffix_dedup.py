@@ -43,6 +43,12 @@ def test_suffix_arrays(small, monkeypatch):
             assert common[b] == next((k for k, (u, v) in enumerate(zip(x, y)) if u != v), min(len(x), len(y)))
 
 
+def test_hashes_by_slices_are_those_by_places():
+    data = np.random.default_rng(3).integers(0, 256, 5000).astype(np.uint8)
+    places = np.arange(len(data) - sd.GRAM + 1)
+    assert (sd._gram_hashes(data) == sd._string_hash(data, 0)(places, places + sd.GRAM)).all()
+
+
 def test_names_that_repeat_are_sorted_without_scans_by_element(monkeypatch):
     """Many near copies of one text: over 1024 names, most of them several times."""
     def by_element(*_):
