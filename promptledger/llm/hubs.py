@@ -9,13 +9,15 @@ still join two components.
     that is in very many buckets, this one or one beside it.  Near copies of
     one text have the same hub in nearly all the buckets they share, so there
     are few different pairs.
-2.  Buckets whose sets are now in one component are done.  In those of the
-    first level with few sets outside their largest component (``SMALL``) all
-    pairs of different components are compared: a bounded number for each set.
-    Around a hub up to ``CROWD`` sets, all of its other buckets together, are
-    counted out in one task by an inverted list of what they differ from the hub
-    in: ``x ^ y = A ^ B`` for ``A = x ^ h``, ``B = y ^ h``.  So are, at later levels,
-    buckets of up to ``CROWD`` sets of a hub with more.
+2.  Buckets whose sets are now in one component are done.  In small ones
+    (``FEW``) of the first level with few sets outside their largest component
+    (``SMALL``) all pairs of different components are compared: a bounded number
+    for each set.  The sets around a hub, of all of its other buckets together,
+    are dealt into blocks of about ``CROWD``; a task looks at those of two blocks,
+    which it counts out by an inverted list of what they differ from the hub in:
+    ``x ^ y = A ^ B`` for ``A = x ^ h``, ``B = y ^ h``.  Only sets whose bitmaps (below)
+    leave them a partner of another component are counted.  At later levels so
+    are the sets of a bucket of a hub with more than ``MOST_BLOCKS`` blocks.
 3.  *Differences.*  In all others take what each set differs from the hub in:
     ``A = x ^ h``, ``B = y ^ h``.  When x and y link and are not both linked with
     the hub, A and B have many elements in common, at least
@@ -52,12 +54,14 @@ from .common import dropped, freed, in_few, in_small_batches, slices, small, wri
 from .components import components
 from .shingles import mixed
 
-# Sets outside of a bucket's largest component up to which all of a first-level bucket's pairs are compared.
-SMALL = 6
+# Sets of a first-level bucket, and those outside of its largest component, up to which all of its pairs are compared.
+FEW, SMALL = 64, 6
 # Bytes of hubs' sets that are broadcast to the sets around them, after counting.
 MAX_HUB_BYTES = 32_000_000
-# Sets that one task compares, and the elements that they and their hub can differ in.
+# Sets of a block, and the elements that they and their hub can differ in; a task compares two blocks.
 CROWD, CROWD_ELEMENTS = 512, 2_000_000
+# Blocks that are compared each with each; a hub with more falls apart by differences.
+MOST_BLOCKS = 64
 
 
 def _set(raw: pa.Scalar) -> np.ndarray:
@@ -228,21 +232,24 @@ def _searched(buckets: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFr
         left = written(labelled.join(parts.where("rows > most"), "sig"))
         dropped(labelled)
 
-        done = F.col("rows") - F.col("most") <= SMALL if first else F.lit(False)
+        done = (F.col("rows") <= FEW) & (F.col("rows") - F.col("most") <= SMALL) if first else F.lit(False)
         few = left.where(done).select("sig", "node", "at")
         if first:
             other = few.select("sig", F.col("node").alias("node2"), F.col("at").alias("at2"))
             compare(few.join(other, "sig").where("at < at2").select(*_ordered("node", "node2")).distinct())
 
-        # What is left of all the buckets of a hub, if it fits a task; else bucket by bucket.
+        # What is left of all the buckets of a hub, if its blocks are not too many; else bucket by bucket.
         far = left.where(~done & (F.col("node") != F.col("hub"))).select("sig", "hub", "node", "at", "size")
         far = far.join(sizes.select(F.col("node").alias("hub"), F.col("size").alias("hub_size")), "hub")
-        around = written(_fitting(far.drop("sig").distinct(), "hub"))
+        around = written(_blocked(far.drop("sig").distinct(), "hub"))
         add(written(_counted(around.where("fits"), sets, bitmaps, percent, "hub")))
         freed(sets.sparkSession)
-        many = far.join(around.where("not fits").select("hub").distinct(), "hub", "left_semi")
+        more = written(around.where("not fits").select("hub").distinct())
+        if more.isEmpty():
+            return found, tied
+        many = far.join(more, "hub", "left_semi")
         if not first:
-            many = written(_fitting(many, "sig"))
+            many = written(_blocked(many, "sig"))
             add(written(_counted(many.where("fits"), sets, bitmaps, percent, "sig")))
             many = many.where("not fits")
         many = written(many.select("hub", "node", "at").distinct())
@@ -266,11 +273,11 @@ def _searched(buckets: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFr
             return found, tied
 
 
-def _fitting(rows: DataFrame, key: str) -> DataFrame:
-    """``rows`` with ``fits``: whether one task may hold what all rows of a ``key`` differ from their hub in."""
+def _blocked(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the ``blocks`` that those of a ``key`` are dealt into, and ``fits``: whether these may be compared each with each."""
     elements = F.sum(F.col("size") + F.col("hub_size"))
-    fits = rows.groupBy(key).agg(((F.count("*") <= CROWD) & (elements <= CROWD_ELEMENTS)).alias("fits"))
-    return rows.join(fits, key)
+    blocks = F.ceil(F.greatest(F.count("*") / CROWD, elements / CROWD_ELEMENTS)).cast("int")
+    return rows.join(rows.groupBy(key).agg(blocks.alias("blocks")), key).withColumn("fits", F.col("blocks") <= MOST_BLOCKS)
 
 
 def _different_buckets(rows: DataFrame) -> DataFrame:
@@ -288,10 +295,14 @@ def _different_buckets(rows: DataFrame) -> DataFrame:
 
 
 def _possible(rows: DataFrame, bitmaps: DataFrame, percent: int, key: str) -> DataFrame:
-    """The ``key, node, hub, at`` of ``rows`` that may link with one of another component of their key, by the bitmaps."""
+    """``key, i, j, own, node, hub, at``: the ``rows`` that may link with one of another component of their key, by the bitmaps.
+
+    They are dealt into blocks; ``i`` and ``j`` are two of them (or one) that are compared, ``own`` is that of the node.
+    """
 
     def run(group: pa.Table) -> pa.Table:
-        at, n = (group.column(c).to_numpy() for c in ("at", "n"))
+        at, n, own = (group.column(c).to_numpy() for c in ("at", "n", "own"))
+        apart_only = group.column("i")[0] != group.column("j")[0]
         raw = [np.frombuffer(x.as_buffer(), np.uint8) for x in group.column("parity")]
         size = np.array([len(x) for x in raw])
         keep = np.zeros(len(raw), bool)
@@ -299,16 +310,21 @@ def _possible(rows: DataFrame, bitmaps: DataFrame, percent: int, key: str) -> Da
             # Those of this size against themselves and all that are larger.
             place = np.flatnonzero(size >= least)
             bits = np.stack([folded(raw[k], least) for k in place]).view(np.uint64)
+            at_, n_, own_ = at[place], n[place], own[place]
             for i, k in zip(np.flatnonzero(size[place] == least), place[size[place] == least]):
-                other = np.flatnonzero((at[place] != at[k]) & (100 * n[place] >= percent * n[k]) & (100 * n[k] >= percent * n[place]))
+                fits = (at_ != at[k]) & (100 * n_ >= percent * n[k]) & (100 * n[k] >= percent * n_)
+                other = np.flatnonzero(fits & (own_ != own[k]) if apart_only else fits)
                 apart = np.bitwise_count(bits[other] ^ bits[i]).sum(axis=1, dtype=np.int64)
-                near = place[other[(100 + percent) * apart <= (100 - percent) * (n[place[other]] + n[k])]]
+                near = place[other[(100 + percent) * apart <= (100 - percent) * (n_[other] + n[k])]]
                 if len(near):
                     keep[near] = keep[k] = True
-        return group.select(["key", "node", "hub", "at"]).filter(pa.array(keep))
+        return group.select(["key", "i", "j", "own", "node", "hub", "at"]).filter(pa.array(keep))
 
-    joined = rows.select(F.col(key).alias("key"), "node", "hub", "at").join(bitmaps, "node")
-    return joined.groupBy("key").applyInArrow(run, "key long, node long, hub long, at long").distinct()
+    own, other = F.col("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    dealt = rows.select(F.col(key).alias("key"), "node", "hub", "at", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own"))
+    dealt = dealt.join(bitmaps, "node").select("key", "own", "node", "hub", "at", "n", "parity", other)
+    dealt = dealt.select("key", F.least(own, "other").alias("i"), F.greatest(own, "other").alias("j"), "own", "node", "hub", "at", "n", "parity")
+    return dealt.groupBy("key", "i", "j").applyInArrow(run, "key long, i int, j int, own int, node long, hub long, at long").distinct()
 
 
 def _gaps(rows: DataFrame, sets: DataFrame) -> DataFrame:
@@ -325,13 +341,14 @@ def _gaps(rows: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _counted(rows: DataFrame, sets: DataFrame, bitmaps: DataFrame, percent: int, key: str) -> DataFrame:
-    """The links ``a, b`` between different components of a ``key``, for ``key, node, hub, at`` of bounded size.
+    """The links ``a, b`` between different components of a ``key``, for ``key, node, hub, at, blocks``.
 
     All rows of a key have one hub, so two sets differ in what one of them alone differs from the hub in.
     """
 
     def run(group: pa.Table) -> pa.Table:
-        node, at, n = (group.column(c).to_numpy() for c in ("node", "at", "n"))
+        node, at, n, block = (group.column(c).to_numpy() for c in ("node", "at", "n", "own"))
+        apart_only = group.column("i")[0] != group.column("j")[0]
         held = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("gap")]
         gap = np.array([len(x) for x in held], np.int64)
         _, element = np.unique(np.concatenate(held), return_inverse=True)
@@ -343,11 +360,14 @@ def _counted(rows: DataFrame, sets: DataFrame, bitmaps: DataFrame, percent: int,
             place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(begin[own], many)
             both = np.bincount(owner[place], minlength=len(held))
             same = (n + n[i] - (gap + gap[i] - 2 * both)) // 2
-            linked = np.flatnonzero((100 * same >= percent * (n + n[i] - same)) & (at > at[i]))
+            linked = (100 * same >= percent * (n + n[i] - same)) & (at > at[i])
+            linked = np.flatnonzero(linked & (block != block[i]) if apart_only else linked)
             left.append(np.full(len(linked), node[i]))
             right.append(node[linked])
         a, b = np.concatenate(left), np.concatenate(right)
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     left = written(_possible(rows, bitmaps, percent, key))
-    return _gaps(left, sets).groupBy("key").applyInArrow(run, "a long, b long").distinct()
+    gaps = _gaps(left.select("key", "node", "hub", "at").distinct(), sets)
+    both = left.select("key", "i", "j", "own", "node").join(gaps, ["key", "node"])
+    return both.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()

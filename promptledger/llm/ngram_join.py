@@ -1,30 +1,26 @@
-"""Exact similarity join of documents on word shingles, by token-combination prefixes.
+"""Exact similarity join of documents on word shingles, by prefixes of their rarest tokens.
 
 Tokens are the 64-bit hashes of a document's distinct five-word shingles.  Two
 documents link when 100 * intersection >= 75 * union.  Documents with equal
-sets are one class; only one of a class takes part.
+sets are one class; only one of a class takes part.  A class has a ``key``, the
+first 64 bits of the digest of its set.
 
 1.  *Which documents can have a partner.*  In the order of hashes take the
     first ``n - ceil(0.75 n) + 1 + n // 20`` tokens of a set of n.  Of two linked
     sets the one whose prefix ends first misses at most ``n - ceil(0.75 n)``
     tokens in the other, so both hold at least ``1 + m // 20`` tokens that more
     than one prefix holds, m the smaller size.  A document with fewer is alone.
-2.  *Classes of tokens.*  Among the documents left, a token is frequent when
-    more than ``FREQUENT`` of them hold it.  The order is now rare tokens first,
-    then frequent ones, each by hash.
-3.  *Signatures.*  The first ``n - ceil(0.75 n) + 1`` tokens of two linked sets
-    have one in common.  Rare ones among them are signatures alone.  If the
-    common ones are frequent, both prefixes hold all rare tokens of their sets
-    and no rare token is common: then at least 3/7 (n + m) frequent tokens are,
-    out of at most n and m, and at least 2/7 (n + m) pairs of them are
-    neighbours in both sorted lists of frequent tokens.  So the prefix is
-    extended to all frequent tokens, and pairs of neighbours are the
-    signatures: those within the first 4/7 of all pairs, plus one, by hash.
-4.  *Components* come from links within signatures, found and confirmed on the
+2.  *Signatures.*  The order is now by the number of documents left that hold a
+    token, the rarest first, and by hash among those of one number.  The first
+    ``n - ceil(0.75 n) + 1`` tokens of two linked sets have one in common.  They
+    are the signatures; what only one document holds finds nothing, but takes
+    its place among them, so near copies meet in few signatures and passages
+    that very many documents share are hardly ever one.  Tokens move as packed
+    arrays (``postings``).
+3.  *Components* come from links within signatures, found and confirmed on the
     full sets by ``hubs``: it compares what can still join two components, not
-    all pairs of a signature, so its cost grows with the documents and not
-    with the links, which are the square of a group of near copies.
-5.  ``links`` is for those who want every link: all pairs of a signature's
+    all pairs of a signature.
+4.  ``links`` is for those who want every link: all pairs of a signature's
     documents of fitting sizes, groups of large signatures dealt over pairs of
     blocks, a parity bitmap of each set bounding the symmetric difference from
     below, and exact intersections.  Its cost grows with the number of links.
@@ -47,12 +43,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import hubs
-from .common import SIMILARITY_PERCENT, clear_of, dropped, freed, in_few, in_small_batches, slices, small, written
+from . import hubs, postings
+from .common import SIMILARITY_PERCENT, clear_of, dropped, freed, in_small_batches, slices, small, written
 from .components import components
 from .hubs import parity
-from .shingles import mixed, shingle_sets
+from .shingles import shingle_sets
 
+# Documents of a block in ``links``.
 FREQUENT = 64
 
 
@@ -65,88 +62,44 @@ def prefix_size(n: int) -> int:
     return n - needed(n) + 1
 
 
-def _long(h: np.ndarray) -> np.ndarray:
-    return h.view(np.int64)
+def _digests(sets: list[np.ndarray]) -> tuple[pa.Array, pa.Array]:
+    """Class and key of each set."""
+    digests = [hashlib.md5(s.tobytes()).digest() for s in sets]
+    return pa.array(digests, pa.binary()), pa.array(np.frombuffer(b"".join(x[:8] for x in digests), np.int64))
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc, n, class, prefix`` of every row: size, digest and filter prefix of its set."""
+    """``doc, n, class, key, prefix`` of every row: size, digest, key and filter prefix of its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = list(shingle_sets(batch.column(1).to_pylist()))
-            prefix = [_long(s[: prefix_size(len(s)) + len(s) // 20]) if len(s) else np.zeros(0, np.int64) for s in sets]
-            ends = np.cumsum([0, *map(len, prefix)])
+            prefix = [s[: prefix_size(len(s)) + len(s) // 20].tobytes() for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([hashlib.md5(s.tobytes()).digest() for s in sets], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*prefix, np.zeros(0, np.int64)]))),
-                ],
-                names=["doc", "n", "class", "prefix"],
+                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), *_digests(sets), pa.array(prefix, pa.binary())],
+                names=["doc", "n", "class", "key", "prefix"],
             )
 
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, "doc long, n long, class binary, prefix array<long>")
+    return source.mapInArrow(run, "doc long, n long, class binary, key long, prefix binary")
 
 
 def _tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc, n, tokens, parity`` with the sorted tokens as bytes."""
+    """``doc, key, n, tokens, parity`` with the sorted tokens as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = list(shingle_sets(batch.column(1).to_pylist()))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
+                    batch.column(0), _digests(sets)[1], pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([parity(s) for s in sets], pa.binary()),
                 ],
-                names=["doc", "n", "tokens", "parity"],
+                names=["doc", "key", "n", "tokens", "parity"],
             )
 
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, "doc long, n long, tokens binary, parity binary")
-
-
-def _unpacked(tokens: DataFrame) -> DataFrame:
-    """One row per token of each document."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                t = np.frombuffer(raw, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(np.full(len(t), doc, np.int64))], names=["token", "doc"])
-
-    return tokens.select("doc", "tokens").mapInArrow(run, "token long, doc long")
-
-
-def _signatures(tokens: DataFrame, frequent: DataFrame) -> DataFrame:
-    """``sig, doc``: the signatures of each document.
-
-    ``frequent`` has ``doc, frequent``: the frequent tokens of each document that has any.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            sigs, docs = [], []
-            for doc, raw, common in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                t = np.frombuffer(raw, np.uint64)
-                often = np.sort(np.array(common or [], np.int64).view(np.uint64))
-                rare = t[~np.isin(t, often, assume_unique=True)]
-                size = prefix_size(len(t))
-                sig = rare[:size]
-                if len(rare) < size and len(often) > 1:
-                    pairs = mixed(mixed(often[:-1]) + often[1:])
-                    sig = np.concatenate([sig, np.sort(pairs)[: 4 * len(pairs) // 7 + 2]])
-                elif len(rare) < size:
-                    sig = np.concatenate([sig, often])
-                sigs.append(_long(sig))
-                docs.append(np.full(len(sig), doc, np.int64))
-            if sigs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (sigs, docs)], names=["sig", "doc"])
-
-    joined = tokens.select("doc", "tokens").join(frequent, "doc", "left").select("doc", "tokens", "frequent")
-    return joined.mapInArrow(run, "sig long, doc long")
+    return source.mapInArrow(run, "doc long, key long, n long, tokens binary, parity binary")
 
 
 def _verified(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -185,63 +138,46 @@ def _verified(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
 
 
 class _Candidates(NamedTuple):
-    sets: DataFrame  # doc, n, class, prefix of every row with an id
-    classes: DataFrame  # class, n, first, rows
+    sets: DataFrame  # doc, n, class, key of every row with an id
+    classes: DataFrame  # class, n, first, key
     tokens: DataFrame  # of one document of each class that can have a partner
-    sizes: DataFrame  # sig, rows of signatures that documents share
     held: DataFrame  # sig, doc
 
 
 @in_small_batches
 def _candidates(docs: DataFrame, id_col: str, text_col: str) -> _Candidates:
-    """Steps 1 to 3."""
+    """Steps 1 and 2."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     id_col, text_col = "id", "text"
-    sets = written(_sets(docs.where(F.col(id_col).isNotNull()), id_col, text_col))
+    filters = written(_sets(docs.where(F.col(id_col).isNotNull()), id_col, text_col))
+    sets = written(filters.drop("prefix"))
 
     # One document of each class of equal sets; an id that repeats is one node all the same.
-    classes = written(sets.where("n > 0").groupBy("class", "n").agg(F.min("doc").alias("first"), F.count("*").alias("rows")))
-    copies = sets.where("n > 0").select("doc", "class").join(classes.where("rows > 1"), "class").where("doc <> first").select("doc", "class").distinct()
-    copies = written(in_few(copies))
-    single = sets.where("n > 0").join(small(copies), ["doc", "class"], "left_anti")
+    classes = written(sets.where("n > 0").groupBy("class", "n").agg(F.min("doc").alias("first"), F.min("key").alias("key")))
 
     # 1. Documents that can have a partner.
-    shared = written(in_few(single.select(F.explode("prefix").alias("token")).groupBy("token").count().where("count > 1").select("token")))
-    held = single.select("doc", "n", F.explode("prefix").alias("token")).join(shared, "token", "left_semi")
-    able = (
-        held.groupBy("doc", "n").count()
-        .where(F.col("count") >= 1 + F.floor(F.ceil(F.col("n") * 3 / 4) / 20))
-        .select("doc").distinct()
-    )
-    able = written(able)
+    shared = postings.shared_counts(postings.dealt(filters.where("n > 0").select(F.col("key").alias("owner"), F.col("prefix").alias("tokens"))))
+    enough = F.col("shared") >= 1 + F.floor(F.ceil(F.col("n") * 3 / 4) / 20)
+    able = written(classes.join(shared, F.col("key") == F.col("owner")).where(enough).select(F.col("first").alias("doc")).distinct())
+    dropped(filters)
+    freed(docs.sparkSession)
     tokens = written(
         _tokens(docs.join(small(able), F.col(id_col) == F.col("doc"), "left_semi"), id_col, text_col)
     )
-    dropped(shared)
-    dropped(copies)
-    freed(docs.sparkSession)
 
-    # 2. and 3. Classes of tokens, then signatures.
-    one_by_one = _unpacked(tokens)
-    often = written(in_few(one_by_one.groupBy("token").count().where(F.col("count") > FREQUENT).select("token")))
-    frequent = one_by_one.join(small(often), "token", "left_semi").groupBy("doc").agg(F.collect_set("token").alias("frequent"))
-    signatures = _signatures(tokens, frequent)
-    # A signature of one document finds nothing, and of those that the same documents share one is enough:
-    # near copies share hundreds.  Equal sets have equal numbers, ends and sums of hashes.
-    h = F.xxhash64("doc")
-    shared_by = signatures.groupBy("sig").agg(
-        F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("rows"), F.bit_xor(h).alias("xor"),
-        F.sum(F.shiftright(F.xxhash64("doc", F.lit(1)), 24).cast("decimal(20,0)")).alias("sum"),
-    )
-    sizes = written(shared_by.where("lo <> hi").groupBy("lo", "hi", "rows", "xor", "sum").agg(F.min("sig").alias("sig")).select("sig", "rows"))
-    return _Candidates(sets, classes, tokens, sizes, written(signatures.join(sizes.select("sig"), "sig").select("sig", "doc").distinct()))
+    # 2. Signatures.
+    owned = tokens.withColumnRenamed("key", "owner")
+    rarest = postings.rarest(postings.dealt(owned), owned, prefix_size)
+    found = postings.buckets(rarest)
+    named = small(owned.select("owner", "doc").distinct())
+    return _Candidates(sets, classes, tokens, written(found.join(named, "owner").select("sig", "doc").distinct()))
 
 
 def _links(found: _Candidates) -> DataFrame:
     """The pairs ``a, b`` of class heads that link, each once."""
     # A document of a signature of k blocks meets each block once: on the left as (own, other), on the right as (other, own).
-    blocks = F.ceil(F.col("rows") / FREQUENT).cast("int")
-    sized = found.held.select("sig", "doc").join(found.sizes.select("sig", blocks.alias("blocks")), "sig").join(
+    blocks = F.ceil(F.count("*") / FREQUENT).cast("int")
+    sized = found.held.join(found.held.groupBy("sig").agg(blocks.alias("blocks")), "sig").join(
         found.tokens.select("doc", "n").distinct(), "doc"
     )
     own, every = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -288,11 +224,12 @@ def _placed(found: _Candidates, pairs: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc, n, first, component`` of every row of ``docs`` with an id; ``first`` is the smallest id with an equal set."""
     found = _candidates(docs, id_col, text_col)
-    sets = found.tokens.withColumnRenamed("doc", "node")
+    sets = found.tokens.drop("key").withColumnRenamed("doc", "node")
     if not found.tokens.groupBy("doc").count().where("count > 1").isEmpty():  # rows that repeat an id
         sets = written(sets.distinct())
         dropped(found.tokens)
     pairs = hubs.ties(found.held.select("sig", F.col("doc").alias("node")), sets, SIMILARITY_PERCENT)
+    dropped(sets)
     return _placed(found, pairs).select("doc", "n", "first", "component")
 
 
