@@ -11,8 +11,9 @@ concentrated around it as with independent hashes.
 
 ``ROWS`` coordinates form a band.  Sets that are equal in a band share a bucket:
 for a similarity of 0.85 a pair shares none of the 64 bands with a probability
-of 1.4e-9.  Pairs are confirmed on the full sets (``hubs``), which compares
-what components need and no more.
+of 1.4e-9.  Band keys are brought together as packed arrays (``postings``).
+Pairs are confirmed on the full sets (``hubs``), which compares what components
+need and no more.
 
 Documents with equal sets are one class and one node; a class has the digest of
 its set as its key.  Sets of fewer than six shingles link with equal ones only
@@ -36,9 +37,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import clear_of, slices, written
+from . import postings
+from .common import clear_of, dropped, slices, written
 from .components import components
-from .hubs import links
+from .hubs import parity, ties
 from .shingles import mixed, shingle_sets
 
 PERCENT = 85
@@ -98,29 +100,29 @@ def _digest(tokens: np.ndarray) -> int:
 
 
 def _classes(docs: DataFrame) -> DataFrame:
-    """``doc, n, node, keys`` of every row: the size and key of its set, and its band keys."""
+    """``doc, n, node, keys`` of every row: the size and key of its set, and its band keys as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 128):
             sets = list(shingle_sets(batch.column(1).to_pylist()))
             able = [k for k, s in enumerate(sets) if len(s) >= _LEAST]
-            keys = bands(sketches([sets[k] for k in able])) if able else np.zeros((0, BANDS), _U)
-            ends = np.zeros(len(sets) + 1, np.int32)
-            ends[1:][able] = BANDS
+            keys = [b""] * len(sets)
+            for k, key in zip(able, bands(sketches([sets[k] for k in able])) if able else ()):
+                keys[k] = key.tobytes()
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([_digest(s) if len(s) else None for s in sets], pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(np.cumsum(ends), pa.int32()), pa.array(keys.reshape(-1).view(np.int64))),
+                    pa.array(keys, pa.binary()),
                 ],
                 names=["doc", "n", "node", "keys"],
             )
 
-    return docs.mapInArrow(run, "doc long, n long, node long, keys array<long>")
+    return docs.mapInArrow(run, "doc long, n long, node long, keys binary")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """``node, n, tokens`` of every row: its set as sorted bytes."""
+    """``node, n, tokens, parity`` of every row: its set as sorted bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 128):
@@ -128,30 +130,33 @@ def _sets(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([_digest(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([s.tobytes() for s in sets], pa.binary()),
+                    pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([parity(s) for s in sets], pa.binary()),
                 ],
-                names=["node", "n", "tokens"],
+                names=["node", "n", "tokens", "parity"],
             )
 
-    return docs.mapInArrow(run, "node long, n long, tokens binary")
+    return docs.mapInArrow(run, "node long, n long, tokens binary, parity binary")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc, n, component`` of every row of ``docs``."""
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    rows = written(_classes(source))
+    sketched = written(_classes(source))
+    rows = written(sketched.drop("keys"))
     held = rows.where("doc is not null and node is not null")
     first = written(held.groupBy("node").agg(F.min("doc").alias("first")))
 
-    # One row of each class, the one of its smallest id, has the band keys of the class.
-    heads = held.join(first.withColumnRenamed("first", "doc"), ["node", "doc"]).where(F.size("keys") > 0).select("node", "keys").dropDuplicates(["node"])
-    keyed = heads.select("node", F.explode("keys").alias("sig"))
-    shared = keyed.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("sig")
-    buckets = written(keyed.join(shared, "sig").select("sig", "node"))
+    # Rows of one class have the same band keys, which count once.
+    keyed = sketched.where("doc is not null and length(keys) > 0").select(F.col("node").alias("owner"), F.col("keys").alias("tokens"))
+    buckets = written(postings.buckets(postings.dealt(keyed)).withColumnRenamed("owner", "node"))
+    dropped(sketched)
     able = written(buckets.select("node").distinct().join(first, "node"))
     texts = source.join(able.select(F.col("first").alias("doc")).distinct(), "doc", "left_semi")
-    sets = written(_sets(texts).join(able.select("node"), "node", "left_semi").dropDuplicates(["node"]))
-    pairs = links(buckets, sets, PERCENT)
+    sets = written(_sets(texts).join(able.select("node"), "node", "left_semi"))
+    if not sets.groupBy("node").count().where("count > 1").isEmpty():  # rows that repeat an id
+        sets = written(sets.dropDuplicates(["node"]))
+    pairs = ties(buckets, sets, PERCENT)
+    dropped(sets)
 
     # An id that repeats with other texts ties their classes together.
     ids = held.select("doc", "node")

@@ -8,7 +8,7 @@ import random
 import numpy as np
 import pytest
 
-from promptledger.llm import hubs, postings
+from promptledger.llm import fast_sketch, hubs, postings
 from promptledger.llm import ngram_join as nj
 
 
@@ -88,3 +88,17 @@ def test_sets_around_a_hub_are_compared_by_blocks(spark, monkeypatch, percent, m
 
     assert found <= linked and groups(found) == groups(linked)
     assert bool(levels) == (most == 1)
+
+
+def test_bands_of_the_same_documents_are_one_bucket(docs, monkeypatch):
+    """Near copies share dozens of bands; copies of one class and rows without an id are in none."""
+    seen, ties = [], fast_sketch.ties
+    monkeypatch.setattr(fast_sketch, "ties", lambda buckets, sets, percent: seen.append((buckets, sets)) or ties(buckets, sets, percent))
+    text = [f"t{k}" for k in range(300)]
+    rows = [(5, " ".join(text)), (6, " ".join(text)), (8, " ".join([*text, "end"])), (9, " ".join(f"u{k}" for k in range(50))), (None, " ".join(text[1:]))]
+    out = fast_sketch.op12_fast_sketch(docs(rows))
+    members = collections.defaultdict(set)
+    for r in seen[0][0].collect():
+        members[r.sig].add(r.node)
+    assert len(members) == 1 and all(len(m) == 2 for m in members.values())
+    assert {(r.doc_id, r.component_id) for r in out.collect()} == {(5, 5), (6, 5), (8, 5), (9, 9), (None, None)}
